@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import quality, urls
 from .common import table
 
 
@@ -43,8 +43,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return out.select("page_id", "host", "path", "rule", "verdict", F.round("block_score", 6).alias("block_score"))
+
+
 def queries() -> dict:
-    return {"op2_quality_rules": op2_quality_rules}
+    return {"op2_quality_rules": op2_quality_rules, "op10_url_filters": op10_url_filters}
 
 
 def oracle_sql() -> dict[str, str]:

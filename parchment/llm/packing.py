@@ -28,7 +28,7 @@ END = 1
 SALTS = 64
 #: Column generation ends when Farley's bound shows that at most this share of sequences could still be saved.
 GAP = 0.0005
-MAX_COLUMNS = 400
+MAX_COLUMNS = 150
 PIECES = "key long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -139,6 +139,7 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, gap: float = GAP) ->
     # that is used up before, so the patterns (with one of a single length for each length used up along with
     # another) form a triangular matrix.
     basis: list[dict[int, int]] = []
+    order: list[int] = []
     left = {k: float(v) for k, v in sorted(counts.items(), reverse=True)}
     while left:
         pattern, room = {}, capacity
@@ -149,24 +150,29 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, gap: float = GAP) ->
         times = min(left[k] / v for k, v in pattern.items())
         for k, v in pattern.items():
             left[k] -= v * times
-        done = [k for k in pattern if left[k] <= 1e-9]
+        done = sorted((k for k in pattern if left[k] <= 1e-9 * counts[k]), key=lambda k: left[k] / pattern[k])
         basis += [pattern, *({k: capacity // k} for k in done[1:])]
+        order += done
         for k in done:
             del left[k]
-    matrix = np.zeros((len(lengths), len(lengths)))
+    # Forward substitution; row i belongs to the length that pattern i uses up.
+    place = {k: i for i, k in enumerate(order)}
+    inverse = np.eye(len(order))
     for j, pattern in enumerate(basis):
+        inverse[j] /= pattern[order[j]]
         for k, v in pattern.items():
-            matrix[row[k], j] = v
-    inverse = np.linalg.inv(matrix)
-    use = np.maximum(inverse @ demand, 0)
+            if place[k] > j:
+                inverse[place[k]] -= v * inverse[j]
+    inverse = inverse[:, [place[k] for k in lengths]]
+    use = np.maximum((inverse * demand).sum(1), 0)
     duals = inverse.sum(0)
-    least = float(demand @ np.array(lengths)) / capacity
+    least = float((demand * lengths).sum()) / capacity
 
     def enter(pattern: dict[int, int]) -> bool:
         """Revised simplex: the pattern replaces the one whose use first falls to 0."""
         nonlocal use, duals
         at = [row[k] for k in pattern]
-        step = inverse[:, at] @ np.array(list(pattern.values()), dtype=float)
+        step = (inverse[:, at] * np.array(list(pattern.values()), dtype=float)).sum(1)
         ratio = np.where(step > 1e-9, use / np.where(step > 1e-9, step, 1), np.inf)
         out = int(ratio.argmin())
         if not np.isfinite(ratio[out]):

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, packing, quality, urls
+from . import chat, decontaminate, langid, packing, quality, urls
 from .common import table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contaminated documents only: one row per document and benchmark item."""
+    return decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality_metrics(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
@@ -66,7 +71,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op7_packing": op7_packing, "op8_chat_formatting": op8_chat_formatting, "op9_language_id": op9_language_id, "op2_quality_rules": op2_quality_rules, "op10_url_filters": op10_url_filters}
+    return {"op1_decontamination": op1_decontamination, "op7_packing": op7_packing, "op8_chat_formatting": op8_chat_formatting, "op9_language_id": op9_language_id, "op2_quality_rules": op2_quality_rules, "op10_url_filters": op10_url_filters}
 
 
 def oracle_sql() -> dict[str, str]:

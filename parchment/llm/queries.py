@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, packing, quality, urls
+from . import chat, decontaminate, html, langid, packing, quality, urls
 from .common import table
 
 
@@ -53,6 +53,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", F.round("block_score", 6).alias("block_score"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -71,7 +75,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_decontamination": op1_decontamination, "op7_packing": op7_packing, "op8_chat_formatting": op8_chat_formatting, "op9_language_id": op9_language_id, "op2_quality_rules": op2_quality_rules, "op10_url_filters": op10_url_filters}
+    return {"op1_decontamination": op1_decontamination, "op4_html_extraction": op4_html_extraction, "op7_packing": op7_packing, "op8_chat_formatting": op8_chat_formatting, "op9_language_id": op9_language_id, "op2_quality_rules": op2_quality_rules, "op10_url_filters": op10_url_filters}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html, langid, packing, quality, urls
+from . import chat, decontaminate, html, jaccard, langid, packing, quality, urls
 from .common import table
 
 
@@ -53,6 +53,27 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", F.round("block_score", 6).alias("block_score"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+JACCARD_SQL = rf"""
+WITH RECURSIVE
+w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{quality.WORD}') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM w, unnest(range(1, len(w) - 3)) AS u(i) WHERE len(w) >= 5
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 4),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS MATERIALIZED (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 9 * c >= 4 * (x.n + y.n)),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a, min(b) AS b FROM r GROUP BY a),
+l AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT doc_id, least(doc_id, coalesce(c.b, doc_id)) AS class_id, coalesce(l.n, 0)::BIGINT AS n_links
+FROM documents LEFT JOIN c ON c.a = doc_id LEFT JOIN l ON l.a = doc_id
+"""
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -75,8 +96,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_decontamination": op1_decontamination, "op4_html_extraction": op4_html_extraction, "op7_packing": op7_packing, "op8_chat_formatting": op8_chat_formatting, "op9_language_id": op9_language_id, "op2_quality_rules": op2_quality_rules, "op10_url_filters": op10_url_filters}
+    return {"op1_decontamination": op1_decontamination, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op4_html_extraction": op4_html_extraction, "op7_packing": op7_packing, "op8_chat_formatting": op8_chat_formatting, "op9_language_id": op9_language_id, "op2_quality_rules": op2_quality_rules, "op10_url_filters": op10_url_filters}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": QUALITY_SQL}
+    return {"op3_ngram_jaccard_join": JACCARD_SQL, "op2_quality_rules": QUALITY_SQL}

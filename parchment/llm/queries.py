@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html, jaccard, langid, packing, pii, quality, urls
+from . import chat, decontaminate, html, jaccard, langid, packing, pii, quality, suffix, urls
 from .common import table
 
 
@@ -78,6 +78,10 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("base", lambda m: m["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -102,7 +106,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_decontamination": op1_decontamination, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op4_html_extraction": op4_html_extraction, "op6_pii": op6_pii, "op7_packing": op7_packing, "op8_chat_formatting": op8_chat_formatting, "op9_language_id": op9_language_id, "op2_quality_rules": op2_quality_rules, "op10_url_filters": op10_url_filters}
+    return {"op1_decontamination": op1_decontamination, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op4_html_extraction": op4_html_extraction, "op5_suffix_array_dedup": op5_suffix_array_dedup, "op6_pii": op6_pii, "op7_packing": op7_packing, "op8_chat_formatting": op8_chat_formatting, "op9_language_id": op9_language_id, "op2_quality_rules": op2_quality_rules, "op10_url_filters": op10_url_filters}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,0 +1 @@
+"""Column functions: text, regular expressions with offsets, geometry, and the fixed vocabulary."""

@@ -2,10 +2,734 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as t
+from ..functions import vocabulary as v
+from ..operators import fields as fields_
+from ..operators import metrics, normalize, queue, routing, score, store, structure, validate
+from . import notices
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function of (spark, read) as a named query; ``read`` loads a table."""
+
+    def register(function):
+        name = function.__name__
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return function(spark, lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+
+        run.__name__, run.__doc__ = name, function.__doc__
+        _QUERIES[name] = run
+        if sql:
+            _SQL[name] = sql
+        return function
+
+    return register
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# ---- pages and routes: the lines of a document stand for its pages ------------------------------------------
+
+_WS = r"[ \t\n\x0B\f\r\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def _key(x: str) -> str:
+    return f"replace(lower(regexp_replace(regexp_replace({x}, '{_WS}+', ' ', 'g'), '^ | $', '', 'g')), 'ß', 'ss')"
+
+
+_LINES_SQL = f"""
+lines AS (SELECT doc_id, lang, i AS page_number, trim(l, ' ') AS l FROM (SELECT doc_id, lang, generate_subscripts(a, 1) AS i, unnest(a) AS l FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS a FROM documents)) WHERE i <= {v.MAX_PAGES}),
+signals AS (
+  SELECT doc_id, lang, page_number, length(l) AS n,
+         CASE WHEN length(l) = 0 THEN 0.0 ELSE len(regexp_extract_all(l, '{v.UNEXPECTED}')) / length(l) END AS g
+  FROM (SELECT doc_id, lang, page_number, l[:{v.MAX_PAGE_CHARS}] AS l FROM lines)),
+classes AS (SELECT *, CASE WHEN n >= 60 THEN CASE WHEN g >= 0.2 THEN 'garbled' ELSE 'text' END ELSE 'sparse' END AS c FROM signals),
+shares AS (
+  SELECT doc_id, any_value(lang) AS lang, count(*) AS pages, avg((c = 'text')::INT) AS t, avg((c = 'garbled')::INT) AS g, avg((c = 'sparse')::INT) AS s, avg(n) AS mean_chars, avg(g) AS mean_garbled
+  FROM classes GROUP BY doc_id),
+routed AS (
+  SELECT *, CASE WHEN g >= 0.5 THEN 'garbled_text_layer' WHEN t >= 0.8 THEN 'born_digital' WHEN s >= 0.8 THEN 'scanned' WHEN t > 0 AND s > 0 THEN 'mixed' ELSE 'scanned' END AS route,
+    CASE WHEN g >= 0.5 THEN least(1.0, 0.5 + g / 2) WHEN t >= 0.8 THEN t WHEN s >= 0.8 THEN CASE WHEN s > 0 THEN 0.4 ELSE s END WHEN t > 0 AND s > 0 THEN least(1.0, 2 * least(t, s)) ELSE 0.4 END AS confidence
+  FROM shares)
+"""
+
+
+def _line_pages(read) -> DataFrame:
+    docs = read("documents").select(F.col("doc_id").cast("string").alias("document_id"), "lang", F.posexplode(F.split("text", "\n", -1)).alias("i", "text"))
+    return docs.select("document_id", "lang", (F.col("i") + 1).alias("page_number"), "text", F.lit(0.0).alias("image_area_ratio"), F.lit(0).alias("rotation"))
+
+
+def _routes(read) -> DataFrame:
+    return routing.routes(routing.page_signals(_line_pages(read)))
+
+
+@query(f"WITH {_LINES_SQL} SELECT lang, route, count(*) AS n FROM routed GROUP BY lang, route")
+def route_profile(spark, read):
+    """Documents by language and route."""
+    lang = read("documents").select(F.col("doc_id").cast("string").alias("document_id"), "lang")
+    return _routes(read).join(lang, "document_id").groupBy("lang", "route").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_LINES_SQL} SELECT doc_id::VARCHAR AS document_id, pages, route, round(confidence, 6) AS confidence, round(mean_chars, 4) AS mean_chars, round(greatest(0.0, least(1.0, 1 - mean_garbled)), 3) AS text_quality FROM routed")
+def route_by_document(spark, read):
+    return _routes(read).select("document_id", "pages", "route", F.round("route_confidence", 6).alias("confidence"), F.round("mean_chars", 4).alias("mean_chars"), F.col("text_quality_score").alias("text_quality"))
+
+
+@query(f"WITH {_LINES_SQL} SELECT lang, c AS classification, count(*) AS n, sum(n)::BIGINT AS chars FROM classes GROUP BY lang, c")
+def page_class_counts(spark, read):
+    return routing.page_signals(_line_pages(read)).groupBy("lang", "classification").agg(F.count("*").alias("n"), F.sum("char_count").alias("chars"))
+
+
+@query(f"WITH {_LINES_SQL} SELECT doc_id::VARCHAR AS document_id, route, CASE WHEN route IN ('scanned', 'garbled_text_layer') THEN 'ocr' WHEN route = 'mixed' THEN 'ocr_and_text' ELSE 'born_digital_text' END AS capability, CASE WHEN route = 'scanned' THEN 'marker' ELSE 'pymupdf' END AS parser, route <> 'scanned' AS degraded, CASE WHEN route IN ('mixed', 'garbled_text_layer') THEN 'ocr' ELSE '' END AS gaps FROM routed")
+def select_parser(spark, read):
+    """A strategy with one configured route; the others fall back to the baseline."""
+    strategy = {"decided": False, "allow_baseline_when_undecided": True, "routes": {"scanned": {"primary": "marker", "fallbacks": ["docling"]}}}
+    rows = routing.select_parser(_routes(read).select("document_id", "route"), strategy)
+    return rows.select("document_id", "route", "capability", "parser", "degraded", F.array_join("capability_gaps", ",").alias("gaps"))
+
+
+@query(
+    """SELECT p_brand, want AS needed, list_aggregate(list_filter([CASE WHEN want IN ('ocr', 'ocr_and_text') AND parser = 'pymupdf' THEN 'ocr' END], lambda x: x IS NOT NULL), 'string_agg', ',') AS gaps, count(*) AS n
+    FROM (SELECT p_brand, CASE p_size % 3 WHEN 0 THEN 'ocr' WHEN 1 THEN 'ocr_and_text' ELSE 'born_digital_text' END AS want, CASE p_partkey % 2 WHEN 0 THEN 'pymupdf' ELSE 'mineru' END AS parser FROM part) GROUP BY ALL"""
+)
+def capability_gap(spark, read):
+    """Parts as requests for a capability, half of them against a parser without OCR."""
+    parts = read("part").select("p_brand", F.when(F.col("p_size") % 3 == 0, "ocr").when(F.col("p_size") % 3 == 1, "ocr_and_text").otherwise("born_digital_text").alias("needed"), F.when(F.col("p_partkey") % 2 == 0, "pymupdf").otherwise("mineru").alias("parser"))
+    rows = parts.join(F.broadcast(routing.capabilities(spark)), "parser")
+    return rows.withColumn("gaps", F.nullif(F.array_join(routing.capability_gaps(F.col("needed")), ","), F.lit(""))).groupBy("p_brand", "needed", "gaps").agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH a AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS position, event_type FROM events),
+    b AS (SELECT *, event_type = 'purchase' OR event_type NOT IN ('view', 'click') AS stops FROM a),
+    c AS (SELECT *, coalesce(max(stops::INT) OVER (PARTITION BY user_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b)
+    SELECT user_id::VARCHAR AS document_id, 'p' || min(position) FILTER (event_type = 'purchase') AS parser, max_by(CASE WHEN event_type = 'purchase' THEN NULL WHEN event_type IN ('view', 'click') THEN 'provider_failure' ELSE 'invalid_pdf' END, position) AS last_error, count(*) AS attempts FROM c WHERE before = 0 GROUP BY user_id"""
+)
+def fallback_chain(spark, read):
+    """Events of a user as attempts: a purchase succeeds, a view or click may be retried, others end the chain."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    kind = F.col("event_type")
+    rows = read("events").select(F.col("user_id").cast("string").alias("document_id"), F.row_number().over(order).alias("position"), (kind == "purchase").alias("ok"), F.when(kind == "purchase", None).when(kind.isin("view", "click"), "provider_failure").otherwise("invalid_pdf").alias("error_code"))
+    return routing.fallback_chain(rows.withColumn("parser", F.concat(F.lit("p"), F.col("position"))))
+
+
+# ---- text --------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH n AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[ \\t\\x{{A0}}\\x{{2000}}-\\x{{200A}}]+', ' ', 'g'), '(?m)^ | $', '', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^{_WS}+|{_WS}+$', '', 'g') AS x FROM documents)
+    SELECT doc_id, length(x) AS n_chars, len(string_split(x, chr(10))) AS n_lines, md5(x) AS digest FROM n"""
+)
+def normalize_text_stats(spark, read):
+    x = F.col("x")
+    rows = read("documents").select("doc_id", t.normalize_text(F.col("text"), compose=False).alias("x"))
+    return rows.select("doc_id", F.length(x).cast("long").alias("n_chars"), F.size(F.split(x, "\n", -1)).cast("long").alias("n_lines"), F.md5(x).alias("digest"))
+
+
+@query(f"SELECT md5({_key('text')}) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
+def compare_key_dups(spark, read):
+    keys = read("documents").select("doc_id", F.md5(t.compare_key(F.col("text"))).alias("digest"))
+    return keys.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+
+
+@query(f"SELECT doc_id, regexp_replace(string_split(text, chr(10))[1], '^{_WS}+|{_WS}+$', '', 'g') AS title FROM documents")
+def first_line_title(spark, read):
+    return read("documents").select("doc_id", t.first_line(F.col("text")).alias("title"))
+
+
+@query(
+    r"""SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents)
+    WHERE length(regexp_replace(l, '[^\p{L}]', '', 'g')) > 0 AND 10 * length(regexp_replace(l, '[^\p{Lu}]', '', 'g')) >= 9 * length(regexp_replace(l, '[^\p{L}]', '', 'g')) GROUP BY doc_id"""
+)
+def mostly_upper_lines(spark, read):
+    lines = read("documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("l"))
+    return lines.where(t.is_mostly_upper(F.col("l"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query(
+    rf"""WITH s AS (SELECT doc_id, regexp_replace(regexp_replace(l, '^{_WS}+|{_WS}+$', '', 'g'), '\.+$', '') AS l FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents)),
+    w AS (SELECT doc_id, l, regexp_extract_all(l, '[^ \t\n\x0B\f\r]+') AS w FROM s)
+    SELECT doc_id, count(*) AS n FROM w WHERE len(w) BETWEEN 2 AND 6 AND NOT regexp_matches(l, '\d') AND NOT 10 * length(regexp_replace(l, '[^\p{{Lu}}]', '', 'g')) >= 9 * greatest(length(regexp_replace(l, '[^\p{{L}}]', '', 'g')), 0.0001)
+      AND len(list_filter(w, lambda x: regexp_matches(x, '^\p{{L}}') AND NOT regexp_matches(x, '^[\p{{Lu}}\p{{Lt}}]'))) = 0 GROUP BY doc_id"""
+)
+def person_name_lines(spark, read):
+    lines = read("documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("l"))
+    return lines.where(t.looks_like_name(F.col("l"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT doc_id, count(*) AS n_rows, max(len(c))::BIGINT AS widest, count(DISTINCT array_to_string(c, '|')) AS distinct_rows FROM (
+      SELECT doc_id, list_transform(string_split(trim(l), '|'), lambda x: trim(x)) AS c FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) WHERE length(l) - length(replace(l, '|', '')) >= 2)
+    WHERE len(list_filter(c, lambda x: x <> '')) > 0 GROUP BY doc_id"""
+)
+def delimited_rows(spark, read):
+    lines = read("documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("l"))
+    rows = lines.select("doc_id", t.row_cells(F.col("l")).alias("c")).where("c is not null")
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.max(F.size("c")).cast("long").alias("widest"), F.count_distinct(F.array_join("c", "|")).alias("distinct_rows"))
+
+
+@query("SELECT doc_id, length(text) - length(strip_accents(text)) + len(regexp_extract_all(text, '[" + "".join(v.MARKED) + r"\p{M}]')) + len(regexp_extract_all(text, '[" + "".join(c for c, n in v.MARKED.items() if n > 1) + "]')) AS marks FROM documents WHERE length(text) = length(strip_accents(text))")
+def diacritic_share(spark, read):
+    """Combining marks that each text would have if decomposed."""
+    return read("documents").select("doc_id", t.combining_marks(F.col("text")).alias("marks"))
+
+
+@query(
+    """WITH d AS (SELECT o_orderkey, o_orderdate AS x FROM orders)
+    SELECT o_orderkey, strftime(x, '%Y-%m-%d') AS iso, 'ngày ' || day(x) || ' tháng ' || month(x) || ' năm ' || year(x) AS raw, 8::BIGINT AS start, (2)::BIGINT AS n FROM d"""
+)
+def date_extract(spark, read):
+    """Dates written out and numerically, with their places; the impossible one is left out."""
+    x = F.col("o_orderdate")
+    text = F.concat(F.lit("Hà Nội, "), notices._date(x), F.lit(" ngày 31 tháng 2 năm 2000; "), F.date_format(x, "d/M/yyyy"))
+    rows = read("orders").select("o_orderkey", t.find_dates(text).alias("m"))
+    return rows.select("o_orderkey", F.col("m")[0]["iso"].alias("iso"), F.col("m")[0]["raw"].alias("raw"), F.col("m")[0]["start"].cast("long").alias("start"), F.size("m").cast("long").alias("n"))
+
+
+@query(
+    """SELECT p_partkey, p_size AS value, p_partkey || '/QĐ-' || p_size AS number FROM part"""
+)
+def roman_ordinals(spark, read):
+    """Part sizes as Roman numerals and back; document numbers without their blanks."""
+    tens, ones = F.array(*map(F.lit, ["", "X", "XX", "XXX", "XL", "L"])), F.array(*map(F.lit, ["", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX"]))
+    size = F.col("p_size")
+    roman = F.concat(F.get(tens, F.floor(size / 10).cast("int")), F.get(ones, size % 10))
+    return read("part").select("p_partkey", t.ordinal(roman).alias("value"), t.normalize_number(F.concat_ws(" / ", F.col("p_partkey").cast("string"), F.concat(F.lit("QĐ - "), size.cast("string")))).alias("number"))
+
+
+# ---- reading order, margins, tables ---------------------------------------------------------------------------
+
+
+#: Line numbers repeat within an order, so lines are numbered anew.
+_NUMBERED_SQL = "(SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i FROM lineitem)"
+
+
+def _numbered(read) -> DataFrame:
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return read("lineitem").withColumn("i", F.row_number().over(order))
+
+
+def _line_blocks(read) -> DataFrame:
+    lines = _numbered(read)
+    odd = F.col("l_orderkey") % 3
+    y = F.when(odd == 1, F.col("l_extendedprice") % 800)
+    return lines.select(
+        F.col("l_orderkey").cast("string").alias("document_id"), F.lit(1).alias("page_number"), F.lit(595.0).alias("width"), F.lit(842.0).alias("height"), F.lit(0).alias("rotation"), F.col("i").alias("position"),
+        F.concat(F.lit("p"), F.col("i")).alias("provider_block_id"), F.when(F.col("l_returnflag") == "R", "Section Header").when(F.col("l_returnflag") == "A", "text").otherwise("blob").alias("provider_type"),
+        F.col("l_linestatus").alias("text"), F.when(odd == 1, F.array(F.lit(10.0), y, F.lit(20.0), y + 5)).alias("bbox"), (F.col("l_discount") * 20).alias("confidence"), F.when(odd == 0, (F.lit(100) - F.col("i")).cast("int")).alias("order_hint"),
+        F.lit(None).cast("array<array<string>>").alias("cells"), F.lit(None).cast("string").alias("caption"),
+    )
+
+
+_BLOCK_SQL = f"""
+b AS (SELECT l_orderkey AS d, i, l_orderkey % 3 AS k, CASE l_returnflag WHEN 'R' THEN 'heading' WHEN 'A' THEN 'paragraph' ELSE 'unknown' END AS mapped, l_extendedprice % 800 AS y, least(1.0, greatest(0.0, l_discount * 20)) AS conf FROM {_NUMBERED_SQL}),
+u AS (SELECT *, CASE WHEN k = 0 AND count(*) OVER w = count(DISTINCT i) OVER w THEN 'provider_order_hint' WHEN k = 1 THEN 'geometry_top_left' ELSE 'provider_sequence' END AS strategy FROM b WINDOW w AS (PARTITION BY d)),
+o AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY CASE WHEN strategy = 'provider_order_hint' THEN -i END, CASE WHEN strategy = 'geometry_top_left' THEN round_even(y, 1) END, i) - 1 AS r FROM u)
+"""
+
+
+@query(
+    f"WITH {_BLOCK_SQL} SELECT strategy AS order_strategy, CASE WHEN k = 1 AND mapped <> 'heading' AND y + 5 <= 842 * 0.07 THEN 'header' WHEN k = 1 AND mapped <> 'heading' AND y >= 842 - 842 * 0.07 THEN 'footer' ELSE mapped END AS type, r % 2 AS odd, count(*) AS n, sum(i * (r + 1))::BIGINT AS check_sum, round(sum(conf), 3) AS confidence FROM o GROUP BY ALL"
+)
+def reading_order_resolve(spark, read):
+    """Order lines as blocks: hints, boxes or neither; types by alias and margin."""
+    rows = normalize.normalize(_line_blocks(read), compose=False)
+    index = F.regexp_extract("provider_block_id", r"(\d+)", 1).cast("long")
+    return rows.groupBy("order_strategy", "type", (F.col("reading_order") % 2).cast("long").alias("odd")).agg(F.count("*").alias("n"), F.sum(index * (F.col("reading_order") + 1)).alias("check_sum"), F.round(F.sum("confidence"), 3).alias("confidence"))
+
+
+@query("SELECT CASE event_type WHEN 'view' THEN 'paragraph' WHEN 'click' THEN 'heading' WHEN 'error' THEN 'unknown' WHEN 'signup' THEN 'stamp_region' ELSE 'title' END AS type, count(*) AS n FROM events GROUP BY 1")
+def alias_mapping(spark, read):
+    label = F.create_map(*(F.lit(x) for p in {"view": " Plain Text ", "click": "Section-Header", "error": "nonsense", "signup": "SEAL", "purchase": "deal"}.items() for x in p))
+    return read("events").groupBy(normalize.block_type(label[F.col("event_type")], {"deal": "title"}).alias("type")).agg(F.count("*").alias("n"))
+
+
+_CONTEXT_SQL = "c AS (SELECT o_custkey AS d, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r, o_orderstatus = 'F' AND o_orderkey % 5 = 0 AS ctx FROM orders)"
+
+
+@query(
+    f"""WITH {_CONTEXT_SQL}, n AS (SELECT d, r, CASE WHEN max(ctx::INT) OVER (PARTITION BY d ORDER BY r RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) = 1 THEN 0.12 WHEN max(ctx::INT) OVER (PARTITION BY d ORDER BY r RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING) = 1 THEN 0.08 WHEN max(ctx::INT) OVER (PARTITION BY d ORDER BY r RANGE BETWEEN 6 PRECEDING AND 6 FOLLOWING) = 1 THEN 0.04 ELSE 0.0 END AS s FROM c)
+    SELECT s::DOUBLE AS score, count(*) AS n, sum(r)::BIGINT AS places FROM n GROUP BY 1"""
+)
+def nearby_score(spark, read):
+    """A customer's orders as blocks of a page; some of them are context."""
+    rows = read("orders").select(F.col("o_custkey").alias("document_id"), F.lit(1).alias("page_number"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("reading_order"), ((F.col("o_orderstatus") == "F") & (F.col("o_orderkey") % 5 == 0)).alias("ctx"))
+    rows = rows.withColumn("score", fields_.nearby_score(F.col("ctx")))
+    return rows.groupBy("score").agg(F.count("*").alias("n"), F.sum("reading_order").cast("long").alias("places"))
+
+
+@query("SELECT (CASE WHEN (l_extendedprice % 842) / 842.0 <= 0.25 THEN 0.16 WHEN (l_extendedprice % 842) / 842.0 <= 0.4 THEN 0.09 ELSE 0 END)::DOUBLE AS score, count(*) AS n FROM lineitem GROUP BY 1")
+def top_score(spark, read):
+    return read("lineitem").groupBy(fields_.top_score(F.col("l_extendedprice") % 842, F.lit(None).cast("double")).alias("score")).agg(F.count("*").alias("n"))
+
+
+# ---- structure and fields on documents made from orders -----------------------------------------------------------
+
+_O = "WITH o AS (SELECT o_orderkey AS k, any_value(o_custkey) AS cust, any_value(o_orderdate) AS odate, any_value(o_orderpriority) AS prio, max(l_shipdate) AS last, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey)"
+
+
+@query(
+    f"""{_O} SELECT 'order-' || k AS document_id, unnest([
+      {{'n': 'document_number', 'v': k || '/QĐ-UBND', 'c': 0.94, 's': 'unreviewed'}}, {{'n': 'document_type', 'v': 'quyet_dinh', 'c': 0.9, 's': 'unreviewed'}}, {{'n': 'issuer', 'v': 'ỦY BAN NHÂN DÂN TỈNH', 'c': 0.85, 's': 'unreviewed'}},
+      {{'n': 'issue_date', 'v': strftime(odate, '%Y-%m-%d'), 'c': 0.92, 's': 'unreviewed'}}, {{'n': 'title', 'v': 'giao hàng ' || prio, 'c': 0.9, 's': 'unreviewed'}}, {{'n': 'signer', 'v': 'Nguyễn Văn An', 'c': 0.8, 's': 'unreviewed'}}, {{'n': 'deadline', 'v': strftime(last, '%Y-%m-%d'), 'c': 0.9, 's': 'unreviewed'}}], recursive := true) FROM o""".replace("'n':", "'name':").replace("'v':", "'normalized_value':").replace("'c':", "'confidence':").replace("'s':", "'review_status':")
+)
+def field_extraction(spark, read):
+    """The seven fields of every document."""
+    rows = fields_.extract(_notices(spark, read))
+    return rows.select("document_id", "name", "normalized_value", "confidence", "review_status")
+
+
+def _notices(spark, read) -> DataFrame:
+    path = read("orders").inputFiles()[0].rsplit("/orders.parquet", 1)[0]
+    return notices.blocks(spark, path)
+
+
+@query(
+    """WITH l AS (SELECT l_orderkey AS k, l_linenumber AS i, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, floor(l_quantity), l_shipdate) AS pos FROM lineitem),
+    g AS (SELECT *, (row_number() OVER (PARTITION BY k, i ORDER BY pos) > 1)::INT AS again FROM l),
+    a AS (SELECT k, i, i || CASE WHEN again = 1 THEN '_' || sum(again) OVER (PARTITION BY k ORDER BY pos)::INT ELSE '' END AS s FROM g),
+    n AS (SELECT k, 'h_chapter_1' AS node_id, 'chapter' AS kind, NULL AS parent_id, 1 AS ordinal, 'Chương I' AS label FROM (SELECT DISTINCT k FROM l)
+      UNION ALL SELECT k, 'h_article_' || s, 'article', 'h_chapter_1', i, 'Điều ' || i FROM a
+      UNION ALL SELECT k, 'h_clause_' || s || '_1', 'clause', 'h_article_' || s, 1, 'Khoản 1' FROM a
+      UNION ALL SELECT k, 'h_point_' || s || '_1_a', 'point', 'h_clause_' || s || '_1', NULL, 'Điểm a' FROM a
+      UNION ALL SELECT k, 'h_recipients_1', 'custom_heading', NULL, NULL, 'Nơi nhận' FROM (SELECT DISTINCT k FROM l))
+    SELECT 'order-' || k AS document_id, node_id, kind, parent_id, ordinal, label FROM n"""
+)
+def structure_scan(spark, read):
+    """The hierarchy of every document."""
+    return structure.hierarchy(structure.structure(_notices(spark, read))).select("document_id", "node_id", "kind", "parent_id", "ordinal", "label")
+
+
+@query(f"{_O} SELECT 'order-' || k AS document_id, 't_admin_3_0001' AS table_id, 2 AS n_rows, 3 AS n_cols, 'Mã|Số lượng|Ghi chú;' || k || '|' || n || '|' AS cells FROM o")
+def row_run_tables(spark, read):
+    rows = structure.row_tables(structure.structure(_notices(spark, read)))
+    return rows.select("document_id", "table_id", "n_rows", "n_cols", F.array_join(F.transform("cells", lambda r: F.array_join(r, "|")), ";").alias("cells"))
+
+
+@query(f"{_O} SELECT 'order-' || k AS document_id, 1.0::DOUBLE AS structure_quality_score, false AS requires_user_review, 0::BIGINT AS n_warnings FROM o")
+def structure_quality(spark, read):
+    blocks = _notices(spark, read)
+    rows = fields_.quality(blocks, fields_.extract(blocks), structure.hierarchy(structure.structure(blocks)))
+    return rows.select("document_id", "structure_quality_score", "requires_user_review", F.size("critical_field_warnings").cast("long").alias("n_warnings"))
+
+
+@query(f"{_O} SELECT 'order-' || k AS document_id, k || '/QĐ-UBND' AS document_number, 'quyet_dinh' AS document_type, 'ỦY BAN NHÂN DÂN TỈNH' AS issuer, odate::DATE AS issued_date, last::DATE AS deadline, 'giao hàng ' || prio AS title, 'Nguyễn Văn An' AS signer FROM o")
+def promoted_fields(spark, read):
+    blocks = _notices(spark, read)
+    return fields_.promote(blocks.select("document_id").distinct(), fields_.extract(blocks))
+
+
+# ---- metrics ----------------------------------------------------------------------------------------------------------
+
+_ASCII = "regexp_replace({0}, '[^ -~]', '', 'g')"
+
+
+@query(
+    f"""WITH p AS (SELECT a.doc_id::VARCHAR AS document_id, {_ASCII.format("a.text")} AS e, {_ASCII.format("b.text")} AS f FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE a.n_chars <= 600 AND b.n_chars <= 600),
+    k AS (SELECT document_id, {_key("e")} AS e, {_key("f")} AS f FROM p)
+    SELECT document_id, round(greatest(0.0, 1 - levenshtein(e, f) / greatest(length(e), 1)), 6) AS value FROM k"""
+)
+def cer_near_copies(spark, read):
+    """Character accuracy of short texts against the following text; letters beyond ASCII are left out."""
+    return metrics.character_accuracy(_neighbours(read)).select("document_id", F.round("value", 6).alias("value"))
+
+
+def _neighbours(read) -> DataFrame:
+    docs = read("documents").where("n_chars <= 600").select("doc_id", t.compare_key(F.regexp_replace("text", "[^ -~]", "")).alias("expected"))
+    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("expected").alias("produced"))
+    return docs.join(after, "doc_id").withColumn("document_id", F.col("doc_id").cast("string"))
+
+
+@query()
+def wer_near_copies(spark, read):
+    """Word accuracy of the same pairs."""
+    return metrics.word_accuracy(_neighbours(read)).select("document_id", F.round("value", 6).alias("value"))
+
+
+@query(
+    f"""WITH p AS (SELECT l_orderkey AS k, i, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, i) AS r FROM {_NUMBERED_SQL}),
+    c AS (SELECT a.k, count(*) FILTER (b.r > a.r) AS good, count(*) AS n FROM p a JOIN p b ON a.k = b.k AND a.i < b.i GROUP BY a.k)
+    SELECT k, round(good / n, 6) AS concordance FROM c"""
+)
+def reading_order_concordance(spark, read):
+    """Line numbers against shipping order: share of pairs in the same order."""
+    rows = _numbered(read).withColumn("r", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_shipdate", "i")))
+    per = rows.groupBy(F.col("l_orderkey").alias("k")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "r"))), lambda x: x["r"]).alias("places"))
+    return per.select("k", F.round(metrics.concordance(F.col("places")), 6).alias("concordance")).where("concordance is not null")
+
+
+@query(
+    """WITH e AS (SELECT DISTINCT o_custkey AS k, o_orderpriority AS x FROM orders WHERE year(o_orderdate) % 2 = 0), p AS (SELECT DISTINCT o_custkey AS k, o_orderpriority AS x FROM orders WHERE year(o_orderdate) % 2 = 1),
+    h AS (SELECT e.k, count(*) AS ne, count(p.x) AS hits FROM e LEFT JOIN p ON e.k = p.k AND e.x = p.x GROUP BY e.k), q AS (SELECT k, count(*) AS np FROM p GROUP BY k)
+    SELECT h.k, round(CASE WHEN hits = 0 THEN 0.0 ELSE 2.0 * hits / (ne + coalesce(np, 0)) END, 6) AS f1 FROM h LEFT JOIN q ON h.k = q.k"""
+)
+def heading_f1(spark, read):
+    """Priorities a customer orders with in even years against those of odd years, as sets."""
+    even = F.year("o_orderdate") % 2 == 0
+    rows = read("orders").groupBy(F.col("o_custkey").alias("k")).agg(F.collect_set(F.when(even, F.col("o_orderpriority"))).alias("e"), F.collect_set(F.when(~even, F.col("o_orderpriority"))).alias("p"))
+    return rows.where(F.size("e") > 0).select("k", F.round(metrics.set_f1(F.col("e"), F.col("p")), 6).alias("f1"))
+
+
+@query("SELECT CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS route_expected, CASE WHEN n_chars >= 1000 THEN 'good' ELSE 'bad' END AS route_actual, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2")
+def label_confusion(spark, read):
+    rows = read("labels").join(read("documents").select("doc_id", "n_chars"), "doc_id")
+    runs = rows.select(F.col("doc_id").alias("document_id"), F.when(F.col("quality") == 1, "good").otherwise("bad").alias("route_expected"), F.when(F.col("n_chars") >= 1000, "good").otherwise("bad").alias("route_actual"), F.lit(0).alias("run_seq"))
+    return score.route_confusion(runs)
+
+
+@query(
+    f"""{_O}, w AS (SELECT k, 1 AS a, (k % 2 = 0)::INT AS b, (k % 3 <> 0)::INT AS c FROM o)
+    SELECT 'order-' || k AS document_id, round((a + b + c) / 3, 6) AS value, array_to_string(list_filter([CASE WHEN b = 0 THEN 'deadline' END, CASE WHEN c = 0 THEN 'issuer' END], lambda x: x IS NOT NULL), ',') AS wrong FROM w"""
+)
+def critical_accuracy(spark, read):
+    """Extracted fields against a truth that disagrees on some documents."""
+    blocks = _notices(spark, read)
+    found = fields_.extract(blocks)
+    key = F.substring("document_id", 7, 20).cast("long")
+    flat = fields_.critical(found)
+    truth = flat.select("document_id", F.create_map(F.lit("document_number"), F.col("document_number"), F.lit("deadline"), F.when(key % 2 == 0, F.col("deadline")).otherwise("1900-01-01"), F.lit("issuer"), F.when(key % 3 != 0, F.lower("issuer")).otherwise("x")).alias("critical_fields"))
+    return metrics.critical_fields(found, truth).select("document_id", F.round("value", 6).alias("value"), F.array_join("wrong", ",").alias("wrong"))
+
+
+@query(f"WITH p AS (SELECT l_orderkey AS k, l_shipdate > lag(l_shipdate) OVER (PARTITION BY l_orderkey ORDER BY i) AS up FROM {_NUMBERED_SQL}) SELECT k, coalesce(bool_and(up), true) AS ordered FROM p GROUP BY k")
+def list_monotonicity(spark, read):
+    rows = _numbered(read).groupBy(F.col("l_orderkey").alias("k")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "l_shipdate"))), lambda x: x["l_shipdate"]).alias("d"))
+    pairs = F.zip_with(F.slice("d", 1, F.size("d") - 1), F.slice("d", 2, F.size("d") - 1), lambda a, b: a < b)
+    return rows.select("k", F.when(F.size("d") < 2, True).otherwise(F.forall(pairs, lambda x: x)).alias("ordered"))
+
+
+@query(
+    """WITH e AS (SELECT o_custkey AS k, o_orderpriority AS x, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL), p AS (SELECT o_custkey AS k, o_orderpriority AS x, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY ALL)
+    SELECT e.k, round(sum(least(e.n, coalesce(p.n, 0))) / sum(e.n), 6) AS recall FROM e LEFT JOIN p ON e.k = p.k AND e.x = p.x GROUP BY e.k"""
+)
+def multiset_cell_recall(spark, read):
+    rows = read("orders").select(F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("x"), (F.col("o_orderstatus") == "F").alias("e"))
+    out = metrics.multiset_recall(rows.where("e"), rows.where("not e"), ["k"], "x")
+    return out.select("k", F.round("recall", 6).alias("recall"))
+
+
+_PAGE = "regexp_extract(html, '(?s)<{0}>(.*?)</{0}>', 1)"
+
+
+@query(f"SELECT page_id, CASE WHEN contains({_key(_PAGE.format('article'))}, {_key(_PAGE.format('h1'))}) THEN 0.0 ELSE 1.0 END::DOUBLE AS heading_kept, CASE WHEN contains({_key(_PAGE.format('article'))}, {_key(_PAGE.format('footer'))}) THEN 0.0 ELSE 1.0 END::DOUBLE AS value FROM pages")
+def margin_leakage(spark, read):
+    """Whether a page's footer leaks into its article; its heading is part of it."""
+    part = lambda tag: t.compare_key(F.regexp_extract("html", rf"(?s)<{tag}>(.*?)</{tag}>", 1))
+    rows = read("pages").select(F.col("page_id"), part("article").alias("body"), part("h1").alias("h1"), part("footer").alias("footer"))
+    kept = lambda c: F.when(F.contains("body", F.col(c)), 0.0).otherwise(1.0)
+    return rows.select("page_id", kept("h1").alias("heading_kept"), kept("footer").alias("value"))
+
+
+@query("WITH u AS (SELECT l_orderkey AS k, l_linenumber % 4 AS r, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem), d AS (SELECT k, any_value(n) AS n, count(DISTINCT r) AS m FROM u GROUP BY k) SELECT k::VARCHAR AS document_id, (n = m)::INT::DOUBLE AS value FROM d")
+def provenance_completeness(spark, read):
+    """Order lines as blocks whose order repeats from the fifth line on."""
+    blocks = read("lineitem").select(F.col("l_orderkey").cast("string").alias("document_id"), F.lit(1).alias("page_number"), F.col("l_linenumber").cast("string").alias("block_id"), (F.col("l_linenumber") % 4).alias("reading_order"))
+    return metrics.provenance(blocks, blocks).select("document_id", "value")
+
+
+@query(
+    """SELECT 'customer_missing' AS rule, o_orderkey::VARCHAR AS document_id, o_custkey::VARCHAR AS item FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)
+    UNION ALL SELECT 'block_id_repeated', l_suppkey::VARCHAR, l_partkey::VARCHAR FROM lineitem GROUP BY l_suppkey, l_partkey HAVING count(*) > 1"""
+)
+def dangling_refs(spark, read):
+    """Orders of customers in debt as dangling references; repeated parts of a supplier as repeated ids."""
+    orders = read("orders").select(F.col("o_orderkey").cast("string").alias("document_id"), F.col("o_custkey").cast("string").alias("ref"))
+    good = read("customer").where("c_acctbal >= 0").select(F.col("c_custkey").cast("string").alias("key"))
+    missing = orders.join(good, orders["ref"] == good["key"], "left_anti").select(F.lit("customer_missing").alias("rule"), "document_id", F.col("ref").alias("item"))
+    lines = read("lineitem").select(F.col("l_suppkey").cast("string").alias("document_id"), F.col("l_partkey").cast("string").alias("block_id"))
+    return missing.unionByName(validate.unique(lines, "block_id", "block_id_repeated"))
+
+
+@query("SELECT 'none' AS rule, 0::BIGINT AS n WHERE false")
+def integrity_violations(spark, read):
+    """All rules on the documents made from orders: none is broken."""
+    blocks = _notices(spark, read)
+    found = structure.structure(blocks)
+    parts = [validate.boxes(blocks), validate.pages(notices.pages(blocks), blocks), validate.tables(structure.row_tables(found)), validate.documents(found, structure.hierarchy(found), structure.row_tables(found), fields_.extract(blocks))]
+    return reduce(DataFrame.unionByName, parts).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH p AS (SELECT a.item_id AS k, list_distinct(list_filter(string_split({_key("a.text")}, ' '), lambda x: x <> '')) AS e, list_distinct(string_split({_key("b.text")}, ' ')) AS f FROM benchmark a JOIN documents b ON b.doc_id = a.item_id)
+    SELECT k::VARCHAR AS document_id, (len(e) > 0 AND 2 * len(list_intersect(e, f)) >= len(e))::INT::DOUBLE AS value FROM p"""
+)
+def page_attribution(spark, read):
+    """Benchmark items against the document with the same number: half of the words or more?"""
+    docs = read("documents").select("doc_id", t.compare_key(F.col("text")).alias("produced"))
+    items = read("benchmark").select(F.col("item_id").alias("doc_id"), t.compare_key(F.col("text")).alias("expected"))
+    pairs = items.join(docs, "doc_id").withColumn("document_id", F.col("doc_id").cast("string"))
+    return metrics.page_attribution(pairs).select("document_id", "value")
+
+
+# ---- scores: suppliers as parsers, order lines as measured documents --------------------------------------------------
+
+
+def _measured(read) -> tuple[DataFrame, DataFrame]:
+    lines = read("lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("parser"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("document_id"), "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_suppkey", "l_orderkey")
+    values = F.array(
+        F.struct(F.lit("reading_order_accuracy").alias("name"), (1 - F.col("l_discount") * 4).alias("value")),
+        F.struct(F.lit("provenance_completeness").alias("name"), F.when(F.col("l_suppkey") % 2 == 0, 1.0).otherwise(1 - F.col("l_tax")).alias("value")),
+        F.struct(F.lit("word_accuracy").alias("name"), F.when(F.col("l_returnflag") != "N", F.col("l_quantity") / 50).alias("value")),
+        F.struct(F.lit("critical_field_accuracy").alias("name"), F.when(F.col("l_suppkey") % 3 != 0, 1 - F.col("l_tax")).alias("value")),
+    )
+    long = lines.select("parser", "document_id", F.when(F.col("l_returnflag") == "R", "scanned").otherwise("born_digital").alias("route_expected"), F.explode(values).alias("m")).select("parser", "document_id", "route_expected", "m.*")
+    runs = lines.select("parser", "document_id", (F.col("l_orderkey") % 10 != 0).alias("parsed"), (F.col("l_quantity") / 100).alias("seconds_per_page"), (F.col("l_suppkey") % 5 == 0).alias("requires_gpu"), (F.col("l_suppkey") % 2 == 0).alias("benefits_from_gpu"), (F.col("l_suppkey") % 7 != 0).alias("installed"), F.when((F.col("l_suppkey") % 11 == 0) & (F.col("l_orderkey") % 50 == 0), F.array(F.lit("deadline"))).otherwise(F.array()).alias("severe_fields"))
+    return long.withColumn("available", F.col("value").isNotNull()), runs
+
+
+_SCORE_SQL = """WITH l AS (SELECT l_suppkey AS s, l_orderkey AS o, l_returnflag AS f, 1 - l_discount * 4 AS ro, CASE WHEN l_suppkey % 2 = 0 THEN 1.0 ELSE 1 - l_tax END AS pr, CASE WHEN l_returnflag <> 'N' THEN l_quantity / 50 END AS wo, CASE WHEN l_suppkey % 3 <> 0 THEN 1 - l_tax END AS cr, l_quantity / 100 AS sec FROM lineitem),
+m AS (SELECT s, (sum(ro) + sum(pr)) / (2 * count(*)) AS a, avg(cr) AS b, avg(wo) AS c, (sum(ro + pr + wo) FILTER (f = 'R')) / (3 * count(*) FILTER (f = 'R')) AS d, avg(ro) AS ro, avg(pr) AS pr, avg(sec) FILTER (o % 10 <> 0) AS sec, count(*) AS n, count(*) FILTER (o % 10 <> 0) AS ok, count(*) FILTER (s % 11 = 0 AND o % 50 = 0) AS sev FROM l GROUP BY s),
+x AS (SELECT *, least(1.0, min(sec) OVER () / sec) AS e, greatest(0.0, 1 - CASE WHEN s % 5 = 0 THEN 0.5 WHEN s % 2 = 0 THEN 0.2 ELSE 0 END - CASE WHEN s % 7 = 0 THEN 0.2 ELSE 0 END)::DOUBLE AS i FROM m),
+y AS (SELECT *, CASE WHEN a IS NULL THEN 0 ELSE 0.3 END + CASE WHEN b IS NULL THEN 0 ELSE 0.25 END + CASE WHEN c IS NULL THEN 0 ELSE 0.2 END + CASE WHEN d IS NULL THEN 0 ELSE 0.1 END + CASE WHEN e IS NULL THEN 0 ELSE 0.1 END + 0.05 AS w, coalesce(a * 0.3, 0) + coalesce(b * 0.25, 0) + coalesce(c * 0.2, 0) + coalesce(d * 0.1, 0) + coalesce(e * 0.1, 0) + i * 0.05 AS total FROM x)"""
+
+
+@query(_SCORE_SQL + " SELECT 's' || s AS parser, round(total / w, 6) AS weighted_score, round(w, 2)::DOUBLE AS coverage, round((n - ok) / n, 6) AS failure_rate FROM y")
+def parser_scores(spark, read):
+    rows = score.parser_scores(*_measured(read))
+    return rows.select("parser", F.round("weighted_score", 6).alias("weighted_score"), F.round("coverage", 2).alias("coverage"), F.round("failure_rate", 6).alias("failure_rate"))
+
+
+@query(_SCORE_SQL + ", g AS (SELECT s, array_to_string(list_filter([CASE WHEN ro < 0.7 THEN 'reading_order_corruption' END, CASE WHEN pr < 1 THEN 'provenance_loss' END, CASE WHEN sev > 0 THEN 'critical_fact_error' END, CASE WHEN ok = 0 THEN 'parse_failure' END], lambda z: z IS NOT NULL), ',') AS gates FROM y) SELECT 's' || s AS parser, gates, gates <> '' AS disqualified FROM g")
+def hard_gates(spark, read):
+    return score.parser_scores(*_measured(read)).select("parser", F.array_join("gate_failures", ",").alias("gates"), "disqualified")
+
+
+@query(_SCORE_SQL + " SELECT 's' || s AS parser, round(e, 6) AS runtime, round(i, 6) AS cost FROM y")
+def runtime_score(spark, read):
+    return score.dimensions(*_measured(read)).select("parser", F.round("runtime_cost", 6).alias("runtime"), F.round("integration_simplicity", 6).alias("cost"))
+
+
+@query("WITH l AS (SELECT l_suppkey AS s, CASE WHEN l_returnflag <> 'N' THEN l_quantity / 50 END AS wo FROM lineitem) SELECT 's' || s AS parser, round(avg(wo), 6) AS mean FROM l GROUP BY s HAVING count(wo) > 0")
+def mean_available(spark, read):
+    long, _ = _measured(read)
+    return score.mean_available(long.where("name = 'word_accuracy'"), "parser").select("parser", F.round("mean", 6).alias("mean"))
+
+
+@query("SELECT count(DISTINCT doc_id) AS documents, (SELECT count(*) FROM labels) AS labelled, (SELECT count(*) FROM labels) >= 30 AS sufficient FROM documents")
+def evidence_notes(spark, read):
+    runs = read("documents").select(F.col("doc_id").alias("document_id")).join(read("labels").select(F.col("doc_id").alias("document_id"), F.lit(True).alias("labelled")), "document_id", "left")
+    return score.evidence(runs)
+
+
+@query("SELECT n_name, r_name, n_nationkey * 10 + r_regionkey AS pair FROM nation, region")
+def run_pairs(spark, read):
+    return score.run_pairs(read("region"), read("nation")).select("n_name", "r_name", (F.col("n_nationkey") * 10 + F.col("r_regionkey")).alias("pair"))
+
+
+@query("SELECT source AS route_label, count(*) AS n FROM documents GROUP BY source")
+def manifest_routes(spark, read):
+    return score.manifest_routes(read("documents").select(F.col("source").alias("route_label")))
+
+
+# ---- store -----------------------------------------------------------------------------------------------------------------
+
+
+def _archive(read) -> DataFrame:
+    parts = read("part")
+    return parts.select(
+        F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(".pdf")).alias("filename"), F.col("p_name").alias("title"), F.col("p_brand").alias("document_number"), F.col("p_type").alias("document_type"), F.concat(F.lit("Sở "), F.col("p_brand")).alias("issuer"),
+        F.when(F.col("p_size") % 2 == 0, "READY").otherwise("PARSING").alias("status"), F.date_add(F.lit("2020-01-01").cast("date"), F.col("p_size")).alias("issued_date"), F.col("p_retailprice").alias("created_at"),
+    )
+
+
+_ARCHIVE_SQL = "a AS (SELECT p_partkey AS id, p_name || '.pdf' AS filename, p_name AS title, p_brand AS document_number, p_type AS document_type, 'Sở ' || p_brand AS issuer, CASE WHEN p_size % 2 = 0 THEN 'READY' ELSE 'PARSING' END AS status, (DATE '2020-01-01' + p_size) AS issued_date, p_retailprice AS created_at FROM part)"
+
+
+@query(f"WITH {_ARCHIVE_SQL} SELECT id, title, status, created_at FROM a WHERE status = 'READY' ORDER BY created_at DESC, id DESC LIMIT 20 OFFSET 20")
+def archive_list(spark, read):
+    page, _ = store.list_documents(_archive(read), limit=20, offset=20, status="READY")
+    return page.select("id", "title", "status", "created_at")
+
+
+@query(f"WITH {_ARCHIVE_SQL} SELECT id, document_number, issued_date FROM a WHERE (title ILIKE '%1_%' OR document_number ILIKE '%1_%' OR filename ILIKE '%1_%') AND issuer ILIKE '%BRAND#1%' AND issued_date >= DATE '2020-01-10' AND issued_date <= DATE '2020-02-10'")
+def archive_search(spark, read):
+    return store.search(_archive(read), query="1_", issuer="BRAND#1", since="2020-01-10", until="2020-02-10").select("id", "document_number", "issued_date")
+
+
+@query(f"WITH {_ARCHIVE_SQL} SELECT count(*) AS total FROM a WHERE status = 'READY'")
+def archive_count(spark, read):
+    return store.list_documents(_archive(read), status="READY")[1]
+
+
+@query("SELECT user_id, max_by(event_id, (ts, event_id)) AS event_id, max_by(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id")
+def latest_job(spark, read):
+    return store.latest(read("events").select("user_id", "event_id", "event_type", "ts"), "user_id", "ts", "event_id").select("user_id", "event_id", "event_type")
+
+
+@query("SELECT c_custkey AS document_id, coalesce(max(o_shippriority), 0) + 1 AS next_version FROM customer LEFT JOIN (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS o_shippriority FROM orders) ON o_custkey = c_custkey GROUP BY c_custkey")
+def next_version(spark, read):
+    runs = store.versions(read("orders").select(F.col("o_custkey").alias("document_id"), "o_orderkey"), "o_orderkey")
+    out = store.next_version(read("customer").select(F.col("c_custkey").alias("document_id")), runs)
+    return out.select("document_id", F.col("next_version").cast("long").alias("next_version"))
+
+
+@query("SELECT o_orderkey, row_number() OVER w AS version, lead(o_orderkey) OVER w IS NULL AS is_current FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
+def scd2_versions(spark, read):
+    rows = store.versions(read("orders").withColumnRenamed("o_custkey", "document_id"), "o_orderdate", "o_orderkey")
+    return rows.select("o_orderkey", F.col("version").cast("long").alias("version"), "is_current")
+
+
+@query(
+    """WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS v, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) IS NULL AS cur FROM orders),
+    j AS (SELECT user_id, max_by(event_id, (ts, event_id)) AS job_id, max_by(event_type, (ts, event_id)) AS job_status FROM events GROUP BY user_id)
+    SELECT c_custkey AS id, job_id, job_status, v AS version FROM customer LEFT JOIN j ON user_id = c_custkey LEFT JOIN r ON o_custkey = c_custkey AND cur"""
+)
+def status_view(spark, read):
+    """Customers as documents, events as jobs, orders as runs."""
+    runs = store.versions(read("orders").select(F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("id")), "id")
+    jobs = read("events").select(F.col("user_id").alias("document_id"), F.col("event_id").alias("id"), F.col("event_type").alias("status"), F.col("ts").alias("created_at"))
+    rows = store.status_view(read("customer").select(F.col("c_custkey").alias("id")), jobs, runs)
+    return rows.select("id", "job_id", "job_status", F.col("version").cast("long").alias("version"))
+
+
+@query("SELECT doc_id, sha256(text) AS checksum, min(doc_id) OVER (PARTITION BY text) AS first_id, doc_id = min(doc_id) OVER (PARTITION BY text) AS is_new FROM documents")
+def dedup_checksum(spark, read):
+    uploads = read("documents").select(F.col("doc_id").alias("id"), "text")
+    return store.deduplicate(uploads, None, "text", "id").select(F.col("id").alias("doc_id"), "checksum", "first_id", "is_new")
+
+
+@query(
+    """SELECT event_id, CASE WHEN NOT lower(f) LIKE '%.pdf' THEN 'unsupported_extension' WHEN ct NOT IN ('application/pdf', 'application/x-pdf') THEN 'unsupported_content_type' WHEN size = 0 THEN 'empty_file' WHEN size > 300 THEN 'file_too_large' WHEN head <> '%PDF-' THEN 'invalid_pdf' END AS error_code
+    FROM (SELECT event_id, 'f.' || CASE WHEN event_id % 7 = 0 THEN 'doc' ELSE 'PDF' END AS f, CASE WHEN event_id % 5 = 0 THEN 'text/plain' ELSE 'application/pdf' END AS ct, floor(value)::BIGINT AS size, CASE WHEN event_type = 'error' THEN 'PK' ELSE '%PDF-' END AS head FROM events)"""
+)
+def upload_checks(spark, read):
+    """Events as uploads: the first failed check."""
+    e = read("events").select("event_id", "value", "event_type")
+    code = store.upload_error(F.concat(F.lit("f."), F.when(F.col("event_id") % 7 == 0, "doc").otherwise("PDF")), F.when(F.col("event_id") % 5 == 0, "text/plain").otherwise("application/pdf"), F.floor("value"), F.when(F.col("event_type") == "error", "PK").otherwise("%PDF-"), 300)
+    return e.select("event_id", code.alias("error_code"))
+
+
+# ---- queue -----------------------------------------------------------------------------------------------------------------
+
+_STATUS = {"signup": "QUEUED", "view": "LEASED", "click": "RUNNING", "purchase": "SUCCEEDED", "error": "FAILED_RETRYABLE"}
+_STATUS_SQL = "CASE event_type WHEN 'signup' THEN 'QUEUED' WHEN 'view' THEN 'LEASED' WHEN 'click' THEN 'RUNNING' WHEN 'purchase' THEN 'SUCCEEDED' ELSE 'FAILED_RETRYABLE' END"
+
+
+def _jobs(read) -> DataFrame:
+    """Events as jobs: status by type, lease and availability by their number."""
+    e = read("events")
+    status = F.create_map(*(F.lit(x) for p in _STATUS.items() for x in p))[F.col("event_type")]
+    hours = lambda n: F.col("ts") + F.make_dt_interval(hours=(F.col("event_id") % n).cast("int"))
+    return e.select(
+        F.col("event_id").alias("id"), F.col("user_id").alias("document_id"), status.alias("status"), (F.col("event_id") % 3).cast("int").alias("attempt"), F.when(F.col("event_type").isin("view", "click"), F.concat(F.lit("w"), F.col("event_id") % 4)).alias("leased_by"),
+        F.when(F.col("event_id") % 5 != 0, hours(50)).alias("lease_expires_at"), F.when(F.col("event_id") % 6 != 0, hours(30)).alias("available_at"), F.col("ts").alias("created_at"),
+    )
+
+
+_JOBS_SQL = f"""j AS (SELECT event_id AS id, user_id AS document_id, {_STATUS_SQL} AS status, (event_id % 3)::INT AS attempt, CASE WHEN event_id % 5 <> 0 THEN ts + to_hours((event_id % 50)::INT) END AS lease, CASE WHEN event_id % 6 <> 0 THEN ts + to_hours((event_id % 30)::INT) END AS avail, ts AS created_at FROM events),
+now AS (SELECT max(ts) - INTERVAL 5 DAY AS t FROM events)"""
+
+
+def _now(read):
+    """A moment near the end of the table, as a one-row frame."""
+    return read("events").agg((F.max("ts") - F.expr("interval 5 days")).alias("now"))
+
+
+_MOVES_SQL = ", ".join(f"('{a}', '{b}')" for a, bs in queue.JOB_MOVES.items() for b in bs)
+
+
+@query(f"WITH h AS (SELECT event_id, user_id, {_STATUS_SQL} AS status, lag({_STATUS_SQL}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events) SELECT event_id, previous, status FROM h WHERE previous IS NOT NULL AND (previous, status) NOT IN ({_MOVES_SQL})")
+def illegal_transitions(spark, read):
+    rows = queue.illegal_moves(_jobs(read), queue.JOB_MOVES, "document_id", "created_at", "id", same=False)
+    return rows.select(F.col("id").alias("event_id"), "previous", "status")
+
+
+@query(f"WITH {_JOBS_SQL} SELECT count(*) FILTER (status IN ('LEASED', 'RUNNING') AND (lease IS NULL OR lease <= t)) AS released, count(*) FILTER (status = 'QUEUED' OR (status IN ('LEASED', 'RUNNING') AND (lease IS NULL OR lease <= t))) AS queued FROM j, now")
+def lease_expiry_sweep(spark, read):
+    rows = queue.release_expired(_jobs(read).join(F.broadcast(_now(read)), how="cross"), F.col("now"))
+    return rows.agg(F.count_if("released").alias("released"), F.count_if(F.col("status") == "QUEUED").alias("queued"))
+
+
+@query(f"WITH {_JOBS_SQL} SELECT id, document_id FROM j, now WHERE status = 'QUEUED' AND (avail IS NULL OR avail <= t)")
+def runnable_queue(spark, read):
+    return queue.runnable(_jobs(read).join(F.broadcast(_now(read)), how="cross"), F.col("now")).select("id", "document_id")
+
+
+@query(f"WITH {_JOBS_SQL}, r AS (SELECT id, row_number() OVER (ORDER BY created_at, id) AS n FROM j, now WHERE status = 'QUEUED' AND (avail IS NULL OR avail <= t)) SELECT id, ['anna', 'bert', 'carl'][n] AS leased_by, 'LEASED' AS status FROM r WHERE n <= 3")
+def claim_assignment(spark, read):
+    rows = queue.claim(_jobs(read).join(F.broadcast(_now(read)), how="cross"), ["anna", "bert", "carl"], F.col("now"))
+    return rows.select("id", "leased_by", "status")
+
+
+@query(
+    """SELECT event_id AS id, CASE WHEN again THEN 'QUEUED' ELSE 'FAILED_TERMINAL' END AS status, CASE WHEN again THEN 'QUEUED_FOR_PARSE' WHEN code IN ('encrypted_pdf', 'invalid_pdf') THEN 'UNSUPPORTED' ELSE 'PARSE_FAILED' END AS document_status, attempt + 1 AS attempt
+    FROM (SELECT *, code IN ('parse_timeout', 'provider_failure') AND attempt + 1 < 3 AS again FROM (SELECT event_id, (event_id % 3)::INT AS attempt, ['parse_timeout', 'provider_failure', 'encrypted_pdf', 'normalization_failure'][1 + event_id % 4] AS code FROM events WHERE event_type = 'error'))"""
+)
+def job_retry_outcome(spark, read):
+    codes = F.array(*map(F.lit, ["parse_timeout", "provider_failure", "encrypted_pdf", "normalization_failure"]))
+    failed = _jobs(read).where("status = 'FAILED_RETRYABLE'").withColumn("error_code", F.get(codes, (F.col("id") % 4).cast("int")))
+    return queue.after_failure(failed, F.col("created_at")).select("id", "status", "document_status", "attempt")
+
+
+@query(
+    f"""WITH j AS (SELECT o_custkey AS d, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS g, o_orderstatus <> 'O' AS done FROM orders),
+    c AS (SELECT c_custkey AS d, coalesce(max(g) + 1, 0) AS n, min(CASE WHEN NOT done THEN g END) AS live FROM customer LEFT JOIN j ON d = c_custkey GROUP BY c_custkey)
+    SELECT d::VARCHAR AS document_id, d || ':parse:v1' || CASE WHEN coalesce(live, n) = 0 THEN '' ELSE '#' || coalesce(live, n) END AS idempotency_key, live IS NOT NULL AS reused FROM c"""
+)
+def idempotent_enqueue(spark, read):
+    """Customers ask for a job; their orders are earlier jobs with counted keys, open ones alive."""
+    generation = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    doc = F.col("o_custkey").cast("string")
+    jobs = read("orders").withColumn("g", generation).select(doc.alias("document_id"), F.concat(doc, F.lit(":parse:v1"), F.when(F.col("g") > 0, F.concat(F.lit("#"), F.col("g"))).otherwise("")).alias("idempotency_key"), F.when(F.col("o_orderstatus") == "O", "QUEUED").otherwise("FAILED_TERMINAL").alias("status"))
+    wanted = read("customer").select(F.col("c_custkey").cast("string").alias("document_id"), F.lit(1).alias("next_version"))
+    return queue.enqueue(wanted, jobs)
+
+
+@query("SELECT count(*) FILTER (x IS NULL) AS allowed, count(*) FILTER (x = 'document_unsupported') AS unsupported, count(*) FILTER (x = 'document_processing') AS processing FROM (SELECT CASE event_type WHEN 'error' THEN 'document_unsupported' WHEN 'view' THEN 'document_processing' WHEN 'click' THEN 'document_processing' END AS x FROM events)")
+def reprocess_guard(spark, read):
+    status = F.create_map(*(F.lit(x) for p in {"error": "UNSUPPORTED", "view": "PARSING", "click": "UPLOADED", "purchase": "READY", "signup": "PARSE_FAILED"}.items() for x in p))[F.col("event_type")]
+    x = queue.reprocess_error(status)
+    return read("events").agg(F.count_if(x.isNull()).alias("allowed"), F.count_if(x == "document_unsupported").alias("unsupported"), F.count_if(x == "document_processing").alias("processing"))
+
+
+# ---- corrections ---------------------------------------------------------------------------------------------------------
+
+
+def _feedback(read) -> DataFrame:
+    """Events as feedback on a customer's balance field; some without a value, some on an unknown field."""
+    e = read("events")
+    return e.select(
+        F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("document_id"), F.when(F.col("event_type") == "view", "general").otherwise("critical_field_correction").alias("feedback_type"),
+        F.when(F.col("event_id") % 9 == 0, None).when(F.col("event_id") % 4 == 0, "field_other").otherwise("field_balance").alias("field_id"), F.when(F.col("event_id") % 7 == 0, " ").otherwise(F.col("event_id").cast("string")).alias("corrected_value"), F.col("ts").alias("created_at"),
+    )
+
+
+_FEEDBACK_SQL = "f AS (SELECT event_id AS id, user_id::VARCHAR AS d, event_type <> 'view' AS crit, CASE WHEN event_id % 9 = 0 THEN NULL WHEN event_id % 4 = 0 THEN 'field_other' ELSE 'field_balance' END AS field, CASE WHEN event_id % 7 = 0 THEN ' ' ELSE event_id::VARCHAR END AS v, ts FROM events)"
+
+
+def _fields(read) -> DataFrame:
+    return read("customer").select(F.col("c_custkey").cast("string").alias("document_id"), F.lit("field_balance").alias("field_id"), F.lit("unreviewed").alias("review_status"), F.col("c_name").alias("normalized_value"))
+
+
+@query(f"WITH {_FEEDBACK_SQL} SELECT d AS document_id, field AS field_id, max_by(v, (ts, id)) AS corrected_value FROM f WHERE crit AND field IS NOT NULL GROUP BY d, field")
+def latest_correction(spark, read):
+    return store.latest_corrections(_feedback(read))
+
+
+@query(f"WITH {_FEEDBACK_SQL}, l AS (SELECT d, field, max_by(v, (ts, id)) AS v FROM f WHERE crit AND field IS NOT NULL GROUP BY d, field) SELECT c_custkey::VARCHAR AS document_id, c_name AS normalized_value, CASE WHEN v IS NULL THEN 'unreviewed' ELSE 'corrected' END AS review_status, v AS corrected_value FROM customer LEFT JOIN l ON d = c_custkey::VARCHAR AND field = 'field_balance'")
+def overlay(spark, read):
+    return store.overlay(_fields(read), _feedback(read)).select("document_id", "normalized_value", "review_status", "corrected_value")
+
+
+@query(
+    f"""WITH {_FEEDBACK_SQL}, r AS (SELECT DISTINCT o_custkey::VARCHAR AS d FROM orders), e AS (SELECT f.id, CASE WHEN NOT crit THEN NULL WHEN trim(coalesce(field, '')) = '' THEN 'field_id_required' WHEN trim(v) = '' THEN 'corrected_value_required' WHEN r.d IS NULL THEN 'no_current_run' WHEN field <> 'field_balance' OR c_custkey IS NULL THEN 'unknown_field' END AS code FROM f LEFT JOIN r ON r.d = f.d LEFT JOIN customer ON c_custkey::VARCHAR = f.d)
+    SELECT code AS error_code, count(*) AS n FROM e GROUP BY code"""
+)
+def feedback_rejects(spark, read):
+    runs = read("orders").select(F.col("o_custkey").cast("string").alias("document_id"), F.lit(True).alias("is_current"))
+    return store.feedback_errors(_feedback(read), runs, _fields(read)).groupBy("error_code").agg(F.count("*").alias("n"))

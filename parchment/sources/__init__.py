@@ -1,0 +1 @@
+"""Readers: provider output, manifests, truth, originals; and the report sinks."""

@@ -1,0 +1 @@
+"""Incremental forms: de-duplicated uploads, latest corrections, and lease expiry."""

@@ -11,6 +11,7 @@ from ..functions import text as t
 from ..functions import vocabulary as v
 from ..operators import fields as fields_
 from ..operators import metrics, normalize, queue, routing, score, store, structure, validate
+from ..operators.staging import staged
 from . import notices
 
 _QUERIES: dict = {}
@@ -118,7 +119,7 @@ def capability_gap(spark, read):
     """WITH a AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS position, event_type FROM events),
     b AS (SELECT *, event_type = 'purchase' OR event_type NOT IN ('view', 'click') AS stops FROM a),
     c AS (SELECT *, coalesce(max(stops::INT) OVER (PARTITION BY user_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b)
-    SELECT user_id::VARCHAR AS document_id, 'p' || min(position) FILTER (event_type = 'purchase') AS parser, max_by(CASE WHEN event_type = 'purchase' THEN NULL WHEN event_type IN ('view', 'click') THEN 'provider_failure' ELSE 'invalid_pdf' END, position) AS last_error, count(*) AS attempts FROM c WHERE before = 0 GROUP BY user_id"""
+    SELECT user_id::VARCHAR AS document_id, 'p' || min(position) FILTER (event_type = 'purchase') AS parser, max_by(struct_pack(e := CASE WHEN event_type = 'purchase' THEN NULL WHEN event_type IN ('view', 'click') THEN 'provider_failure' ELSE 'invalid_pdf' END), position).e AS last_error, count(*) AS attempts FROM c WHERE before = 0 GROUP BY user_id"""
 )
 def fallback_chain(spark, read):
     """Events of a user as attempts: a purchase succeeds, a view or click may be retried, others end the chain."""
@@ -323,7 +324,7 @@ def row_run_tables(spark, read):
 
 @query(f"{_O} SELECT 'order-' || k AS document_id, 1.0::DOUBLE AS structure_quality_score, false AS requires_user_review, 0::BIGINT AS n_warnings FROM o")
 def structure_quality(spark, read):
-    blocks = _notices(spark, read)
+    blocks = staged(_notices(spark, read), "blocks")
     rows = fields_.quality(blocks, fields_.extract(blocks), structure.hierarchy(structure.structure(blocks)))
     return rows.select("document_id", "structure_quality_score", "requires_user_review", F.size("critical_field_warnings").cast("long").alias("n_warnings"))
 
@@ -399,7 +400,7 @@ def label_confusion(spark, read):
 def critical_accuracy(spark, read):
     """Extracted fields against a truth that disagrees on some documents."""
     blocks = _notices(spark, read)
-    found = fields_.extract(blocks)
+    found = staged(fields_.extract(blocks), "fields")
     key = F.substring("document_id", 7, 20).cast("long")
     flat = fields_.critical(found)
     truth = flat.select("document_id", F.create_map(F.lit("document_number"), F.col("document_number"), F.lit("deadline"), F.when(key % 2 == 0, F.col("deadline")).otherwise("1900-01-01"), F.lit("issuer"), F.when(key % 3 != 0, F.lower("issuer")).otherwise("x")).alias("critical_fields"))
@@ -458,9 +459,10 @@ def dangling_refs(spark, read):
 @query("SELECT 'none' AS rule, 0::BIGINT AS n WHERE false")
 def integrity_violations(spark, read):
     """All rules on the documents made from orders: none is broken."""
-    blocks = _notices(spark, read)
-    found = structure.structure(blocks)
-    parts = [validate.boxes(blocks), validate.pages(notices.pages(blocks), blocks), validate.tables(structure.row_tables(found)), validate.documents(found, structure.hierarchy(found), structure.row_tables(found), fields_.extract(blocks))]
+    blocks = staged(_notices(spark, read), "blocks")
+    found = staged(structure.structure(blocks), "structure")
+    nodes, tables = staged(structure.hierarchy(found), "nodes"), structure.row_tables(found)
+    parts = [validate.boxes(blocks), validate.pages(notices.pages(blocks), blocks), validate.tables(tables), validate.documents(found, nodes, tables, fields_.extract(blocks))]
     return reduce(DataFrame.unionByName, parts).groupBy("rule").agg(F.count("*").alias("n"))
 
 

@@ -14,7 +14,9 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the least label of all neighbours and then that label's own label, so paths halve at least.
     Hubs cost no task more than others: minima are taken from partial minima.
     """
-    both = stage(edges.select("u", "v").union(edges.select("v", "u")).union(edges.select("u", "u")).union(edges.select("v", "v")).distinct(), "edges")
+    u, v = F.col("u"), F.col("v")
+    pairs = F.explode(F.array(*(F.struct(a.alias("u"), b.alias("v")) for a, b in ((u, v), (v, u), (u, u), (v, v)))))
+    both = stage(edges.select(pairs.alias("_e")).select("_e.*").distinct(), "edges")
     labels = stage(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")), "labels")
     total = F.sum(F.col("root").cast("decimal(38,0)"))
     before = labels.agg(total).first()[0]

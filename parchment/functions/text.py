@@ -86,7 +86,7 @@ def first_date(text: Column) -> Column:
 
 def normalize_number(value: Column) -> Column:
     """A document number without any white space."""
-    return F.regexp_replace(value, rf"(?U){SPACE}+", "")
+    return without_space(value)
 
 
 def fold_upper(text: Column) -> Column:
@@ -95,7 +95,11 @@ def fold_upper(text: Column) -> Column:
 
 
 def compact_key(text: Column) -> Column:
-    return F.regexp_replace(fold_upper(text), rf"(?U){SPACE}+", "")
+    return without_space(fold_upper(text))
+
+
+def without_space(text: Column) -> Column:
+    return F.regexp_replace(text, rf"(?U){SPACE}+", "")
 
 
 def python_fold(text: str) -> str:

@@ -285,9 +285,9 @@ _O = "WITH o AS (SELECT o_orderkey AS k, any_value(o_custkey) AS cust, any_value
 
 
 @query(
-    f"""{_O} SELECT 'order-' || k AS document_id, unnest([
+    f"""{_O}, x AS (SELECT 'order-' || k AS document_id, unnest([
       {{'n': 'document_number', 'v': k || '/QĐ-UBND', 'c': 0.94, 's': 'unreviewed'}}, {{'n': 'document_type', 'v': 'quyet_dinh', 'c': 0.9, 's': 'unreviewed'}}, {{'n': 'issuer', 'v': 'ỦY BAN NHÂN DÂN TỈNH', 'c': 0.85, 's': 'unreviewed'}},
-      {{'n': 'issue_date', 'v': strftime(odate, '%Y-%m-%d'), 'c': 0.92, 's': 'unreviewed'}}, {{'n': 'title', 'v': 'giao hàng ' || prio, 'c': 0.9, 's': 'unreviewed'}}, {{'n': 'signer', 'v': 'Nguyễn Văn An', 'c': 0.8, 's': 'unreviewed'}}, {{'n': 'deadline', 'v': strftime(last, '%Y-%m-%d'), 'c': 0.9, 's': 'unreviewed'}}], recursive := true) FROM o""".replace("'n':", "'name':").replace("'v':", "'normalized_value':").replace("'c':", "'confidence':").replace("'s':", "'review_status':")
+      {{'n': 'issue_date', 'v': strftime(odate, '%Y-%m-%d'), 'c': 0.92, 's': 'unreviewed'}}, {{'n': 'title', 'v': 'giao hàng ' || prio, 'c': 0.9, 's': 'unreviewed'}}, {{'n': 'signer', 'v': 'Nguyễn Văn An', 'c': 0.8, 's': 'unreviewed'}}, {{'n': 'deadline', 'v': strftime(last, '%Y-%m-%d'), 'c': 0.9, 's': 'unreviewed'}}], recursive := true) FROM o) SELECT document_id, name, normalized_value, confidence::DOUBLE AS confidence, review_status FROM x""".replace("'n':", "'name':").replace("'v':", "'normalized_value':").replace("'c':", "'confidence':").replace("'s':", "'review_status':")
 )
 def field_extraction(spark, read):
     """The seven fields of every document."""

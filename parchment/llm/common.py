@@ -44,7 +44,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---- batches of texts as flat byte arrays -------------------------------------------------
 
 
-def text_chunks(texts, max_bytes: int = 1 << 23):
+def text_chunks(texts, max_bytes: int = 1 << 20):
     """Slices ``(from, to)`` of a list of byte strings with about ``max_bytes`` each; a longer text stands alone."""
     start = size = 0
     for i, t in enumerate(texts):

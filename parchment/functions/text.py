@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import LongType, StringType
 
 from . import vocabulary as v
 from .regex import find_all, let
@@ -179,6 +180,54 @@ def character_error_rate(reference: Column, produced: Column) -> Column:
     return F.levenshtein(reference, produced) / F.greatest(F.length(reference), F.lit(1))
 
 
+def edit_distance(a: Sequence, b: Sequence) -> int:
+    """Levenshtein distance of two strings or lists; a whole column of the table is one pair of long integers."""
+    lo, hi = 0, 0
+    shorter = min(len(a), len(b))
+    while lo < shorter and a[lo] == b[lo]:
+        lo += 1
+    while hi < shorter - lo and a[-1 - hi] == b[-1 - hi]:
+        hi += 1
+    a, b = a[lo : len(a) - hi], b[lo : len(b) - hi]
+    if len(a) < len(b):
+        a, b = b, a
+    if not len(b):
+        return len(a)
+    places: dict = {}
+    for i, x in enumerate(a):
+        places.setdefault(x, []).append(i)
+    equal: dict = {}
+    full = (1 << len(a)) - 1
+    up, down = full, 0  # bit i: the column's value rises or falls from row i to the next
+    for x in b:
+        if (same := equal.get(x)) is None:
+            own = bytearray(len(a) // 8 + 1)
+            for i in places.get(x, ()):
+                own[i >> 3] |= 1 << (i & 7)
+            if len(equal) * len(own) > 1 << 24:
+                equal.clear()
+            same = equal[x] = int.from_bytes(own, "little")
+        diagonal = ((((same & up) + up) ^ up) | same | down) & full
+        rise = ((down | (full ^ (diagonal | up))) << 1 | 1) & full
+        fall = ((diagonal & up) << 1) & full
+        up = fall | (full ^ (diagonal | rise))
+        down = rise & diagonal
+    return len(b) + up.bit_count() - down.bit_count()
+
+
+@F.pandas_udf(LongType())
+def char_edits(reference: pd.Series, produced: pd.Series) -> pd.Series:
+    """Edit distance of two texts in code points, for texts of any length."""
+    return pd.Series([None if a is None or b is None else edit_distance(a, b) for a, b in zip(reference, produced, strict=True)], dtype="Int64")
+
+
+@F.pandas_udf(LongType())
+def word_edits(reference: pd.Series, produced: pd.Series) -> pd.Series:
+    """Edit distance of two texts in words between blanks."""
+    words = lambda x: [w for w in x.split(" ") if w]
+    return pd.Series([None if a is None or b is None else edit_distance(words(a), words(b)) for a, b in zip(reference, produced, strict=True)], dtype="Int64")
+
+
 def token_distance(reference: Column, produced: Column) -> Column:
     """Edit distance of two arrays of words: one row of the table after another, as an array."""
 

@@ -5,7 +5,9 @@ shingle; a text without words has none and links to nothing). Sets that are equa
 representative. In each run, a representative's set is split recursively on sampled shared tokens (the least shingle
 under the run's next hash function): sets that share it go on together. Groups of at most ``LEAF`` sets are compared
 by brute force on short sketches; larger ones are split on; groups that still hold together after ``DEPTH`` tokens
-share so many that they are taken as candidates whole. Runs repeat as often as the target recall asks.
+share so many that they are taken as candidates whole. Each split loses a pair at the threshold with a chance of one in
+five, so recall falls with the depth: representatives whose groups were split more than twice go through further rounds
+of runs, each with a sketch of its own under fresh hash functions, as many as ``ROUNDS`` says for the depth they reached.
 
 Candidates form components. Within a component, every pair is then compared exactly: its members are dealt into
 blocks of bounded size and each pair of blocks is one group of rows, so neither a large component nor long texts
@@ -37,12 +39,15 @@ COORDINATES = 48
 LEAF = 64
 DEPTH = 10
 RECALL = 0.99999
-#: Sketch similarity from which a pair in a leaf is a candidate: 0.8 less 4.5 standard errors.
-LIKELY = 0.8 - 4.5 * math.sqrt(0.16 / COORDINATES)
+#: Sketch similarity from which a pair in a leaf is a candidate: 0.8 less 5 standard errors.
+LIKELY = 0.8 - 5 * math.sqrt(0.16 / COORDINATES)
 #: Bounds of a block of sets that are compared exactly: sets and shingles.
 BLOCK_SETS, BLOCK_SHINGLES = 512, 1_000_000
-#: Runs until a pair just at the threshold, split twice before its group is a leaf, is met with the target recall.
-RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - (SIMILARITY[0] / SIMILARITY[1]) ** 2))
+#: Runs of a round; they share its sketch, so that a pair at the threshold which two splits part in all of them is rarer
+#: than 1 - RECALL, but no longer after three.
+RUNS = 16
+#: Rounds that take a pair at the threshold to RECALL, by the depth of its leaf. The tests simulate them.
+ROUNDS = {1: 1, 2: 1, 3: 2, 4: 2, 5: 3, 6: 4, 7: 5, 8: 7, 9: 8, 10: 10}
 
 _RANDOM = np.random.default_rng(7)
 _FACTORS = _RANDOM.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -50,6 +55,13 @@ _FACTORS = _RANDOM.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint6
 _PATHS = [[r, *(int(x) for x in _RANDOM.permutation([c for c in range(COORDINATES) if c != r])[: DEPTH - 1])] for r in range(RUNS)]
 
 
+def _factors(number: int) -> np.ndarray:
+    """The hash functions of a round."""
+    if not number:
+        return _FACTORS
+    return np.random.default_rng([7, number]).integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     """For each text, its distinct shingles as sorted 64-bit hashes."""
     data, starts = flatten([t.encode("utf-8", "surrogatepass") for t in texts])
@@ -151,27 +163,83 @@ def _leaf_edges(leaves: DataFrame) -> DataFrame:
     return leaves.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(run, "u long, v long")
 
 
-def candidate_edges(reps: DataFrame) -> DataFrame:
-    """Edges whose components hold all likely similar representatives; ``reps`` has ``rep, sketch`` and is staged."""
-    runs = F.array(*(F.struct(F.lit(r).alias("run"), F.xxhash64(F.lit(r), F.col("sketch")[path[0]]).alias("key")) for r, path in enumerate(_PATHS)))
-    active = reps.select("rep", F.explode(runs).alias("x")).select("rep", "x.run", "x.key")
-    marks = reps.select(F.col("rep").alias("_rep"), F.unhex(F.array_join(F.transform("sketch", lambda x: F.lpad(F.hex(F.shiftright(x, 20).bitwiseAND(255)), 2, "0")), "")).alias("bytes"))
-    edges = None
+def fresh_sketches(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``rep, round, sketch`` for the rounds ``first`` to ``last`` of the representatives in ``wanted``."""
+    schema = pa.schema([("rep", pa.int64()), ("round", pa.int64()), ("sketch", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for lo, hi in text_chunks(texts):
+                sets = shingle_sets(texts[lo:hi])
+                reps, first, last = (batch.column(c).slice(lo, hi - lo).to_numpy() for c in ("rep", "first", "last"))
+                sizes = np.array([len(x) for x in sets])
+                for number in range(first.min(), last.max() + 1):
+                    own = np.flatnonzero((sizes > 0) & (first <= number) & (number <= last))
+                    if not len(own):
+                        continue
+                    flat = np.concatenate([sets[i] for i in own])
+                    at = np.concatenate(([0], np.cumsum(sizes[own])[:-1]))
+                    least = np.stack([np.minimum.reduceat(flat * f, at) for f in _factors(number)], 1).view(np.int64)
+                    rows = pa.FixedSizeListArray.from_arrays(pa.array(least.ravel()), COORDINATES).cast(pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(reps[own]), pa.array(np.full(len(own), number)), rows], schema=schema)
+
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = wanted.join(texts, wanted["rep"] == texts["doc_id"]).select("rep", "first", "last", "text")
+    found = rows.mapInArrow(run, "rep long, round long, sketch array<long>")
+    return found.groupBy("rep", "round").agg(F.first("sketch").alias("sketch"))  # rows of a repeated doc_id
+
+
+def split_edges(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Candidate edges of the rounds in ``reps`` (``rep, round, sketch``, staged), and ``rep, depth`` of each split past the second."""
+    runs = F.array(*(F.struct(F.lit(r).alias("run"), F.xxhash64("round", F.lit(r), F.col("sketch")[path[0]]).alias("key")) for r, path in enumerate(_PATHS)))
+    active = reps.select("rep", "round", F.explode(runs).alias("x")).select("rep", "round", "x.run", "x.key")
+    marks = reps.select(F.col("rep").alias("_rep"), F.col("round").alias("_round"), F.unhex(F.array_join(F.transform("sketch", lambda x: F.lpad(F.hex(F.shiftright(x, 20).bitwiseAND(255)), 2, "0")), "")).alias("bytes"))
+    own = reps.select(F.col("rep").alias("_rep"), F.col("round").alias("_round"), "sketch")
+    same = (F.col("rep") == F.col("_rep")) & (F.col("round") == F.col("_round"))
+    edges = depths = None
     for level in range(1, DEPTH + 1):
         sizes = active.groupBy(F.col("key").alias("_key")).count().where("count > 1")
         sized = stage(active.join(sizes, active["key"] == sizes["_key"]).drop("_key"), f"level{level}")
-        leaves = sized.where(F.col("count") <= LEAF)
-        found = _leaf_edges(leaves.join(marks, leaves["rep"] == marks["_rep"]).select("key", "rep", "bytes"))
+        found = stage(_leaf_edges(sized.where(F.col("count") <= LEAF).join(marks, same).select("key", "rep", "bytes")), "edges")
         edges = found if edges is None else edges.union(found)
         active = sized.where(F.col("count") > LEAF).drop("count")
         if active.isEmpty():
-            return edges
+            return edges, depths
         if level < DEPTH:
+            if level > 1:
+                deeper = active.select("rep", F.lit(level + 1).alias("depth")).distinct()
+                depths = deeper if depths is None else depths.union(deeper)
             chosen = F.array(*(F.lit(path[level]) for path in _PATHS))[F.col("run")]
-            wide = active.join(reps.select(F.col("rep").alias("_rep"), "sketch"), active["rep"] == F.col("_rep"))
-            active = wide.select("rep", "run", F.xxhash64("key", F.get("sketch", chosen)).alias("key"))
+            active = active.join(own, same).select("rep", "round", "run", F.xxhash64("key", F.get("sketch", chosen)).alias("key"))
     firsts = active.groupBy(F.col("key").alias("_key")).agg(F.min("rep").alias("v"))
-    return edges.union(active.join(firsts, active["key"] == firsts["_key"]).select(F.col("rep").alias("u"), "v"))
+    return edges.union(active.join(firsts, active["key"] == firsts["_key"]).select(F.col("rep").alias("u"), "v")), depths
+
+
+def candidate_edges(documents: DataFrame, reps: DataFrame) -> DataFrame:
+    """Edges whose components hold all likely similar representatives; ``reps`` has ``rep, sketch`` and is staged.
+
+    A pair takes part together in the rounds that both of its members want, and is met at the lesser depth of the two.
+    A representative that a further round splits deeper than before gets all rounds there are.
+    """
+    edges, depths = split_edges(reps.select("rep", F.lit(0).cast("long").alias("round"), "sketch"))
+    rounds = F.create_map(*(F.lit(x) for pair in ROUNDS.items() for x in pair))
+    want, most = None, max(ROUNDS.values())
+    while depths is not None:
+        asked = depths.groupBy(F.col("rep").alias("_rep")).agg(F.max(rounds[F.col("depth")]).alias("asked"))
+        if want is None:
+            new = asked.select(F.col("_rep").alias("rep"), F.lit(1).alias("had"), F.col("asked").alias("want"))
+        else:
+            more = F.when(F.col("asked") > F.col("want"), most).otherwise(F.col("want"))
+            new = want.join(asked, want["rep"] == F.col("_rep"), "left").select("rep", F.col("want").alias("had"), more.alias("want"))
+        want = stage(new, "rounds")
+        first = want.where("want > had").agg(F.min("had")).first()[0]
+        if first is None:
+            break
+        wanted = want.where(F.col("want") > first).select("rep", F.lit(first).cast("long").alias("first"), (F.col("want") - 1).cast("long").alias("last"))
+        found, depths = split_edges(stage(fresh_sketches(documents, wanted), "fresh"))
+        edges = edges.union(found)
+    return edges
 
 
 def _compare(sets: list[np.ndarray], sides: np.ndarray, one: bool) -> np.ndarray:
@@ -251,7 +319,7 @@ def similar_classes(documents: DataFrame) -> DataFrame:
     """``doc_id, class_id, n_links`` for every row of ``documents``."""
     every = stage(sketches(documents), "sketches")
     reps = stage(every.groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min_by("sketch", "doc_id").alias("sketch")), "representatives")
-    found = components(candidate_edges(reps))
+    found = components(candidate_edges(documents, reps))
     grouped = found.join(reps.select("rep", "copies", "n"), found["node"] == F.col("rep")).select("rep", "copies", "n", F.col("root").alias("component"))
     sizes = grouped.groupBy(F.col("component").alias("_component")).agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")).where("sets > 1")
     blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("long")

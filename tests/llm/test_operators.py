@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -372,3 +373,44 @@ def test_constant_model(spark):
     rows = spark.createDataFrame([(1.0, 1.0)], "x double, y double")
     assert boosting.fit(rows, ["x"], "y") == [(1.0, (1.0,))]
     assert SPACE
+
+
+# ---- findings of the review ----
+
+
+def test_jaccard_rounds_reach_recall():
+    """Pairs just at the threshold, simulated: their meeting in the runs of a round, to the power of the rounds."""
+    rng = np.random.default_rng(1)
+    alike = np.zeros(1_000_000, np.uint64)
+    for c in range(jaccard.COORDINATES):
+        alike |= (rng.random(len(alike)) < 0.8).astype(np.uint64) << np.uint64(c)
+    unlikely = np.bitwise_count(alike) < jaccard.LIKELY * jaccard.COORDINATES
+    for depth in range(1, jaccard.DEPTH + 1):
+        met = np.zeros(len(alike), bool)
+        for path in jaccard._PATHS:
+            mask = np.uint64(sum(1 << c for c in path[:depth]))
+            met |= (alike & mask) == mask
+        missed = (unlikely | ~met).mean() ** jaccard.ROUNDS[depth]
+        assert missed <= 1 - jaccard.RECALL + (5e-6 if jaccard.ROUNDS[depth] == 1 else 0)  # the simulation's own error
+
+
+def pairs_from_a_pool(rng, n):
+    """Pairs of similarity 0.80 to 0.82, each from its own half of the same 100 passages: every shingle has many owners."""
+    pool = [[f"s{i}w{k}" for k in range(12)] for i in range(100)]
+    texts = []
+    while len(texts) < 2 * n:
+        own = [w for i in sorted(rng.sample(range(100), 50)) for w in pool[i]]
+        other = list(own)
+        for x in rng.sample(range(10, 590, 5), 13):
+            other[x] = f"new{len(texts)}x{x}"
+        a, b = sets_of(" ".join(own)), sets_of(" ".join(other))
+        if 0.8 <= len(a & b) / len(a | b) <= 0.82:
+            texts += [" ".join(own), " ".join(other)]
+    return texts
+
+
+def test_jaccard_crowd_without_bridges(spark):
+    """In a crowd of thousands that no other member bridges, each pair at the threshold is found."""
+    texts = pairs_from_a_pool(random.Random(13), 1200)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.join(documents(spark, texts)).collect()}
+    assert got == {d: (d - d % 2, 1) for d in range(len(texts))}

@@ -9,9 +9,8 @@ whole item, and is reported where enough of the item's tokens agree.
 The table of an item block is broadcast: at most ``BLOCK_TOKENS`` tokens of items at a time, and items beyond that
 go through in further blocks, so its size is bounded whatever the benchmark's. All rows of the text table are read.
 
-Null and empty texts or items hold no tokens and match nothing. Items shorter than the shortest mask are matched
-whole, by one hash of all their tokens, if they have at least ``MIN_TOKENS`` tokens; shorter ones are too common
-to tell. Repeated rows are reported each. Empty tables give an empty result.
+Null and empty texts or items hold no tokens and match nothing. Items of fewer than ``MIN_TOKENS`` tokens are not
+reported. Repeated rows are reported each. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -23,10 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import combine, flatten, mix, powers, prefix_hashes, slice_hashes, text_chunks, word_slices
+from .common import flatten, mix, powers, prefix_hashes, slice_hashes, text_chunks, word_slices
 
-#: Weight 8, spans 11 to 12; together they bear one substitution in any 13 tokens and most pairs.
-MASKS = ("11101100111", "11011010111", "110110101111")
+#: Every overlap that SHARE or STRETCH accepts holds one of these: with one token of five substituted, four equal tokens
+#: stand in a row but at 10, 11 and 15 tokens, where runs of at most three meet around a single substituted one.
+MASKS = ("1111", "1110111", "111011", "110111")
 MIN_TOKENS = 8
 #: An overlap counts with this share of the item's tokens, or with a stretch of so many tokens of that identity.
 SHARE = 0.8
@@ -63,22 +63,14 @@ class _Items:
         self.tokens, self.first = _tokens(texts)
         owner = np.repeat(np.arange(len(ids)), np.diff(self.first))
         place = np.arange(len(self.tokens)) - self.first[:-1][owner] if len(owner) else owner
-        shortest = min(map(len, MASKS))
+        lengths = np.diff(self.first)
         keys, at, kinds = [], [], []
         for kind, mask in enumerate(MASKS):
             seeds = _seeds(self.tokens, mask)
-            whole = owner[: len(seeds)] == owner[len(mask) - 1 :] if len(seeds) else np.zeros(0, bool)
+            whole = (owner[: len(seeds)] == owner[len(mask) - 1 :]) & (lengths[owner[: len(seeds)]] >= MIN_TOKENS) if len(seeds) else np.zeros(0, bool)
             keys.append(seeds[whole])
             at.append(np.flatnonzero(whole))
             kinds.append(np.full(int(whole.sum()), kind))
-        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        lengths = np.diff(self.first)
-        for n in range(MIN_TOKENS, shortest):
-            own = np.flatnonzero(lengths == n)
-            if len(own):
-                found = combine(self.tokens, n)[self.first[own]]
-                order = np.argsort(found, kind="stable")
-                self.short[n] = found[order], self.first[own][order]
         self.tables = []
         for k, a in zip(keys, at, strict=True):
             order = np.argsort(k, kind="stable")
@@ -88,7 +80,6 @@ class _Items:
     def hits(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of token positions: in the texts, and in the items."""
         found = [(_seeds(tokens, mask), table) for mask, table in zip(MASKS, self.tables, strict=True)]
-        found += [(combine(tokens, n), table) for n, table in self.short.items()]
         left, right = [], []
         for seeds, (keys, at) in found:
             if not len(keys) or not len(seeds):
@@ -126,15 +117,19 @@ def _overlaps(texts: list[str], items: _Items) -> Iterator[tuple[int, int, int,
     base = left - items.place[right]  # where the item's first token would stand
     keep = left - first[text] >= 0
     rows = np.unique(np.stack([text, item, base], 1)[keep], axis=0)
+    sizes = np.diff(items.first)[rows[:, 1]]
+    equal_tokens = np.zeros(len(rows), np.int64)
+    for at in range(0, int(sizes.max()) if len(rows) else 0):
+        own = np.flatnonzero((at < sizes) & (rows[:, 2] + at >= first[rows[:, 0]]) & (rows[:, 2] + at < first[rows[:, 0] + 1]))
+        equal_tokens[own] += tokens[rows[own, 2] + at] == items.tokens[items.first[rows[own, 1]] + at]
+    enough = np.minimum(np.ceil(SHARE * sizes - 1e-9), np.ceil(SHARE * STRETCH - 1e-9))
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for t, i, at in rows.tolist():
+    for t, i, at in rows[equal_tokens >= enough].tolist():
         own = items.tokens[items.first[i] : items.first[i + 1]]
         lo, hi = max(at, first[t]), min(at + len(own), first[t + 1])
-        if hi <= lo:
-            continue
         equal = tokens[lo:hi] == own[lo - at : hi - at]
         n, run = int(equal.sum()), _longest_stretch(equal)
-        if n >= SHARE * len(own) or run >= STRETCH:
+        if n >= SHARE * len(own) - 1e-9 or run >= STRETCH:
             best[t, i] = max(best.get((t, i), (0, 0, 0)), (n, run, len(own)))
     for (t, i), (n, run, size) in best.items():
         yield t, int(items.ids[i]), size, n, run

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on small fixtures, with nulls, empties, ties, repeats and clashing columns."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -414,3 +415,29 @@ def test_jaccard_crowd_without_bridges(spark):
     texts = pairs_from_a_pool(random.Random(13), 1200)
     got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.join(documents(spark, texts)).collect()}
     assert got == {d: (d - d % 2, 1) for d in range(len(texts))}
+
+
+def test_decontamination_seeds_hit_all_substitutions():
+    """All ways to substitute as many tokens as an accepted overlap may have, by item length; and no fewer are accepted."""
+    for n in range(decontaminate.MIN_TOKENS, 22):
+        for gone in itertools.combinations(range(n), n // 5):
+            kept = "".join("0" if i in gone else "1" for i in range(n))
+            assert any(all(kept[at + i] == "1" for i, bit in enumerate(m) if bit == "1") for m in decontaminate.MASKS for at in range(n - len(m) + 1)), kept
+
+
+def test_decontamination_with_substitutions(spark):
+    """Items of 8 to 20 tokens with up to a fifth of them substituted, among other words, are found; more are not in items too short for a stretch."""
+    rng = random.Random(14)
+    items = [" ".join(f"i{n}w{k}" for k in range(n)) for n in range(8, 21)]
+    texts, expected = [], []
+    for i, item in enumerate(items):
+        n = len(item.split())
+        for gone in (*(rng.sample(range(n), n // 5) for _ in range(20)), *([k * 4 % n for k in range(n // 5 + 3)],) * (n < decontaminate.STRETCH)):
+            own = item.split()
+            for k in gone:
+                own[k] = "other"
+            if len(set(gone)) <= n // 5:
+                expected.append((len(texts), i))
+            texts.append(f"{words(rng, 9)} {' '.join(own)} {words(rng, 9)}")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.find_overlaps(documents(spark, texts), bench).collect()) == expected

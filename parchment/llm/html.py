@@ -38,6 +38,8 @@ LOOSE = frozenset("p li dt dd tr td th thead tbody tfoot option optgroup h1 h2 h
 RAW = frozenset("script style noscript textarea template iframe title".split())
 DROPPED = frozenset("head nav aside footer form button select dialog menu figure-ad".split())
 MAIN = frozenset("article main".split())
+#: Their class names describe the page or the post, not what to leave out.
+ROOTS = MAIN | {"html", "body"}
 #: Words in class, id or role that mark a container as something other than the article.
 BOILERPLATE = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header login "
@@ -90,11 +92,16 @@ def tokens(html: str) -> Iterator[tuple[str, str, str]]:
         path = f"{path}/{label}" if path else label
 
 
-def is_boilerplate(path: str) -> bool:
+def is_boilerplate(path: str, root: str | None = None) -> bool:
+    """Whether an element or a name on the path marks it as something other than the article.
+
+    Names of html, body, main and article say nothing about their text, nor do those of ``root`` and what holds it.
+    """
+    given = root.count("/") + 1 if root else 0
     inside = False
-    for label in path.split("/"):
+    for i, label in enumerate(path.split("/")):
         name, *words = label.split(".")
-        if name in DROPPED or not BOILERPLATE.isdisjoint(words) or (name == "header" and not inside):
+        if name in DROPPED or (name == "header" and not inside) or (i >= given and name not in ROOTS and not BOILERPLATE.isdisjoint(words)):
             return True
         inside = inside or name in MAIN or "main" in words
     return False
@@ -175,6 +182,17 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
                 frame = {m["path"] for m in r["frame"]}
                 varying = [(s["slot"], s["chars"]) for s in r["slots"] if not s["fixed"] and not is_boilerplate(s["slot"])]
                 roots = {root for slot, _ in varying if (root := main_root(slot)) and root in frame}
+                whole = sum(c for _, c in varying)
+                # Below containers with such names: articles, or else any framed container, if they hold more text.
+                under = [(s["slot"], s["chars"]) for s in r["slots"] if not s["fixed"]]
+                held = [(root, c) for slot, c in under if (root := main_root(slot)) in frame and not is_boilerplate(slot, root)] if not roots else []
+                if sum(c for _, c in held) > whole:
+                    roots = {root for root, _ in held}
+                if not roots and not varying:
+                    free = {p for p in frame if not is_boilerplate(p, p.rpartition("/")[0])}
+                    totals = {p: sum(c for s, c in under if (s == p or s.startswith(p + "/")) and not is_boilerplate(s, p)) for p in free}
+                    best = [p for p, c in totals.items() if c and c >= 0.8 * max(totals.values())]
+                    roots = {max(best, key=lambda p: (p.count("/"), p))} if best else set()
                 if not roots and varying:
                     # No article container: the deepest framed container with most of the varying text.
                     totals = {p: sum(c for s, c in varying if s == p or s.startswith(p + "/")) for p in frame if not is_boilerplate(p)}
@@ -190,22 +208,24 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
 
 def extract_text(html: str, roots: list[str], fixed: list[str]) -> str:
     """The text of a page's slots under ``roots``; of all that is not boilerplate where the page has none of these."""
-    skip, inside, beside = set(fixed), [], []
-    verdicts: dict[str, tuple[bool, bool]] = {}
+    skip, parts = set(fixed), ([], [], [])
+    verdicts: dict[str, int] = {}
     for kind, value, path in tokens(html):
         if kind == "text":
             if path not in verdicts:
-                plain = path not in skip and not is_boilerplate(path)
-                verdicts[path] = plain, plain and any(path == r or path.startswith(r + "/") for r in roots)
-            plain, within = verdicts[path]
-            if within:
-                inside.append(value)
-            elif plain:
-                beside.append(value)
-        elif inside or beside:
-            inside.append(" ")
-            beside.append(" ")
-    return " ".join("".join(inside).split()) or " ".join("".join(beside).split())
+                own = next((r for r in roots if path == r or path.startswith(r + "/")), None)
+                if path in skip:
+                    verdicts[path] = 3
+                elif own and not is_boilerplate(path, own):
+                    verdicts[path] = 0
+                else:
+                    verdicts[path] = 3 if own else 1 if not is_boilerplate(path) else 2 if not is_boilerplate(path, main_root(path)) else 3
+            if verdicts[path] < 3:
+                parts[verdicts[path]].append(value)
+        else:
+            for part in parts:
+                part.append(" ")
+    return next((text for part in parts if (text := " ".join("".join(part).split()))), "")
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:

@@ -441,3 +441,14 @@ def test_decontamination_with_substitutions(spark):
             texts.append(f"{words(rng, 9)} {' '.join(own)} {words(rng, 9)}")
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     assert sorted((r.doc_id, r.item_id) for r in decontaminate.find_overlaps(documents(spark, texts), bench).collect()) == expected
+
+
+@pytest.mark.parametrize(
+    "before,after",
+    [("<body class='right-sidebar'><article>", "</article></body>"), ("<body class='has-sidebar'><main>", "</main></body>"), ("<body><div id='page-with-sidebar'><article>", "</article></div></body>"), ("<body><article class='post comments-open'>", "</article></body>"), ("<body><div id='page-with-sidebar'><div id='x'>", "</div></div></body>")],
+)
+def test_html_names_around_the_article(spark, before, after):
+    rows = [(i, "http://d.example/", f"<html>{before}<p>{'varying words ' * (i + 3)}</p><div class='comments'>reader {i}</div>{after}</html>") for i in range(4)]
+    rows += [(9, "http://e.example/", rows[0][2])]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: ("varying words " * (i % 9 + 3)).strip() for i in (0, 1, 2, 3, 9)}

@@ -32,6 +32,26 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """Write a table bucketed and sorted by ``key`` to the shared folder, so that grouping by it needs no shuffle.
+
+    The shuffle files of the write are of no use later and are removed with it, where Spark has a setting for that.
+    """
+    spark = df.sparkSession
+    table_name = f"{name}_{uuid.uuid4().hex}"
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, None)
+    if before is not None:
+        spark.conf.set(setting, "true")
+    try:
+        writer = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).format("parquet")
+        writer.option("path", f"{shared_dir(spark)}/{table_name}").saveAsTable(table_name)
+    finally:
+        if before is not None:
+            spark.conf.set(setting, before)
+    return spark.table(table_name)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row, however often ``body`` uses it."""
     return F.transform(F.array(value), body)[0]

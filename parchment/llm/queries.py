@@ -82,6 +82,21 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+REPEATS_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT r, doc_id, i, substr(h, 2 * i + 1, 100) AS w FROM d, unnest(range(0, n - 49)) AS u(i) WHERE n >= 50),
+f AS (SELECT w, min(doc_id) AS least FROM w GROUP BY w HAVING min(doc_id) < max(doc_id)),
+s AS (SELECT r, i, max(i) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM w JOIN f USING (w) WHERE doc_id > least),
+g AS (SELECT r, i, sum(CASE WHEN before IS NULL OR before + 50 < i THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS run FROM s),
+x AS (SELECT r, run, min(i) AS lo, max(i) + 50 AS hi FROM g GROUP BY r, run),
+k AS (SELECT r, lo, hi, lag(hi, 1, 0) OVER (PARTITION BY r ORDER BY lo) AS since FROM x),
+p AS (SELECT r, string_agg(substr(h, 2 * since + 1, 2 * (lo - since)), '' ORDER BY lo) AS kept, max(hi) AS since, sum(hi - lo) AS removed, count(*) AS spans FROM k JOIN d USING (r) GROUP BY r)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(since, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN p USING (r)
+"""
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("base", lambda m: m["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -110,4 +125,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard_join": JACCARD_SQL, "op2_quality_rules": QUALITY_SQL}
+    return {"op3_ngram_jaccard_join": JACCARD_SQL, "op5_suffix_array_dedup": REPEATS_SQL, "op2_quality_rules": QUALITY_SQL}

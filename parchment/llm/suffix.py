@@ -6,14 +6,24 @@ smaller doc_id; strings are judged on the input, not on what is left.
 Suffix arrays are built by linear grouping: suffixes are grouped by their Lyndon prefixes, groups are taken in
 descending order, each suffix's previous smaller one is found through the pointers of those before it and moves up
 behind its group, and a last pass emits every group's order from the pointers. Nothing is renamed or sorted recursively.
-
-A suffix array over all texts at once would not fit a task, so the strings are dealt out first. Each window of
-``LENGTH`` bytes belongs to the least hash of its ``GRAM``-byte substrings. Equal windows have equal hashes, so they
-meet; neighbouring windows with the same hash travel as one block of a few dozen bytes. Only hashes of two or more
-documents need be looked at, equal blocks are one class with its smallest owner, and exact copies of a document
-follow from its checksum. Suffix arrays over the classes' bytes then tell each window's smallest owner.
-
-A null text is empty. Rows with the same doc_id do not remove each other's bytes; repeated rows get equal results.
+Groups are intervals of one integer array and are split in place, so a step costs what it moves; many short strings
+advance together, each by its own next group, so that a step is a few array operations.
+
+A suffix array over all texts at once would not fit a task, so the strings are dealt out first:
+
+1. Rows are dealt into chunks of about ``CHUNK`` bytes, once, as a table bucketed by chunk. All later steps read that
+   table without another shuffle and exchange messages by chunk only, which merges what a chunk holds many times.
+2. Each window of ``LENGTH`` bytes belongs to the least hash of its ``GRAM``-byte substrings. Equal windows have equal
+   hashes, and neighbouring windows with the same hash are one block. A chunk sends its distinct hashes, as packed
+   arrays by range of hashes; those that another chunk has too come back.
+3. A chunk sends the bytes of its blocks with shared hashes, each distinct block once with all its places. A hash with
+   more than ``HOT`` blocks is split further: its windows are sent one by one under the hash of the whole window, so
+   that no task holds all surroundings of a common phrase.
+4. Suffix arrays over the blocks of a hash tell each window's smallest owner; what is to be removed goes back to the
+   chunks, which cut their texts.
+
+A null text is empty. A row without doc_id loses nothing and takes nothing. Rows with the same doc_id do not remove
+each other's bytes; repeated rows get equal results. A long text is hashed in overlapping pieces of ``PIECE`` bytes.
 Empty tables give an empty result; extra columns are ignored.
 """
 
@@ -24,92 +34,180 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flatten, prefix_hashes, slice_hashes, stage, text_chunks
+from .common import bucketed, flatten, prefix_hashes, slice_hashes, text_chunks
 
 LENGTH = 50
-GRAM = 20
-#: Bytes of classes that go into one suffix array; a longer single class stands alone.
-BLOCK = 1 << 16
+GRAM = 28
+#: Bytes of text in a chunk, of a long text's piece, and of text behind one range of hashes.
+CHUNK, PIECE, RANGE = 8 << 20, 1 << 20, 32 << 20
+#: Windows in a block; longer runs (of periodic text) are cut.
+CUT = 256
+#: A hash with more blocks is dealt out by whole windows.
+HOT = 32
+#: Symbols that go through linear grouping together.
+BATCH = 3 << 20
+
+
+def suffix_arrays(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The sorted suffixes of many strings of positive symbols, one string after another, as places in ``data``.
+
+    ``starts``: where each string begins (one more for the end). A suffix sorts before those it begins.
+    """
+    total = len(data)
+    starts = np.asarray(starts, dtype=np.int64)
+    sizes = np.diff(starts)
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    # Groups are intervals of the result; a group's name is where it begins.
+    result = np.lexsort((data, owner)).astype(np.int32)
+    place = np.empty(total, np.int32)
+    place[result] = np.arange(total, dtype=np.int32)
+    ordered, by = data[result], owner[result]
+    new = np.ones(total, dtype=bool)
+    new[1:] = (ordered[1:] != ordered[:-1]) | (by[1:] != by[:-1])
+    begins = np.flatnonzero(new)
+    group = np.empty(total, np.int32)
+    size = np.zeros(total + 1, np.int32)
+    size[begins] = np.diff(np.append(begins, total))
+    group[result] = np.repeat(begins, size[begins])
+    previous = np.full(total + 1, -1, np.int32)  # one more, so that index -1 is a cell of its own
+    counts, seen = np.zeros(total, np.int32), np.zeros(total, np.int32)
+    moves = np.zeros(total, dtype=bool)
+    low = starts[:-1].astype(np.int32)
+    below = starts[1:].astype(np.int32)  # everything from here on in a string's interval is done
+    active = np.flatnonzero(sizes)
+    done_from = below.copy()
+    while len(active):
+        first = group[result[below[active] - 1]]
+        k = size[first]
+        done_from[active] = first  # the group at hand counts as done
+        members = result[_spread(first, k)]
+        edge = np.repeat(first, k)
+        at = members - 1
+        at[members == np.repeat(low[active], k)] = -1
+        previous[members] = at
+        open_ = np.arange(len(members))
+        while len(open_):
+            p = previous[members[open_]]
+            open_ = open_[(p >= 0) & (group[p] >= edge[open_])]
+            own = members[open_]
+            previous[own] = previous[previous[own]]
+        # Each previous smaller suffix moves up in its group, the higher the more often this group follows it.
+        p = previous[members]
+        p = p[p >= 0]
+        if len(p):
+            if len(p) == 1:
+                often = np.ones(1, np.int32)
+            else:
+                np.add.at(counts, p, 1)
+                seen[p] = np.arange(len(p), dtype=np.int32)
+                p = p[seen[p] == np.arange(len(p))]
+                often = counts[p]
+                counts[p] = 0
+                key = group[p].astype(np.int64) << 32 | often
+                order = np.argsort(key, kind="stable")
+                p, often = p[order], often[order]
+            g = group[p]
+            change = np.ones(len(p), dtype=bool)
+            change[1:] = g[1:] != g[:-1]
+            lead = np.flatnonzero(change)
+            moved = np.diff(np.append(lead, len(p)))
+            names = g[lead]
+            ends = names + size[names]
+            tail = np.repeat(ends - moved - lead, moved) + np.arange(len(p))  # slots for the moved ones
+            moves[p] = True
+            there = result[tail]
+            stay = there[~moves[there]]
+            if len(stay):
+                was = place[p]
+                free = was[was < np.repeat(ends - moved, moved)]
+                result[free] = stay
+                place[stay] = free
+            moves[p] = False
+            result[tail] = p
+            place[p] = tail
+            size[names] -= moved.astype(np.int32)
+            change[1:] |= often[1:] != often[:-1]
+            lead = np.flatnonzero(change)
+            fresh = tail[lead]
+            of = np.diff(np.append(lead, len(p)))
+            size[fresh] = of
+            group[p] = np.repeat(fresh, of)
+        below[active] = first
+        active = active[first > low[active]]
+    # Ascending: the suffix before each one in order is the next of its group, and so are its previous smaller ones.
+    slot = group.copy()
+    group_slot = np.arange(total + 1, dtype=np.int32)
+    placed = np.zeros(total + 1, dtype=bool)
+    placed[-1] = True
+    result[:] = -1
+
+    def emit(s: np.ndarray) -> None:
+        while len(s):
+            s = s[~placed[s]]
+            if not len(s):
+                return
+            g = slot[s]
+            result[group_slot[g]] = s
+            group_slot[g] += 1
+            placed[s] = True
+            s = previous[s]
 
+    active = np.flatnonzero(sizes)
+    emit((starts[1:][active] - 1).astype(np.int32))
+    step = 0
+    while len(active):
+        s = result[low[active] + step]
+        emit(np.where(s > low[active], s - 1, -1))
+        step += 1
+        active = active[sizes[active] > step]
+    return result
 
-def suffix_array(text: list[int]) -> list[int]:
-    """Starts of all suffixes in order. ``text``: non-negative integers; a suffix sorts before those it begins."""
-    n = len(text)
-    if not n:
-        return []
-    # Groups form a list in ascending order: members, the group below, the group above.
-    by_char: dict[int, list[int]] = {}
-    for i, c in enumerate(text):
-        by_char.setdefault(c, []).append(i)
-    members: list = [by_char[c] for c in sorted(by_char)]
-    below = list(range(-1, len(members) - 1))
-    above = [*range(1, len(members)), -1]
-    group = [0] * n
-    for g, own in enumerate(members):
-        for i in own:
-            group[i] = g
-    done = [False] * len(members)  # also true for the group at hand
-    previous = [-1] * n
-    current = len(members) - 1
-    order = []
-    while current >= 0:
-        done[current] = True
-        own = members[current]
-        order.append(current)
-        counts: dict[int, int] = {}
-        for s in own:  # ascending, so pointers of earlier members are known
-            p = s - 1
-            while p >= 0 and done[group[p]]:
-                p = previous[p]
-            previous[s] = p
-            if p >= 0:
-                counts[p] = counts.get(p, 0) + 1
-        # Suffixes that are followed by this group more often are larger; those that are not stay.
-        moved: dict[tuple[int, int], list[int]] = {}
-        for p in sorted(counts) if len(counts) > 1 else counts:
-            moved.setdefault((group[p], counts[p]), []).append(p)
-        for g, k in sorted(moved, key=lambda x: (x[0], -x[1])):
-            ps = moved[g, k]
-            new = len(members)
-            members.append(ps)
-            done.append(False)
-            # Directly above g: those with smaller counts, inserted later, come to stand below.
-            up = above[g]
-            below.append(g)
-            above.append(up)
-            above[g] = new
-            if up >= 0:
-                below[up] = new
-            for p in ps:
-                group[p] = new
-            if g != new:
-                gone = set(ps)
-                members[g] = [x for x in members[g] if x not in gone] if len(members[g]) > len(ps) else []
-        current = below[current]
-    slot = [0] * len(members)
-    at = 0
-    for g in reversed(order):
-        slot[g] = at
-        at += len(members[g])
-    out = [-1] * n
-    placed = bytearray(n)
-
-    def emit(s: int) -> None:
-        while s >= 0 and not placed[s]:
-            g = group[s]
-            out[slot[g]] = s
-            slot[g] += 1
-            placed[s] = 1
-            s = previous[s]
 
-    emit(n - 1)
-    for i in range(n):
-        emit(out[i] - 1)
-    return out
+def suffix_array(text: list[int]) -> list[int]:
+    """Starts of all suffixes of one string in order. ``text``: non-negative integers."""
+    return suffix_arrays(np.array(text, dtype=np.int64) + 1, np.array([0, len(text)])).tolist()
+
+
+def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges that start at ``first``."""
+    ends = np.cumsum(size)
+    return np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def smallest_owners(parts: list[list[bytes]], owners: list[list[int]]) -> list[list[np.ndarray]]:
+    """For each window of each part of each set, the smallest owner of any part of the set that holds an equal window."""
+    flat = [p for own in parts for p in own]
+    lengths = np.array([len(p) for p in flat])
+    per_set = np.array([len(x) for x in parts])
+    data = np.frombuffer(b"\0".join(flat) + b"\0", dtype=np.uint8).astype(np.int16) + 2
+    ends = np.cumsum(lengths + 1)
+    data[ends - 1] = 1  # closes a part
+    starts = np.concatenate(([0], ends[np.cumsum(per_set) - 1]))
+    order = suffix_arrays(data, starts)
+    part_of = np.repeat(np.arange(len(flat)), lengths + 1)
+    left = ends[part_of[order]] - 1 - order
+    order = order[left >= LENGTH]  # suffixes that are whole windows
+    least = np.array([o for own in owners for o in own], dtype=np.int64)[part_of[order]]
+    new = np.ones(len(order), dtype=bool)
+    set_of = np.repeat(np.arange(len(per_set)), per_set)[part_of[order]]
+    for lo in range(1, len(order), 1 << 16):
+        at = order[lo - 1 : lo + (1 << 16)]
+        windows = data[at[:, None] + np.arange(LENGTH)]
+        new[lo : lo + len(at) - 1] = (windows[1:] != windows[:-1]).any(1)
+    new[1:] |= set_of[1:] != set_of[:-1]
+    runs = np.flatnonzero(new)
+    found = np.empty(len(data), np.int64)
+    if len(runs):
+        found[order] = np.repeat(np.minimum.reduceat(least, runs), np.diff(np.append(runs, len(order))))
+    begins = ends - 1 - lengths
+    answer = iter([found[a : a + n - LENGTH + 1] for a, n in zip(begins.tolist(), lengths.tolist(), strict=True)])
+    return [[next(answer) for _ in own] for own in parts]
+
+
+# ---- blocks of windows ----------------------------------------------------------------------
 
 
 def _sliding(values: np.ndarray, width: int) -> np.ndarray:
@@ -122,124 +220,239 @@ def _sliding(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def blocks(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Runs of neighbouring windows with the same least hash: text, first window, windows, hash."""
-    data, starts = flatten(texts)
-    width = LENGTH - GRAM + 1
-    if len(data) <= LENGTH:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    prefix = prefix_hashes(data)
-    at = np.arange(len(data) - GRAM + 1)
-    least = _sliding(slice_hashes(prefix, at, at + GRAM), width)
-    owner = np.repeat(np.arange(len(texts)), np.diff(starts))[: len(least)]
-    valid = np.arange(len(least)) + LENGTH < starts[owner + 1]  # a 0 byte ends each text
-    change = np.ones(len(least), dtype=bool)
-    change[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1]) | (valid[1:] != valid[:-1])
-    first = np.flatnonzero(change)
-    size = np.diff(np.append(first, len(least)))
-    keep = valid[first]
-    first, size = first[keep], size[keep]
-    return owner[first], first - starts[owner[first]], size, least[first]
-
-
-def _encoded(batch: pa.RecordBatch) -> list[bytes]:
-    return [t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
-
-
-def _hashes(rows: DataFrame) -> DataFrame:
-    """``hash, doc_id, rid, first``: every block of every text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = _encoded(batch)
-            docs, rids = batch.column("doc_id").to_numpy(), batch.column("rid").to_numpy()
-            for lo, hi in text_chunks(texts):
-                owner, first, _, least = blocks(texts[lo:hi])
-                yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), pa.array(docs[lo:hi][owner]), pa.array(rids[lo:hi][owner]), pa.array(first.astype(np.int32))], ["hash", "doc_id", "rid", "first"])
-
-    return rows.select("doc_id", "rid", "text").mapInArrow(run, "hash long, doc_id long, rid long, first int")
-
-
-def _class_blocks(rows: DataFrame) -> DataFrame:
-    """``hash, class, bytes, doc_id, rid, first``: the blocks at ``firsts`` of each text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = _encoded(batch)
-            wanted = batch.column("firsts").to_pylist()
-            docs, rids = batch.column("doc_id").to_numpy(), batch.column("rid").to_numpy()
-            for lo, hi in text_chunks(texts):
-                owner, first, size, least = blocks(texts[lo:hi])
-                pairs = np.concatenate([np.array(w, dtype=np.int64) + (i << 40) for i, w in enumerate(wanted[lo:hi])])
-                own = np.flatnonzero(np.isin(first + (owner << 40), pairs))
-                owner, first, size, least = owner[own], first[own], size[own], least[own]
-                parts = [texts[lo + t][a : a + k + LENGTH - 1] for t, a, k in zip(owner.tolist(), first.tolist(), size.tolist(), strict=True)]
-                names = np.array([xxhash.xxh3_64_intdigest(p) for p in parts], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(least.view(np.int64)), pa.array(names), pa.array(parts, pa.binary()), pa.array(docs[lo:hi][owner]), pa.array(rids[lo:hi][owner]), pa.array(first.astype(np.int32))],
-                    ["hash", "class", "bytes", "doc_id", "rid", "first"],
-                )
-
-    return rows.select("doc_id", "rid", "text", "firsts").mapInArrow(run, "hash long, class long, bytes binary, doc_id long, rid long, first int")
-
-
-def smallest_owners(parts: list[bytes], owners: list[int]) -> list[list[int]]:
-    """For each window of each part, the smallest owner of any part that holds an equal window."""
-    text: list[int] = []
-    where: list[tuple[int, int]] = []
-    for k, p in enumerate(parts):
-        text += [b + 1 for b in p]
-        text.append(0)
-        where += [(k, j) for j in range(len(p) - LENGTH + 1)] + [(-1, 0)] * LENGTH
-    out = [[owner] * max(len(p) - LENGTH + 1, 0) for p, owner in zip(parts, owners, strict=True)]
-    run: list[tuple[int, int]] = []
-    last = None
-
-    def close() -> None:
-        if len(run) > 1:
-            least = min(owners[k] for k, _ in run)
-            for k, j in run:
-                out[k][j] = least
-
-    for s in suffix_array(text):
-        k, j = where[s]
-        if k < 0:
-            continue
-        window = parts[k][j : j + LENGTH]
-        if window != last:
-            close()
-            run, last = [], window
-        run.append((k, j))
-    close()
-    return out
-
-
-def _owners(classes: DataFrame) -> DataFrame:
-    """``hash, class, owners``: for each window of a class, its smallest owner. Classes come sorted by hash."""
+def _runs(texts: list[bytes], ranges: int) -> tuple[np.ndarray, ...]:
+    """Runs of neighbouring windows with the same least hash: text, first window, windows, hash, hash of the run's bytes.
+
+    A hash is cut to 32 bits within its range, one of ``ranges``, which is the upper half of the number.
+    """
+    parts, names, offsets = [], [], []
+    for i, t in enumerate(texts):
+        for at in range(0, max(len(t) - LENGTH + 1, 0), PIECE):
+            parts.append(t[at : at + PIECE + LENGTH - 1])
+            names.append(i)
+            offsets.append(at)
+    names, offsets = np.array(names, dtype=np.int64), np.array(offsets, dtype=np.int64)
+    found = []
+    for lo, hi in text_chunks(parts, PIECE):
+        data, starts = flatten(parts[lo:hi])
+        prefix = prefix_hashes(data)
+        at = np.arange(len(data) - GRAM + 1)
+        least = _sliding(slice_hashes(prefix, at, at + GRAM), LENGTH - GRAM + 1)
+        owner = np.repeat(np.arange(hi - lo), np.diff(starts))[: len(least)]
+        valid = np.arange(len(least)) + LENGTH < starts[owner + 1]  # a 0 byte ends each text
+        change = np.ones(len(least), dtype=bool)
+        change[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1]) | (valid[1:] != valid[:-1])
+        first = np.flatnonzero(change)
+        size = np.diff(np.append(first, len(least)))
+        keep = valid[first]
+        first, size = first[keep], size[keep]
+        part, hashes = owner[first] + lo, least[first]
+        short = ((hashes >> np.uint64(32)) % np.uint64(ranges)) << np.uint64(32) | (hashes & np.uint64(0xFFFFFFFF))
+        own = slice_hashes(prefix, first, first + size + LENGTH - 1)
+        found.append((names[part], first - starts[part - lo] + offsets[part], size, short.astype(np.int64), own))
+    if not found:
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _rows(chunk: pa.Table) -> list[tuple[int | None, bytes]]:
+    """The rows of a chunk as doc_id and bytes, in an order that every step sees alike; without doc_id last."""
+    rows = zip(chunk.column("doc_id").to_pylist(), chunk.column("text").to_pylist(), strict=True)
+    return sorted(((d, (t or "").encode("utf-8", "surrogatepass")) for d, t in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+
+
+def _owned(rows: list[tuple[int | None, bytes]]) -> tuple[np.ndarray, list[bytes]]:
+    own = [r for r in rows if r[0] is not None]
+    return np.array([d for d, _ in own], dtype=np.int64), [t for _, t in own]
+
+
+def _messages(texts: DataFrame, ranges: int) -> DataFrame:
+    """``range, chunk, hashes, blocks``: a chunk's distinct hashes of a range (packed), and how many blocks each has."""
+
+    def run(chunk: pa.Table) -> pa.Table:
+        _, own = _owned(_rows(chunk))
+        _, _, _, hashes, names = _runs(own, ranges)
+        order = np.lexsort((names, hashes))
+        hashes, names = hashes[order], names[order]
+        new = np.ones(len(hashes), dtype=bool)
+        new[1:] = hashes[1:] != hashes[:-1]
+        other = new.copy()
+        other[1:] |= names[1:] != names[:-1]
+        lead = np.flatnonzero(new)
+        blocks = np.minimum(np.add.reduceat(other, lead, dtype=np.int64), 255).astype(np.uint8) if len(lead) else np.zeros(0, np.uint8)
+        hashes = hashes[lead]
+        which = hashes >> 32
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(which)) + 1, [len(which)])) if len(which) else np.zeros(1, np.int64)
+        spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        short = hashes.astype(np.uint32)
+        return pa.table(
+            {
+                "range": pa.array([int(which[a]) for a, _ in spans], pa.int64()),
+                "chunk": pa.array([chunk.column("chunk")[0].as_py()] * len(spans), pa.int64()),
+                "hashes": pa.array([short[a:b].tobytes() for a, b in spans], pa.binary()),
+                "blocks": pa.array([blocks[a:b].tobytes() for a, b in spans], pa.binary()),
+            }
+        )
+
+    return texts.groupBy("chunk").applyInArrow(run, "range long, chunk long, hashes binary, blocks binary")
+
+
+def _shared(messages: DataFrame) -> DataFrame:
+    """``chunk, range, hashes, hot``: for each chunk, its hashes that another chunk has too, and which are hot."""
+
+    def run(part: pa.Table) -> pa.Table:
+        packed = [np.frombuffer(x, np.uint32) for x in part.column("hashes").to_pylist()]
+        hashes = np.concatenate(packed)
+        blocks = np.concatenate([np.frombuffer(x, np.uint8) for x in part.column("blocks").to_pylist()])
+        _, which, chunks = np.unique(hashes, return_inverse=True, return_counts=True)
+        hot = (np.bincount(which, weights=blocks) > HOT)[which].astype(np.uint8)
+        several = (chunks > 1)[which]
+        ends = np.cumsum([len(x) for x in packed])
+        spans = [(e - len(x), e) for x, e in zip(packed, ends.tolist(), strict=True)]
+        return pa.table(
+            {
+                "chunk": part.column("chunk"),
+                "range": part.column("range"),
+                "hashes": pa.array([hashes[a:b][several[a:b]].tobytes() for a, b in spans], pa.binary()),
+                "hot": pa.array([hot[a:b][several[a:b]].tobytes() for a, b in spans], pa.binary()),
+            }
+        )
+
+    return messages.groupBy("range").applyInArrow(run, "chunk long, range long, hashes binary, hot binary").where("hashes <> X''")
+
+
+def _blocks(texts: DataFrame, shared: DataFrame, ranges: int) -> DataFrame:
+    """``key, chunk, bytes, owner, places, docs``: each distinct block with a shared hash once per chunk.
+
+    ``places`` holds text and first window of each occurrence (packed), ``docs`` their documents, ``owner`` the smallest.
+    """
+
+    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        empty = {"key": [], "chunk": [], "bytes": [], "owner": [], "places": [], "docs": []}
+        kinds = {"key": pa.int64(), "chunk": pa.int64(), "bytes": pa.binary(), "owner": pa.int64(), "places": pa.binary(), "docs": pa.binary()}
+        docs, own = _owned(_rows(chunk)) if chunk.num_rows else (np.zeros(0, np.int64), [])
+        text, first, size, hashes, names = _runs(own, ranges)
+        if not len(text):
+            return pa.table({c: pa.array(v, kinds[c]) for c, v in empty.items()})
+        spread = [(np.frombuffer(h, np.uint32).astype(np.int64) | r << 32, np.frombuffer(x, np.uint8)) for r, h, x in zip(*(answers.column(c).to_pylist() for c in ("range", "hashes", "hot")), strict=True)]
+        known = np.concatenate([x for x, _ in spread]) if spread else np.zeros(0, np.int64)
+        hot_known = np.concatenate([x for _, x in spread]) if spread else np.zeros(0, np.uint8)
+        order = np.argsort(known)
+        known, hot_known = known[order], hot_known[order]
+        # Shared within the chunk, or with another one.
+        order = np.lexsort((names, hashes))
+        text, first, size, hashes, names = (x[order] for x in (text, first, size, hashes, names))
+        new = np.ones(len(hashes), dtype=bool)
+        new[1:] = hashes[1:] != hashes[:-1]
+        other = new.copy()
+        other[1:] |= names[1:] != names[:-1]
+        lead = np.flatnonzero(new)
+        uniq, which = hashes[lead], np.cumsum(new) - 1
+        wanted = np.minimum.reduceat(docs[text], lead) < np.maximum.reduceat(docs[text], lead)
+        hot = np.add.reduceat(other, lead, dtype=np.int64) > HOT
+        if len(known):
+            at = np.minimum(np.searchsorted(known, uniq), len(known) - 1)
+            found = known[at] == uniq
+            wanted |= found
+            hot = np.where(found, hot_known[at] > 0, hot)
+        pick = wanted[which]
+        text, first, size, hashes, hot = text[pick], first[pick], size[pick], hashes[pick], hot[which][pick]
+        # Hot ones become single windows, long ones are cut.
+        step = np.where(hot, 1, CUT)
+        pieces = -(-size // step)
+        row = np.repeat(np.arange(len(text)), pieces)
+        inner = _spread(np.zeros(len(text), np.int64), pieces) * step[row]
+        text, first, size, hashes, hot = text[row], first[row] + inner, np.minimum(size[row] - inner, step[row]), hashes[row], hot[row]
+        groups: dict[tuple[int, bytes], list[int]] = {}
+        for i, (t, a, n, h, x) in enumerate(zip(text.tolist(), first.tolist(), size.tolist(), hashes.tolist(), hot.tolist(), strict=True)):
+            b = own[t][a : a + n + LENGTH - 1]
+            groups.setdefault((int.from_bytes(hashlib.blake2b(b, digest_size=8).digest(), "little", signed=True) if x else h, b), []).append(i)
+        packed = (text << 40) | first
+        order = np.array([i for at in groups.values() for i in at], dtype=np.int64)
+        ends = np.cumsum([len(at) for at in groups.values()]).tolist()
+        places, of = packed[order], docs[text[order]]
+        spans = list(zip([0, *ends[:-1]], ends, strict=True))
+        columns = {
+            "key": [k for k, _ in groups],
+            "chunk": [chunk.column("chunk")[0].as_py()] * len(groups),
+            "bytes": [b for _, b in groups],
+            "owner": np.minimum.reduceat(of, [a for a, _ in spans]) if spans else [],
+            "places": [places[a:b].tobytes() for a, b in spans],
+            "docs": [of[a:b].tobytes() for a, b in spans],
+        }
+        return pa.table({c: pa.array(v, kinds[c]) for c, v in columns.items()})
+
+    ddl = "key long, chunk long, bytes binary, owner long, places binary, docs binary"
+    return texts.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(run, ddl)
+
+
+def _removals(blocks: DataFrame) -> DataFrame:
+    """``chunk, spans``: removed windows as text, first window and windows (packed), from all blocks of each key."""
+
+    def solved(held: list[tuple]) -> pa.RecordBatch:
+        sets: list[tuple[list[bytes], list[int]]] = []
+        classes: dict[bytes, int] = {}
+        where: list[tuple[int, int]] = []
+        last = object()
+        for key, _, b, owner, _, _ in held:
+            if key != last:
+                last, classes = key, {}
+                sets.append(([], []))
+            at = classes.setdefault(b, len(classes))
+            if at == len(sets[-1][0]):
+                sets[-1][0].append(b)
+                sets[-1][1].append(owner)
+            else:
+                sets[-1][1][at] = min(sets[-1][1][at], owner)
+            where.append((len(sets) - 1, at))
+        several = [i for i, (parts, _) in enumerate(sets) if len(parts) > 1]  # one string alone needs no order
+        least = [None] * len(sets)
+        lo = 0
+        while lo < len(several):
+            hi, n = lo, 0
+            while hi < len(several) and (n < BATCH or hi == lo):
+                n += sum(map(len, sets[several[hi]][0]))
+                hi += 1
+            for i, own in zip(several[lo:hi], smallest_owners([sets[i][0] for i in several[lo:hi]], [sets[i][1] for i in several[lo:hi]]), strict=True):
+                least[i] = own
+            lo = hi
+        out: list[list[np.ndarray]] = [[], [], [], []]
+        for (k, at), (_, chunk, b, owner, places, docs) in zip(where, held, strict=True):
+            n = len(b) - LENGTH + 1
+            places, docs = np.frombuffer(places, np.int64), np.frombuffer(docs, np.int64)
+            if len(docs) > 1:
+                whole = places[docs > owner]
+                for x, value in zip(out, (np.full(len(whole), chunk), whole, np.zeros(len(whole), np.int64), np.full(len(whole), n)), strict=True):
+                    x.append(value)
+            if least[k] is None:
+                if sets[k][1][at] >= owner:
+                    continue
+                first, size = np.zeros(1, np.int64), np.array([n])
+            else:
+                smaller = np.concatenate(([False], least[k][at] < owner, [False]))
+                edges = np.flatnonzero(smaller[1:] != smaller[:-1])
+                if not len(edges):
+                    continue
+                first, size = edges[::2], edges[1::2] - edges[::2]
+            own = places[docs == owner] if len(docs) > 1 else places
+            m, k = len(own), len(first)
+            for x, value in zip(out, (np.full(m * k, chunk), np.repeat(own, k), np.tile(first, m), np.tile(size, m)), strict=True):
+                x.append(value)
+        if not out[0]:
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.binary())], ["chunk", "spans"])
+        chunk, place, first, size = map(np.concatenate, out)
+        order = np.argsort(chunk, kind="stable")
+        chunk, packed = chunk[order], np.stack([place >> 40, (place & ((1 << 40) - 1)) + first, size], 1)[order]
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(chunk)) + 1, [len(chunk)])) if len(chunk) else np.zeros(1, np.int64)
+        spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        return pa.RecordBatch.from_arrays([pa.array([int(chunk[a]) for a, _ in spans], pa.int64()), pa.array([packed[a:b].tobytes() for a, b in spans], pa.binary())], ["chunk", "spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-
-        def solved(rows: list[tuple]) -> pa.RecordBatch:
-            found: list = [None] * len(rows)
-            several, lo = [], 0
-            while lo < len(rows):  # a hash with one class needs no order
-                hi = lo + 1
-                while hi < len(rows) and rows[hi][0] == rows[lo][0]:
-                    hi += 1
-                if hi - lo == 1:
-                    found[lo] = [rows[lo][3]] * (len(rows[lo][2]) - LENGTH + 1)
-                else:
-                    several += range(lo, hi)
-                lo = hi
-            for i, own in zip(several, smallest_owners([rows[i][2] for i in several], [rows[i][3] for i in several]), strict=True):
-                found[i] = own
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["hash", "class", "owners"])
-
         size = 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("hash", "class", "bytes", "owner")), strict=True):
-                if size >= BLOCK and row[0] != held[-1][0]:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "chunk", "bytes", "owner", "places", "docs")), strict=True):
+                if size >= 2 * BATCH and row[0] != held[-1][0]:
                     yield solved(held)
                     held, size = [], 0
                 held.append(row)
@@ -247,63 +460,41 @@ def _owners(classes: DataFrame) -> DataFrame:
         if held:
             yield solved(held)
 
-    return classes.repartition("hash").sortWithinPartitions("hash").mapInArrow(run, "hash long, class long, owners array<long>")
-
-
-def _ranges(rows: DataFrame) -> DataFrame:
-    """``rid, lo, hi``: removed byte ranges of each block."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple[int, int, int]] = []
-            for rid, doc, first, owners in zip(*(batch.column(c).to_pylist() for c in ("rid", "doc_id", "first", "owners")), strict=True):
-                start = None
-                for j, o in enumerate([*owners, doc]):
-                    if o < doc and start is None:
-                        start = j
-                    elif o >= doc and start is not None:
-                        out.append((rid, first + start, first + j - 1 + LENGTH))
-                        start = None
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], ["rid", "lo", "hi"])
+    return blocks.repartition("key").sortWithinPartitions("key").mapInArrow(run, "chunk long, spans binary")
+
+
+def _cut(texts: DataFrame, removals: DataFrame) -> DataFrame:
+    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = _rows(chunk) if chunk.num_rows else []
+        spans = np.concatenate([np.zeros((0, 3), np.int64), *(np.frombuffer(x, np.int64).reshape(-1, 3) for x in answers.column("spans").to_pylist())])
+        spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
+        bounds = np.searchsorted(spans[:, 0], np.arange(len(rows) + 1))
+        out = []
+        for i, (doc, data) in enumerate(rows):
+            merged: list[list[int]] = []
+            for _, first, n in spans[bounds[i] : bounds[i + 1]].tolist():
+                if merged and first <= merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], first + n - 1 + LENGTH)
+                else:
+                    merged.append([first, first + n - 1 + LENGTH])
+            kept, at = [], 0
+            for lo, hi in merged:
+                kept.append(data[at:lo])
+                at = hi
+            rest = b"".join([*kept, data[at:]])
+            out.append((doc, len(data), len(data) - len(rest), len(merged), hashlib.sha256(rest).hexdigest(), rest))
+        kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
+        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return rows.select("rid", "doc_id", "first", "owners").mapInArrow(run, "rid long, lo long, hi long")
+    ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    return texts.groupBy("chunk").cogroup(removals.groupBy("chunk")).applyInArrow(run, ddl)
 
 
 def remove_repeats(documents: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` for every row; ``kept`` holds the remaining bytes."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("sum", F.sha2("text", 256)).withColumn("rid", F.xxhash64("doc_id", "sum"))
-    firsts = rows.groupBy("sum").agg(F.min("doc_id").alias("_first")).select(F.col("sum").alias("_sum"), "_first")
-    rows = stage(rows.join(firsts, rows["sum"] == firsts["_sum"]).select("doc_id", "rid", "text", (F.col("doc_id") > F.col("_first")).alias("copy")), "rows")
-    own = rows.where(~F.col("copy") & (F.octet_length("text") >= LENGTH))
-    found = stage(_hashes(own), "hashes")
-    shared = found.groupBy(F.col("hash").alias("_hash")).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("_hash")
-    marked = found.join(shared, found["hash"] == shared["_hash"], "left_semi").groupBy(F.col("rid").alias("_rid")).agg(F.collect_list("first").alias("firsts"))
-    occurring = stage(_class_blocks(own.join(marked, own["rid"] == marked["_rid"])), "blocks")
-    classes = occurring.groupBy("hash", "class").agg(F.min("bytes").alias("bytes"), F.min("doc_id").alias("owner"))
-    owners = _owners(classes).select(F.col("hash").alias("_hash"), F.col("class").alias("_class"), "owners")
-    ranges = _ranges(occurring.drop("bytes").join(owners, (F.col("hash") == F.col("_hash")) & (F.col("class") == F.col("_class"))))
-    gathered = ranges.groupBy(F.col("rid").alias("_rid")).agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("ranges"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for doc, text, copy, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "copy", "ranges")), strict=True):
-                data = text.encode("utf-8", "surrogatepass")
-                merged: list[list[int]] = [[0, len(data)]] if copy and len(data) >= LENGTH else []
-                for r in spans or () if not merged else ():
-                    if merged and r["lo"] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], r["hi"])
-                    else:
-                        merged.append([r["lo"], r["hi"]])
-                kept, at = [], 0
-                for lo, hi in merged:
-                    kept.append(data[at:lo])
-                    at = hi
-                rest = b"".join([*kept, data[at:]])
-                out.append((doc, len(data), len(data) - len(rest), len(merged), hashlib.sha256(rest).hexdigest(), rest))
-            kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    ready = rows.join(gathered, rows["rid"] == gathered["_rid"], "left").select("doc_id", "text", "copy", "ranges")
-    return ready.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks, ranges = max(1, size // CHUNK), min(max(1, size // RANGE), 1 << 31)
+    number = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(chunks))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), number.alias("chunk"))
+    texts = bucketed(texts, "chunk", max(1, -(-chunks // 2)), "chunks")
+    return _cut(texts, _removals(_blocks(texts, _shared(_messages(texts, ranges)), ranges)))

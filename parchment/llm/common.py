@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a staged table of a few numbers a row is broadcast.
+SMALL_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A staged table, marked for broadcast if it has at most SMALL_ROWS rows; else the join decides by itself."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
 def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
     """Write a table bucketed and sorted by ``key`` to the shared folder, so that grouping by it needs no shuffle.
 
@@ -61,6 +72,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """Sorted batches, cut anew so that rows with equal ``names`` stay together."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([np.asarray(batch.column(c)) for c in names], 1)
+        changes = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+        if held:
+            last = held[-1].slice(held[-1].num_rows - 1)
+            if [last.column(c)[0].as_py() for c in names] != keys[0].tolist():
+                yield pa.Table.from_batches(held)
+                held = []
+        if len(changes):
+            cut = int(changes[-1])
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = [batch.slice(cut)]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 # ---- batches of texts as flat byte arrays -------------------------------------------------
 
 
@@ -124,17 +158,18 @@ def slice_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
 
 
 _IS_SPACE = np.zeros(256, dtype=bool)
-_IS_SPACE[[0, 9, 10, 11, 12, 13, 32]] = True
+_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def word_slices(data: np.ndarray, starts: np.ndarray, separators: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs without separator bytes, and for each text the index of its first run.
 
-    A 0 byte ends each text (see flatten), so runs never cross texts. A NUL inside a text acts as white space.
+    The 0 byte that ends each text (see flatten) is a separator, so runs never cross texts.
     """
     inside = np.empty(len(data) + 1, dtype=bool)
     inside[0] = False
     np.logical_not(separators[data], out=inside[1:])
+    inside[starts[1:]] = False  # the byte before a start, in an array that begins one earlier
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     begin, end = edges[0::2], edges[1::2]
     return begin, end, np.searchsorted(begin, starts)

@@ -16,9 +16,9 @@ A suffix array over all texts at once would not fit a task, so the strings are d
 2. Each window of ``LENGTH`` bytes belongs to the least hash of its ``GRAM``-byte substrings. Equal windows have equal
    hashes, and neighbouring windows with the same hash are one block. A chunk sends its distinct hashes, as packed
    arrays by range of hashes; those that another chunk has too come back.
-3. A chunk sends the bytes of its blocks with shared hashes, each distinct block once with all its places. A hash with
-   more than ``HOT`` blocks is split further: its windows are sent one by one under the hash of the whole window, so
-   that no task holds all surroundings of a common phrase.
+3. A chunk sends the bytes of its blocks with shared hashes, packed likewise, each distinct block once with its places. A hash whose
+   blocks are too many and too different (``HOT``, ``VARIANTS``) is split further: its windows are sent one by one under
+   the hash of the whole window, so that no task holds all surroundings of a common phrase.
 4. Suffix arrays over the blocks of a hash tell each window's smallest owner; what is to be removed goes back to the
    chunks, which cut their texts.
 
@@ -34,19 +34,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, flatten, prefix_hashes, slice_hashes, text_chunks
+from .common import BYTE_VALUES, bucketed, flatten, mix, powers, prefix_hashes, slice_hashes, text_chunks
 
 LENGTH = 50
-GRAM = 28
+GRAM = 24
 #: Bytes of text in a chunk, of a long text's piece, and of text behind one range of hashes.
 CHUNK, PIECE, RANGE = 8 << 20, 1 << 20, 32 << 20
 #: Windows in a block; longer runs (of periodic text) are cut.
 CUT = 256
-#: A hash with more blocks is dealt out by whole windows.
-HOT = 32
+#: A hash is dealt out by whole windows if one chunk has more than VARIANTS blocks of it, or all chunks together have
+#: more than HOT with more than VARIANTS different checksums of a byte.
+HOT, VARIANTS = 256, 64
 #: Symbols that go through linear grouping together.
 BATCH = 3 << 20
 
@@ -177,34 +179,33 @@ def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def smallest_owners(parts: list[list[bytes]], owners: list[list[int]]) -> list[list[np.ndarray]]:
-    """For each window of each part of each set, the smallest owner of any part of the set that holds an equal window."""
-    flat = [p for own in parts for p in own]
-    lengths = np.array([len(p) for p in flat])
-    per_set = np.array([len(x) for x in parts])
-    data = np.frombuffer(b"\0".join(flat) + b"\0", dtype=np.uint8).astype(np.int16) + 2
+def least_owners(flat: np.ndarray, lengths: np.ndarray, sets: np.ndarray, owners: np.ndarray) -> np.ndarray:
+    """For each window of each part, one after another, the smallest owner of any part of its set with an equal window.
+
+    ``flat`` holds the bytes of all parts; parts of a set stand together.
+    """
     ends = np.cumsum(lengths + 1)
-    data[ends - 1] = 1  # closes a part
-    starts = np.concatenate(([0], ends[np.cumsum(per_set) - 1]))
+    part_of = np.repeat(np.arange(len(lengths)), lengths + 1)
+    data = np.ones(len(part_of), dtype=np.int16)  # 1 closes a part
+    inner = np.ones(len(data), dtype=bool)
+    inner[ends - 1] = False
+    data[inner] = flat.astype(np.int16) + 2
+    lead = np.flatnonzero(np.concatenate(([True], sets[1:] != sets[:-1])))
+    starts = np.concatenate((ends[lead] - lengths[lead] - 1, ends[-1:]))
     order = suffix_arrays(data, starts)
-    part_of = np.repeat(np.arange(len(flat)), lengths + 1)
-    left = ends[part_of[order]] - 1 - order
-    order = order[left >= LENGTH]  # suffixes that are whole windows
-    least = np.array([o for own in owners for o in own], dtype=np.int64)[part_of[order]]
+    order = order[ends[part_of[order]] - 1 - order >= LENGTH]  # suffixes that are whole windows
     new = np.ones(len(order), dtype=bool)
-    set_of = np.repeat(np.arange(len(per_set)), per_set)[part_of[order]]
     for lo in range(1, len(order), 1 << 16):
         at = order[lo - 1 : lo + (1 << 16)]
         windows = data[at[:, None] + np.arange(LENGTH)]
         new[lo : lo + len(at) - 1] = (windows[1:] != windows[:-1]).any(1)
-    new[1:] |= set_of[1:] != set_of[:-1]
+    new[1:] |= np.diff(sets[part_of[order]]) != 0
     runs = np.flatnonzero(new)
     found = np.empty(len(data), np.int64)
-    if len(runs):
-        found[order] = np.repeat(np.minimum.reduceat(least, runs), np.diff(np.append(runs, len(order))))
-    begins = ends - 1 - lengths
-    answer = iter([found[a : a + n - LENGTH + 1] for a, n in zip(begins.tolist(), lengths.tolist(), strict=True)])
-    return [[next(answer) for _ in own] for own in parts]
+    found[order] = np.repeat(np.minimum.reduceat(owners[part_of[order]], runs), np.diff(np.append(runs, len(order))))
+    whole = np.zeros(len(data), dtype=bool)
+    whole[order] = True
+    return found[whole]
 
 
 # ---- blocks of windows ----------------------------------------------------------------------
@@ -247,14 +248,20 @@ def _runs(texts: list[bytes], ranges: int) -> tuple[np.ndarray, ...]:
         keep = valid[first]
         first, size = first[keep], size[keep]
         part, hashes = owner[first] + lo, least[first]
-        short = ((hashes >> np.uint64(32)) % np.uint64(ranges)) << np.uint64(32) | (hashes & np.uint64(0xFFFFFFFF))
         own = slice_hashes(prefix, first, first + size + LENGTH - 1)
-        found.append((names[part], first - starts[part - lo] + offsets[part], size, short.astype(np.int64), own))
+        found.append((names[part], first - starts[part - lo] + offsets[part], size, _short(hashes, ranges), own))
     if not found:
         return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def _packed(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Consecutive runs of ``sizes`` values as one binary each."""
+    offsets = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes * values.itemsize, out=offsets[1:])
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
 def _rows(chunk: pa.Table) -> list[tuple[int | None, bytes]]:
     """The rows of a chunk as doc_id and bytes, in an order that every step sees alike; without doc_id last."""
     rows = zip(chunk.column("doc_id").to_pylist(), chunk.column("text").to_pylist(), strict=True)
@@ -267,7 +274,10 @@ def _owned(rows: list[tuple[int | None, bytes]]) -> tuple[np.ndarray, list[bytes
 
 
 def _messages(texts: DataFrame, ranges: int) -> DataFrame:
-    """``range, chunk, hashes, blocks``: a chunk's distinct hashes of a range (packed), and how many blocks each has."""
+    """``range, chunk, hashes, blocks, marks``: a chunk's distinct hashes of a range (packed).
+
+    ``blocks`` says how many blocks each has in the chunk (255 at most), ``marks`` has a checksum of one of them.
+    """
 
     def run(chunk: pa.Table) -> pa.Table:
         _, own = _owned(_rows(chunk))
@@ -280,7 +290,7 @@ def _messages(texts: DataFrame, ranges: int) -> DataFrame:
         other[1:] |= names[1:] != names[:-1]
         lead = np.flatnonzero(new)
         blocks = np.minimum(np.add.reduceat(other, lead, dtype=np.int64), 255).astype(np.uint8) if len(lead) else np.zeros(0, np.uint8)
-        hashes = hashes[lead]
+        hashes, marks = hashes[lead], names[lead].astype(np.uint8)
         which = hashes >> 32
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(which)) + 1, [len(which)])) if len(which) else np.zeros(1, np.int64)
         spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
@@ -291,10 +301,11 @@ def _messages(texts: DataFrame, ranges: int) -> DataFrame:
                 "chunk": pa.array([chunk.column("chunk")[0].as_py()] * len(spans), pa.int64()),
                 "hashes": pa.array([short[a:b].tobytes() for a, b in spans], pa.binary()),
                 "blocks": pa.array([blocks[a:b].tobytes() for a, b in spans], pa.binary()),
+                "marks": pa.array([marks[a:b].tobytes() for a, b in spans], pa.binary()),
             }
         )
 
-    return texts.groupBy("chunk").applyInArrow(run, "range long, chunk long, hashes binary, blocks binary")
+    return texts.groupBy("chunk").applyInArrow(run, "range long, chunk long, hashes binary, blocks binary, marks binary")
 
 
 def _shared(messages: DataFrame) -> DataFrame:
@@ -303,9 +314,13 @@ def _shared(messages: DataFrame) -> DataFrame:
     def run(part: pa.Table) -> pa.Table:
         packed = [np.frombuffer(x, np.uint32) for x in part.column("hashes").to_pylist()]
         hashes = np.concatenate(packed)
-        blocks = np.concatenate([np.frombuffer(x, np.uint8) for x in part.column("blocks").to_pylist()])
+        blocks, marks = (np.concatenate([np.frombuffer(x, np.uint8) for x in part.column(c).to_pylist()]) for c in ("blocks", "marks"))
         _, which, chunks = np.unique(hashes, return_inverse=True, return_counts=True)
-        hot = (np.bincount(which, weights=blocks) > HOT)[which].astype(np.uint8)
+        most, variants = np.zeros(len(chunks), np.uint8), np.zeros(len(chunks), np.int64)
+        np.maximum.at(most, which, blocks)
+        many = np.flatnonzero((np.bincount(which, weights=blocks) > HOT)[which])
+        np.add.at(variants, np.unique(which[many] << 8 | marks[many]) >> 8, 1)
+        hot = ((most > VARIANTS) | (variants > VARIANTS))[which].astype(np.uint8)
         several = (chunks > 1)[which]
         ends = np.cumsum([len(x) for x in packed])
         spans = [(e - len(x), e) for x, e in zip(packed, ends.tolist(), strict=True)]
@@ -321,19 +336,35 @@ def _shared(messages: DataFrame) -> DataFrame:
     return messages.groupBy("range").applyInArrow(run, "chunk long, range long, hashes binary, hot binary").where("hashes <> X''")
 
 
+#: The arrays of a message and their kinds.
+BLOCKS = {"keys": np.uint32, "sizes": np.uint16, "many": np.uint32, "bytes": np.uint8, "texts": np.uint32, "firsts": np.uint32, "docs": np.int64}
+
+
+def _short(hashes: np.ndarray, ranges: int) -> np.ndarray:
+    """A hash's range in the upper half, and 32 bits of it in the lower."""
+    return (((hashes >> np.uint64(32)) % np.uint64(ranges)) << np.uint64(32) | (hashes & np.uint64(0xFFFFFFFF))).astype(np.int64)
+
+
+def _hashed(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of short slices, each by itself."""
+    within = _spread(np.zeros(len(sizes), np.int64), sizes)
+    values = BYTE_VALUES[data[_spread(starts, sizes)]] * powers(CUT + LENGTH)[within]
+    return mix(np.add.reduceat(values, np.cumsum(sizes) - sizes))
+
+
 def _blocks(texts: DataFrame, shared: DataFrame, ranges: int) -> DataFrame:
-    """``key, chunk, bytes, owner, places, docs``: each distinct block with a shared hash once per chunk.
+    """``range, chunk, <BLOCKS>``: a chunk's distinct blocks with shared hashes, as compressed arrays sorted by key.
 
-    ``places`` holds text and first window of each occurrence (packed), ``docs`` their documents, ``owner`` the smallest.
+    ``many`` is how often each block occurs; ``texts``, ``firsts`` and ``docs`` have text, first window and document of
+    each occurrence.
     """
 
     def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
-        empty = {"key": [], "chunk": [], "bytes": [], "owner": [], "places": [], "docs": []}
-        kinds = {"key": pa.int64(), "chunk": pa.int64(), "bytes": pa.binary(), "owner": pa.int64(), "places": pa.binary(), "docs": pa.binary()}
+        kinds = {"range": pa.int64(), "chunk": pa.int64(), **{c: pa.binary() for c in BLOCKS}}
         docs, own = _owned(_rows(chunk)) if chunk.num_rows else (np.zeros(0, np.int64), [])
         text, first, size, hashes, names = _runs(own, ranges)
         if not len(text):
-            return pa.table({c: pa.array(v, kinds[c]) for c, v in empty.items()})
+            return pa.table({c: pa.array([], k) for c, k in kinds.items()})
         spread = [(np.frombuffer(h, np.uint32).astype(np.int64) | r << 32, np.frombuffer(x, np.uint8)) for r, h, x in zip(*(answers.column(c).to_pylist() for c in ("range", "hashes", "hot")), strict=True)]
         known = np.concatenate([x for x, _ in spread]) if spread else np.zeros(0, np.int64)
         hot_known = np.concatenate([x for _, x in spread]) if spread else np.zeros(0, np.uint8)
@@ -349,124 +380,142 @@ def _blocks(texts: DataFrame, shared: DataFrame, ranges: int) -> DataFrame:
         lead = np.flatnonzero(new)
         uniq, which = hashes[lead], np.cumsum(new) - 1
         wanted = np.minimum.reduceat(docs[text], lead) < np.maximum.reduceat(docs[text], lead)
-        hot = np.add.reduceat(other, lead, dtype=np.int64) > HOT
+        hot = np.add.reduceat(other, lead, dtype=np.int64) > VARIANTS
         if len(known):
             at = np.minimum(np.searchsorted(known, uniq), len(known) - 1)
             found = known[at] == uniq
             wanted |= found
             hot = np.where(found, hot_known[at] > 0, hot)
         pick = wanted[which]
-        text, first, size, hashes, hot = text[pick], first[pick], size[pick], hashes[pick], hot[which][pick]
+        text, first, size, keys, names, hot = text[pick], first[pick], size[pick], hashes[pick], names[pick], hot[which][pick]
         # Hot ones become single windows, long ones are cut.
         step = np.where(hot, 1, CUT)
         pieces = -(-size // step)
         row = np.repeat(np.arange(len(text)), pieces)
         inner = _spread(np.zeros(len(text), np.int64), pieces) * step[row]
-        text, first, size, hashes, hot = text[row], first[row] + inner, np.minimum(size[row] - inner, step[row]), hashes[row], hot[row]
-        groups: dict[tuple[int, bytes], list[int]] = {}
-        for i, (t, a, n, h, x) in enumerate(zip(text.tolist(), first.tolist(), size.tolist(), hashes.tolist(), hot.tolist(), strict=True)):
-            b = own[t][a : a + n + LENGTH - 1]
-            groups.setdefault((int.from_bytes(hashlib.blake2b(b, digest_size=8).digest(), "little", signed=True) if x else h, b), []).append(i)
-        packed = (text << 40) | first
-        order = np.array([i for at in groups.values() for i in at], dtype=np.int64)
-        ends = np.cumsum([len(at) for at in groups.values()]).tolist()
-        places, of = packed[order], docs[text[order]]
-        spans = list(zip([0, *ends[:-1]], ends, strict=True))
-        columns = {
-            "key": [k for k, _ in groups],
-            "chunk": [chunk.column("chunk")[0].as_py()] * len(groups),
-            "bytes": [b for _, b in groups],
-            "owner": np.minimum.reduceat(of, [a for a, _ in spans]) if spans else [],
-            "places": [places[a:b].tobytes() for a, b in spans],
-            "docs": [of[a:b].tobytes() for a, b in spans],
-        }
-        return pa.table({c: pa.array(v, kinds[c]) for c, v in columns.items()})
-
-    ddl = "key long, chunk long, bytes binary, owner long, places binary, docs binary"
+        text, first, keys, names = text[row], first[row] + inner, keys[row], names[row]
+        size = np.minimum(size[row] - inner, step[row]) + LENGTH - 1
+        data = np.frombuffer(b"".join(own), np.uint8)
+        starts = np.concatenate(([0], np.cumsum([len(t) for t in own])))[text] + first
+        cut = np.flatnonzero(pieces[row] > 1)
+        for lo in range(0, len(cut), 1 << 15):
+            at = cut[lo : lo + (1 << 15)]
+            names[at] = _hashed(data, starts[at], size[at])
+        keys = np.where(hot[row], _short(names, ranges), keys)
+        # Equal blocks become one row; those whose names alone are equal stay apart.
+        order = np.lexsort((names, keys))
+        keys, names, starts, size, of = keys[order], names[order], starts[order], size[order], docs[text[order]]
+        text, first = text[order], first[order]
+        new = np.ones(len(keys), dtype=bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (names[1:] != names[:-1]) | (size[1:] != size[:-1])
+        lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+        for lo in range(0, len(keys), 1 << 15):
+            at = np.arange(lo, min(lo + (1 << 15), len(keys)))
+            same = data[_spread(starts[at], size[at])] == data[_spread(starts[lead[at]], size[at])]
+            new[at] |= ~np.minimum.reduceat(same, np.cumsum(size[at]) - size[at])
+        lead = np.flatnonzero(new)
+        many = np.diff(np.append(lead, len(keys)))
+        keys = keys[lead]
+        cuts = np.flatnonzero(np.diff(keys >> 32)) + 1
+        out: dict[str, list] = {c: [] for c in kinds}
+        for at in np.split(np.arange(len(lead)), cuts) if len(lead) else ():
+            own_rows = slice(lead[at[0]], lead[at[-1]] + many[at[-1]])
+            parts = [data[_spread(starts[lead[x]], size[lead[x]])] for x in np.array_split(at, len(at) // (1 << 15) + 1)]
+            columns = (np.diff(keys[at] & 0xFFFFFFFF, prepend=0).astype(np.uint32), size[lead[at]].astype(np.uint16), many[at].astype(np.uint32), np.concatenate(parts), text[own_rows].astype(np.uint32), first[own_rows].astype(np.uint32), of[own_rows])
+            for c, value in zip(kinds, (int(keys[at[0]] >> 32), chunk.column("chunk")[0].as_py(), *(zstandard.compress(x.tobytes(), 1) for x in columns)), strict=True):
+                out[c].append(value)
+        return pa.table({c: pa.array(v, kinds[c]) for c, v in out.items()})
+
+    ddl = "range long, chunk long, " + ", ".join(f"{c} binary" for c in BLOCKS)
     return texts.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(run, ddl)
 
 
-def _removals(blocks: DataFrame) -> DataFrame:
-    """``chunk, spans``: removed windows as text, first window and windows (packed), from all blocks of each key."""
-
-    def solved(held: list[tuple]) -> pa.RecordBatch:
-        sets: list[tuple[list[bytes], list[int]]] = []
-        classes: dict[bytes, int] = {}
-        where: list[tuple[int, int]] = []
-        last = object()
-        for key, _, b, owner, _, _ in held:
-            if key != last:
-                last, classes = key, {}
-                sets.append(([], []))
-            at = classes.setdefault(b, len(classes))
-            if at == len(sets[-1][0]):
-                sets[-1][0].append(b)
-                sets[-1][1].append(owner)
-            else:
-                sets[-1][1][at] = min(sets[-1][1][at], owner)
-            where.append((len(sets) - 1, at))
-        several = [i for i, (parts, _) in enumerate(sets) if len(parts) > 1]  # one string alone needs no order
-        least = [None] * len(sets)
-        lo = 0
-        while lo < len(several):
-            hi, n = lo, 0
-            while hi < len(several) and (n < BATCH or hi == lo):
-                n += sum(map(len, sets[several[hi]][0]))
-                hi += 1
-            for i, own in zip(several[lo:hi], smallest_owners([sets[i][0] for i in several[lo:hi]], [sets[i][1] for i in several[lo:hi]]), strict=True):
-                least[i] = own
-            lo = hi
-        out: list[list[np.ndarray]] = [[], [], [], []]
-        for (k, at), (_, chunk, b, owner, places, docs) in zip(where, held, strict=True):
-            n = len(b) - LENGTH + 1
-            places, docs = np.frombuffer(places, np.int64), np.frombuffer(docs, np.int64)
-            if len(docs) > 1:
-                whole = places[docs > owner]
-                for x, value in zip(out, (np.full(len(whole), chunk), whole, np.zeros(len(whole), np.int64), np.full(len(whole), n)), strict=True):
-                    x.append(value)
-            if least[k] is None:
-                if sets[k][1][at] >= owner:
-                    continue
-                first, size = np.zeros(1, np.int64), np.array([n])
-            else:
-                smaller = np.concatenate(([False], least[k][at] < owner, [False]))
-                edges = np.flatnonzero(smaller[1:] != smaller[:-1])
-                if not len(edges):
-                    continue
-                first, size = edges[::2], edges[1::2] - edges[::2]
-            own = places[docs == owner] if len(docs) > 1 else places
-            m, k = len(own), len(first)
-            for x, value in zip(out, (np.full(m * k, chunk), np.repeat(own, k), np.tile(first, m), np.tile(size, m)), strict=True):
-                x.append(value)
-        if not out[0]:
-            return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.binary())], ["chunk", "spans"])
-        chunk, place, first, size = map(np.concatenate, out)
-        order = np.argsort(chunk, kind="stable")
-        chunk, packed = chunk[order], np.stack([place >> 40, (place & ((1 << 40) - 1)) + first, size], 1)[order]
-        cuts = np.concatenate(([0], np.flatnonzero(np.diff(chunk)) + 1, [len(chunk)])) if len(chunk) else np.zeros(1, np.int64)
-        spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-        return pa.RecordBatch.from_arrays([pa.array([int(chunk[a]) for a, _ in spans], pa.int64()), pa.array([packed[a:b].tobytes() for a, b in spans], pa.binary())], ["chunk", "spans"])
+def _solved(messages: pa.Table) -> pa.Table:
+    """Removed windows by chunk (see _removals), from all messages of a range."""
+    read = {c: [np.frombuffer(zstandard.decompress(x), kind) for x in messages.column(c).to_pylist()] for c, kind in BLOCKS.items()}
+    per = [len(x) for x in read["keys"]]
+    key = np.concatenate([np.cumsum(x, dtype=np.int64) for x in read["keys"]])
+    chunk = np.repeat(messages.column("chunk").to_numpy(), per)
+    flat, length, many = (np.concatenate(read[c]).astype(t) for c, t in (("bytes", np.uint8), ("sizes", np.int64), ("many", np.int64)))
+    text, first, docs = (np.concatenate(read[c]).astype(np.int64) for c in ("texts", "firsts", "docs"))
+    owner = np.minimum.reduceat(docs, np.cumsum(many) - many)
+    offset = np.cumsum(length) - length
+    code = _packed(flat, length).dictionary_encode().indices.to_numpy()
+    set_of = np.unique(key, return_inverse=True)[1]
+    # Equal parts of a set are one class.
+    order = np.lexsort((code, set_of))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (set_of[order][1:] != set_of[order][:-1]) | (code[order][1:] != code[order][:-1])
+    lead = np.flatnonzero(new)
+    class_of = np.empty(len(order), np.int64)
+    class_of[order] = np.cumsum(new) - 1
+    row_of, owners = order[lead], np.minimum.reduceat(owner[order], lead)
+    classes = np.bincount(set_of[row_of])
+    several = classes[set_of[row_of]] > 1  # one part alone needs no order
+    volume = np.bincount(set_of[row_of], weights=length[row_of])
+    pick = np.flatnonzero(several)
+    pick = pick[np.lexsort((set_of[row_of[pick]], volume[set_of[row_of[pick]]]))]  # sets of like size advance together
+    windows = length - LENGTH + 1
+    least, least_at, smallest = np.zeros(0, np.int64), np.zeros(len(lead), np.int64), owners.copy()
+    if len(pick):
+        own = row_of[pick]
+        parts = [least_owners(flat[_spread(offset[x], length[x])], length[x], set_of[x], owners[y]) for x, y in _batches(own, pick, set_of[own], length[own])]
+        least = np.concatenate(parts)
+        least_at[pick] = np.cumsum(windows[own]) - windows[own]
+        smallest[pick] = np.minimum.reduceat(least, least_at[pick])
+    holder = np.repeat(np.arange(len(owner)), many)
+    other = docs > owner[holder]  # a smaller document of the chunk has the whole part
+    # Of the smallest document's own places, what still smaller ones have: all windows, or runs of them.
+    hit = np.flatnonzero(smallest[class_of] < owner)
+    whole, mixed = hit[~several[class_of[hit]]], hit[several[class_of[hit]]]
+    flags = least[_spread(least_at[class_of[mixed]], windows[mixed])] < np.repeat(owner[mixed], windows[mixed])
+    begins = np.cumsum(windows[mixed]) - windows[mixed]
+    step = np.zeros(len(flags) + 1, dtype=bool)
+    step[begins] = step[-1] = True
+    step[1:-1] |= flags[1:] != flags[:-1]
+    edges = np.flatnonzero(step)
+    edges, size = edges[:-1], np.diff(edges)
+    begin, size = edges[flags[edges]], size[flags[edges]]
+    at = np.searchsorted(begins, begin, "right") - 1
+    row = np.concatenate((whole, mixed[at]))
+    begin, size = np.concatenate((np.zeros(len(whole), np.int64), begin - begins[at])), np.concatenate((windows[whole], size))
+    own_holder, own_text, own_first = holder[~other], text[~other], first[~other]
+    count = np.bincount(own_holder, minlength=len(owner))
+    start = np.cumsum(count) - count
+    n = count[row]
+    at = _spread(start[row], n)
+    out_row = np.concatenate((holder[other], np.repeat(row, n)))
+    spans = np.stack(
+        [
+            np.concatenate((text[other], own_text[at])),
+            np.concatenate((first[other], own_first[at] + np.repeat(begin, n))),
+            np.concatenate((windows[holder[other]], np.repeat(size, n))),
+        ],
+        1,
+    )
+    order = np.argsort(chunk[out_row], kind="stable")
+    names, counts = np.unique(chunk[out_row], return_counts=True)
+    cuts = np.split(spans[order], np.cumsum(counts)[:-1]) if len(names) else []
+    return pa.table({"chunk": pa.array(names, pa.int64()), "spans": pa.array([zstandard.compress(x.tobytes(), 1) for x in cuts], pa.binary())})
+
+
+def _batches(rows: np.ndarray, classes: np.ndarray, sets: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Whole sets, about BATCH bytes at a time."""
+    lead = np.flatnonzero(np.concatenate(([True], sets[1:] != sets[:-1])))
+    number = (np.cumsum(lengths) - lengths)[lead] // BATCH
+    cuts = lead[np.flatnonzero(np.diff(number)) + 1]
+    yield from zip(np.split(rows, cuts), np.split(classes, cuts), strict=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "chunk", "bytes", "owner", "places", "docs")), strict=True):
-                if size >= 2 * BATCH and row[0] != held[-1][0]:
-                    yield solved(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[2])
-        if held:
-            yield solved(held)
 
-    return blocks.repartition("key").sortWithinPartitions("key").mapInArrow(run, "chunk long, spans binary")
+def _removals(blocks: DataFrame) -> DataFrame:
+    """``chunk, spans``: removed windows as text, first window and windows (compressed), from the blocks of each range."""
+    return blocks.groupBy("range").applyInArrow(_solved, "chunk long, spans binary")
 
 
 def _cut(texts: DataFrame, removals: DataFrame) -> DataFrame:
     def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         rows = _rows(chunk) if chunk.num_rows else []
-        spans = np.concatenate([np.zeros((0, 3), np.int64), *(np.frombuffer(x, np.int64).reshape(-1, 3) for x in answers.column("spans").to_pylist())])
+        spans = np.concatenate([np.zeros((0, 3), np.int64), *(np.frombuffer(zstandard.decompress(x), np.int64).reshape(-1, 3) for x in answers.column("spans").to_pylist())])
         spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
         bounds = np.searchsorted(spans[:, 0], np.arange(len(rows) + 1))
         out = []

@@ -19,16 +19,15 @@ def test_many_strings_in_step():
         assert suffix.suffix_arrays(np.array([c for x in sets for c in x], dtype=np.int64), starts).tolist() == expected
 
 
-def test_smallest_owners():
+def test_least_owners():
     rng = random.Random(52)
     base = bytes(rng.choice(b"abc") for _ in range(200))
     parts = [[base[:80], base[20:90], b"x" + base[5:70]], [base[30:120]], [b"a" * 90, b"a" * 60 + b"b"]]
     owners = [[5, 3, 9], [1], [2, 7]]
-    got = suffix.smallest_owners(parts, owners)
-    for own, names, found in zip(parts, owners, got, strict=True):
-        for p, values in zip(own, found, strict=True):
-            windows = [p[i : i + suffix.LENGTH] for i in range(len(p) - suffix.LENGTH + 1)]
-            assert values.tolist() == [min(n for q, n in zip(own, names, strict=True) if w in q) for w in windows]
+    flat = [(k, p, n) for k, (own, names) in enumerate(zip(parts, owners, strict=True)) for p, n in zip(own, names, strict=True)]
+    got = suffix.least_owners(np.frombuffer(b"".join(p for _, p, _ in flat), np.uint8), np.array([len(p) for _, p, _ in flat]), np.array([k for k, _, _ in flat]), np.array([n for _, _, n in flat]))
+    windows = [(k, p[i : i + suffix.LENGTH]) for k, p, _ in flat for i in range(len(p) - suffix.LENGTH + 1)]
+    assert got.tolist() == [min(n for j, q, n in flat if j == k and w in q) for k, w in windows]
 
 
 def removed(docs):
@@ -37,7 +36,7 @@ def removed(docs):
 
 def test_common_phrase_is_split(spark, monkeypatch):
     """A phrase shorter than a window stands in every document, in ever new surroundings; copies and periods besides."""
-    for name, value in (("CHUNK", 2000), ("RANGE", 4000), ("HOT", 3), ("CUT", 7), ("BATCH", 500)):
+    for name, value in (("CHUNK", 2000), ("RANGE", 4000), ("HOT", 3), ("VARIANTS", 2), ("CUT", 7), ("BATCH", 500)):
         monkeypatch.setattr(suffix, name, value)
     rng = random.Random(53)
     phrase, longer = "this common phrase of forty bytes or so", words(rng, 25)

@@ -18,13 +18,12 @@ def components(edges: DataFrame) -> DataFrame:
     pairs = F.explode(F.array(*(F.struct(a.alias("u"), b.alias("v")) for a, b in ((u, v), (v, u), (u, u), (v, v)))))
     both = stage(edges.select(pairs.alias("_e")).select("_e.*").distinct(), "edges")
     labels = stage(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")), "labels")
-    total = F.sum(F.col("root").cast("decimal(38,0)"))
-    before = labels.agg(total).first()[0]
     while True:
         near = both.join(labels, both["v"] == labels["node"]).groupBy(F.col("u").alias("node")).agg(F.min("root").alias("root"))
         own = labels.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
-        labels = stage(near.join(own, near["root"] == own["_node"]).select("node", F.least("root", "_root").alias("root")), "labels")
-        after = labels.agg(total).first()[0]  # labels only ever fall
-        if after == before:
+        back = labels.select(F.col("node").alias("_self"), F.col("root").alias("_before"))
+        lower = near.join(own, near["root"] == own["_node"]).join(back, near["node"] == back["_self"])
+        new = stage(lower.select("node", F.least("root", "_root").alias("root"), (F.least("root", "_root") != F.col("_before")).alias("changed")), "labels")
+        labels = new.select("node", "root")
+        if new.where("changed").isEmpty():
             return labels
-        before = after

@@ -3,20 +3,24 @@
 Texts are sets of five-word shingles (words are runs of ``[^\\x20\\x09-\\x0D]``; a text of one to four words is one
 shingle; a text without words has none and links to nothing). Sets that are equal are one class with one
 representative. In each run, a representative's set is split recursively on sampled shared tokens (the least shingle
-under the run's next hash function): sets that share it go on together. Groups of at most ``LEAF`` sets are compared
-by brute force on short sketches; larger ones are split on; groups that still hold together after ``DEPTH`` tokens
-share so many that they are taken as candidates whole. Each split loses a pair at the threshold with a chance of one in
-five, so recall falls with the depth: representatives whose groups were split more than twice go through further rounds
-of runs, each with a sketch of its own under fresh hash functions, as many as ``ROUNDS`` says for the depth they reached.
+under a hash function): sets that share it go on together. Each node of the recursion samples ``BRANCH`` tokens and a set
+follows every one of them, so a pair at the threshold stays together in some branch with a chance that does not fall
+with the depth. Groups of at most ``LEAF`` sets are compared by brute force on short sketches; a group that still holds
+together after ``DEPTH`` tokens shares so many that it is taken as candidates whole. Runs, each with a first token of
+its own, are repeated until a pair right at the threshold is met with probability ``RECALL``.
+
+The first split is a shuffle. A group of at most ``GROUP`` sets is split on inside its task; larger ones are told by
+counting keys and are split on by further keys before any of their sets moves, so no task holds a hot token.
 
 Candidates form components. Within a component, every pair is then compared exactly: its members are dealt into
 blocks of bounded size and each pair of blocks is one group of rows, so neither a large component nor long texts
 gather in one task, and links are counted inside the tasks, not emitted as pairs.
 
 Result: one row per row of the input: ``doc_id, class_id, n_links``. ``class_id`` is the smallest doc_id among all
-documents linked to it directly or through others; ``n_links`` counts the other documents of similarity
-``SIMILARITY`` or more, copies included. Null and empty texts, empty tables: no links. Repeated rows count as copies of
-a document; of different texts under one doc_id, one is compared. Extra columns are ignored.
+documents linked to it directly or through others; ``n_links`` counts the other rows of similarity ``SIMILARITY`` or
+more, copies included. Null and empty texts, empty tables: no links. Repeated rows count as copies of a document;
+different texts under one doc_id are documents of their own. A row without doc_id takes part; its class is null if no
+row of the class has one. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,40 +30,43 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import combine, flatten, mix, prefix_hashes, slice_hashes, stage, text_chunks, word_slices
+from .common import combine, flatten, mix, prefix_hashes, slice_hashes, small, stage, text_chunks, whole_groups, word_slices
 from .graph import components
 
 WORDS = 5
 #: Similarity as a fraction, so that comparisons are exact.
 SIMILARITY = (4, 5)
-COORDINATES = 48
-LEAF = 64
-DEPTH = 10
+COORDINATES = 64
+LEAF = 256
+#: Tokens after which a group is not split further, in its task and by keys before.
+DEPTH = 8
+#: Sampled tokens of a node.
+BRANCH = 2
+#: Sets that are split inside one task.
+GROUP = 20_000
 RECALL = 0.99999
 #: Sketch similarity from which a pair in a leaf is a candidate: 0.8 less 5 standard errors.
 LIKELY = 0.8 - 5 * math.sqrt(0.16 / COORDINATES)
 #: Bounds of a block of sets that are compared exactly: sets and shingles.
 BLOCK_SETS, BLOCK_SHINGLES = 512, 1_000_000
-#: Runs of a round; they share its sketch, so that a pair at the threshold which two splits part in all of them is rarer
-#: than 1 - RECALL, but no longer after three.
-RUNS = 16
-#: Rounds that take a pair at the threshold to RECALL, by the depth of its leaf. The tests simulate them.
-ROUNDS = {1: 1, 2: 1, 3: 2, 4: 2, 5: 3, 6: 4, 7: 5, 8: 7, 9: 8, 10: 10}
 
-_RANDOM = np.random.default_rng(7)
-_FACTORS = _RANDOM.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: For each run, the order in which coordinates (hash functions) are chosen.
-_PATHS = [[r, *(int(x) for x in _RANDOM.permutation([c for c in range(COORDINATES) if c != r])[: DEPTH - 1])] for r in range(RUNS)]
 
+def meeting_chance(depth: int, similarity: float = SIMILARITY[0] / SIMILARITY[1]) -> float:
+    """Least chance that a run brings a pair of that similarity into one leaf after ``depth`` splits."""
+    alone = 0.0  # that no branch below a node keeps the pair
+    for _ in range(depth - 1):
+        alone = (1 - similarity + similarity * alone) ** BRANCH
+    return similarity * (1 - alone)
 
-def _factors(number: int) -> np.ndarray:
-    """The hash functions of a round."""
-    if not number:
-        return _FACTORS
-    return np.random.default_rng([7, number]).integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+#: Runs, so that a pair at the threshold is met with RECALL however deep its groups are split (branching settles early).
+RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - meeting_chance(2 * DEPTH)))
+
+_RANDOM = np.random.default_rng(7)
+_FACTORS = _RANDOM.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
@@ -77,13 +84,28 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
+def row_key() -> Column:
+    """Tells rows apart by doc_id and text; repeated rows share it."""
+    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+
+
+def _keyed(documents: DataFrame) -> DataFrame:
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.withColumn("row", row_key())
+
+
 def sketches(documents: DataFrame) -> DataFrame:
-    """``doc_id, a, b, n, sketch``: two hashes of the whole set, its size, and the least shingle under each function."""
-    schema = pa.schema([("doc_id", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("sketch", pa.list_(pa.int64()))])
+    """``row, doc_id, a, b, n, tops, marks`` of rows with words.
+
+    ``a, b``: two hashes of the whole set; ``n``: its size; ``tops``: the first token of each run; ``marks``: a byte for
+    the least shingle under each hash function.
+    """
+    ddl = "row long, doc_id long, a long, b long, n long, tops array<long>, marks binary"
+    names = [x.split()[0] for x in ddl.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, texts = batch.column("doc_id"), batch.column("text").to_pylist()
+            texts = batch.column("text").to_pylist()
             for lo, hi in text_chunks(texts):
                 sets = shingle_sets(texts[lo:hi])
                 sizes = np.array([len(s) for s in sets])
@@ -95,11 +117,12 @@ def sketches(documents: DataFrame) -> DataFrame:
                 least = np.stack([np.minimum.reduceat(flat * f, at) for f in _FACTORS], 1).view(np.int64)
                 a = np.add.reduceat(mix(flat ^ np.uint64(0x5851F42D4C957F2D)), at).view(np.int64)
                 b = np.bitwise_xor.reduceat(mix(flat + np.uint64(0x14057B7EF767814F)), at).view(np.int64)
-                rows = pa.FixedSizeListArray.from_arrays(pa.array(least.ravel()), COORDINATES).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([keys.slice(lo, hi - lo).take(pa.array(own)), pa.array(a), pa.array(b), pa.array(sizes[own]), rows], schema=schema)
+                tops = pa.FixedSizeListArray.from_arrays(pa.array(least[:, :RUNS].ravel()), RUNS).cast(pa.list_(pa.int64()))
+                marks = pa.array([m.tobytes() for m in (least >> 20).astype(np.uint8)], pa.binary())
+                keys = [batch.column(c).slice(lo, hi - lo).take(pa.array(own)) for c in ("row", "doc_id")]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(a), pa.array(b), pa.array(sizes[own]), tops, marks], names)
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, a long, b long, n long, sketch array<long>")
+    return _keyed(documents).mapInArrow(run, ddl)
 
 
 def _propagate(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -116,130 +139,86 @@ def _propagate(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         labels = new
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
-    """Sorted batches, cut anew so that rows with equal ``names`` stay together."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = np.stack([np.asarray(batch.column(c)) for c in names], 1)
-        changes = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
-        if held:
-            last = held[-1].slice(held[-1].num_rows - 1)
-            if [last.column(c)[0].as_py() for c in names] != keys[0].tolist():
-                yield pa.Table.from_batches(held)
-                held = []
-        if len(changes):
-            cut = int(changes[-1])
-            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
-            held = [batch.slice(cut)]
+def _split(marks: np.ndarray, seed: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Splits one group by sampled tokens: index lists of at most LEAF sets, and such as no split took apart."""
+    random = np.random.default_rng(seed & ((1 << 63) - 1))
+    leaves, whole = [], []
+    open_ = [(np.arange(len(marks)), 1)]
+    while open_:
+        own, depth = open_.pop()
+        if len(own) <= LEAF:
+            leaves.append(own)
+        elif depth >= DEPTH:
+            whole.append(own)
         else:
-            held.append(batch)
-    if held:
-        yield pa.Table.from_batches(held)
+            for c in random.choice(COORDINATES, BRANCH, replace=False):
+                values = marks[own, c]
+                order = np.argsort(values, kind="stable")
+                for part in np.split(own[order], np.flatnonzero(np.diff(values[order])) + 1):
+                    if len(part) > 1:
+                        open_.append((part, depth + 1))
+    return leaves, whole
 
 
-def _leaf_edges(leaves: DataFrame) -> DataFrame:
-    """Pairs ``u, v`` that connect the likely similar members of each leaf (``key, rep, bytes``)."""
+def _leaf_edges(groups: DataFrame) -> DataFrame:
+    """Pairs ``u, v`` that connect the likely similar members of each group (``key, rep, marks``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _whole_groups(batches, ["key"]):
+        for part in whole_groups(batches, ["key"]):
             keys, reps = part.column("key").to_numpy(), part.column("rep").to_numpy()
-            marks = np.frombuffer(b"".join(part.column("bytes").to_pylist()), np.uint8).reshape(-1, COORDINATES)
-            left, right = [], []
-            for d in range(1, len(keys)):
-                at = np.flatnonzero(keys[d:] == keys[:-d])
-                if not len(at):
-                    break
-                for piece in np.array_split(at, len(at) // 100_000 + 1):
-                    alike = (marks[piece] == marks[piece + d]).mean(1) >= LIKELY
-                    left.append(piece[alike])
-                    right.append(piece[alike] + d)
+            marks = np.frombuffer(b"".join(part.column("marks").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+            bounds = np.concatenate(([0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]))
+            sizes = np.diff(bounds)
+            low = np.repeat(sizes, sizes)
+            leaves, left, right = [np.flatnonzero((low > 1) & (low <= LEAF))], [], []
+            names = [keys[leaves[0]]]
+            for g in np.flatnonzero(sizes > LEAF):
+                inner, whole = _split(marks[bounds[g] : bounds[g + 1]], int(keys[bounds[g]]))
+                leaves += [x + bounds[g] for x in inner]
+                for x in whole:
+                    left.append(x[1:] + bounds[g])
+                    right.append(np.full(len(x) - 1, x[0] + bounds[g]))
+            names += [np.full(len(x), i, np.int64) for i, x in enumerate(leaves[1:])]
+            for own, key in ((leaves[0], names[0]), (np.concatenate([np.zeros(0, np.int64), *leaves[1:]]), np.concatenate([np.zeros(0, np.int64), *names[1:]]))):
+                for d in range(1, len(own)):
+                    at = np.flatnonzero(key[d:] == key[:-d])
+                    if not len(at):
+                        break
+                    for piece in np.array_split(at, len(at) // 50_000 + 1):
+                        alike = (marks[own[piece]] == marks[own[piece + d]]).sum(1, dtype=np.uint8) >= LIKELY * COORDINATES
+                        left.append(own[piece[alike]])
+                        right.append(own[piece[alike] + d])
             if left:
                 labels = _propagate(len(keys), np.concatenate(left), np.concatenate(right))
                 own = np.flatnonzero(labels != np.arange(len(keys)))
                 yield pa.RecordBatch.from_arrays([pa.array(reps[own]), pa.array(reps[labels[own]])], ["u", "v"])
 
-    return leaves.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(run, "u long, v long")
+    return groups.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(run, "u long, v long")
 
 
-def fresh_sketches(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``rep, round, sketch`` for the rounds ``first`` to ``last`` of the representatives in ``wanted``."""
-    schema = pa.schema([("rep", pa.int64()), ("round", pa.int64()), ("sketch", pa.list_(pa.int64()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for lo, hi in text_chunks(texts):
-                sets = shingle_sets(texts[lo:hi])
-                reps, first, last = (batch.column(c).slice(lo, hi - lo).to_numpy() for c in ("rep", "first", "last"))
-                sizes = np.array([len(x) for x in sets])
-                for number in range(first.min(), last.max() + 1):
-                    own = np.flatnonzero((sizes > 0) & (first <= number) & (number <= last))
-                    if not len(own):
-                        continue
-                    flat = np.concatenate([sets[i] for i in own])
-                    at = np.concatenate(([0], np.cumsum(sizes[own])[:-1]))
-                    least = np.stack([np.minimum.reduceat(flat * f, at) for f in _factors(number)], 1).view(np.int64)
-                    rows = pa.FixedSizeListArray.from_arrays(pa.array(least.ravel()), COORDINATES).cast(pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array(reps[own]), pa.array(np.full(len(own), number)), rows], schema=schema)
-
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = wanted.join(texts, wanted["rep"] == texts["doc_id"]).select("rep", "first", "last", "text")
-    found = rows.mapInArrow(run, "rep long, round long, sketch array<long>")
-    return found.groupBy("rep", "round").agg(F.first("sketch").alias("sketch"))  # rows of a repeated doc_id
-
-
-def split_edges(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Candidate edges of the rounds in ``reps`` (``rep, round, sketch``, staged), and ``rep, depth`` of each split past the second."""
-    runs = F.array(*(F.struct(F.lit(r).alias("run"), F.xxhash64("round", F.lit(r), F.col("sketch")[path[0]]).alias("key")) for r, path in enumerate(_PATHS)))
-    active = reps.select("rep", "round", F.explode(runs).alias("x")).select("rep", "round", "x.run", "x.key")
-    marks = reps.select(F.col("rep").alias("_rep"), F.col("round").alias("_round"), F.unhex(F.array_join(F.transform("sketch", lambda x: F.lpad(F.hex(F.shiftright(x, 20).bitwiseAND(255)), 2, "0")), "")).alias("bytes"))
-    own = reps.select(F.col("rep").alias("_rep"), F.col("round").alias("_round"), "sketch")
-    same = (F.col("rep") == F.col("_rep")) & (F.col("round") == F.col("_round"))
-    edges = depths = None
+def candidate_edges(reps: DataFrame) -> DataFrame:
+    """Edges whose components hold all likely similar representatives; ``reps`` has ``rep, tops, marks`` and is staged."""
+    active = reps.select("rep", "marks", F.posexplode("tops").alias("run", "top")).select("rep", "marks", F.xxhash64("run", "top").alias("key"))
+    ready, edges = None, None
     for level in range(1, DEPTH + 1):
-        sizes = active.groupBy(F.col("key").alias("_key")).count().where("count > 1")
-        sized = stage(active.join(sizes, active["key"] == sizes["_key"]).drop("_key"), f"level{level}")
-        found = stage(_leaf_edges(sized.where(F.col("count") <= LEAF).join(marks, same).select("key", "rep", "bytes")), "edges")
-        edges = found if edges is None else edges.union(found)
-        active = sized.where(F.col("count") > LEAF).drop("count")
-        if active.isEmpty():
-            return edges, depths
+        # Counts come from partial counts. There are fewer such keys than rows by a factor of GROUP.
+        hot = stage(active.groupBy(F.col("key").alias("_key")).count().where(F.col("count") > GROUP), "hot-keys")
+        if hot.isEmpty():
+            ready = active if ready is None else ready.unionByName(active)
+            break
+        on = active["key"] == hot["_key"]
+        rest = active.join(small(hot), on, "left_anti")
+        ready = rest if ready is None else ready.unionByName(rest)
+        active = active.join(small(hot), on, "left_semi")
         if level < DEPTH:
-            if level > 1:
-                deeper = active.select("rep", F.lit(level + 1).alias("depth")).distinct()
-                depths = deeper if depths is None else depths.union(deeper)
-            chosen = F.array(*(F.lit(path[level]) for path in _PATHS))[F.col("run")]
-            active = active.join(own, same).select("rep", "round", "run", F.xxhash64("key", F.get("sketch", chosen)).alias("key"))
-    firsts = active.groupBy(F.col("key").alias("_key")).agg(F.min("rep").alias("v"))
-    return edges.union(active.join(firsts, active["key"] == firsts["_key"]).select(F.col("rep").alias("u"), "v")), depths
-
-
-def candidate_edges(documents: DataFrame, reps: DataFrame) -> DataFrame:
-    """Edges whose components hold all likely similar representatives; ``reps`` has ``rep, sketch`` and is staged.
-
-    A pair takes part together in the rounds that both of its members want, and is met at the lesser depth of the two.
-    A representative that a further round splits deeper than before gets all rounds there are.
-    """
-    edges, depths = split_edges(reps.select("rep", F.lit(0).cast("long").alias("round"), "sketch"))
-    rounds = F.create_map(*(F.lit(x) for pair in ROUNDS.items() for x in pair))
-    want, most = None, max(ROUNDS.values())
-    while depths is not None:
-        asked = depths.groupBy(F.col("rep").alias("_rep")).agg(F.max(rounds[F.col("depth")]).alias("asked"))
-        if want is None:
-            new = asked.select(F.col("_rep").alias("rep"), F.lit(1).alias("had"), F.col("asked").alias("want"))
+            token = lambda b: F.pmod(F.xxhash64("key", F.lit(b)), F.lit(COORDINATES)).cast("int")
+            nodes = F.array(*(F.xxhash64("key", F.lit(b), F.substring("marks", token(b) + 1, F.lit(1))) for b in range(BRANCH)))
+            active = active.select("rep", "marks", F.explode(nodes).alias("key"))
         else:
-            more = F.when(F.col("asked") > F.col("want"), most).otherwise(F.col("want"))
-            new = want.join(asked, want["rep"] == F.col("_rep"), "left").select("rep", F.col("want").alias("had"), more.alias("want"))
-        want = stage(new, "rounds")
-        first = want.where("want > had").agg(F.min("had")).first()[0]
-        if first is None:
-            break
-        wanted = want.where(F.col("want") > first).select("rep", F.lit(first).cast("long").alias("first"), (F.col("want") - 1).cast("long").alias("last"))
-        found, depths = split_edges(stage(fresh_sketches(documents, wanted), "fresh"))
-        edges = edges.union(found)
-    return edges
+            firsts = active.groupBy(F.col("key").alias("_key")).agg(F.min("rep").alias("v"))
+            edges = active.join(small(stage(firsts, "firsts")), F.col("key") == F.col("_key")).select(F.col("rep").alias("u"), "v")
+    found = _leaf_edges(ready)
+    return found if edges is None else found.unionByName(edges)
 
 
 def _compare(sets: list[np.ndarray], sides: np.ndarray, one: bool) -> np.ndarray:
@@ -281,10 +260,9 @@ def exact_links(documents: DataFrame, members: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in ("component", "rep", "copies", "blocks")] + [pa.array([s.tobytes() for s in shingle_sets(texts[lo:hi])], pa.binary())], ["component", "rep", "copies", "blocks", "shingles"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        small = _rechunk(batches)
-        for part in _whole_groups(small, ["component", "i", "j"]):
+        for part in whole_groups(_rechunk(batches), ["component", "i", "j"]):
             names = np.stack([part.column(c).to_numpy() for c in ("component", "i", "j", "rep")], 1)
-            once = np.concatenate(([True], (names[1:] != names[:-1]).any(1)))  # rows of a repeated doc_id
+            once = np.concatenate(([True], (names[1:] != names[:-1]).any(1)))  # repeated rows
             part, key = part.filter(pa.array(once)), names[once][:, :3]
             reps, copies, block = (part.column(c).to_numpy() for c in ("rep", "copies", "block"))
             starts = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, [len(key)]))
@@ -301,8 +279,8 @@ def exact_links(documents: DataFrame, members: DataFrame) -> DataFrame:
                     links = (similar * copies[lo:hi]).sum(1)
                     yield pa.RecordBatch.from_arrays([pa.array(reps[lo:hi][linked]), pa.array(links[linked].astype(np.int64)), pa.array(reps[lo:hi][labels[linked]])], ["rep", "links", "root"])
 
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = members.join(texts, members["rep"] == texts["doc_id"])
+    texts = _keyed(documents)
+    rows = members.join(texts, members["rep"] == texts["row"])
     rows = rows.select("component", "rep", "copies", "blocks", "text").mapInArrow(sets, "component long, rep long, copies long, blocks long, shingles binary")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "copies", "block", "shingles")
@@ -315,37 +293,52 @@ def _rechunk(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.
             yield batch.slice(at, rows)
 
 
-def similar_classes(documents: DataFrame) -> DataFrame:
-    """``doc_id, class_id, n_links`` for every row of ``documents``."""
+def similar_rows(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every row with words as ``row, doc_id, rep``, and for each ``rep`` its ``class_id, n_links, first``.
+
+    ``first`` is the row that stands for the class: that of the smallest doc_id.
+    """
     every = stage(sketches(documents), "sketches")
-    reps = stage(every.groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min_by("sketch", "doc_id").alias("sketch")), "representatives")
-    found = components(candidate_edges(documents, reps))
-    grouped = found.join(reps.select("rep", "copies", "n"), found["node"] == F.col("rep")).select("rep", "copies", "n", F.col("root").alias("component"))
-    sizes = grouped.groupBy(F.col("component").alias("_component")).agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")).where("sets > 1")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    grouped = every.groupBy("a", "b", "n").agg(F.min(first).alias("first"), F.count("*").alias("copies"), F.first("tops").alias("tops"), F.first("marks").alias("marks"))
+    reps = stage(grouped.withColumn("rep", F.col("first.row")), "representatives")
+    found = components(candidate_edges(reps))
+    together = found.join(reps.select("rep", "copies", "n"), found["node"] == F.col("rep")).select("rep", "copies", "n", F.col("root").alias("component"))
+    sizes = together.groupBy(F.col("component").alias("_component")).agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")).where("sets > 1")
     blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("long")
-    members = stage(grouped.join(sizes, grouped["component"] == sizes["_component"]).select("rep", "component", "copies", blocks.alias("blocks")), "members")
+    members = stage(together.join(sizes, together["component"] == sizes["_component"]).select("rep", "component", "copies", blocks.alias("blocks")), "members")
     links = stage(exact_links(documents, members), "links")
-    roots = components(links.select(F.col("rep").alias("u"), F.col("root").alias("v")))
+    roots = stage(components(links.select(F.col("rep").alias("u"), F.col("root").alias("v"))).join(reps.select("rep", "first"), F.col("node") == F.col("rep")).select("rep", "root", "first"), "roots")
+    firsts = roots.groupBy(F.col("root").alias("_root")).agg(F.min("first").alias("least"))
     counted = links.groupBy(F.col("rep").alias("_rep")).agg(F.sum("links").alias("links"))
-    own = reps.select("a", "b", "n", "rep", "copies").join(counted, F.col("rep") == F.col("_rep"), "left").join(roots, F.col("rep") == F.col("node"), "left")
-    classes = own.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("n").alias("_n"), F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    placed = every.select("doc_id", "a", "b", "n").join(classes, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")) & (F.col("n") == F.col("_n"))).select("doc_id", "class_id", "n_links")
-    return placed
+    linked = roots.join(firsts, roots["root"] == firsts["_root"]).join(counted, roots["rep"] == counted["_rep"]).select(F.col("rep").alias("_own"), "least", "links")
+    own = reps.select("a", "b", "n", "rep", "copies", "first").join(linked, F.col("rep") == F.col("_own"), "left")
+    least = F.coalesce("least", "first")
+    classes = own.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("n").alias("_n"), least["doc_id"].alias("class_id"), least["row"].alias("first"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return every, classes
 
 
-def with_wordless(documents: DataFrame, classes: DataFrame) -> DataFrame:
-    """Adds the rows without words, each a class of its own."""
-    bare = documents.where(~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x00\x20\x09-\x0D]"))
-    key = F.col("doc_id").cast("long")
-    return classes.unionByName(bare.select(key.alias("doc_id"), key.alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+def _placed(every: DataFrame, classes: DataFrame) -> DataFrame:
+    same = (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")) & (F.col("n") == F.col("_n"))
+    return every.select("row", "doc_id", "a", "b", "n").join(classes, same)
 
 
 def join(documents: DataFrame) -> DataFrame:
-    """``doc_id, class_id, n_links``: one row per row of ``documents``."""
-    return with_wordless(documents, similar_classes(documents))
+    """``doc_id, class_id, n_links``: one row per row of ``documents``; rows without words are classes of their own."""
+    bare = documents.where(~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    key = F.col("doc_id").cast("long")
+    placed = _placed(*similar_rows(documents)).select("doc_id", "class_id", "n_links")
+    return placed.unionByName(bare.select(key.alias("doc_id"), key.alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """One document of each class: the one with the smallest doc_id. Columns stay as they were."""
-    gone = join(documents).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, documents["doc_id"] == gone["_gone"], "left_anti")
+    """One row of each class, that of the smallest doc_id; rows without words stay. Columns stay as they were."""
+    every, classes = similar_rows(documents)
+    gone = _placed(every, classes).where(F.col("row") != F.col("first")).select(F.col("row").alias("_gone")).distinct()
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
+    kept = documents.join(gone, key == F.col("_gone"), "left_anti")
+    repeated = stage(every.groupBy(F.col("row").alias("_row")).count().where(F.col("count") > 1).select("_row"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, key == F.col("_row"), "left_semi").withColumn("_once", key).dropDuplicates(["_once"]).drop("_once")
+    return kept.join(repeated, key == F.col("_row"), "left_anti").unionByName(once)

@@ -379,20 +379,46 @@ def test_constant_model(spark):
 # ---- findings of the review ----
 
 
-def test_jaccard_rounds_reach_recall():
-    """Pairs just at the threshold, simulated: their meeting in the runs of a round, to the power of the rounds."""
+def test_jaccard_runs_reach_recall():
+    """Pairs just at the threshold, simulated: each branch of each run samples tokens that the pair shares or not."""
     rng = np.random.default_rng(1)
-    alike = np.zeros(1_000_000, np.uint64)
-    for c in range(jaccard.COORDINATES):
-        alike |= (rng.random(len(alike)) < 0.8).astype(np.uint64) << np.uint64(c)
-    unlikely = np.bitwise_count(alike) < jaccard.LIKELY * jaccard.COORDINATES
-    for depth in range(1, jaccard.DEPTH + 1):
-        met = np.zeros(len(alike), bool)
-        for path in jaccard._PATHS:
-            mask = np.uint64(sum(1 << c for c in path[:depth]))
-            met |= (alike & mask) == mask
-        missed = (unlikely | ~met).mean() ** jaccard.ROUNDS[depth]
-        assert missed <= 1 - jaccard.RECALL + (5e-6 if jaccard.ROUNDS[depth] == 1 else 0)  # the simulation's own error
+    n = 300_000
+    for depth in (1, 2, 4, jaccard.DEPTH, 2 * jaccard.DEPTH):
+        alive = (rng.random(n) < 0.8).astype(np.int64)  # branches that hold both, up to a number that hardly dies out
+        for _ in range(depth - 1):
+            alive = rng.binomial(np.minimum(alive, 40) * jaccard.BRANCH, 0.8)
+        met = (alive > 0).mean()
+        assert abs(met - jaccard.meeting_chance(depth)) < 0.005
+        assert (1 - jaccard.meeting_chance(depth)) ** jaccard.RUNS <= 1 - jaccard.RECALL
+
+
+def test_jaccard_split_brings_pairs_together():
+    """A crowd of pairs at the threshold in one group: nearly each pair meets in a leaf, whatever the depth."""
+    rng = np.random.default_rng(2)
+    n = 3000
+    marks = rng.integers(0, 3, (2 * n, jaccard.COORDINATES)).astype(np.uint8)  # others agree by a third
+    same = rng.random((n, jaccard.COORDINATES)) < 0.8
+    marks[1::2] = np.where(same, marks[::2], 3 + rng.integers(0, 200, same.shape))
+    leaves, whole = jaccard._split(marks, 5)
+    met = np.zeros(n, bool)
+    for own in (*leaves, *whole):
+        pairs, counts = np.unique(own // 2, return_counts=True)
+        met[pairs[counts > 1]] = True
+    assert max(len(x) for x in leaves) <= jaccard.LEAF and met.mean() >= jaccard.meeting_chance(2 * jaccard.DEPTH) - 0.02
+
+
+def test_jaccard_hot_tokens_and_repeated_ids(spark, monkeypatch):
+    """Groups beyond GROUP are split by further keys; ids may repeat with other texts or be missing; NUL is no space."""
+    monkeypatch.setattr(jaccard, "GROUP", 40)
+    monkeypatch.setattr(jaccard, "LEAF", 8)
+    rng = random.Random(15)
+    texts = near_copies(rng, 3, 60) + [words(rng, 40) for _ in range(20)]
+    assert {r.doc_id: (r.class_id, r.n_links) for r in jaccard.join(documents(spark, texts)).collect()} == brute_links(texts)
+    rows = [(5, texts[0]), (5, texts[-1]), (None, texts[0]), (7, texts[-1]), (7, texts[-1]), (8, "a\0b c d e f"), (9, "a b c d e f"), (10, "\0"), (11, "\0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.class_id, r.n_links) for r in jaccard.join(docs).collect())
+    assert got == [(False, 5, 5, 1), (False, 5, 5, 2), (False, 7, 5, 2), (False, 7, 5, 2), (False, 8, 8, 0), (False, 9, 9, 0), (False, 10, 10, 1), (False, 11, 10, 1), (True, 0, 5, 1)]
+    assert sorted(r.doc_id for r in jaccard.keep_one(docs).collect()) == [5, 5, 8, 9, 10]
 
 
 def pairs_from_a_pool(rng, n):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,22 +17,41 @@ SPACE = "\\x20\\x09-\\x0D"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only on a local master (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="parchment-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+@contextmanager
+def _without_shuffle_files(spark: SparkSession) -> Iterator[None]:
+    """What is written within leaves no shuffle files behind: the written table takes their place."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    if not spark.conf.isModifiable(setting):
+        yield
+        return
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate result to the shared folder and read it back.
 
     Cuts lineage without tying rows to one executor, and gives later joins true sizes.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    with _without_shuffle_files(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 #: Rows up to which a staged table of a few numbers a row is broadcast.
@@ -44,22 +64,12 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
-    """Write a table bucketed and sorted by ``key`` to the shared folder, so that grouping by it needs no shuffle.
-
-    The shuffle files of the write are of no use later and are removed with it, where Spark has a setting for that.
-    """
+    """Write a table bucketed and sorted by ``key`` to the shared folder, so that grouping by it needs no shuffle."""
     spark = df.sparkSession
     table_name = f"{name}_{uuid.uuid4().hex}"
-    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(setting, None)
-    if before is not None:
-        spark.conf.set(setting, "true")
-    try:
+    with _without_shuffle_files(spark):
         writer = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).format("parquet")
         writer.option("path", f"{shared_dir(spark)}/{table_name}").saveAsTable(table_name)
-    finally:
-        if before is not None:
-            spark.conf.set(setting, before)
     return spark.table(table_name)
 
 

@@ -72,7 +72,10 @@ def enqueue(requests: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def release_expired(jobs: DataFrame, now: Column) -> DataFrame:
-    """Jobs after the sweep: leased and running ones without a living lease are queued again."""
+    """Jobs after the sweep: leased and running ones without a living lease are queued again, at once.
+
+    Adds ``released`` and ``document_status``, the status that the document of a released job falls back to.
+    """
     expired = F.col("status").isin("LEASED", "RUNNING") & (F.col("lease_expires_at").isNull() | (F.col("lease_expires_at") <= now))
     return jobs.withColumns(
         {
@@ -80,6 +83,8 @@ def release_expired(jobs: DataFrame, now: Column) -> DataFrame:
             "status": F.when(expired, "QUEUED").otherwise(F.col("status")),
             "leased_by": F.when(~expired, F.col("leased_by")),
             "lease_expires_at": F.when(~expired, F.col("lease_expires_at")),
+            "available_at": F.when(expired, now).otherwise(F.col("available_at")),
+            "document_status": F.when(expired, "QUEUED_FOR_PARSE"),
         }
     )
 
@@ -107,17 +112,56 @@ def lease_next(jobs: DataFrame, workers: list[str], now: Column, lease_seconds:
     return claim(release_expired(jobs, now), workers, now, lease_seconds)
 
 
+def _own_or(rows: DataFrame, name: str, default: Column) -> Column:
+    return F.coalesce(F.col(name), default) if name in rows.columns else default
+
+
 def after_failure(rows: DataFrame, now: Column, max_attempts: int = v.MAX_ATTEMPTS, backoff: int = v.BACKOFF_SECONDS) -> DataFrame:
-    """Running jobs with an ``error_code``: next status, attempt, availability, and the document's status."""
-    again = F.col("error_code").isin(*RETRYABLE) & ~F.col("error_code").isin(*TERMINAL_CODES) & (F.col("attempt") + 1 < max_attempts)
+    """Running jobs with an ``error_code``: next status, attempt, availability, and the document's status.
+
+    A job's own ``max_attempts`` and an error's own ``retryable``, where there are such columns, go before the defaults.
+    The lease ends with the run. A job that ends for good keeps its availability.
+    """
+    curable = _own_or(rows, "retryable", F.col("error_code").isin(*RETRYABLE)) & ~F.col("error_code").isin(*TERMINAL_CODES)
+    again = curable & (F.col("attempt") + 1 < _own_or(rows, "max_attempts", F.lit(max_attempts)))
+    before = F.col("available_at") if "available_at" in rows.columns else F.lit(None).cast("timestamp")
     return rows.withColumns(
         {
             "status": F.when(again, "QUEUED").otherwise("FAILED_TERMINAL"),
             "document_status": F.when(again, "QUEUED_FOR_PARSE").when(F.col("error_code").isin(*UNSUPPORTED_CODES), "UNSUPPORTED").otherwise("PARSE_FAILED"),
-            "available_at": F.when(again, now + F.make_dt_interval(secs=F.lit(backoff))),
+            "available_at": F.when(again, now + F.make_dt_interval(secs=F.lit(backoff))).otherwise(before),
+            "attempt": F.col("attempt") + 1,
+            "leased_by": F.lit(None).cast("string"),
+            "lease_expires_at": F.lit(None).cast("timestamp"),
+        }
+    )
+
+
+def run_leased(jobs: DataFrame, now: Column, max_attempts: int = v.MAX_ATTEMPTS, backoff: int = v.BACKOFF_SECONDS) -> DataFrame:
+    """Leased jobs with the ``error_code`` of their run (null: it succeeded) after that run; a failure is a row like others.
+
+    Adds ``job_walk`` and ``document_walk``, the statuses passed through in order, to what ``after_failure`` gives.
+    """
+    failed = after_failure(jobs.where("error_code is not null"), now, max_attempts, backoff)
+    again = F.col("status") == "QUEUED"
+    failed = failed.withColumns(
+        {
+            "job_walk": F.when(again, F.array(*map(F.lit, ("RUNNING", "FAILED_RETRYABLE", "QUEUED")))).otherwise(F.array(*map(F.lit, ("RUNNING", "FAILED_TERMINAL")))),
+            "document_walk": F.array(F.lit("INSPECTING"), F.lit("PARSING"), F.col("document_status")),
+        }
+    )
+    done = jobs.where("error_code is null").withColumns(
+        {
+            "status": F.lit("SUCCEEDED"),
+            "document_status": F.lit("READY_FOR_REVIEW"),
             "attempt": F.col("attempt") + 1,
+            "leased_by": F.lit(None).cast("string"),
+            "lease_expires_at": F.lit(None).cast("timestamp"),
+            "job_walk": F.array(F.lit("RUNNING"), F.lit("SUCCEEDED")),
+            "document_walk": F.array(*map(F.lit, ("INSPECTING", "PARSING", "NORMALIZING", "STRUCTURING", "READY_FOR_REVIEW"))),
         }
     )
+    return done.unionByName(failed, allowMissingColumns=True)
 
 
 def reprocess_error(status: Column) -> Column:

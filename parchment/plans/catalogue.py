@@ -337,16 +337,17 @@ def promoted_fields(spark, read):
 
 # ---- metrics ----------------------------------------------------------------------------------------------------------
 
-_ASCII = "regexp_replace({0}, '[^ -~]', '', 'g')"
-
-
 @query(
-    f"""WITH p AS (SELECT a.doc_id::VARCHAR AS document_id, {_ASCII.format("a.text")} AS e, {_ASCII.format("b.text")} AS f FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE a.n_chars <= 600 AND b.n_chars <= 600),
-    k AS (SELECT document_id, {_key("e")} AS e, {_key("f")} AS f FROM p)
-    SELECT document_id, round(greatest(0.0, 1 - levenshtein(e, f) / greatest(length(e), 1)), 6) AS value FROM k"""
+    f"""WITH k AS (SELECT doc_id, {_key("text")} AS k FROM documents),
+    f AS (SELECT coalesce(string_agg(c, '' ORDER BY c), '') AS f FROM (SELECT DISTINCT unnest(regexp_extract_all(k, '[^\\x00-\\x7F]')) AS c FROM k)),
+    b AS (SELECT doc_id, translate(k, f, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS k FROM k, f)
+    SELECT a.doc_id::VARCHAR AS document_id, round(greatest(0.0, 1 - levenshtein(a.k, b.k) / greatest(length(a.k), 1)), 6) AS value FROM b a JOIN b ON b.doc_id = a.doc_id + 1"""
 )
 def cer_near_copies(spark, read):
-    """Character accuracy of whole texts against the following text. The SQL still has only ASCII and up to 600 characters."""
+    """Character accuracy of whole texts against the following text.
+
+    The SQL's distance counts bytes, so it gives each of up to 26 letters beyond ASCII one of A-Z, which folded text lacks.
+    """
     return metrics.character_accuracy(_neighbours(read)).select("document_id", F.round("value", 6).alias("value"))
 
 
@@ -678,6 +679,70 @@ def job_retry_outcome(spark, read):
     return queue.after_failure(failed, F.col("created_at")).select("id", "status", "document_status", "attempt")
 
 
+_RELEASED_SQL = f"""{_JOBS_SQL}, s AS (SELECT j.*, t, status IN ('LEASED', 'RUNNING') AND (lease IS NULL OR lease <= t) AS x FROM j, now)"""
+
+
+@query(f"WITH {_RELEASED_SQL} SELECT id, CASE WHEN x THEN 'QUEUED' ELSE status END AS status, CASE WHEN x THEN t ELSE avail END AS available_at, CASE WHEN x THEN 'QUEUED_FOR_PARSE' END AS document_status FROM s")
+def lease_release(spark, read):
+    """Every job after the sweep: a released one is available at once, and its document is queued with it."""
+    rows = queue.release_expired(_jobs(read).join(F.broadcast(_now(read)), how="cross"), F.col("now"))
+    return rows.select("id", "status", "available_at", "document_status")
+
+
+@query(
+    f"""WITH {_RELEASED_SQL}, r AS (SELECT id, t, row_number() OVER (ORDER BY created_at, id) AS n FROM s WHERE x OR (status = 'QUEUED' AND (avail IS NULL OR avail <= t)))
+    SELECT id, ['anna', 'bert', 'carl', 'dora'][n] AS leased_by, t + INTERVAL {v.LEASE_SECONDS} SECOND AS lease_expires_at FROM r WHERE n <= 4"""
+)
+def lease_next(spark, read):
+    """Sweep, then claim: released jobs stand in the queue with the others."""
+    rows = queue.lease_next(_jobs(read).join(F.broadcast(_now(read)), how="cross"), ["anna", "bert", "carl", "dora"], F.col("now"))
+    return rows.select("id", "leased_by", "lease_expires_at")
+
+
+_RUN_CODES = ("parse_timeout", "provider_failure", "encrypted_pdf", "normalization_failure", "invalid_pdf")
+_RUNS_SQL = f"""x AS (SELECT *, [{", ".join(f"'{c}'" for c in _RUN_CODES)}][1 + id % 7] AS code, 1 + (id % 4)::INT AS most, CASE WHEN id % 11 = 0 THEN id % 2 = 0 END AS own FROM j WHERE status = 'LEASED'),
+y AS (SELECT *, code IS NOT NULL AND coalesce(own, code IN ('parse_timeout', 'provider_failure')) AND code NOT IN ('encrypted_pdf', 'invalid_pdf', 'unsupported_input', 'normalization_failure', 'parser_strategy_undecided') AND attempt + 1 < most AS again FROM x)"""
+
+
+def _runs(read) -> DataFrame:
+    """Leased jobs with how their run ended, their own limit of attempts, and some errors that say if a retry may help."""
+    rows = _jobs(read).where("status = 'LEASED'")
+    code = F.get(F.array(*map(F.lit, _RUN_CODES)), (F.col("id") % 7).cast("int"))
+    return rows.withColumns({"error_code": code, "max_attempts": (F.col("id") % 4 + 1).cast("int"), "retryable": F.when(F.col("id") % 11 == 0, F.col("id") % 2 == 0)})
+
+
+@query(
+    f"""WITH {_JOBS_SQL}, {_RUNS_SQL} SELECT id, CASE WHEN again THEN 'QUEUED' ELSE 'FAILED_TERMINAL' END AS status, attempt + 1 AS attempt,
+    CASE WHEN again THEN created_at + INTERVAL {v.BACKOFF_SECONDS} SECOND ELSE avail END AS available_at, NULL::VARCHAR AS leased_by FROM y WHERE code IS NOT NULL"""
+)
+def retry_with_own_limit(spark, read):
+    failed = queue.after_failure(_runs(read).where("error_code is not null"), F.col("created_at"))
+    return failed.select("id", "status", "attempt", "available_at", "leased_by")
+
+
+@query(
+    f"""WITH {_JOBS_SQL}, {_RUNS_SQL} SELECT id, CASE WHEN code IS NULL THEN 'RUNNING,SUCCEEDED' WHEN again THEN 'RUNNING,FAILED_RETRYABLE,QUEUED' ELSE 'RUNNING,FAILED_TERMINAL' END AS job_walk,
+    'INSPECTING,PARSING,' || CASE WHEN code IS NULL THEN 'NORMALIZING,STRUCTURING,READY_FOR_REVIEW' WHEN again THEN 'QUEUED_FOR_PARSE' WHEN code IN ('encrypted_pdf', 'invalid_pdf') THEN 'UNSUPPORTED' ELSE 'PARSE_FAILED' END AS document_walk FROM y"""
+)
+def status_walk(spark, read):
+    """What a run leads each leased job and its document through."""
+    rows = queue.run_leased(_runs(read), F.col("created_at"))
+    return rows.select("id", F.array_join("job_walk", ",").alias("job_walk"), F.array_join("document_walk", ",").alias("document_walk"))
+
+
+_DOCUMENT_MOVES_SQL = ", ".join(f"('{a}', '{b}')" for a, bs in queue.DOCUMENT_MOVES.items() for b in bs)
+_DOC_STATUS = {"signup": "UPLOADED", "view": "INSPECTING", "click": "PARSING", "purchase": "READY_FOR_REVIEW", "error": "PARSE_FAILED"}
+_DOC_STATUS_SQL = "CASE event_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _DOC_STATUS.items()) + " END"
+
+
+@query(f"WITH h AS (SELECT event_id, {_DOC_STATUS_SQL} AS status, lag({_DOC_STATUS_SQL}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events) SELECT event_id, previous, status FROM h WHERE previous IS NOT NULL AND previous <> status AND (previous, status) NOT IN ({_DOCUMENT_MOVES_SQL})")
+def illegal_document_moves(spark, read):
+    """Events as a document's history; to stay in a status is allowed."""
+    status = F.create_map(*(F.lit(x) for p in _DOC_STATUS.items() for x in p))[F.col("event_type")]
+    rows = queue.illegal_moves(read("events").withColumn("status", status), queue.DOCUMENT_MOVES, "user_id", "ts", "event_id")
+    return rows.select("event_id", "previous", "status")
+
+
 @query(
     f"""WITH j AS (SELECT o_custkey AS d, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS g, o_orderstatus <> 'O' AS done FROM orders),
     c AS (SELECT c_custkey AS d, coalesce(max(g) + 1, 0) AS n, min(CASE WHEN NOT done THEN g END) AS live FROM customer LEFT JOIN j ON d = c_custkey GROUP BY c_custkey)

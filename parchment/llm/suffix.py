@@ -43,14 +43,14 @@ from .common import BYTE_VALUES, bucketed, flatten, mix, powers, prefix_hashes,
 LENGTH = 50
 GRAM = 24
 #: Bytes of text in a chunk, of a long text's piece, and of text behind one range of hashes.
-CHUNK, PIECE, RANGE = 8 << 20, 1 << 20, 32 << 20
+CHUNK, PIECE, RANGE = 8 << 20, 1 << 20, 12 << 20
 #: Windows in a block; longer runs (of periodic text) are cut.
 CUT = 256
 #: A hash is dealt out by whole windows if one chunk has more than VARIANTS blocks of it, or all chunks together have
 #: more than HOT with more than VARIANTS different checksums of a byte.
 HOT, VARIANTS = 256, 64
-#: Symbols that go through linear grouping together.
-BATCH = 3 << 20
+#: Symbols that go through linear grouping together, and blocks that a chunk gathers at a time.
+BATCH, GATHER = 3 << 20, 300_000
 
 
 def suffix_arrays(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -352,6 +352,41 @@ def _hashed(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return mix(np.add.reduceat(values, np.cumsum(sizes) - sizes))
 
 
+def _gathered(
+    data: np.ndarray, base: np.ndarray, docs: np.ndarray, ranges: int, text: np.ndarray, first: np.ndarray, size: np.ndarray, keys: np.ndarray, names: np.ndarray, step: np.ndarray, pieces: np.ndarray
+) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
+    """A range and the arrays of a message (see BLOCKS) for it, from runs of windows that are cut every ``step`` windows."""
+    row = np.repeat(np.arange(len(text)), pieces)
+    inner = _spread(np.zeros(len(text), np.int64), pieces) * step[row]
+    text, first, names = text[row], first[row] + inner, names[row]
+    size = np.minimum(size[row] - inner, step[row]) + LENGTH - 1
+    starts = base[text] + first
+    cut = np.flatnonzero(pieces[row] > 1)
+    for lo in range(0, len(cut), 1 << 15):
+        at = cut[lo : lo + (1 << 15)]
+        names[at] = _hashed(data, starts[at], size[at])
+    keys = np.where(step[row] == 1, _short(names, ranges), keys[row])
+    # Equal blocks become one row; those whose names alone are equal stay apart.
+    order = np.lexsort((names, keys))
+    keys, names, starts, size, text, first = keys[order], names[order], starts[order], size[order], text[order], first[order]
+    of = docs[text]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (names[1:] != names[:-1]) | (size[1:] != size[:-1])
+    lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+    for lo in range(0, len(keys), 1 << 15):
+        at = np.arange(lo, min(lo + (1 << 15), len(keys)))
+        same = data[_spread(starts[at], size[at])] == data[_spread(starts[lead[at]], size[at])]
+        new[at] |= ~np.minimum.reduceat(same, np.cumsum(size[at]) - size[at])
+    lead = np.flatnonzero(new)
+    many = np.diff(np.append(lead, len(keys)))
+    keys = keys[lead]
+    for at in np.split(np.arange(len(lead)), np.flatnonzero(np.diff(keys >> 32)) + 1):
+        rows = slice(lead[at[0]], lead[at[-1]] + many[at[-1]])
+        parts = [data[_spread(starts[lead[x]], size[lead[x]])] for x in np.array_split(at, len(at) // (1 << 15) + 1)]
+        low = np.diff(keys[at] & 0xFFFFFFFF, prepend=0).astype(np.uint32)
+        yield int(keys[at[0]] >> 32), (low, size[lead[at]].astype(np.uint16), many[at].astype(np.uint32), np.concatenate(parts), text[rows].astype(np.uint32), first[rows].astype(np.uint32), of[rows])
+
+
 def _blocks(texts: DataFrame, shared: DataFrame, ranges: int) -> DataFrame:
     """``range, chunk, <BLOCKS>``: a chunk's distinct blocks with shared hashes, as compressed arrays sorted by key.
 
@@ -388,42 +423,18 @@ def _blocks(texts: DataFrame, shared: DataFrame, ranges: int) -> DataFrame:
             hot = np.where(found, hot_known[at] > 0, hot)
         pick = wanted[which]
         text, first, size, keys, names, hot = text[pick], first[pick], size[pick], hashes[pick], names[pick], hot[which][pick]
-        # Hot ones become single windows, long ones are cut.
+        # Hot ones become single windows, long ones are cut. Blocks of a hash are gathered together, bounded otherwise.
         step = np.where(hot, 1, CUT)
         pieces = -(-size // step)
-        row = np.repeat(np.arange(len(text)), pieces)
-        inner = _spread(np.zeros(len(text), np.int64), pieces) * step[row]
-        text, first, keys, names = text[row], first[row] + inner, keys[row], names[row]
-        size = np.minimum(size[row] - inner, step[row]) + LENGTH - 1
+        change = np.concatenate(([True], keys[1:] != keys[:-1]))
+        part_of = np.maximum.accumulate(np.where(change, (np.cumsum(pieces) - pieces) // GATHER, 0))
         data = np.frombuffer(b"".join(own), np.uint8)
-        starts = np.concatenate(([0], np.cumsum([len(t) for t in own])))[text] + first
-        cut = np.flatnonzero(pieces[row] > 1)
-        for lo in range(0, len(cut), 1 << 15):
-            at = cut[lo : lo + (1 << 15)]
-            names[at] = _hashed(data, starts[at], size[at])
-        keys = np.where(hot[row], _short(names, ranges), keys)
-        # Equal blocks become one row; those whose names alone are equal stay apart.
-        order = np.lexsort((names, keys))
-        keys, names, starts, size, of = keys[order], names[order], starts[order], size[order], docs[text[order]]
-        text, first = text[order], first[order]
-        new = np.ones(len(keys), dtype=bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (names[1:] != names[:-1]) | (size[1:] != size[:-1])
-        lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-        for lo in range(0, len(keys), 1 << 15):
-            at = np.arange(lo, min(lo + (1 << 15), len(keys)))
-            same = data[_spread(starts[at], size[at])] == data[_spread(starts[lead[at]], size[at])]
-            new[at] |= ~np.minimum.reduceat(same, np.cumsum(size[at]) - size[at])
-        lead = np.flatnonzero(new)
-        many = np.diff(np.append(lead, len(keys)))
-        keys = keys[lead]
-        cuts = np.flatnonzero(np.diff(keys >> 32)) + 1
+        base = np.concatenate(([0], np.cumsum([len(t) for t in own])))
         out: dict[str, list] = {c: [] for c in kinds}
-        for at in np.split(np.arange(len(lead)), cuts) if len(lead) else ():
-            own_rows = slice(lead[at[0]], lead[at[-1]] + many[at[-1]])
-            parts = [data[_spread(starts[lead[x]], size[lead[x]])] for x in np.array_split(at, len(at) // (1 << 15) + 1)]
-            columns = (np.diff(keys[at] & 0xFFFFFFFF, prepend=0).astype(np.uint32), size[lead[at]].astype(np.uint16), many[at].astype(np.uint32), np.concatenate(parts), text[own_rows].astype(np.uint32), first[own_rows].astype(np.uint32), of[own_rows])
-            for c, value in zip(kinds, (int(keys[at[0]] >> 32), chunk.column("chunk")[0].as_py(), *(zstandard.compress(x.tobytes(), 1) for x in columns)), strict=True):
-                out[c].append(value)
+        for at in np.split(np.arange(len(keys)), np.flatnonzero(np.diff(part_of)) + 1) if len(keys) else ():
+            for which_range, columns in _gathered(data, base, docs, ranges, text[at], first[at], size[at], keys[at], names[at], step[at], pieces[at]):
+                for c, value in zip(kinds, (which_range, chunk.column("chunk")[0].as_py(), *(zstandard.compress(x.tobytes(), 1) for x in columns)), strict=True):
+                    out[c].append(value)
         return pa.table({c: pa.array(v, kinds[c]) for c, v in out.items()})
 
     ddl = "range long, chunk long, " + ", ".join(f"{c} binary" for c in BLOCKS)

@@ -36,7 +36,7 @@ def removed(docs):
 
 def test_common_phrase_is_split(spark, monkeypatch):
     """A phrase shorter than a window stands in every document, in ever new surroundings; copies and periods besides."""
-    for name, value in (("CHUNK", 2000), ("RANGE", 4000), ("HOT", 3), ("VARIANTS", 2), ("CUT", 7), ("BATCH", 500)):
+    for name, value in (("CHUNK", 2000), ("RANGE", 4000), ("HOT", 3), ("VARIANTS", 2), ("CUT", 7), ("BATCH", 500), ("GATHER", 40)):
         monkeypatch.setattr(suffix, name, value)
     rng = random.Random(53)
     phrase, longer = "this common phrase of forty bytes or so", words(rng, 25)

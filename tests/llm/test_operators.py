@@ -139,12 +139,47 @@ def test_decontamination(spark):
     assert decontaminate.find_overlaps(documents(spark, []), bench).count() == 0
 
 
-def test_decontamination_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_TOKENS", 20)
-    items = [" ".join(f"i{i}w{k}" for k in range(15)) for i in range(9)]
-    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    got = sorted((r.doc_id, r.item_id) for r in decontaminate.find_overlaps(documents(spark, items), bench).collect())
-    assert got == [(i, i) for i in range(9)]
+def brute_overlaps(text, item):
+    """All diagonals of a text and an item, token by token."""
+    split = lambda x: re.findall("[0-9a-z\x80-\U0010ffff]+", (x or "").lower())
+    a, b, best = split(text), split(item), None
+    for base in range(-len(b) + 1, len(a)) if len(b) >= decontaminate.MIN_TOKENS else ():
+        equal = [0 <= base + k < len(a) and a[base + k] == b[k] for k in range(len(b))]
+        inside = [e for k, e in enumerate(equal) if 0 <= base + k < len(a)]
+        run = max((j - i for i in range(len(inside)) for j in range(i + 1, len(inside) + 1) if sum(inside[i:j]) >= decontaminate.SHARE * (j - i) - 1e-9), default=0)
+        if sum(equal) >= decontaminate.SHARE * len(b) - 1e-9 or run >= decontaminate.STRETCH:
+            best = max(best or (0, 0), (sum(equal), run))
+    return best and (len(b), *best)
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_decontamination_against_all_diagonals(spark, monkeypatch, small):
+    """Broadcast and joined benchmarks give what all diagonals of all pairs give."""
+    monkeypatch.setattr(decontaminate, "PAIRS", 50)
+    if not small:
+        monkeypatch.setattr(decontaminate, "SMALL_TOKENS", 10)
+        monkeypatch.setattr(decontaminate, "BITS", 1 << 12)
+    rng = random.Random(16)
+    vocabulary = [f"w{k}" for k in range(40)]
+    items = [" ".join(rng.choice(vocabulary) for _ in range(n)) for n in (8, 9, 12, 20, 40, 40, 5)] + ["same " * 30, None, "", "é ü " * 8]
+    texts = [None, "", "same " * 70, "É Ü " * 9 + "."]
+    for _ in range(40):
+        own = rng.choice([x for x in items if x]).split()
+        own = [rng.choice(vocabulary) if rng.random() < rng.choice([0, 0.1, 0.2, 0.3]) else w for w in own][rng.randrange(3) :]
+        texts.append(" ".join([*(rng.choice(vocabulary) for _ in range(rng.randrange(12))), *own, *(rng.choice(vocabulary) for _ in range(9))]))
+    expected = {(d, i): found for d, t in enumerate(texts) for i, x in enumerate(items) if (found := brute_overlaps(t, x))}
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string").withColumn("doc_id", F.lit(1))
+    rows = decontaminate.find_overlaps(documents(spark, texts).withColumn("item", F.lit(2)), bench).collect()
+    assert {(r.doc_id, r.item_id): (r.item_tokens, r.equal_tokens, r.longest_stretch) for r in rows} == expected and len(rows) == len(expected) > 20
+
+
+def test_decontamination_rows_and_periods(spark):
+    """Texts under one key are told apart; a long periodic text against a periodic item stays bounded."""
+    item = " ".join(f"w{k}" for k in range(20))
+    docs = spark.createDataFrame([(1, item), (1, "clean text"), (None, item), (2, "same " * 30_000)], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, item), (1, "same " * 100)], "item_id long, text string")
+    assert sorted((r.doc_id or 0, r.item_id, r.equal_tokens) for r in decontaminate.find_overlaps(docs, bench).collect()) == [(0, 0, 20), (1, 0, 20), (2, 1, 100)]
+    assert [tuple(r) for r in decontaminate.remove_contaminated(docs, bench).collect()] == [(1, "clean text")]
 
 
 # ---- 4 ----

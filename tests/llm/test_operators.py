@@ -206,6 +206,42 @@ def test_html_without_article(spark):
     assert all(r.text == ("varying words " * (r.page_id + 3)).strip() for r in got)
 
 
+def test_html_classes_against_explicit_vectors(spark):
+    """Occurrence vectors, written out, give the same classes, with their tokens nested; the template needs no article tag."""
+    rng = random.Random(17)
+    rows = []
+    for i in range(12):
+        teasers = "".join(f"<div class='t'><span>{words(rng, 3)}</span></div>" for _ in range(rng.randrange(1, 5)))
+        late = "<div id=late>x</div>" if i % 2 else ""
+        rows.append((i, "http://h.example/p", f"<body><div id=top>Home</div>{late}<div id=text><div id=in>{words(rng, 60)}</div> tail {i}</div><div id=more>{teasers}</div></body>"))
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("h.example"))
+    vectors = {}
+    for i, _, page_html in rows:
+        for kind, value, path in html.tokens(page_html):
+            if kind in ("open", "close"):
+                vectors.setdefault(f"{kind} {path}/{value}" if path else f"{kind} {value}", [0] * len(rows))[i] += 1
+    explicit = {}
+    for token, vector in vectors.items():
+        explicit.setdefault(tuple(vector), set()).add(token)
+    expected = {(frozenset(x[5:] for x in own if x.startswith("open ") and f"close {x[5:]}" in own), all(n < 2 for n in v)) for v, own in explicit.items() if sum(map(bool, v)) >= html.MIN_PAGES}
+    got = {(frozenset(r.members), r.once) for r in html.classes(docs).where("host = 'h.example'").collect()}
+    assert got == expected and len(got) == 3
+    template = {r.host: r for r in html.templates(docs).collect()}
+    assert template["h.example"].root == template["*.h.example"].root == "body/div.text" and "open body/div.top" in template["h.example"].fixed
+    texts = {r.page_id: r.text for r in html.extract(docs).collect()}
+    assert all(texts[i] == re.search("id=in>(.*?)</div>", h)[1] + f" tail {i}" for i, _, h in rows)
+
+
+def test_html_inside_the_article(spark):
+    """Named inline and loose elements go, words of other names do not; quotes may stay open; small hosts use their site's template."""
+    inner = "<p title=\"it's>one</p><div class='alert'>two</div><div class='share price'>three</div><p>x <span class='ad'>buy</span> y<p class='comment'>no<p>z <a href='a>b'>link</a>"
+    rows = [(i, f"http://a{i % 4}.site.example/", f"<body><article>{inner} {words(random.Random(i), 20)}</article></body>") for i in range(8)]
+    rows += [(20, "http://q.example/", "<article></article>"), (21, None, "plain " * 70_000), (22, "http://deep.example/", "<div>" * 3000 + "deep")]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"one two three x y z link {words(random.Random(i), 20)}" for i in range(8))
+    assert (got[20], got[21], got[22]) == ("", ("plain " * 70_000).strip(), "deep")
+
+
 # ---- 5 ----
 
 

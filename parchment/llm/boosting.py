@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -23,25 +21,14 @@ def fit(rows: DataFrame, features: list[str], label: str, trees: int = 12, depth
     if weight:
         gbt = gbt.setWeightCol(weight)
     model = gbt.fit(data)
-    return [(float(w), _parse(t.toDebugString)) for w, t in zip(model.treeWeights, model.trees, strict=True)]
-
-
-_IF = re.compile(r"If \(feature (\d+) <= ([-0-9.eE]+)\)")
-_PREDICT = re.compile(r"Predict: ([-0-9.eE]+)")
-
-
-def _parse(description: str) -> tuple:
-    lines = [x.strip() for x in description.splitlines()[1:] if x.strip()]
+    return [(float(w), _node(t._call_java("rootNode"))) for w, t in zip(model.treeWeights, model.trees, strict=True)]
 
-    def node(at: int) -> tuple[tuple, int]:
-        if m := _PREDICT.match(lines[at]):
-            return (float(m[1]),), at + 1
-        m = _IF.match(lines[at])
-        left, at = node(at + 1)
-        right, at = node(at + 1)  # past "Else"
-        return (int(m[1]), float(m[2]), left, right), at
 
-    return node(0)[0]
+def _node(node) -> tuple:
+    if node.subtreeDepth() == 0:
+        return (float(node.prediction()),)
+    split = node.split()
+    return (int(split.featureIndex()), float(split.threshold()), _node(node.leftChild()), _node(node.rightChild()))
 
 
 def margin(trees: list[tuple[float, tuple]], columns: list[Column]) -> Column:

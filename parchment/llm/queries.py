@@ -49,7 +49,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
+    out = urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "host", "path", "rule", "verdict", F.round("block_score", 6).alias("block_score"))
 
 

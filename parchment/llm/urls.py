@@ -1,5 +1,8 @@
 """URL filter: prefix rules first, then boosted trees on lexical features; column expressions throughout.
 
+Without given labels, pages label their urls by content: thin pages and pages made of links count as blocked. The trees
+see only the url. Where there is no html either, hosts with one of a few seed terms count as blocked.
+
 A null url, or one without ``://``, has an empty host and path, fits no rule and is judged by the trees on
 its (empty) features. Empty tables give empty results. Repeated rows are judged alike. Extra columns are ignored.
 """
@@ -10,17 +13,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import let
+from .common import bounded_sample, let
 
 #: (rule, verdict): a rule is host and path prefix. At most ``MAX_RULES`` rules compile into one expression.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 MAX_RULES = 1000
 #: Words whose presence in a host marks a url as labelled "block" when no labelled urls are given.
 SEED_TERMS = ("casino", "pills", "bets", "adult", "spam", "ads-", "porn", "viagra", "loan", "track")
-#: At most about this many labelled urls are used to fit the trees.
+#: At most this many labelled urls are used to fit the trees.
 MAX_TRAIN = 10_000
 FEATURES = ("length", "host_length", "depth", "digit_ratio", "entropy", "parameters", "labels", "hyphens", "longest_label", "vowel_ratio", "suffix_rate")
 THRESHOLD = 0.5
+#: Words of a page, and words for each of its links, below which it counts as blocked.
+THIN, LINKED = 120, 15
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -92,19 +97,25 @@ def seed_labels(urls: DataFrame, url: str = "url", terms=SEED_TERMS) -> DataFram
     return rows.select("url", hit.cast("double").alias("label"))
 
 
+def page_labels(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """``url, label``: 1 for pages of fewer than ``THIN`` words outside of tags or of more than a link for each ``LINKED`` words.
+
+    Pages without url or html are left out.
+    """
+    visible = F.regexp_replace(F.regexp_replace(F.col(html), r"(?is)<(script|style|head)\b.*?</\1\s*>", " "), r"<[^>]*>", " ")
+    rows = pages.where(F.col(url).isNotNull() & F.col(html).isNotNull()).select(F.col(url).alias("url"), F.regexp_count(visible, F.lit(r"\S+")).alias("words"), F.regexp_count(F.col(html), F.lit(r"(?i)<a\b")).alias("links"))
+    return rows.select("url", ((F.col("words") < THIN) | (F.col("links") * LINKED > F.col("words"))).cast("double").alias("label"))
+
+
 def train(labelled: DataFrame, max_train: int = MAX_TRAIN) -> tuple[list, dict[str, float]]:
-    """Trees and the smoothed share of blocked urls by suffix, from at most about ``max_train`` labelled rows.
+    """Trees and the smoothed share of blocked urls by suffix, from at most ``max_train`` labelled rows.
 
-    Rows are sampled by a hash of the url, so the same urls always train the same model. Half of the sample's
-    urls give the suffix statistics and the other half the trees, which thus see them as they are at use.
+    Half of the sample's urls (by hash) give the suffix statistics and the other half the trees, which thus see them as
+    they are at use.
     """
-    total = labelled.count()
-    share = min(1.0, max_train / max(total, 1))
-    pick = F.pmod(F.xxhash64("url"), F.lit(1_000_000))
-    sample = lexical(labelled.where(pick < int(share * 1_000_000))).withColumn("_half", F.pmod(F.xxhash64("url", F.lit(1)), F.lit(2))).persist()
+    sample = lexical(bounded_sample(labelled, max_train)).withColumn("_half", F.pmod(F.xxhash64("url", F.lit(1)), F.lit(2))).persist()
     try:
-        stats = sample.where("_half = 0").groupBy("suffix").agg(F.sum("label").alias("bad"), F.count("*").alias("n"))
-        stats = stats.orderBy(F.desc("n"), "suffix").limit(MAX_RULES).collect()
+        stats = sample.where("_half = 0").groupBy("suffix").agg(F.sum("label").alias("bad"), F.count("*").alias("n")).collect()  # at most max_train
         base = (sum(r["bad"] for r in stats) + 1) / (sum(r["n"] for r in stats) + 2)
         suffixes = {r["suffix"]: (r["bad"] + 10 * base) / (r["n"] + 10) for r in stats} | {"": base}
         rows = sample.where("_half = 1").withColumn("suffix_rate", _suffix_rate(suffixes))
@@ -114,14 +125,16 @@ def train(labelled: DataFrame, max_train: int = MAX_TRAIN) -> tuple[list, dict[s
 
 
 def _suffix_rate(suffixes: dict[str, float]) -> Column:
-    """The share for common suffixes (at most ``MAX_RULES`` of them); the overall share for the rest."""
+    """The share for suffixes of the sample; the overall share for the rest."""
     pairs = [F.lit(x) for k, v in suffixes.items() for x in (k, v)]
     return F.coalesce(F.create_map(*pairs)[F.coalesce(F.col("suffix"), F.lit(""))], F.lit(suffixes[""]))
 
 
 def judge_urls(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES, threshold: float = THRESHOLD, url: str = "url") -> DataFrame:
     """Adds ``host, path, rule, block_score, verdict`` and the features to each row."""
-    trees, suffixes = train(labelled if labelled is not None else seed_labels(pages, url))
+    if labelled is None:
+        labelled = page_labels(bounded_sample(pages.select(url, "html"), MAX_TRAIN), url) if "html" in pages.columns else seed_labels(pages, url)
+    trees, suffixes = train(labelled)
     rows = lexical(pages, url).withColumn("suffix_rate", _suffix_rate(suffixes))
     rows = rows.withColumn("block_score", boosting.probability(trees, [F.col(c) for c in FEATURES]))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)

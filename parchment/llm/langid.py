@@ -3,12 +3,15 @@
 Texts are lower-cased; every run of characters other than letters counts as one space. Null texts, and texts
 without a letter, are ``und`` with score 0. Ties go to the language that sorts first. Repeated rows are scored
 alike; an empty table gives an empty result; without training rows everything is ``und`` with score 0.
-Very long texts are scored in slices, so memory does not grow with them.
+Very long texts are scored in slices and languages in blocks, so memory does not grow with either. Columns other than
+the named ones are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,17 +19,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix
+from .common import bounded_sample, mix
 
 #: Hashed features; n-grams of 1 to ORDERS characters.
 BUCKETS = 1 << 15
 ORDERS = 3
-#: At most about this many texts train the model; languages, at most MAX_LANGS, are the most frequent ones.
+#: At most this many texts train the model, with all of their languages.
 MAX_TRAIN = 20_000
-MAX_LANGS = 200
 SMOOTHING = 0.5
 SLICE = 1 << 20
-_OTHER = re.compile(r"[\W\d_]+")
+#: Features and languages whose scores are looked up at once.
+FEATURES_AT_ONCE, LANGS_AT_ONCE = 1 << 17, 16
+#: Not a letter: also numbers that are no decimal digits, such as fractions and circled ones.
+_OTHER = re.compile(r"[\W\d_" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No")) + "]+")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -78,12 +83,7 @@ def train(rows: DataFrame, max_train: int = MAX_TRAIN) -> tuple[list[str], np.nd
 
     Counts are summed by language and feature in Spark; BUCKETS x languages numbers reach the driver.
     """
-    rows = rows.where("lang is not null")
-    n = rows.count()
-    if not n:
-        return [], np.zeros((BUCKETS, 0), np.float32), np.zeros(0)
-    share = F.lit(int(min(1.0, max_train / n) * 1_000_000))
-    rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).select("lang", "text")
+    rows = bounded_sample(rows.where("lang is not null").select("doc_id", "lang", "text"), max_train).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
@@ -101,7 +101,9 @@ def train(rows: DataFrame, max_train: int = MAX_TRAIN) -> tuple[list[str], np.nd
 
     counts = rows.mapInArrow(count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
     packed = counts.groupBy("lang").agg(F.collect_list(F.struct("feature", "n")).alias("counts"), F.max(F.when(F.col("feature") == BUCKETS, F.col("n"))).alias("docs"))
-    got = sorted(packed.orderBy(F.desc("docs"), "lang").limit(MAX_LANGS).toArrow().to_pylist(), key=lambda r: r["lang"])
+    got = sorted(packed.toArrow().to_pylist(), key=lambda r: r["lang"])
+    if not got:
+        return [], np.zeros((BUCKETS, 0), np.float32), np.zeros(0)
     table = np.zeros((BUCKETS + 1, len(got)))
     for k, r in enumerate(got):
         for c in r["counts"]:
@@ -116,14 +118,18 @@ def predict(documents: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, logs, priors = shared.value
+        parts = [np.ascontiguousarray(logs[:, k : k + LANGS_AT_ONCE]) for k in range(0, len(langs), LANGS_AT_ONCE)]
         for batch in batches:
             texts = _texts(batch, "text")
             names, scores = ["und"] * len(texts), np.zeros(len(texts))
             if langs:
                 totals = np.tile(priors, (len(texts), 1))
                 for found, whose in _slices(texts):
-                    order_starts = np.flatnonzero(np.concatenate(([True], whose[1:] != whose[:-1])))
-                    np.add.at(totals, whose[order_starts], np.add.reduceat(logs[found], order_starts, axis=0, dtype=np.float64))
+                    for at in range(0, len(found), FEATURES_AT_ONCE):
+                        f, w = found[at : at + FEATURES_AT_ONCE], whose[at : at + FEATURES_AT_ONCE]
+                        starts = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
+                        for k, part in enumerate(parts):
+                            np.add.at(totals[:, k * LANGS_AT_ONCE : (k + 1) * LANGS_AT_ONCE], w[starts], np.add.reduceat(part[f], starts, axis=0, dtype=np.float64))
                 best = totals.argmax(1)
                 top = totals.max(1, keepdims=True)
                 share = 1 / np.exp(totals - top).sum(1)

@@ -3,11 +3,14 @@
 A document's tokens (closed by an end token) are cut into full sequences and a rest. Only the histogram of the
 rests' lengths, at most ``capacity`` numbers, reaches the driver. A linear program over cutting patterns is solved
 there by column generation: a knapsack dynamic program prices new patterns against the duals. Patterns are rounded
-down, and what is left is packed by first fit decreasing. Pieces are ranked within their length by a salted count,
-so no task holds all pieces of a length, and ranks are mapped to sequences by a small table of ranges.
+down, and what is left is packed by first fit decreasing. Pieces are ranked within their length by a count per salt,
+with a salt for each ``RANKED`` pieces, so no task holds all pieces of a length; ranks are mapped to sequences by a
+small table of ranges.
 
 A null text is an empty text: its one token is the end token. Repeated ids are documents of their own.
-An empty table gives an empty result. Other columns are ignored.
+Pieces of equal length are ranked by doc_id and place, so ties fall the same way in each run over the same rows; which
+of several repeated rows comes first does not matter. A very long text is cut like any other. An empty table gives an
+empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,14 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import small, stage
 
 CAPACITY = 2048
 END = 1
-SALTS = 64
-#: Column generation ends when Farley's bound shows that at most this share of sequences could still be saved.
+#: Pieces of one length that one task ranks.
+RANKED = 50_000
+#: Column generation ends when Farley's bound shows that at most this share of sequences could still be saved, or no
+#: whole one.
 GAP = 0.0005
-MAX_COLUMNS = 150
 PIECES = "key long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -187,14 +191,12 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, gap: float = GAP) ->
         return True
 
     prices = np.zeros(capacity + 1)
-    for _ in range(MAX_COLUMNS):
-        if use.sum() <= least * (1 + gap):  # no solution is below the volume
-            break
+    bound = least  # no solution is below the volume
+    while use.sum() > bound * (1 + gap) and np.ceil(use.sum() - 1e-6) > np.ceil(bound - 1e-6):
         prices[lengths] = np.maximum(duals, 0)
         value, pattern = knapsack(prices, capacity)
-        if value <= 1 + gap:  # Farley: no solution is below (current / value)
-            break
-        if not enter(pattern):
+        bound = max(bound, float(prices[lengths] @ demand) / max(value, 1.0))  # Farley
+        if value <= 1 + 1e-9 or not enter(pattern):
             break
     plan: list[tuple[dict[int, int], int]] = []
     left = dict(counts)
@@ -229,15 +231,16 @@ def ranges(plan: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int,
 def pack(documents: DataFrame, capacity: int = CAPACITY, end: int = END, vocabulary: str = "byte_bpe_50k") -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``."""
     spark = documents.sparkSession
-    pieces = stage(cut(documents, capacity, end, vocabulary), "pieces").withColumn("salt", F.pmod(F.xxhash64("key", "start"), F.lit(SALTS)))
-    by_salt = stage(pieces.groupBy("length", "salt").count(), "piece-counts")
-    counts = {r["length"]: r["n"] for r in by_salt.groupBy("length").agg(F.sum("count").alias("n")).collect()}
+    pieces = stage(cut(documents, capacity, end, vocabulary), "pieces")
+    counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most capacity rows
     plan = solve(counts, capacity)
+    salts = spark.createDataFrame([(k, -(-n // RANKED)) for k, n in counts.items()], "length long, salts long")
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("key", "start"), F.col("salts"))).drop("salts")
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = by_salt.select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
+    firsts = stage(salted.groupBy("length", "salt").count().select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first")), "first-ranks")
     own = Window.partitionBy("length", "salt").orderBy("doc_id", "key", "start")
-    # firsts has at most capacity * SALTS rows and the ranges at most a few for each length and pattern.
-    ranked = pieces.withColumn("rank", F.row_number().over(own) - 1).join(F.broadcast(firsts), ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("first"))
+    ranked = salted.withColumn("rank", F.row_number().over(own) - 1).join(small(firsts), ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("first"))
+    # At most a few ranges for each length and pattern.
     places = spark.createDataFrame(ranges(plan), "length long, lo long, hi long, copies long, first_sequence long, first_offset long")
     by_length = places.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "copies", "first_sequence", "first_offset"))).alias("places"))
     placed = ranked.join(F.broadcast(by_length), "length").withColumn("p", F.filter("places", lambda x: (x["lo"] <= F.col("rank")) & (F.col("rank") < x["hi"]))[0])

@@ -549,3 +549,113 @@ def test_html_names_around_the_article(spark, before, after):
     rows += [(9, "http://e.example/", rows[0][2])]
     got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r.page_id: r.text for r in got} == {i: ("varying words " * (i % 9 + 3)).strip() for i in (0, 1, 2, 3, 9)}
+
+
+def test_pii_held_out_figures_by_kind(spark):
+    """Planted spans that neither trees nor thresholds saw."""
+    rng = random.Random(18)
+    _, limits, figures = pii.train_and_measure(documents(spark, [words(rng, rng.randrange(5, 60)) for _ in range(300)] + EDGES))
+    assert set(figures) == set(pii.CANDIDATES) == set(limits)
+    for kind, (precision, recall, n) in figures.items():
+        print(kind, precision, recall, n)
+        assert n >= 50 and precision >= 0.9 and recall >= 0.6, kind
+
+
+def test_trees_as_expressions(spark):
+    """The compiled CASE expressions against walking the trees in plain Python."""
+    rng = random.Random(19)
+    rows = [(rng.random(), rng.random(), float(rng.randrange(4))) for _ in range(400)]
+    table = spark.createDataFrame([(a, b, c, float(a > 0.5 or (b < 0.3 and c > 1))) for a, b, c in rows], "a double, b double, c double, y double")
+    trees = boosting.fit(table, ["a", "b", "c"], "y")
+
+    def walk(node, x):
+        return node[0] if len(node) == 1 else walk(node[2] if x[node[0]] <= node[1] else node[3], x)
+
+    got = table.select("a", "b", "c", "y", boosting.probability(trees, [F.col(x) for x in "abc"]).alias("p")).collect()
+    for r in got:
+        margin = sum(w * walk(t, (r.a, r.b, r.c)) for w, t in trees)
+        assert abs(r.p - 1 / (1 + np.exp(-2 * margin))) < 1e-9
+    assert sum((r.p > 0.5) == (r.y == 1) for r in got) >= 0.95 * len(got)
+
+
+def test_url_labels_from_pages(spark):
+    """Thin pages and pages of links count as blocked; the trees learn it from the urls' form."""
+    rng = random.Random(20)
+    name = lambda: "".join(rng.choice("abcdefgh") for _ in range(8))
+    rows = [(f"http://{name()}.example/{name()}/{name()}", f"<body><p>{words(rng, 200)}</body>") for _ in range(150)]
+    rows += [(f"http://{name()}-{name()}{rng.randrange(999)}.example/?a=1&b=2", f"<body>{'<a href=x>link</a> ' * 150}</body>" if rng.random() < 0.5 else f"<p>{words(rng, 20)}</p>") for _ in range(150)]
+    rows += [(None, "x"), ("http://a.example/", None)]
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string")
+    assert [r.label for r in urls.page_labels(pages).collect()] == [0.0] * 150 + [1.0] * 150
+    got = urls.judge_urls(pages).where("rule is null and page_id < 300").select(((F.col("verdict") == "block") == (F.col("page_id") >= 150)).alias("ok")).collect()
+    assert sum(r.ok for r in got) >= 0.97 * len(got) > 200
+
+
+def test_samples_at_any_size(spark):
+    from parchment.llm.common import bounded_sample, sample_limit
+
+    for n in (10, 10**6, 10**12, 10**15):
+        assert abs(sample_limit(n, 1000) / 2**63 - min(1, 1000 / n)) < 1e-9 and sample_limit(n, 1000) > 0
+    rows = spark.createDataFrame([(1, "same")] * 50 + [(i, "x") for i in range(2000)], "doc_id long, text string")
+    assert bounded_sample(rows, 5000).count() == 2050 and 300 < bounded_sample(rows, 500).count() <= 500
+
+
+def test_language_against_plain_bayes(spark):
+    """Counts, priors and scores by an explicit naive Bayes; letters only; any number of languages."""
+    rng = random.Random(21)
+    rows = [(i, " ".join(rng.choice("abcé") * rng.randrange(1, 4) for _ in range(rng.randrange(1, 12))), rng.choice(["aa", "bb", "cc"])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+    def features(text):
+        chars = "".join(c if c.isalpha() else " " for c in text.lower())
+        t = f" {' '.join(chars.split())} "
+        codes = []
+        for n in (1, 2, 3):
+            for i in range(len(t) - n + 1):
+                code = 0
+                for c in t[i : i + n]:
+                    code = (code * 0x110000 + ord(c)) % 2**64
+                codes.append(int(langid.mix(np.array([(code + n) % 2**64], np.uint64))[0]) % langid.BUCKETS)
+        return codes
+
+    counts = {lang: np.full(langid.BUCKETS, langid.SMOOTHING) for lang in ("aa", "bb", "cc")}
+    for _, text, lang in rows:
+        np.add.at(counts[lang], features(text), 1)
+    expected = {}
+    for i, text, _ in rows:
+        own = {lang: np.log(sum(r[2] == lang for r in rows) / len(rows)) + np.log(c / c.sum())[features(text)].sum() for lang, c in counts.items()}
+        best = max(sorted(own), key=own.get)
+        expected[i] = (best, 1 / sum(np.exp(x - own[best]) for x in own.values()))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, langid.train(docs)).collect()}
+    assert all(got[i][0] == best and abs(got[i][1] - score) < 1e-3 for i, (best, score) in expected.items())
+    odd = spark.createDataFrame([(1, "½ ² ① 12"), (2, "_ -"), (3, None), (4, "ª")], "doc_id long, text string")
+    assert [r.lang_pred == "und" for r in langid.predict(odd, langid.train(docs)).orderBy("doc_id").collect()] == [True, True, True, False]
+    many = spark.createDataFrame([(i, chr(0x4E00 + i) * 5, f"l{i:03d}") for i in range(500)], "doc_id long, text string, lang string")
+    model = langid.train(many)
+    assert len(model[0]) == 500 and langid.predict(many, model).join(many, "doc_id").where("lang_pred = lang").count() >= 480
+
+
+def test_cutting_stock_beats_first_fit():
+    """Lengths that first fit decreasing wastes room on; column generation ends by its bound."""
+    counts = {1025: 0, 930: 60, 700: 60, 418: 60, 360: 60, 680: 60}
+    plan, plain = packing.solve(counts), packing.first_fit({k: v for k, v in counts.items() if v}, packing.CAPACITY)
+    used = sum(t for _, t in plan)
+    assert used <= sum(t for _, t in plain) and used * packing.CAPACITY >= sum(k * v for k, v in counts.items())
+    assert used < sum(t for _, t in plain)
+
+
+def test_packing_ids_on_a_whole_table():
+    """The rank file and the tokenizer file give the same ids for every text of a table."""
+    import os
+
+    import pyarrow.parquet as pq
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    table = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(table):
+        pytest.skip("no test data")
+    texts = [t for t in pq.read_table(table, columns=["text"]).column("text").to_pylist() if t is not None]
+    ids = packing.tokenizer_ids()
+    exact = Tokenizer.from_file(path("byte_bpe_50k.json")).encode_batch(texts, add_special_tokens=False)
+    assert all(ids(t).tolist() == e.ids for t, e in zip(texts, exact, strict=True))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flatten, mix, powers, prefix_hashes, slice_hashes, stage, text_chunks, word_slices
+from .common import flatten, mix, powers, prefix_hashes, slice_hashes, small, stage, text_chunks, word_slices
 
 #: Every overlap that SHARE or STRETCH accepts holds one of these: with one token of five substituted, four equal tokens
 #: stand in a row but at 10, 11 and 15 tokens, where runs of at most three meet around a single substituted one.
@@ -267,5 +267,5 @@ def remove_contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "
     """
     row = F.xxhash64(F.col(key).cast("long"), "text")
     keyed = documents.select(row.alias("_row"), "text")
-    bad = find_overlaps(keyed, benchmark, "_row").select(F.col("_row").alias("_bad")).distinct()
-    return documents.join(bad, row == F.col("_bad"), "left_anti")
+    bad = stage(find_overlaps(keyed, benchmark, "_row").select(F.col("_row").alias("_bad")).distinct(), "contaminated")
+    return documents.join(small(bad), row == F.col("_bad"), "left_anti")

@@ -280,7 +280,7 @@ def exact_links(documents: DataFrame, members: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(reps[lo:hi][linked]), pa.array(links[linked].astype(np.int64)), pa.array(reps[lo:hi][labels[linked]])], ["rep", "links", "root"])
 
     texts = _keyed(documents)
-    rows = members.join(texts, members["rep"] == texts["row"])
+    rows = texts.join(small(members), texts["row"] == members["rep"])
     rows = rows.select("component", "rep", "copies", "blocks", "text").mapInArrow(sets, "component long, rep long, copies long, blocks long, shingles binary")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "copies", "block", "shingles")
@@ -334,11 +334,12 @@ def join(documents: DataFrame) -> DataFrame:
 def keep_one(documents: DataFrame) -> DataFrame:
     """One row of each class, that of the smallest doc_id; rows without words stay. Columns stay as they were."""
     every, classes = similar_rows(documents)
-    gone = _placed(every, classes).where(F.col("row") != F.col("first")).select(F.col("row").alias("_gone")).distinct()
+    gone = stage(_placed(every, classes).where(F.col("row") != F.col("first")).select(F.col("row").alias("_gone")).distinct(), "gone")
     key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
-    kept = documents.join(gone, key == F.col("_gone"), "left_anti")
+    kept = documents.join(small(gone), key == F.col("_gone"), "left_anti")
     repeated = stage(every.groupBy(F.col("row").alias("_row")).count().where(F.col("count") > 1).select("_row"), "repeated")
     if repeated.isEmpty():
         return kept
+    repeated = small(repeated)
     once = kept.join(repeated, key == F.col("_row"), "left_semi").withColumn("_once", key).dropDuplicates(["_once"]).drop("_once")
     return kept.join(repeated, key == F.col("_row"), "left_anti").unionByName(once)

@@ -54,11 +54,11 @@ def _key(x: str) -> str:
 
 
 _LINES_SQL = f"""
-lines AS (SELECT doc_id, lang, i AS page_number, trim(l, ' ') AS l FROM (SELECT doc_id, lang, generate_subscripts(a, 1) AS i, unnest(a) AS l FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS a FROM documents)) WHERE i <= {v.MAX_PAGES}),
+lines AS (SELECT doc_id, lang, i AS page_number, trim(l, ' ') AS l FROM (SELECT doc_id, lang, generate_subscripts(a, 1) AS i, unnest(a) AS l FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS a FROM documents))),
 signals AS (
   SELECT doc_id, lang, page_number, length(l) AS n,
          CASE WHEN length(l) = 0 THEN 0.0 ELSE len(regexp_extract_all(l, '{v.UNEXPECTED}')) / length(l) END AS g
-  FROM (SELECT doc_id, lang, page_number, l[:{v.MAX_PAGE_CHARS}] AS l FROM lines)),
+  FROM lines),
 classes AS (SELECT *, CASE WHEN n >= 60 THEN CASE WHEN g >= 0.2 THEN 'garbled' ELSE 'text' END ELSE 'sparse' END AS c FROM signals),
 shares AS (
   SELECT doc_id, any_value(lang) AS lang, count(*) AS pages, avg((c = 'text')::INT) AS t, avg((c = 'garbled')::INT) AS g, avg((c = 'sparse')::INT) AS s, avg(n) AS mean_chars, avg(g) AS mean_garbled
@@ -75,15 +75,14 @@ def _line_pages(read) -> DataFrame:
     return docs.select("document_id", "lang", (F.col("i") + 1).alias("page_number"), "text", F.lit(0.0).alias("image_area_ratio"), F.lit(0).alias("rotation"))
 
 
-def _routes(read) -> DataFrame:
-    return routing.routes(routing.page_signals(_line_pages(read)))
+def _routes(read, *keep: str) -> DataFrame:
+    return routing.routes(routing.page_signals(_line_pages(read)), *keep)
 
 
 @query(f"WITH {_LINES_SQL} SELECT lang, route, count(*) AS n FROM routed GROUP BY lang, route")
 def route_profile(spark, read):
     """Documents by language and route."""
-    lang = read("documents").select(F.col("doc_id").cast("string").alias("document_id"), "lang")
-    return _routes(read).join(lang, "document_id").groupBy("lang", "route").agg(F.count("*").alias("n"))
+    return _routes(read, "lang").groupBy("lang", "route").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_LINES_SQL} SELECT doc_id::VARCHAR AS document_id, pages, route, round(confidence, 6) AS confidence, round(mean_chars, 4) AS mean_chars, round(greatest(0.0, least(1.0, 1 - mean_garbled)), 3) AS text_quality FROM routed")
@@ -479,6 +478,94 @@ def page_attribution(spark, read):
     return metrics.page_attribution(pairs).select("document_id", "value")
 
 
+_SHIPPED_SQL = f"""p AS (SELECT l_orderkey AS k, i, l_returnflag <> 'R' AS found, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, i) AS r FROM {_NUMBERED_SQL}),
+n AS (SELECT k, count(*) AS n, count(*) FILTER (found) AS m FROM p GROUP BY k)"""
+
+
+def _shipped(read) -> tuple[DataFrame, DataFrame]:
+    """Order lines as items in order of their numbers, and as blocks in order of shipping; returned lines are not produced."""
+    rows = _numbered(read).withColumn("r", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_shipdate", "i")))
+    rows = rows.select(F.col("l_orderkey").cast("string").alias("document_id"), "i", "r", F.concat(F.lit("Line "), "i").alias("text"), (F.col("l_returnflag") != "R").alias("found"))
+    truth = rows.groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]).alias("reading_order"))
+    blocks = rows.where("found").select("document_id", F.lit(1).alias("page_number"), F.col("r").alias("reading_order"), F.lit("list_item").alias("type"), F.upper("text").alias("text"))
+    return blocks, truth.withColumn("lists", F.array("reading_order"))
+
+
+@query(
+    f"""WITH {_SHIPPED_SQL}, u AS (SELECT k, coalesce(bool_and(up), true) AS up FROM (SELECT k, r > lag(r) OVER (PARTITION BY k ORDER BY i) AS up FROM p WHERE found) GROUP BY k)
+    SELECT n.k::VARCHAR AS document_id, round(m / n * CASE WHEN coalesce(up, true) THEN 1.0 ELSE 0.5 END, 6) AS value FROM n LEFT JOIN u USING (k)"""
+)
+def list_preservation(spark, read):
+    return metrics.list_preservation(*_shipped(read)).select("document_id", F.round("value", 6).alias("value"))
+
+
+@query(
+    f"""WITH {_SHIPPED_SQL}, c AS (SELECT a.k, count(*) FILTER (b.r > a.r) / count(*) AS c FROM p a JOIN p b ON a.k = b.k AND a.i < b.i WHERE a.found AND b.found GROUP BY a.k)
+    SELECT n.k::VARCHAR AS document_id, round(m / n * coalesce(c, 1.0), 6) AS value FROM n LEFT JOIN c USING (k)"""
+)
+def reading_order_accuracy(spark, read):
+    return metrics.reading_order_accuracy(*_shipped(read)).select("document_id", F.round("value", 6).alias("value"))
+
+
+@query(
+    f"""WITH l AS (SELECT l_orderkey AS k, i, l_partkey::VARCHAR AS part, l_quantity::INT::VARCHAR AS q, l_returnflag AS f FROM {_NUMBERED_SQL}),
+    e AS (SELECT k, x, count(*) AS n FROM (SELECT k, unnest([part, q]) AS x FROM l) GROUP BY k, x),
+    p AS (SELECT k, x, count(*) AS n FROM (SELECT k, unnest([part, CASE WHEN f = 'R' THEN '?' ELSE q END]) AS x FROM l WHERE k % 5 <> 0 OR i > 1) GROUP BY k, x),
+    v AS (SELECT e.k, sum(least(e.n, coalesce(p.n, 0))) / sum(e.n) AS v FROM e LEFT JOIN p ON e.k = p.k AND e.x = p.x GROUP BY e.k)
+    SELECT k::VARCHAR AS document_id, round(CASE WHEN k % 7 = 0 OR (k % 5 = 0 AND lone) THEN 0.0 WHEN k % 5 = 0 THEN v / 2 ELSE v END, 6) AS value FROM v JOIN (SELECT k, count(*) = 1 AS lone FROM l GROUP BY k) USING (k)"""
+)
+def table_structure(spark, read):
+    """Orders as tables: every fifth lacks its first row, every seventh stands on another page, returned quantities are lost."""
+    lines = _numbered(read).select(F.col("l_orderkey").alias("k"), "i", F.col("l_partkey").cast("string").alias("part"), F.col("l_quantity").cast("int").cast("string").alias("q"), "l_returnflag")
+    row = lambda q: F.transform(F.array_sort(F.collect_list(F.struct("i", F.array("part", q).alias("c")))), lambda x: x["c"])
+    document = F.col("k").cast("string").alias("document_id")
+    truth = lines.groupBy("k").agg(row(F.col("q")).alias("cells")).select(document, F.array(F.struct(F.lit(1).alias("page_number"), "cells")).alias("tables"))
+    own = lines.where("k % 5 <> 0 OR i > 1").groupBy("k").agg(row(F.when(F.col("l_returnflag") == "R", "?").otherwise(F.col("q"))).alias("cells"))
+    tables = own.select(document, F.when(F.col("k") % 7 == 0, 2).otherwise(1).alias("page_number"), F.lit("t").alias("table_id"), F.size("cells").alias("n_rows"), F.lit(2).alias("n_cols"), "cells")
+    return metrics.table_structure(tables, truth).select("document_id", F.round("value", 6).alias("value"))
+
+
+@query(f"SELECT page_id::VARCHAR AS document_id, 1 - ((contains({_key(_PAGE.format('article'))}, {_key(_PAGE.format('h1'))}))::INT + (contains({_key(_PAGE.format('article'))}, {_key(_PAGE.format('footer'))}))::INT) / 2 AS value FROM pages")
+def header_footer_leakage(spark, read):
+    """A page's heading and footer as margin texts: the heading leaks into the article, the footer does not."""
+    part = lambda tag: F.regexp_extract("html", rf"(?s)<{tag}>(.*?)</{tag}>", 1)
+    rows = read("pages").select(F.col("page_id").cast("string").alias("document_id"), part("article").alias("text"), F.array(part("h1"), part("footer")).alias("header_footer_texts"))
+    blocks = rows.select("document_id", F.lit(1).alias("page_number"), F.lit(0).alias("reading_order"), F.lit("paragraph").alias("type"), "text")
+    return metrics.leakage(blocks, rows.select("document_id", "header_footer_texts")).select("document_id", "value")
+
+
+@query(
+    """WITH x AS (SELECT l_orderkey AS k, l_orderkey::VARCHAR || '/' || row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS id, CASE WHEN l_partkey % 10 = 0 THEN 'b' || l_linenumber WHEN l_partkey % 3 > 0 THEN 'n' || l_partkey % 4 END AS ref, l_linenumber FROM lineitem),
+    t AS (SELECT DISTINCT l_orderkey AS k, 'n' || l_linenumber AS key FROM lineitem)
+    SELECT 'block_parent_missing' AS rule, x.k::VARCHAR AS document_id, ref AS item, count(*) AS n FROM x LEFT JOIN t ON t.k = x.k AND key = ref WHERE ref IS NOT NULL AND key IS NULL GROUP BY ALL"""
+)
+def dangling_parents(spark, read):
+    """Order lines that refer to nodes named by line numbers of their own order; some refer to no node at all."""
+    part = F.col("l_partkey")
+    ref = F.when(part % 10 == 0, F.concat(F.lit("b"), "l_linenumber")).when(part % 3 > 0, F.concat(F.lit("n"), part % 4))
+    rows = read("lineitem").select(F.col("l_orderkey").cast("string").alias("document_id"), ref.alias("parent_id"), F.concat(F.lit("n"), "l_linenumber").alias("node_id"))
+    return validate.dangling(rows, "parent_id", rows, "node_id", "block_parent_missing").groupBy("rule", "document_id", "item").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH b AS (SELECT l_orderkey AS k, i, 1 + i % 2 AS page, i % 3 AS r, l_quantity - 10 AS x0 FROM {_NUMBERED_SQL}),
+    g AS (SELECT o_orderkey AS k, unnest([1, CASE WHEN o_orderkey % 7 = 0 THEN 3 WHEN o_orderkey % 4 > 0 THEN 2 END]) AS page, o_orderkey % 5 * 45 AS rotation FROM orders), h AS (SELECT * FROM g WHERE page IS NOT NULL)
+    SELECT 'box_order' AS rule, count(*) AS n FROM b WHERE x0 < 0 OR x0 > 30
+    UNION ALL SELECT 'page_shape', count(*) FROM h WHERE rotation NOT IN (0, 90, 180, 270)
+    UNION ALL SELECT 'reading_order_repeated', count(*) FROM (SELECT k FROM b GROUP BY k, page, r HAVING count(*) > 1)
+    UNION ALL SELECT 'page_numbers', count(*) FROM (SELECT k FROM h GROUP BY k HAVING max(page) <> count(*))
+    UNION ALL SELECT 'block_page_missing', count(*) FROM b LEFT JOIN h USING (k, page) WHERE rotation IS NULL"""
+)
+def page_rule_breaks(spark, read):
+    """Order lines as blocks with boxes and orders that break rules, on pages that are turned, skipped or missing."""
+    x0 = F.col("l_quantity") - 10
+    blocks = _numbered(read).select(F.col("l_orderkey").cast("string").alias("document_id"), F.concat(F.lit("b"), "i").alias("block_id"), (1 + F.col("i") % 2).alias("page_number"), (F.col("i") % 3).alias("reading_order"), F.struct(x0.alias("x0"), F.lit(0.0).alias("y0"), F.lit(30.0).alias("x1"), F.lit(5.0).alias("y1")).alias("bbox"))
+    k = F.col("o_orderkey")
+    numbers = F.array_compact(F.array(F.lit(1), F.when(k % 7 == 0, 3).when(k % 4 > 0, 2)))
+    pages = read("orders").select(k.cast("string").alias("document_id"), F.explode(numbers).alias("page_number"), F.lit(595.0).alias("width"), F.lit(842.0).alias("height"), (k % 5 * 45).alias("rotation"))
+    return validate.boxes(blocks).unionByName(validate.pages(pages, blocks)).groupBy("rule").agg(F.count("*").alias("n"))
+
+
 # ---- scores: suppliers as parsers, order lines as measured documents --------------------------------------------------
 
 

@@ -21,7 +21,7 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -372,30 +372,40 @@ PIECES = "conv_id long, turn_index long, formatted string, loss_from long, loss_
 def format_conversations(rows: DataFrame, template: str = TEMPLATE) -> DataFrame:
     """``conv_id, turn_index, formatted, loss_from, loss_to``: the formatted text of each turn, in order.
 
-    A conversation's text is its pieces joined in order of ``turn_index``. ``loss_from`` and ``loss_to`` are
-    code points within the piece, both 0 where nothing is to be learnt. Pieces of a conversation stand together.
+    A conversation's text is its pieces joined in order of ``turn_index``; the last piece ends with what the template has
+    after its loop. ``loss_from`` and ``loss_to`` are code points within the piece, both 0 where nothing is to be learnt.
+    Pieces of a conversation stand together. Rows without conv_id are one conversation; turns without number come first,
+    and equal numbers go by role and text.
     """
+    names = [x.split()[0] for x in PIECES.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        compiled, last, index = Template(template), object(), 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = Template(template)
+        closing = "".join(t for t, _ in compiled.closing())
+        held: list | None = None  # the last piece, until it is known whether its conversation goes on
         for batch in batches:
             out = []
-            for conv, role, text in zip(batch["conv_id"], batch["role"], batch["text"], strict=True):
-                conv = None if pd.isna(conv) else int(conv)
-                index = index + 1 if conv == last else 0
-                last = conv
+            for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
+                goes_on = held is not None and conv == held[0]
+                if held is not None:
+                    out.append(held if goes_on else [*held[:2], held[2] + closing, *held[3:]])
+                index = held[1] + 1 if goes_on else 0
                 pieces = compiled.message(role, text, index)
                 at, start, end = 0, 0, 0
                 for t, learn in pieces:
                     if learn:
                         start, end = (start if end else at), at + len(t)
                     at += len(t)
-                out.append((conv, index, "".join(t for t, _ in pieces), start, end))
-            yield pd.DataFrame(out, columns=["conv_id", "turn_index", "formatted", "loss_from", "loss_to"]).astype({"conv_id": "Int64"})
+                held = [conv, index, "".join(t for t, _ in pieces), start, end]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
+        if held is not None:
+            held[2] += closing
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(held, kinds, strict=True)], names)
 
     rows = rows.select(F.col("conv_id").cast("long"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.mapInPandas(run, PIECES)
+    return ordered.mapInArrow(run, PIECES)
 
 
 _TURN = re.compile(r"<s>\[(?:INST\] (?P<user>.*) \[/INST\]|ANSWER\] (?P<answer>.*)|ROLE\] (?P<role>(?:[^\\\[]|\\.)*)\[TEXT\] (?P<text>.*))</s>\n", re.S)
@@ -414,32 +424,47 @@ def read_turn(formatted: str) -> tuple[str, str]:
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
+#: A turn up to its end mark; one within a text is escaped.
+_WHOLE_TURN = re.compile(r"(?:[^\\<]++|\\.|<(?!/s>\n))*+</s>\n", re.S)
+
+
 def digest(pieces: DataFrame) -> DataFrame:
-    """One row per conversation, read back from the output of ``format_conversations`` with the standard template."""
+    """One row per conversation, read back from the output of ``format_conversations`` with the standard template.
+
+    Turns are told by the marks in the joined text, not by the pieces' rows; text beyond the last mark is an error.
+    """
+    names = [x.split()[0] for x in DIGEST.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [x.split()[0] for x in DIGEST.split(", ")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = None
 
-        def closed(s):
-            return (s[0], s[1], s[2].hexdigest(), s[3], s[4].hexdigest(), s[5])
+        def closed() -> tuple:
+            if state["rest"]:
+                raise ValueError("a conversation ends within a turn")
+            return (state["conv"], state["turns"], state["all"].hexdigest(), state["chars"], state["learnt"].hexdigest(), state["size"])
 
         for batch in batches:
             out = []
-            for conv, index, formatted, start, end in batch.itertuples(index=False, name=None):
-                if index == 0:
+            for conv, formatted, start, end in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_from", "loss_to")), strict=True):
+                if state is None or conv != state["conv"]:
                     if state:
-                        out.append(closed(state))
-                    state = [None if pd.isna(conv) else int(conv), 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, text = read_turn(formatted)
+                        out.append(closed())
+                    state = {"conv": conv, "turns": 0, "all": hashlib.sha256(), "chars": 0, "learnt": hashlib.sha256(), "size": 0, "rest": ""}
+                state["size"] += len(formatted)
                 learnt = unescape(formatted[start:end])
-                state[1] += 1
-                state[2].update(f"{role}\n{text}\n".encode())
-                state[3] += len(learnt)
-                state[4].update(learnt.encode())
-                state[5] += len(formatted)
-            yield pd.DataFrame(out, columns=columns).astype({"conv_id": "Int64"})
+                state["chars"] += len(learnt)
+                state["learnt"].update(learnt.encode("utf-8", "surrogatepass"))
+                state["rest"] += formatted
+                at = 0
+                while m := _WHOLE_TURN.match(state["rest"], at):
+                    at = m.end()
+                    role, text = read_turn(m[0])
+                    state["turns"] += 1
+                    state["all"].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+                state["rest"] = state["rest"][at:]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
         if state:
-            yield pd.DataFrame([closed(state)], columns=columns).astype({"conv_id": "Int64"})
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(closed(), kinds, strict=True)], names)
 
-    return pieces.mapInPandas(run, DIGEST)
+    return pieces.mapInArrow(run, DIGEST)

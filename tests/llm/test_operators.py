@@ -659,3 +659,18 @@ def test_packing_ids_on_a_whole_table():
     ids = packing.tokenizer_ids()
     exact = Tokenizer.from_file(path("byte_bpe_50k.json")).encode_batch(texts, add_special_tokens=False)
     assert all(ids(t).tolist() == e.ids for t, e in zip(texts, exact, strict=True))
+
+
+def test_chat_closing_and_large_ids(spark):
+    """What a template has after its loop ends the last piece; ids beyond 2**53 stay apart; turns are read from the text."""
+    rows = [(2**53 + c, t, r, f"{r} {t} </s>\n") for c in (0, 1) for t, r in enumerate(("user", "assistant"))] + [(None, 0, "user", "x")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    source = "{% for m in messages %}{{ m.text }}{% endfor %}END"
+    whole = {}
+    for r in sorted(chat.format_conversations(table, source).collect(), key=lambda r: r.turn_index):
+        whole[r.conv_id] = whole.get(r.conv_id, "") + r.formatted
+    assert whole == {2**53: "user 0 </s>\nassistant 1 </s>\nEND", 2**53 + 1: "user 0 </s>\nassistant 1 </s>\nEND", None: "xEND"}
+    pieces = chat.format_conversations(table)
+    assert {r.conv_id: r.n_turns for r in chat.digest(pieces).collect()} == {2**53: 2, 2**53 + 1: 2, None: 1}
+    glued = pieces.where("conv_id is null").unionByName(pieces.where("conv_id is null"))
+    assert chat.digest(glued.coalesce(1)).collect()[0].n_turns == 2

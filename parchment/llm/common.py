@@ -86,6 +86,13 @@ def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
     return spark.table(table_name)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not use."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row, however often ``body`` uses it."""
     return F.transform(F.array(value), body)[0]

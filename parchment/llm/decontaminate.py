@@ -265,7 +265,7 @@ def remove_contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "
 
     Rows are told apart by key and text, so a clean text stays though another under the same key goes.
     """
-    row = F.xxhash64(F.col(key).cast("long"), "text")
-    keyed = documents.select(row.alias("_row"), "text")
-    bad = stage(find_overlaps(keyed, benchmark, "_row").select(F.col("_row").alias("_bad")).distinct(), "contaminated")
-    return documents.join(small(bad), row == F.col("_bad"), "left_anti")
+    row = F.xxhash64(documents[key].cast("long"), documents["text"])
+    keyed = documents.select(row.alias("row"), "text")
+    bad = small(stage(find_overlaps(keyed, benchmark, "row").select(F.col("row").alias("bad")).distinct(), "contaminated"))
+    return documents.join(bad, row == bad["bad"], "left_anti")

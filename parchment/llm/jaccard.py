@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import combine, flatten, mix, prefix_hashes, slice_hashes, small, stage, text_chunks, whole_groups, word_slices
+from .common import combine, flatten, free_name, mix, prefix_hashes, slice_hashes, small, stage, text_chunks, whole_groups, word_slices
 from .graph import components
 
 WORDS = 5
@@ -334,12 +334,12 @@ def join(documents: DataFrame) -> DataFrame:
 def keep_one(documents: DataFrame) -> DataFrame:
     """One row of each class, that of the smallest doc_id; rows without words stay. Columns stay as they were."""
     every, classes = similar_rows(documents)
-    gone = stage(_placed(every, classes).where(F.col("row") != F.col("first")).select(F.col("row").alias("_gone")).distinct(), "gone")
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
-    kept = documents.join(small(gone), key == F.col("_gone"), "left_anti")
-    repeated = stage(every.groupBy(F.col("row").alias("_row")).count().where(F.col("count") > 1).select("_row"), "repeated")
+    gone = small(stage(_placed(every, classes).where(F.col("row") != F.col("first")).select(F.col("row").alias("gone")).distinct(), "gone"))
+    key = F.xxhash64(documents["doc_id"].cast("long"), F.coalesce(documents["text"], F.lit("")))
+    kept = documents.join(gone, key == gone["gone"], "left_anti")
+    repeated = stage(every.groupBy(F.col("row").alias("again")).count().where(F.col("count") > 1).select("again"), "repeated")
     if repeated.isEmpty():
         return kept
-    repeated = small(repeated)
-    once = kept.join(repeated, key == F.col("_row"), "left_semi").withColumn("_once", key).dropDuplicates(["_once"]).drop("_once")
-    return kept.join(repeated, key == F.col("_row"), "left_anti").unionByName(once)
+    repeated, name = small(repeated), free_name(documents, "_once")
+    once = kept.join(repeated, key == repeated["again"], "left_semi").withColumn(name, key).dropDuplicates([name]).drop(name)
+    return kept.join(repeated, key == repeated["again"], "left_anti").unionByName(once)

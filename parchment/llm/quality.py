@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import free_name, let
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -136,8 +136,9 @@ def quality_metrics(documents: DataFrame, rules=RULES, text: str = "text") -> Da
     Columns of the input with one of these names are replaced.
     """
     own = [*METRICS, "base_failed", "kept", "failed_rules"]
-    judged = documents.select(*(F.col(c) for c in documents.columns if c not in own), judge(F.col(text), rules).alias("_judged"))
-    return judged.select(*(F.col(c) for c in documents.columns if c not in own), *(F.col("_judged")[c].alias(c) for c in own))
+    name = free_name(documents, "judged")
+    judged = documents.select(*(F.col(c) for c in documents.columns if c not in own), judge(F.col(text), rules).alias(name))
+    return judged.select(*(F.col(c) for c in documents.columns if c not in own), *(F.col(name)[c].alias(c) for c in own))
 
 
 def filter_documents(documents: DataFrame, rules=RULES, text: str = "text") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..functions import vocabulary as v
 from ..operators import fields as fields_
-from ..operators import metrics, normalize, queue, routing, score, store, structure, validate
+from ..operators import ingest, metrics, normalize, queue, routing, score, store, structure, validate
 from ..operators.staging import staged
 from . import notices
 
@@ -334,6 +334,37 @@ def promoted_fields(spark, read):
     return fields_.promote(blocks.select("document_id").distinct(), fields_.extract(blocks))
 
 
+@query(
+    f"""{_O} SELECT 'order-' || k AS document_id, CASE WHEN k % 10 = 0 THEN 'scanned' ELSE 'born_digital' END AS route, CASE WHEN k % 10 = 0 THEN 'marker' ELSE 'pymupdf' END AS parser, k % 10 <> 0 AS degraded, NULL::VARCHAR AS error_code, 2 + 3 * n AS n_nodes, 7::BIGINT AS n_fields,
+    1.0::DOUBLE AS structure_quality_score, k % 10 <> 0 AS requires_user_review, CASE WHEN k % 10 = 0 THEN '' ELSE 'strategy_undecided' END AS selection, 'READY_FOR_REVIEW' AS status FROM o
+    UNION ALL SELECT 'missing-' || k, 'unsupported', NULL, NULL, 'invalid_pdf', NULL, NULL, NULL, NULL, NULL, 'UNSUPPORTED' FROM o WHERE k % 100 = 1"""
+)
+def ingest_run(spark, read):
+    """Notices through the whole run: every tenth has blank pages, and some documents have no pages at all."""
+    blocks = staged(_notices(spark, read), "blocks")
+    number = F.regexp_extract("document_id", r"(\d+)", 1).cast("long")
+    texts = validate.text_by_page(blocks).withColumn("text", F.when(number % 10 == 0, "").otherwise(F.col("text")))
+    pages = texts.select("*", F.lit(0.0).alias("image_area_ratio"), F.lit(0).alias("rotation"))
+    known = blocks.select("document_id").distinct()
+    missing = known.where(number % 100 == 1).select(F.concat(F.lit("missing-"), number).alias("document_id"))
+    strategy = {"decided": False, "allow_baseline_when_undecided": True, "routes": {"scanned": {"primary": "marker", "fallbacks": []}}}
+    rows = ingest.run(known.unionByName(missing), pages, blocks, strategy)
+    selection = F.array_join(F.filter("warnings", lambda w: w.startswith("strategy") | w.startswith("capability")), ",")
+    return rows.select("document_id", "route", "parser", "degraded", "error_code", "n_nodes", "n_fields", "structure_quality_score", "requires_user_review", selection.alias("selection"), "status")
+
+
+@query(
+    f"""WITH {_LINES_SQL} SELECT doc_id::VARCHAR AS document_id, CASE WHEN route = 'born_digital' THEN 'ocr' WHEN route IN ('scanned', 'garbled_text_layer') THEN 'ocr' ELSE 'ocr_and_text' END AS capability,
+    CASE WHEN route = 'born_digital' THEN 'pymupdf' ELSE 'mineru' END AS parser, CASE WHEN route = 'born_digital' THEN 'capability_gap:ocr' ELSE '' END AS warnings FROM routed"""
+)
+def configured_capability(spark, read):
+    """A plan may ask for more than its route does."""
+    plan = lambda name, **more: {"primary": name, "fallbacks": [], **more}
+    routes = {"born_digital": plan("pymupdf", capability="ocr"), **{r: plan("mineru") for r in ("scanned", "mixed", "garbled_text_layer")}}
+    rows = routing.select_parser(_routes(read).select("document_id", "route"), {"decided": True, "baseline_promoted_by_benchmark": True, "routes": routes})
+    return rows.select("document_id", "capability", "parser", F.array_join("selection_warnings", ",").alias("warnings"))
+
+
 # ---- metrics ----------------------------------------------------------------------------------------------------------
 
 @query(

@@ -63,17 +63,24 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL_ROWS else df
 
 
+#: Partitions of a bounded sample.
+SAMPLE_TASKS = 32
+
+
 def sample_limit(rows: int, most: int) -> int:
     """Keep a row if 63 random bits are below this: about ``most`` of ``rows``, whatever their number."""
     return (1 << 63) - 1 if rows <= most else max((1 << 63) * most // rows, 1)
 
 
 def bounded_sample(rows: DataFrame, most: int) -> DataFrame:
-    """All rows, or about ``most`` of them picked by a hash of the whole row, and never more."""
+    """All rows, or about ``most`` of them picked by a hash of the whole row, and never more.
+
+    The limit gathers its rows in one partition, so they are dealt out again.
+    """
     n = rows.count()
     if n <= most:
         return rows
-    return rows.where(F.xxhash64(*rows.columns).bitwiseAND((1 << 63) - 1) < sample_limit(n, most)).limit(most)
+    return rows.where(F.xxhash64(*rows.columns).bitwiseAND((1 << 63) - 1) < sample_limit(n, most)).limit(most).repartition(SAMPLE_TASKS)
 
 
 def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html, jaccard, langid, packing, pii, quality, suffix, urls
+from . import bytepair, chat, decontaminate, html, jaccard, langid, packing, pii, quality, suffix, urls
 from .common import table
 
 
@@ -120,8 +120,13 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bytepair.digest(bytepair.decode(bytepair.encode(docs).select("doc_id", "ids"), spelled=False))
+
+
 def queries() -> dict:
-    return {"op1_decontamination": op1_decontamination, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op4_html_extraction": op4_html_extraction, "op5_suffix_array_dedup": op5_suffix_array_dedup, "op6_pii": op6_pii, "op7_packing": op7_packing, "op8_chat_formatting": op8_chat_formatting, "op9_language_id": op9_language_id, "op2_quality_rules": op2_quality_rules, "op10_url_filters": op10_url_filters}
+    return {"op1_decontamination": op1_decontamination, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op4_html_extraction": op4_html_extraction, "op5_suffix_array_dedup": op5_suffix_array_dedup, "op6_pii": op6_pii, "op7_packing": op7_packing, "op8_chat_formatting": op8_chat_formatting, "op9_language_id": op9_language_id, "op2_quality_rules": op2_quality_rules, "op10_url_filters": op10_url_filters, "op11_byte_level_bpe": op11_byte_level_bpe}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytepair, chat, decontaminate, html, jaccard, langid, packing, pii, quality, suffix, urls
+from . import bytepair, chat, decontaminate, html, jaccard, langid, lexical, packing, pii, quality, suffix, urls
 from .common import table
 
 
@@ -125,9 +125,27 @@ def op11_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytepair.digest(bytepair.decode(bytepair.encode(docs).select("doc_id", "ids"), spelled=False))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SEARCH_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, '{lexical.UPPER}', '{lexical.LOWER}'), '{lexical.TERM}') AS t FROM documents),
+k AS (SELECT r, doc_id, len(t)::BIGINT AS n FROM d WHERE len(t) > 0),
+s AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS words FROM k),
+p AS (SELECT r, u.t, count(*)::BIGINT AS tf FROM d, unnest(d.t) AS u(t) GROUP BY r, u.t),
+w AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, s GROUP BY t, docs),
+i AS (SELECT DISTINCT item_id, u.t FROM (SELECT item_id, regexp_extract_all(translate(text, '{lexical.UPPER}', '{lexical.LOWER}'), '{lexical.TERM}') AS t FROM benchmark) AS b, unnest(b.t) AS u(t)),
+f AS (SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words))))::BIGINT AS score
+      FROM i JOIN p USING (t) JOIN w USING (t) JOIN k USING (r), s GROUP BY item_id, r, doc_id),
+o AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST)::INTEGER AS rank, doc_id, score FROM f WHERE score > 0)
+SELECT * FROM o WHERE rank <= {lexical.BEST}
+"""
+
+
 def queries() -> dict:
-    return {"op1_decontamination": op1_decontamination, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op4_html_extraction": op4_html_extraction, "op5_suffix_array_dedup": op5_suffix_array_dedup, "op6_pii": op6_pii, "op7_packing": op7_packing, "op8_chat_formatting": op8_chat_formatting, "op9_language_id": op9_language_id, "op2_quality_rules": op2_quality_rules, "op10_url_filters": op10_url_filters, "op11_byte_level_bpe": op11_byte_level_bpe}
+    return {"op1_decontamination": op1_decontamination, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op4_html_extraction": op4_html_extraction, "op5_suffix_array_dedup": op5_suffix_array_dedup, "op6_pii": op6_pii, "op7_packing": op7_packing, "op8_chat_formatting": op8_chat_formatting, "op9_language_id": op9_language_id, "op2_quality_rules": op2_quality_rules, "op10_url_filters": op10_url_filters, "op11_byte_level_bpe": op11_byte_level_bpe, "op12_ranked_search": op12_ranked_search}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard_join": JACCARD_SQL, "op5_suffix_array_dedup": REPEATS_SQL, "op2_quality_rules": QUALITY_SQL}
+    return {"op3_ngram_jaccard_join": JACCARD_SQL, "op5_suffix_array_dedup": REPEATS_SQL, "op2_quality_rules": QUALITY_SQL, "op12_ranked_search": SEARCH_SQL}

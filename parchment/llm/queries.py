@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytepair, chat, decontaminate, html, jaccard, langid, lexical, packing, pii, quality, suffix, urls
+from . import bytepair, chat, decontaminate, html, jaccard, langid, lexical, packing, pii, quality, suffix, trie, urls
 from .common import table
 
 
@@ -143,9 +143,32 @@ SELECT * FROM o WHERE rank <= {lexical.BEST}
 """
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(table(spark, sf_dir, "conversations"))
+
+
+#: CRC-32 of the decimal id, bit by bit.
+_CRC = "xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda c, b: list_reduce([xor(c, b)] || range(8), lambda x, i: xor(x >> 1, (x & 1) * 3988292384::BIGINT))), 4294967295)"
+TRIE_SQL = f"""
+WITH t AS (SELECT conv_id, struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) AS x,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(concat(length(coalesce(role, '')), ':', role, text))) AS pos
+           FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, list(x ORDER BY pos) AS own, {_CRC} % 9 AS h FROM t GROUP BY conv_id),
+b AS (SELECT l.conv_id, list_concat(o.own[1:l.h], l.own[l.h + 1:]) AS turns FROM l LEFT JOIN l o ON o.conv_id = l.conv_id - l.conv_id % 5),
+m AS (SELECT conv_id, d, turns[1:d] AS node, turns[d].t AS last, len(turns) = d AS ends FROM b, unnest(range(0, len(turns) + 1)) AS u(d)),
+n AS (SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * coalesce(strlen(min(last)), 0) AS saved,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM m GROUP BY node, d),
+p AS (SELECT a.conv_id AS parent, a.node AS parent_node, count(*) AS n_children FROM n JOIN n a ON a.d = n.d - 1 AND a.node = n.node[1:n.d - 1] WHERE n.d > 0 GROUP BY a.conv_id, a.node),
+f AS (SELECT n.*, coalesce(p.n_children, 0) AS n_children FROM n LEFT JOIN p ON p.parent_node = n.node),
+s AS (SELECT k, node[1:k] AS node, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM f, unnest(range(0, d + 1)) AS u(k) GROUP BY k, node[1:k])
+SELECT f.conv_id, f.d AS depth, a.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved_tokens::BIGINT AS saved_tokens, f.ends_sha256
+FROM f JOIN s USING (node) LEFT JOIN n a ON f.d > 0 AND a.node = f.node[1:f.d - 1] AND a.d = f.d - 1
+"""
+
+
 def queries() -> dict:
-    return {"op1_decontamination": op1_decontamination, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op4_html_extraction": op4_html_extraction, "op5_suffix_array_dedup": op5_suffix_array_dedup, "op6_pii": op6_pii, "op7_packing": op7_packing, "op8_chat_formatting": op8_chat_formatting, "op9_language_id": op9_language_id, "op2_quality_rules": op2_quality_rules, "op10_url_filters": op10_url_filters, "op11_byte_level_bpe": op11_byte_level_bpe, "op12_ranked_search": op12_ranked_search}
+    return {"op1_decontamination": op1_decontamination, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op4_html_extraction": op4_html_extraction, "op5_suffix_array_dedup": op5_suffix_array_dedup, "op6_pii": op6_pii, "op7_packing": op7_packing, "op8_chat_formatting": op8_chat_formatting, "op9_language_id": op9_language_id, "op2_quality_rules": op2_quality_rules, "op10_url_filters": op10_url_filters, "op11_byte_level_bpe": op11_byte_level_bpe, "op12_ranked_search": op12_ranked_search, "op13_prefix_trie": op13_prefix_trie}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard_join": JACCARD_SQL, "op5_suffix_array_dedup": REPEATS_SQL, "op2_quality_rules": QUALITY_SQL, "op12_ranked_search": SEARCH_SQL}
+    return {"op3_ngram_jaccard_join": JACCARD_SQL, "op5_suffix_array_dedup": REPEATS_SQL, "op2_quality_rules": QUALITY_SQL, "op12_ranked_search": SEARCH_SQL, "op13_prefix_trie": TRIE_SQL}

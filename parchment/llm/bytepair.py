@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from .common import text_chunks
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Matches whose ids a task keeps; when full, the table starts anew.
+#: Matches in a task's table of ids; when full, a new one starts, which takes over what is still met from the one before.
 KEPT = 1 << 18
 #: Matches of one text that are looked up at once.
 AT_ONCE = 1 << 16
@@ -101,33 +101,46 @@ class Codec:
         self.all_matches = regex.compile(pattern).findall
         self.kept = kept
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         back = {c: b for b, c in enumerate(BYTE_CHARACTERS)}
         size = self.library.get_vocab_size()
         self.bytes_of = [bytes(back[c] for c in self.library.id_to_token(i)) for i in range(size)]
         self.lengths = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
 
-    def _look_up(self, matches: list[str]) -> bytes:
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, matches))
-        except KeyError:
-            pass
-        new = [m for m in dict.fromkeys(matches) if m not in known]
-        if len(known) + len(new) > self.kept:
-            known.clear()
-            new = list(dict.fromkeys(matches))
-        for match, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[match] = np.array(found.ids, dtype="<u4").tobytes()
-        return b"".join(map(known.__getitem__, matches))
+    def _learn(self, matches: set[str]) -> None:
+        """Makes these matches known: from the table before, or by the library, which takes them as words of one text."""
+        if len(self.known) + len(matches) > self.kept:
+            self.known, self.before = {}, self.known
+        again = {m: self.before[m] for m in matches if m in self.before}
+        self.known.update(again)
+        if new := list(matches.difference(again)):
+            found = self.library.encode_batch_fast([new], is_pretokenized=True, add_special_tokens=False)[0]
+            ids = np.array(found.ids, dtype="<u4")
+            sizes = np.cumsum([len(m.encode()) for m in new])
+            data, ends = ids.tobytes(), 4 * (1 + np.searchsorted(np.cumsum(self.lengths[ids]), sizes))  # tokens end with matches
+            starts = np.concatenate(([0], ends[:-1]))
+            self.known.update((m, data[a:b]) for m, a, b in zip(new, starts.tolist(), ends.tolist(), strict=True))
+
+    def _look_up(self, lists: list[list[str]]) -> list[bytes]:
+        wanted = set().union(*lists)
+        if unknown := wanted.difference(self.known):
+            tables = self.known
+            self._learn(unknown)
+            if self.known is not tables:  # a new table
+                self._learn(wanted - unknown)
+        return [b"".join(map(self.known.__getitem__, matches)) for matches in lists]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of some texts, of a few megabytes together, as 32-bit integers."""
+        out = self._look_up([self.all_matches(t) if len(t) <= AT_ONCE else [] for t in texts])
+        for i, text in enumerate(texts):
+            if len(text) > AT_ONCE:
+                found = (m.group() for m in self.matches(text))
+                out[i] = b"".join(self._look_up([some])[0] for some in iter(lambda found=found: list(islice(found, AT_ONCE)), []))
+        return [np.frombuffer(x, dtype="<u4") for x in out]
 
     def encode(self, text: str) -> np.ndarray:
-        """Ids of a text as 32-bit integers."""
-        if len(text) <= AT_ONCE:
-            return np.frombuffer(self._look_up(self.all_matches(text)), dtype="<u4")
-        parts, found = [], (m.group() for m in self.matches(text))
-        while some := list(islice(found, AT_ONCE)):
-            parts.append(self._look_up(some))
-        return np.frombuffer(b"".join(parts), dtype="<u4")
+        return self.encode_all([text])[0]
 
     def offsets(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and one past the last code point of each token."""
@@ -199,7 +212,7 @@ def encode(documents: DataFrame, text: str = "text", vocabulary: str = VOCABULAR
             for at, to in text_chunks(sizes):
                 part = batch.slice(at, to - at)
                 own = [t or "" for t in part.column(text).to_pylist()]
-                ids = [codec.encode(t) for t in own]
+                ids = codec.encode_all(own)
                 columns = {"ids": _lists(ids, pa.int32())}
                 if offsets:
                     places = [codec.offsets(t, i) for t, i in zip(own, ids, strict=True)]

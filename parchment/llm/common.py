@@ -75,11 +75,11 @@ def sample_limit(rows: int, most: int) -> int:
 def bounded_sample(rows: DataFrame, most: int) -> DataFrame:
     """All rows, or about ``most`` of them picked by a hash of the whole row, and never more.
 
-    The limit gathers its rows in one partition, so they are dealt out again.
+    They are dealt out anew: the limit gathers its rows in one partition, and a small table may stand in few row groups.
     """
     n = rows.count()
     if n <= most:
-        return rows
+        return rows.repartition(SAMPLE_TASKS)
     return rows.where(F.xxhash64(*rows.columns).bitwiseAND((1 << 63) - 1) < sample_limit(n, most)).limit(most).repartition(SAMPLE_TASKS)
 
 

@@ -9,9 +9,7 @@ the named ones are ignored, whatever their names.
 
 from __future__ import annotations
 
-import re
 import sys
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,24 +28,37 @@ SMOOTHING = 0.5
 SLICE = 1 << 20
 #: Features and languages whose scores are looked up at once.
 FEATURES_AT_ONCE, LANGS_AT_ONCE = 1 << 17, 16
-#: Not a letter: also numbers that are no decimal digits, such as fractions and circled ones.
-_OTHER = re.compile(r"[\W\d_" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No")) + "]+")
+#: Which code points are letters; numbers of any kind are none.
+_LETTER = np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), dtype=bool, count=sys.maxunicode + 1)
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2
-
-
-def _clean(text: str | None) -> str:
-    words = _OTHER.sub(" ", (text or "").lower()).strip()
-    return f" {words} " if words else ""
-
-
-def _slices(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Whether a document is held out; one without doc_id is not."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+
+
+def _clean(text: str | None) -> np.ndarray:
+    """Code points of the words, in lower case, with one blank before and after each; nothing if there is no letter."""
+    low, parts, after_letter = (text or "").lower(), [], False
+    for at in range(0, len(low), SLICE):
+        points = np.frombuffer(low[at : at + SLICE].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        letter = _LETTER[points]
+        ends = np.concatenate(([after_letter], letter[:-1])) & ~letter  # the first character after each word
+        after_letter = bool(letter[-1])
+        parts.append(np.where(letter, points, np.uint32(32))[letter | ends])
+    words = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint32)
+    if not len(words):
+        return words
+    blank = np.full(1, 32, dtype=np.uint32)
+    return np.concatenate([blank, words, blank] if after_letter else [blank, words])
+
+
+def _slices(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Features of texts, about ``SLICE`` characters at a time: features, and the text that each belongs to."""
 
     def features(points: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         found, whose = [], []
+        points = points.astype(np.uint64)
         code = np.zeros(len(points), dtype=np.uint64)
         for n in range(1, ORDERS + 1):
             m = len(points) - n + 1
@@ -64,7 +75,7 @@ def _slices(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     size = 0
     for i, t in enumerate(texts):
         for at in range(0, max(len(t) - ORDERS + 1, 1), SLICE):  # slices share ORDERS - 1 characters
-            held.append(np.frombuffer(t[at : at + SLICE + ORDERS - 1].encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64))
+            held.append(t[at : at + SLICE + ORDERS - 1])
             names.append(i)
             size += len(held[-1])
             if size >= SLICE:
@@ -74,7 +85,7 @@ def _slices(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield features(np.concatenate(held), np.repeat(names, [len(x) for x in held]))
 
 
-def _texts(batch: pa.RecordBatch, column: str) -> list[str]:
+def _texts(batch: pa.RecordBatch, column: str) -> list[np.ndarray]:
     return [_clean(t) for t in batch.column(column).to_pylist()]
 
 
@@ -134,7 +145,7 @@ def predict(documents: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray
                 top = totals.max(1, keepdims=True)
                 share = 1 / np.exp(totals - top).sum(1)
                 for i, t in enumerate(texts):
-                    if t:
+                    if len(t):
                         names[i], scores[i] = langs[best[i]], share[i]
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(names, pa.string()), pa.array(scores)], [key, "lang_pred", "score"])
 

@@ -552,13 +552,16 @@ def test_html_names_around_the_article(spark, before, after):
 
 
 def test_pii_held_out_figures_by_kind(spark):
-    """Planted spans that neither trees nor thresholds saw."""
+    """Strings of forms that the judging trees had not seen, harder than unseen strings of known forms."""
+    bank = pii.planted_bank()
+    forms = {unseen: {(k, label, form) for _, k, form, *_, label in bank if (form % pii.FORMS_FOLDS == pii.FORMS_FOLDS - 1) == unseen} for unseen in (True, False)}
+    assert not forms[True] & forms[False] and {(k, label) for k, label, _ in forms[True]} == {(k, label) for k, label, _ in forms[False]}
     rng = random.Random(18)
     _, limits, figures = pii.train_and_measure(documents(spark, [words(rng, rng.randrange(5, 60)) for _ in range(300)] + EDGES))
     assert set(figures) == set(pii.CANDIDATES) == set(limits)
     for kind, (precision, recall, n) in figures.items():
         print(kind, precision, recall, n)
-        assert n >= 50 and precision >= 0.9 and recall >= 0.6, kind
+        assert n >= 50 and precision >= 0.85 and recall >= 0.45, kind
 
 
 def test_trees_as_expressions(spark):

@@ -28,13 +28,3 @@ def error_record(code: Column, message: Column, parser: Column | None = None, re
     """``struct<code, message, retryable, parser_name>``; retryable follows from the code unless given. Null code: null."""
     own = code.isin(*RETRYABLE) if retryable is None else F.coalesce(retryable, code.isin(*RETRYABLE))
     return F.when(code.isNotNull(), F.struct(code.alias("code"), message.alias("message"), own.alias("retryable"), (F.lit(None).cast("string") if parser is None else parser).alias("parser_name")))
-
-
-def nested(pages: DataFrame, blocks: DataFrame) -> DataFrame:
-    """The storage form: one row per document with pages that hold their blocks in order."""
-    inner = blocks.groupBy("document_id", "page_number").agg(
-        F.array_sort(F.collect_list(F.struct("reading_order", "block_id", "type", "text", "bbox", "confidence", "parent_id", "provider_block_id"))).alias("blocks")
-    )
-    whole = pages.join(inner, ["document_id", "page_number"], "left")
-    page = F.struct("page_number", "width", "height", "rotation", F.coalesce("blocks", F.array()).alias("blocks"))
-    return whole.groupBy("document_id").agg(F.array_sort(F.collect_list(page)).alias("pages"))

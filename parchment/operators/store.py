@@ -94,11 +94,6 @@ def next_version(documents: DataFrame, runs: DataFrame) -> DataFrame:
     return documents.join(top, "document_id", "left").select("document_id", (F.coalesce("top", F.lit(0)) + 1).alias("next_version"))
 
 
-def canonical_of(runs: DataFrame, version: int | None = None) -> DataFrame:
-    """The runs of one version, or the current ones."""
-    return runs.where(F.col("version") == version) if version is not None else runs.where("is_current")
-
-
 def deduplicate(uploads: DataFrame, stored: DataFrame | None, content: str, *order: str) -> DataFrame:
     """Adds ``checksum``, ``is_new`` and ``first_id``: the stored or first upload with the same bytes.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..functions import vocabulary as v
 from ..operators import fields as fields_
-from ..operators import ingest, metrics, normalize, queue, routing, score, store, structure, validate
+from ..operators import canonical, ingest, metrics, normalize, queue, routing, score, store, structure, validate
 from ..operators.staging import staged
 from . import notices
 
@@ -918,3 +918,90 @@ def overlay(spark, read):
 def feedback_rejects(spark, read):
     runs = read("orders").select(F.col("o_custkey").cast("string").alias("document_id"), F.lit(True).alias("is_current"))
     return store.feedback_errors(_feedback(read), runs, _fields(read)).groupBy("error_code").agg(F.count("*").alias("n"))
+
+
+# ---- stored documents ----------------------------------------------------------------------------------------------------
+
+_RUN_NOW = F.struct(F.lit("run").alias("id"), F.lit("lines").alias("parser_name"), F.lit("1").alias("parser_version"), F.lit("0").alias("configuration_hash"), F.lit("2024-01-01").alias("started_at"), F.lit("2024-01-01").alias("finished_at"), F.lit("cpu").alias("device"))
+_QUALITY_NOW = F.struct(F.lit("born_digital").alias("route"), F.lit(1.0).alias("route_confidence"))
+
+
+@query(
+    f"""{_O}, c AS (SELECT *, CASE WHEN k % 7 = 1 THEN 'malformed' WHEN k % 11 = 2 THEN 'unknown_key' WHEN k % 13 = 3 THEN 'schema_version' WHEN k % 17 = 4 THEN 'block_id_repeated' WHEN k % 19 = 5 THEN 'malformed' WHEN k % 23 = 6 THEN 'missing_key' END AS code FROM o)
+    SELECT 'order-' || k AS document_id, code, CASE WHEN code IS NULL THEN 3::BIGINT END AS n_pages, CASE WHEN code IS NULL THEN 14 + 3 * n END AS n_blocks, CASE WHEN code IS NULL THEN 2 + 3 * n END AS n_nodes, CASE WHEN code IS NULL THEN 1::BIGINT END AS n_tables, CASE WHEN code IS NULL THEN 7::BIGINT END AS n_fields,
+      CASE WHEN code = 'unknown_key' THEN 'pages.blocks.colour' WHEN code = 'missing_key' THEN 'pages.blocks.text' WHEN code = 'schema_version' THEN '9' WHEN code = 'block_id_repeated' THEN 'b_1_0000' END AS detail, code IS NULL AS same FROM c"""
+)
+def canonical_reload(spark, read):
+    """All documents stored as JSON, some of them damaged, and read back: counts and equality, or what is wrong."""
+    blocks = _notices(spark, read)
+    found = staged(structure.structure(blocks), "structured")
+    before = {"pages": notices.pages(blocks), "blocks": found.withColumn("attributes", F.create_map(F.lit("admin_role"), F.coalesce("admin_role", F.lit("none")))), "hierarchy": staged(structure.hierarchy(found), "nodes"), "tables": structure.row_tables(found), "fields": staged(fields_.extract(blocks), "fields")}
+    owners = before["pages"].select("document_id").distinct().select("document_id", _RUN_NOW.alias("parser_run"), _QUALITY_NOW.alias("quality_report"))
+    stored = canonical.nest(owners, *before.values())
+    k = F.substring_index("document_id", "-", -1).cast("long")
+    text = F.col("canonical")
+    damaged = (
+        F.when(k % 7 == 1, F.left(text, F.length(text) / 2)).when(k % 11 == 2, F.regexp_replace(text, '^(.*?)"reading_order":', '$1"colour":"red","reading_order":')).when(k % 13 == 3, F.replace(text, F.lit('"schema_version":"1.0"'), F.lit('"schema_version":"9"')))
+        .when(k % 17 == 4, F.replace(text, F.lit('"id":"b_1_0001"'), F.lit('"id":"b_1_0000"'))).when(k % 19 == 5, F.replace(text, F.lit('"reading_order":0,'), F.lit('"reading_order":"zero",'))).when(k % 23 == 6, F.regexp_replace(text, '^(.*?)"text":"[^"]*",', "$1")).otherwise(text)
+    )
+    after, problems = canonical.read_back(staged(stored.withColumn("canonical", damaged), "stored"))
+
+    def summed(tables: dict, suffix: str) -> DataFrame:
+        out = owners.select("document_id")
+        for name, columns in _COMPARED.items():
+            rows = tables[name].withColumn("_h", F.xxhash64(*(F.to_json(F.struct(c)) for c in columns)).cast("decimal(38,0)"))
+            out = out.join(rows.groupBy("document_id").agg(F.count("*").alias(f"{name}_n{suffix}"), F.sum("_h").alias(f"{name}_h{suffix}")), "document_id", "left")
+        return out
+
+    both = summed(before, "").join(summed(after, "_after"), "document_id")
+    same = reduce(lambda a, b: a & b, (F.col(f"{name}_{x}").eqNullSafe(F.col(f"{name}_{x}_after")) for name in _COMPARED for x in "nh"))
+    first = problems.where("code not in ('block_parent_missing', 'node_source_missing', 'field_source_missing')").groupBy("document_id").agg(F.min(F.struct("code", "detail")).alias("p"))
+    rows = both.join(first, "document_id", "left")
+    return rows.select("document_id", "p.code", *(F.col(f"{name}_n_after").alias(f"n_{short}") for name, short in (("pages", "pages"), ("blocks", "blocks"), ("hierarchy", "nodes"), ("tables", "tables"), ("fields", "fields"))), "p.detail", same.alias("same"))
+
+
+_COMPARED = {
+    "pages": ["page_number", "width", "height", "rotation"], "blocks": ["page_number", "block_id", "type", "text", "reading_order", "parent_id", "provider_block_id", "attributes"],
+    "hierarchy": ["node_id", "kind", "label", "text", "parent_id", "source_block_ids", "ordinal"], "tables": ["table_id", "page_number", "block_id", "n_rows", "n_cols", "cells"],
+    "fields": ["field_id", "name", "raw_value", "normalized_value", "value_type", "confidence", "review_status", "source_block_ids", "source_page_numbers"],
+}
+
+
+def _order_runs(read) -> DataFrame:
+    """A customer's orders as versions of a document with one field, its price; every tenth stored text is damaged."""
+    field = F.struct(F.lit("field_balance").alias("id"), F.lit("price").alias("name"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("raw_value"), F.lit("unreviewed").alias("review_status"), F.struct(F.lit("x").alias("name"), F.lit("1").alias("version")).alias("extractor"))
+    whole = F.to_json(F.struct(F.lit("1.0").alias("schema_version"), F.col("document_id"), _RUN_NOW.alias("parser_run"), F.array(field).alias("extracted_fields"), _QUALITY_NOW.alias("quality_report")))
+    runs = store.versions(read("orders").withColumn("document_id", F.col("o_custkey").cast("string")), "o_orderdate", "o_orderkey")
+    return runs.withColumn("canonical", F.when(F.col("o_orderkey") % 10 == 0, F.left(whole, F.lit(40))).otherwise(whole))
+
+
+@query(
+    f"""WITH {_FEEDBACK_SQL}, l AS (SELECT d, max_by(v, (ts, id)) AS v FROM f WHERE crit AND field = 'field_balance' GROUP BY d),
+    r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS version, count(*) OVER (PARTITION BY o_custkey) AS top FROM orders),
+    a AS (SELECT unnest([2, NULL]) AS asked),
+    x AS (SELECT c_custkey::VARCHAR AS d, asked, r.* FROM customer CROSS JOIN a LEFT JOIN r ON r.o_custkey = c_custkey AND r.version = coalesce(asked, top))
+    SELECT x.d AS document_id, coalesce(asked, 0)::INTEGER AS asked, version::INTEGER AS version, CASE WHEN version IS NULL THEN 'not_found' WHEN o_orderkey % 10 = 0 THEN 'malformed' END AS error_code,
+      CASE WHEN o_orderkey % 10 <> 0 THEN o_totalprice::DECIMAL(18,2)::VARCHAR END AS raw_value, CASE WHEN o_orderkey % 10 <> 0 THEN CASE WHEN l.v IS NULL THEN 'unreviewed' ELSE 'corrected' END END AS review_status, CASE WHEN o_orderkey % 10 <> 0 THEN l.v END AS corrected_value FROM x LEFT JOIN l ON l.d = x.d"""
+)
+def canonical_at_version(spark, read):
+    """Version 2 and the current version of every customer's document, with corrections laid over."""
+    documents, runs = read("customer").select(F.col("c_custkey").cast("string").alias("document_id")), staged(_order_runs(read), "runs")
+    got = [canonical.at_version(documents, runs, _feedback(read), version).withColumn("asked", F.lit(version or 0)) for version in (2, None)]
+    value = lambda name: F.when(F.col("error_code").isNull(), F.get_json_object("canonical", f"$.extracted_fields[0].{name}")).alias(name)
+    return got[0].unionByName(got[1]).select("document_id", "asked", "version", "error_code", value("raw_value"), value("review_status"), value("corrected_value"))
+
+
+@query(
+    """WITH l AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey) AS i FROM lineitem),
+    c AS (SELECT k, i, CASE WHEN i = 1 THEN '1' ELSE '1_' || (i - 1) END AS a FROM l)
+    SELECT 'order-' || k AS document_id, 'h_article_' || a AS node_id, NULL AS parent_id FROM c
+    UNION ALL SELECT 'order-' || k, CASE WHEN i = 2 THEN 'h_clause_1_1_1_2' ELSE 'h_clause_' || a || '_1' END, 'h_article_' || a FROM c
+    UNION ALL SELECT 'order-' || k, CASE i WHEN 1 THEN 'h_clause_1_1_1' WHEN 2 THEN 'h_clause_1_1_1_3' ELSE 'h_clause_' || a || '_1_' || (i + 1) END, 'h_article_' || a FROM c"""
+)
+def free_node_ids(spark, read):
+    """An order's lines as the same article again and again, with the same clause twice in each."""
+    lines = read("lineitem").groupBy("l_orderkey").agg(F.count("*").cast("int").alias("n"))
+    texts = F.flatten(F.array_repeat(F.array(F.lit("Điều 1. Giao hàng"), F.lit("1. Số lượng"), F.lit("1. Số lượng")), F.col("n")))
+    rows = lines.select(F.concat(F.lit("order-"), F.col("l_orderkey").cast("string")).alias("document_id"), F.posexplode(texts).alias("reading_order", "text"))
+    blocks = rows.select("document_id", F.lit(1).alias("page_number"), F.format_string("b_1_%04d", "reading_order").alias("block_id"), F.lit("unknown").alias("type"), "text", "reading_order", F.lit(None).cast("string").alias("parent_id"))
+    return structure.hierarchy(structure.structure(blocks)).select("document_id", "node_id", "parent_id")

@@ -5,10 +5,13 @@ A batch (or micro-batch) is the only writer, which stands in for row locks and c
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as v
+from .staging import staged
 from .schemas import RETRYABLE
 
 #: Allowed moves (fixed values).
@@ -164,6 +167,26 @@ def run_leased(jobs: DataFrame, now: Column, max_attempts: int = v.MAX_ATTEMPTS,
     return done.unionByName(failed, allowMissingColumns=True)
 
 
+#: Jobs that one pass takes at most.
+MAX_JOBS = 100
+
+
+def drain_pass(jobs: DataFrame, run: Callable[[DataFrame], DataFrame], now: Column, worker: str = "worker", max_jobs: int = MAX_JOBS, lease_seconds: int = v.LEASE_SECONDS) -> DataFrame:
+    """All jobs after one pass: leases that ended are swept, then the oldest runnable jobs, ``max_jobs`` at most, are run.
+
+    ``run`` adds ``error_code`` (null: it succeeded) to leased jobs. As a failed job waits for its backoff, no job runs twice
+    in a pass. The taken jobs are a top-k, so no more than ``max_jobs`` rows meet in a task. ``ran`` tells them.
+    """
+    if max_jobs < 1:
+        raise ValueError("a pass takes at least one job")
+    swept = release_expired(jobs, now).drop("released", "document_status")
+    taken = runnable(swept, now).orderBy("created_at", "id").limit(max_jobs)
+    leased = taken.withColumns({"status": F.lit("LEASED"), "leased_by": F.lit(worker), "lease_expires_at": now + F.make_dt_interval(secs=F.lit(lease_seconds))})
+    done = staged(run_leased(run(staged(leased, "leased")), now), "done")
+    rest = swept.join(F.broadcast(done.select("id")), "id", "left_anti").withColumn("ran", F.lit(False))  # max_jobs ids
+    return rest.unionByName(done.withColumn("ran", F.lit(True)), allowMissingColumns=True)
+
+
 def reprocess_error(status: Column) -> Column:
     """Why a document cannot be parsed again; null if it can."""
     return F.when(status == "UNSUPPORTED", "document_unsupported").when(status.isin("UPLOADED", "INSPECTING", "QUEUED_FOR_PARSE", "PARSING", "NORMALIZING", "STRUCTURING", "INDEXING"), "document_processing")

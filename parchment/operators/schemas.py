@@ -24,7 +24,9 @@ SCHEMA_VERSION = "1.0"
 RETRYABLE = ("parse_timeout", "provider_failure")
 
 
-def error_record(code: Column, message: Column, parser: Column | None = None, retryable: Column | None = None) -> Column:
-    """``struct<code, message, retryable, parser_name>``; retryable follows from the code unless given. Null code: null."""
+def error_record(code: Column, message: Column, parser: Column | None = None, retryable: Column | None = None, details: Column | None = None) -> Column:
+    """``struct<code, message, retryable, parser_name, details>``; retryable follows from the code unless given. Null code: null."""
     own = code.isin(*RETRYABLE) if retryable is None else F.coalesce(retryable, code.isin(*RETRYABLE))
-    return F.when(code.isNotNull(), F.struct(code.alias("code"), message.alias("message"), own.alias("retryable"), (F.lit(None).cast("string") if parser is None else parser).alias("parser_name")))
+    name = F.lit(None).cast("string") if parser is None else parser
+    more = F.lit(None).cast("map<string,string>") if details is None else details
+    return F.when(code.isNotNull(), F.struct(code.alias("code"), message.alias("message"), own.alias("retryable"), name.alias("parser_name"), more.alias("details")))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as v
+from .staging import staged
 
 SUMMARY_HIDES = ("storage_uri", "content_type", "error_message")
 
@@ -29,6 +33,43 @@ def object_path(checksum: Column) -> Column:
     return F.concat_ws("/", F.substring(checksum, 1, 2), F.substring(checksum, 3, 2), F.concat(checksum, F.lit(".bin")))
 
 
+def put_once(batch: DataFrame, root: str, batch_id: str) -> DataFrame:
+    """Write the contents of a batch (``uri, content``) that are not stored yet; one row per row of the batch.
+
+    Adds ``checksum`` and ``outcome``: ``stored``, ``already_stored`` (the same bytes are there: nothing is written) or
+    ``clash`` (other bytes stand there, or the batch itself has several: nothing is written, nothing is overwritten).
+    A batch is committed as one folder that is named by its id, so that a repeated or retried batch writes the same folder
+    again and a lost one leaves nothing that counts. Rows without uri or content are ``empty``.
+
+    Batches must come one after another, as two at a time do not see each other. Read what is stored with ``stored``.
+    """
+    spark = batch.sparkSession
+    if not re.fullmatch(r"[A-Za-z0-9_-]+", batch_id):
+        raise ValueError("a batch id has letters, digits, _ and - only")
+    rows = batch.select("uri", "content", F.sha2("content", 256).alias("checksum"))
+    usable = rows.where("uri is not null and content is not null")
+    before = stored(spark, root)
+    before = None if before is None else before.where(F.col("batch") != batch_id).select("uri", F.col("checksum").alias("_stored"))
+    own = usable.groupBy("uri").agg(F.min("checksum").alias("_least"), F.max("checksum").alias("_most"))
+    own = own.withColumn("_stored", F.lit(None).cast("string")) if before is None else own.join(before, "uri", "left")
+    outcome = F.when(F.col("_least") != F.col("_most"), "clash").when(F.col("_stored").isNull(), "stored").when(F.col("_stored") == F.col("_least"), "already_stored").otherwise("clash")
+    told = staged(own.select("uri", outcome.alias("outcome")), "outcomes")
+    fresh = usable.join(told.where("outcome = 'stored'").select("uri"), "uri", "left_semi")
+    once = fresh.groupBy("uri", "checksum").agg(F.first("content").alias("content"))
+    once.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+    return rows.drop("content").join(told, "uri", "left").withColumn("outcome", F.coalesce("outcome", F.lit("empty")))
+
+
+def stored(spark: SparkSession, root: str) -> DataFrame | None:
+    """``uri, checksum, content, batch`` of all that ``put_once`` wrote; null if nothing was."""
+    try:
+        return spark.read.schema("uri string, checksum string, content binary, batch string").parquet(root)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def is_safe_path(path: Column) -> Column:
     """Local scheme, relative, and without a step upwards."""
     rest = F.regexp_replace(path, "^local://", "")

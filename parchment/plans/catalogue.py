@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..functions import vocabulary as v
 from ..operators import fields as fields_
-from ..operators import canonical, ingest, metrics, normalize, queue, routing, score, store, structure, validate
-from ..operators.staging import staged
+from ..operators import canonical, ingest, metrics, normalize, queue, routing, runs, score, store, structure, validate
+from ..operators.staging import staged, staging_path
+from ..sources import files, providers
 from . import notices
 
 _QUERIES: dict = {}
@@ -922,8 +924,8 @@ def feedback_rejects(spark, read):
 
 # ---- stored documents ----------------------------------------------------------------------------------------------------
 
-_RUN_NOW = F.struct(F.lit("run").alias("id"), F.lit("lines").alias("parser_name"), F.lit("1").alias("parser_version"), F.lit("0").alias("configuration_hash"), F.lit("2024-01-01").alias("started_at"), F.lit("2024-01-01").alias("finished_at"), F.lit("cpu").alias("device"))
-_QUALITY_NOW = F.struct(F.lit("born_digital").alias("route"), F.lit(1.0).alias("route_confidence"))
+_RUN_NOW = "named_struct('id', 'run', 'parser_name', 'lines', 'parser_version', '1', 'configuration_hash', '0', 'started_at', '2024-01-01', 'finished_at', '2024-01-01', 'device', 'cpu')"
+_QUALITY_NOW = "named_struct('route', 'born_digital', 'route_confidence', 1.0D)"
 
 
 @query(
@@ -936,7 +938,7 @@ def canonical_reload(spark, read):
     blocks = _notices(spark, read)
     found = staged(structure.structure(blocks), "structured")
     before = {"pages": notices.pages(blocks), "blocks": found.withColumn("attributes", F.create_map(F.lit("admin_role"), F.coalesce("admin_role", F.lit("none")))), "hierarchy": staged(structure.hierarchy(found), "nodes"), "tables": structure.row_tables(found), "fields": staged(fields_.extract(blocks), "fields")}
-    owners = before["pages"].select("document_id").distinct().select("document_id", _RUN_NOW.alias("parser_run"), _QUALITY_NOW.alias("quality_report"))
+    owners = before["pages"].select("document_id").distinct().select("document_id", F.expr(_RUN_NOW).alias("parser_run"), F.expr(_QUALITY_NOW).alias("quality_report"))
     stored = canonical.nest(owners, *before.values())
     k = F.substring_index("document_id", "-", -1).cast("long")
     text = F.col("canonical")
@@ -970,7 +972,7 @@ _COMPARED = {
 def _order_runs(read) -> DataFrame:
     """A customer's orders as versions of a document with one field, its price; every tenth stored text is damaged."""
     field = F.struct(F.lit("field_balance").alias("id"), F.lit("price").alias("name"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("raw_value"), F.lit("unreviewed").alias("review_status"), F.struct(F.lit("x").alias("name"), F.lit("1").alias("version")).alias("extractor"))
-    whole = F.to_json(F.struct(F.lit("1.0").alias("schema_version"), F.col("document_id"), _RUN_NOW.alias("parser_run"), F.array(field).alias("extracted_fields"), _QUALITY_NOW.alias("quality_report")))
+    whole = F.to_json(F.struct(F.lit("1.0").alias("schema_version"), F.col("document_id"), F.expr(_RUN_NOW).alias("parser_run"), F.array(field).alias("extracted_fields"), F.expr(_QUALITY_NOW).alias("quality_report")))
     runs = store.versions(read("orders").withColumn("document_id", F.col("o_custkey").cast("string")), "o_orderdate", "o_orderkey")
     return runs.withColumn("canonical", F.when(F.col("o_orderkey") % 10 == 0, F.left(whole, F.lit(40))).otherwise(whole))
 
@@ -1005,3 +1007,132 @@ def free_node_ids(spark, read):
     rows = lines.select(F.concat(F.lit("order-"), F.col("l_orderkey").cast("string")).alias("document_id"), F.posexplode(texts).alias("reading_order", "text"))
     blocks = rows.select("document_id", F.lit(1).alias("page_number"), F.format_string("b_1_%04d", "reading_order").alias("block_id"), F.lit("unknown").alias("type"), "text", "reading_order", F.lit(None).cast("string").alias("parent_id"))
     return structure.hierarchy(structure.structure(blocks)).select("document_id", "node_id", "parent_id")
+
+
+# ---- runs, recordings, stores and manifests --------------------------------------------------------------------------------
+
+
+def _parse_lines(text: str | None) -> dict:
+    """A small parser for the run queries: a block per line; texts of one line are not supported, some make it crash."""
+    lines = (text or "").split("\n")
+    if len(lines) == 1:
+        raise runs.ParserFailure("unsupported_input", "one line only", details={"length": str(len(lines[0]))})
+    if len(text) % 7 == 0:
+        raise KeyError(len(lines))
+    return {"blocks": len(lines)}
+
+
+def _parse_slow(text: str | None) -> dict:
+    """Loses time on some texts."""
+    while len(text or "") % 997 == 0:
+        time.sleep(0.01)
+    return {"blocks": 1}
+
+
+@query(
+    """WITH d AS (SELECT doc_id::VARCHAR AS document_id, len(string_split(text, chr(10))) AS n, length(text) AS c FROM documents),
+    r AS (SELECT document_id, 'lines' AS parser, n, c, CASE WHEN n = 1 THEN 'unsupported_input' WHEN c % 7 = 0 THEN 'provider_failure' END AS error_code, CASE WHEN n = 1 THEN 'one line only' WHEN c % 7 = 0 THEN 'KeyError: ' || n END AS message, '{"blocks": ' || n || '}' AS result FROM d
+      UNION ALL SELECT document_id, 'slow', n, c, CASE WHEN c % 997 = 0 THEN 'parse_timeout' END, CASE WHEN c % 997 = 0 THEN 'stopped after 0.2 s' END, '{"blocks": 1}' FROM d
+      UNION ALL SELECT document_id, 'gone', n, c, 'unsupported_input', 'unknown parser gone', NULL FROM d)
+    SELECT parser, document_id, CASE WHEN error_code IS NULL THEN 'ok' ELSE 'failed' END AS status, error_code, message, CASE WHEN error_code IS NOT NULL THEN error_code = 'parse_timeout' END AS retryable, CASE WHEN parser = 'lines' AND n = 1 THEN c::VARCHAR END AS length, CASE WHEN error_code IS NULL THEN result END AS result, true AS timed FROM r"""
+)
+def run_frame(spark, read):
+    """Three parsers over whole documents, one of them unknown: results, failures, crashes and runs that are stopped."""
+    documents = read("documents").select(F.col("doc_id").cast("string").alias("document_id"), F.col("text").alias("payload"))
+    pairs = documents.withColumn("parser", F.explode(F.array(*map(F.lit, ("lines", "slow", "gone")))))
+    rows = runs.run_frame(pairs, {"lines": _parse_lines, "slow": _parse_slow}, limit_seconds=0.2)
+    late = F.when(F.col("error.code") == "parse_timeout", F.col("seconds") >= 0.2).otherwise(F.col("seconds") >= 0)
+    return rows.select("parser", "document_id", "status", F.col("error.code").alias("error_code"), F.col("error.message").alias("message"), F.col("error.retryable").alias("retryable"), F.col("error.details")["length"].alias("length"), "result", late.alias("timed"))
+
+
+@query(
+    """WITH r AS (SELECT item_id, item_id::VARCHAR AS document_id, len(string_split(text, ' ')) AS n, CASE WHEN item_id % 5 = 0 THEN 'recording_missing' WHEN item_id % 7 = 1 OR item_id % 11 = 2 THEN 'provider_failure' END AS code FROM benchmark)
+    SELECT 'mineru+recorded' AS parser, document_id, code AS error_code, code IS NOT NULL AND code = 'recording_missing' AS names_path, CASE WHEN code IS NULL THEN n END AS n_blocks FROM r
+    UNION ALL SELECT 'docling+recorded', document_id, 'recording_missing', true, NULL FROM r UNION ALL SELECT 'other+recorded', document_id, 'unsupported_input', false, NULL FROM r"""
+)
+def recording_replay(spark, read):
+    """Items of the benchmark as recordings of one parser, a word a block; some missing, cut off, or of another document."""
+    k = F.col("item_id")
+    block = lambda w, i: F.struct(F.format_string("w%d", i).alias("provider_block_id"), F.lit("text").alias("provider_type"), w.alias("text"))
+    page = F.struct(F.lit(1).alias("page_number"), F.lit(10.0).alias("width"), F.lit(10.0).alias("height"), F.lit(0).alias("rotation"), F.transform(F.split("text", " ", -1), block).alias("blocks"))
+    whole = F.to_json(F.struct(F.when(k % 11 == 2, "nobody").otherwise(k.cast("string")).alias("document_id"), F.lit("cpu").alias("device"), F.array(page).alias("pages")))
+    items = read("benchmark")
+    root = staging_path(spark, "recordings")
+    made = items.where(k % 5 != 0).select(F.lit("mineru").alias("parser"), k.cast("string").alias("document_id"), F.when(k % 7 == 1, F.left(whole, F.lit(50))).otherwise(whole).alias("value"))
+    made.write.partitionBy("parser", "document_id").text(root)
+    asked = items.select(k.cast("string").alias("document_id"), F.explode(F.array(*(F.lit(f"{p}{providers.RECORDED_SUFFIX}") for p in ("mineru", "docling", "other")))).alias("parser"))
+    rows = staged(providers.replay(asked, providers.recordings(spark, root), root), "replayed")
+    blocks = providers.recorded_blocks(rows.where("parser like 'mineru%'")).groupBy("document_id").agg(F.count("*").alias("n_blocks")).withColumn("parser", F.lit(f"mineru{providers.RECORDED_SUFFIX}"))
+    names_path = F.coalesce(F.col("error.details")["expected_path"].endswith(F.concat(F.lit("/"), "document_id", F.lit(".json"))), F.lit(False))
+    return rows.join(blocks, ["parser", "document_id"], "left").select("parser", "document_id", F.col("error.code").alias("error_code"), names_path.alias("names_path"), "n_blocks")
+
+
+@query(
+    """WITH d AS (SELECT doc_id // 2 AS k, doc_id, text, CASE WHEN lang IN ('en', 'fr') THEN 1 ELSE 2 END AS batch FROM documents),
+    u AS (SELECT batch, k, count(DISTINCT text) AS n, any_value(text) AS text FROM d GROUP BY batch, k),
+    o AS (SELECT b.*, CASE WHEN b.n > 1 THEN 'clash' WHEN b.batch = 2 AND a.n = 1 THEN CASE WHEN a.text = b.text THEN 'already_stored' ELSE 'clash' END ELSE 'stored' END AS outcome FROM u b LEFT JOIN u a ON a.k = b.k AND a.batch = 1),
+    t AS (SELECT 'batch-' || batch AS batch, doc_id, outcome FROM d JOIN o USING (batch, k)
+      UNION ALL SELECT 'again-1', doc_id, CASE WHEN outcome = 'stored' THEN 'already_stored' WHEN s.text IS NULL THEN 'clash' ELSE 'clash' END FROM d JOIN o USING (batch, k) LEFT JOIN (SELECT k, text FROM o WHERE batch = 2 AND outcome = 'stored') s ON s.k = d.k WHERE d.batch = 1)
+    SELECT batch, outcome, count(*) AS n, (SELECT count(*) FROM o WHERE outcome = 'stored') AS objects FROM t GROUP BY batch, outcome"""
+)
+def write_once(spark, read):
+    """Documents in pairs under one name, by language in two batches; the first batch is put twice under its id and once under another."""
+    docs = read("documents").select(F.format_string("doc/%d", F.floor(F.col("doc_id") / 2)).alias("uri"), F.col("text").cast("binary").alias("content"), F.col("lang").isin("en", "fr").alias("first"))
+    root = staging_path(spark, "objects")
+    one, two = docs.where("first"), docs.where("not first")
+    store.put_once(one, root, "batch-1")
+    puts = [("batch-1", one), ("batch-2", two), ("again-1", one)]
+    told = [staged(store.put_once(rows, root, name).groupBy("outcome").agg(F.count("*").alias("n")).withColumn("batch", F.lit(name)), "told") for name, rows in puts]
+    objects = store.stored(spark, root).agg(F.count("*").alias("objects"))
+    return reduce(DataFrame.unionByName, told).join(F.broadcast(objects)).select("batch", "outcome", "n", "objects")
+
+
+@query(
+    """WITH j AS (SELECT o_orderkey::VARCHAR AS id, o_orderkey AS k, o_orderdate AS created, CASE o_orderkey % 5 WHEN 0 THEN 'LEASED' WHEN 1 THEN 'SUCCEEDED' WHEN 2 THEN 'FAILED_TERMINAL' ELSE 'QUEUED' END AS status, o_orderkey % 3 AS attempt, o_orderkey % 2 = 0 AS expired, o_orderkey % 8 = 3 AS later FROM orders),
+    s AS (SELECT *, CASE WHEN status = 'LEASED' AND expired THEN 'QUEUED' ELSE status END AS now, status = 'LEASED' AND expired AS released FROM j),
+    q AS (SELECT *, now = 'QUEUED' AND (released OR NOT later) AND row_number() OVER (PARTITION BY now = 'QUEUED' AND (released OR NOT later) ORDER BY created, id) <= 100 AS ran FROM s)
+    SELECT CASE WHEN NOT ran THEN now WHEN k % 4 = 0 THEN 'SUCCEEDED' WHEN k % 4 = 1 AND attempt + 1 < 3 THEN 'QUEUED' ELSE 'FAILED_TERMINAL' END AS status, ran, attempt + ran::INT AS attempt, count(*) AS n FROM q GROUP BY ALL"""
+)
+def drain_pass(spark, read):
+    """Orders as jobs, some leased beyond their lease, some to wait; a pass runs the oldest hundred."""
+    k, now = F.col("o_orderkey"), F.lit("2030-01-01").cast("timestamp")
+    jobs = read("orders").select(
+        k.cast("string").alias("id"), k.cast("string").alias("document_id"), F.when(k % 5 == 0, "LEASED").when(k % 5 == 1, "SUCCEEDED").when(k % 5 == 2, "FAILED_TERMINAL").otherwise("QUEUED").alias("status"), (k % 3).alias("attempt"), F.lit(None).cast("string").alias("leased_by"),
+        F.when(k % 2 == 0, now - F.expr("interval 1 hour")).otherwise(now + F.expr("interval 1 hour")).alias("lease_expires_at"), F.when(k % 8 == 3, now + F.expr("interval 1 hour")).alias("available_at"), F.col("o_orderdate").cast("timestamp").alias("created_at"),
+    )
+    outcome = F.when(F.col("id").cast("long") % 4 == 1, "provider_failure").when(F.col("id").cast("long") % 4 > 1, "invalid_pdf")
+    rows = queue.drain_pass(jobs, lambda leased: leased.withColumn("error_code", outcome), now)
+    return rows.groupBy("status", "ran", F.col("attempt").cast("long").alias("attempt")).agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH d AS (SELECT doc_id AS k, row_number() OVER (ORDER BY doc_id) AS line_number FROM documents),
+    e AS (SELECT *, 'd' || (k // 20) AS id, k % 20 = 0 AS first FROM d WHERE k % 9 NOT IN (1, 2)),
+    f AS (SELECT *, CASE WHEN k % 9 = 3 THEN 'malformed' WHEN k % 9 = 4 THEN 'unknown_keys' WHEN k % 9 = 5 THEN 'missing_keys' WHEN k % 9 = 6 THEN 'unknown_label' END AS own FROM e),
+    g AS (SELECT *, row_number() OVER (PARTITION BY coalesce(own, '') = 'malformed', id ORDER BY line_number) AS nth FROM f)
+    SELECT line_number, coalesce(own, CASE WHEN nth > 1 THEN 'duplicate_id' END) AS problem,
+      CASE own WHEN 'malformed' THEN NULL WHEN 'unknown_keys' THEN 'colour' WHEN 'missing_keys' THEN 'provenance' WHEN 'unknown_label' THEN 'striped' ELSE CASE WHEN nth > 1 THEN id END END AS detail FROM g"""
+)
+def manifest_lines(spark, read):
+    """Documents as lines of one manifest file; comments, blank lines, broken entries and repeated ids."""
+    k = F.col("doc_id")
+    entry = F.to_json(F.struct(F.concat(F.lit("d"), F.floor(k / 20)).alias("document_id"), F.lit("x.pdf").alias("path"), F.when(k % 9 == 6, "striped").otherwise("scanned").alias("route_label"), F.lit("easy").alias("difficulty"), F.when(k % 9 != 5, "made").alias("provenance"), F.when(k % 9 == 4, "red").alias("colour")))
+    line = F.when(k % 9 == 1, "# comment").when(k % 9 == 2, "").when(k % 9 == 3, F.lit('{"document_id": ')).otherwise(entry)
+    path = staging_path(spark, "manifest")
+    read("documents").orderBy("doc_id").select(line.alias("value")).coalesce(1).write.text(path)  # one short line a document
+    return files.read_manifest(spark, path).select("line_number", "problem", F.col("problem_detail").alias("detail"))
+
+
+@query(
+    """WITH p AS (SELECT page_id, '/' || array_to_string(list_transform(range(page_id % 4), lambda i: CASE (page_id + i) % 3 WHEN 0 THEN 'repo' WHEN 1 THEN 'x' ELSE '.' END), '/') AS head, page_id % 5 AS up, page_id % 7 = 0 AS relative FROM pages),
+    s AS (SELECT *, list_filter(string_split(head, '/'), lambda x: x NOT IN ('', '.')) AS steps FROM p),
+    r AS (SELECT page_id, relative, list_concat(steps[1:greatest(len(steps) - up, 0)], ['repo', 'a.pdf']) AS steps FROM s)
+    SELECT page_id, '/' || array_to_string(steps, '/') AS resolved, CASE WHEN relative THEN 'private_path_relative' WHEN steps[1] = 'repo' THEN 'private_path_inside' END AS problem FROM r"""
+)
+def private_paths(spark, read):
+    """Paths with steps to and fro, as places of private documents; the root is /repo."""
+    k = F.col("page_id")
+    down = F.transform(F.filter(F.sequence(F.lit(0), F.lit(3)), lambda i: i < k % 4), lambda i: F.when((k + i) % 3 == 0, "repo").when((k + i) % 3 == 1, "x").otherwise("."))
+    path = F.concat(F.lit("/"), F.array_join(F.concat(down, F.array_repeat(F.lit(".."), (k % 5).cast("int")), F.array(F.lit("."), F.lit("repo"), F.lit("a.pdf"))), "/"))
+    given = F.when(k % 7 == 0, F.substring(path, 2, 1 << 20)).otherwise(path)
+    return read("pages").select("page_id", files.resolved(path).alias("resolved"), files.private_path_error(given, "/x/../repo/").alias("problem"))

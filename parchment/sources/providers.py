@@ -157,14 +157,65 @@ CONVERTERS = {"mineru": from_middle, "marker": from_rendered, "docling": from_ex
 RECORDED = "document_id string, device string, pages array<struct<page_number:int,width:double,height:double,rotation:int,blocks:array<struct<provider_block_id:string,provider_type:string,text:string,bbox:array<double>,confidence:double,order_hint:int,attributes:struct<cells:array<array<string>>,caption:string>>>>>, warnings array<string>, errors array<string>"
 
 
-def read_recorded(spark: SparkSession, root: str, parser: str) -> DataFrame:
-    """Replay of ``<root>/<parser>/<document>.json``: provider blocks, and ``recording_error`` where ids disagree."""
-    rows = spark.read.schema(RECORDED).option("multiLine", True).option("mode", "FAILFAST").json(f"{root}/{parser}")
-    rows = rows.withColumn("_file", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)\.json$", 1))
-    rows = rows.withColumn("recording_error", F.when(F.col("_file") != F.col("document_id"), "document_id_mismatch"))
-    pages = rows.select("document_id", "recording_error", F.explode("pages").alias("page"))
-    blocks = pages.select("document_id", "recording_error", "page", F.posexplode("page.blocks").alias("position", "b"))
-    return blocks.select("document_id", *(F.col(f"page.{c}") for c in ("page_number", "width", "height", "rotation")), "position", *(F.col(f"b.{c}") for c in ("provider_block_id", "provider_type", "text", "bbox", "confidence", "order_hint")), F.col("b.attributes.cells").alias("cells"), F.col("b.attributes.caption").alias("caption"), "recording_error")
+#: What a name of a parser ends with if its recorded output is meant.
+RECORDED_SUFFIX = "+recorded"
+
+
+def recordings(spark: SparkSession, root: str) -> DataFrame:
+    """The catalogue of ``<root>/<parser>/<document>.json``: ``parser, document_id, path, payload``, one row per recording.
+
+    Folders that Spark wrote, ``<root>/parser=<parser>/document_id=<document>/<any file>``, are read as well. Listing and
+    reading go through Spark's file systems, so the root may be wherever Spark reads. Other files are left out, and
+    empty ones, which Spark does not list, are missing recordings. Bytes that are no UTF-8 become U+FFFD.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    files = files.select(F.col("_metadata.file_path").alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("payload"))
+    plain, written = r"/([^/=]+)/([^/=]+)\.json$", r"/parser=([^/=]+)/document_id=([^/=]+)/[^/]+$"
+    own = F.col("path").rlike(written)
+    name = lambda i: F.url_decode(F.when(own, F.regexp_extract("path", written, i)).otherwise(F.regexp_extract("path", plain, i)))
+    return files.where(own | F.col("path").rlike(plain)).select(name(1).alias("parser"), name(2).alias("document_id"), "path", "payload")
+
+
+def recording_health(spark: SparkSession, catalogue: DataFrame) -> DataFrame:
+    """Every adapter's recorded form: ``name, available, recordings, detail``."""
+    found = catalogue.groupBy("parser").agg(F.count("*").alias("recordings"))
+    rows = adapters(spark).join(F.broadcast(found), "parser", "left").withColumn("recordings", F.coalesce("recordings", F.lit(0)))
+    detail = F.when(F.col("recordings") == 0, F.concat(F.lit("no recordings for "), "parser")).otherwise("")
+    return rows.select(F.concat("parser", F.lit(RECORDED_SUFFIX)).alias("name"), (F.col("recordings") > 0).alias("available"), "recordings", detail.alias("detail"))
+
+
+def replay(requests: DataFrame, catalogue: DataFrame, root: str) -> DataFrame:
+    """One row per request (``parser`` as ``name+recorded``, ``document_id``): ``pages`` of the recording, or ``error``.
+
+    An unknown parser, a missing recording, one that is malformed and one of another document are rows with an error. Of
+    two recordings of one document, the one whose path sorts first counts.
+    """
+    from ..operators.routing import CAPABILITIES
+    from ..operators.schemas import error_record
+
+    asked = requests.select("parser", F.col("document_id").cast("string").alias("document_id"))
+    asked = asked.withColumn("_name", F.regexp_replace("parser", r"\+recorded$", ""))
+    one = catalogue.groupBy(F.col("parser").alias("_name"), "document_id").agg(F.min_by("payload", "path").alias("payload"), F.min("path").alias("path"))
+    rows = asked.join(one, ["_name", "document_id"], "left")
+    rows = rows.withColumn("r", F.from_json("payload", f"{RECORDED}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    known = F.col("_name").isin(*CAPABILITIES) & F.col("parser").endswith(RECORDED_SUFFIX)
+    code = F.when(~known, "unsupported_input").when(F.col("path").isNull(), "recording_missing").when(F.col("r._corrupt").isNotNull() | F.col("r.document_id").isNull() | (F.col("r.document_id") != F.col("document_id")), "provider_failure")
+    message = (
+        F.when(~known, F.concat(F.lit("unknown parser "), "parser"))
+        .when(F.col("path").isNull(), F.concat(F.lit("no recorded output for "), "_name", F.lit("/"), "document_id"))
+        .when(F.col("r._corrupt").isNotNull() | F.col("r.document_id").isNull(), F.concat(F.lit("recorded output for "), "_name", F.lit(" does not match the contract")))
+        .otherwise(F.concat(F.lit("recording is for "), "r.document_id", F.lit(", requested "), "document_id"))
+    )
+    details = F.when(code == "recording_missing", F.create_map(F.lit("expected_path"), F.concat(F.lit(root.rstrip("/") + "/"), "_name", F.lit("/"), "document_id", F.lit(".json"))))
+    ok = code.isNull()
+    return rows.select("parser", "document_id", *(F.when(ok, F.col(f"r.{c}")).alias(c) for c in ("device", "pages", "warnings", "errors")), F.when(ok, F.col("path")).alias("recording_path"), error_record(code, message, F.col("parser"), details=details).alias("error"))
+
+
+def recorded_blocks(replayed: DataFrame) -> DataFrame:
+    """Provider blocks of the requests that were answered."""
+    pages = replayed.where("error is null").select("document_id", F.explode("pages").alias("page"))
+    blocks = pages.select("document_id", "page", F.posexplode("page.blocks").alias("position", "b"))
+    return blocks.select("document_id", *(F.col(f"page.{c}") for c in ("page_number", "width", "height", "rotation")), "position", *(F.col(f"b.{c}") for c in ("provider_block_id", "provider_type", "text", "bbox", "confidence", "order_hint")), F.col("b.attributes.cells").alias("cells"), F.col("b.attributes.caption").alias("caption"))
 
 
 def adapters(spark: SparkSession) -> DataFrame:

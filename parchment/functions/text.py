@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from collections.abc import Sequence
 
@@ -150,9 +151,37 @@ def row_cells(text: Column) -> Column:
     return F.when((F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit(""))) >= 2) & F.exists(cells, lambda c: c != ""), cells)
 
 
+def _folds() -> dict[str, str]:
+    """What full case folding makes of lower-case letters that are not their own folding; by rule from Unicode."""
+    pairs = ((c.lower(), c.casefold()) for c in map(chr, range(sys.maxunicode + 1)))
+    return {low: fold for low, fold in pairs if low != fold and len(low) == 1}
+
+
+FOLDS = _folds()
+_ONE_TO_ONE = {a: b for a, b in FOLDS.items() if len(b) == 1}
+_ONE_TO_MANY = {a: b for a, b in FOLDS.items() if len(b) > 1}
+
+
+def case_fold(text: Column) -> Column:
+    """Full case folding: letters that differ by case only become equal, also those whose upper case is several letters.
+
+    Lower case first; then letters such as final sigma or long s by a table, and, in the few texts that hold one, letters such
+    as ß and the ligatures by a map. Null stays null.
+    """
+    low = F.translate(F.lower(text), "".join(_ONE_TO_ONE), "".join(_ONE_TO_ONE.values()))
+
+    def spelled(x: Column) -> Column:
+        table = F.create_map(*(F.lit(y) for pair in _ONE_TO_MANY.items() for y in pair))
+        return F.array_join(F.transform(F.split(x, ""), lambda c: F.coalesce(table[c], c)), "")
+
+    # The letters that are frequent have their own step, so that the map is only looked into for the others.
+    rare = "[" + "".join(c for c in _ONE_TO_MANY if c != "ß") + "]"
+    return let(F.replace(low, F.lit("ß"), F.lit("ss")), lambda x: F.when(x.rlike(rare), spelled(x)).otherwise(x))
+
+
 def compare_key(text: Column) -> Column:
-    """White space runs to one blank, stripped, case-folded (ß to ss); accents stay. For composed text."""
-    return F.replace(F.lower(strip(F.regexp_replace(text, rf"(?U){SPACE}+", " "))), F.lit("ß"), F.lit("ss"))
+    """White space runs to one blank, stripped, case-folded; accents stay. For composed text."""
+    return case_fold(strip(F.regexp_replace(text, rf"(?U){SPACE}+", " ")))
 
 
 def unexpected_chars(text: Column) -> Column:
@@ -176,10 +205,6 @@ def has_diacritics(text: Column) -> Column:
     return text.rlike(_MARKED_1)
 
 
-def character_error_rate(reference: Column, produced: Column) -> Column:
-    return F.levenshtein(reference, produced) / F.greatest(F.length(reference), F.lit(1))
-
-
 def edit_distance(a: Sequence, b: Sequence) -> int:
     """Levenshtein distance of two strings or lists; a whole column of the table is one pair of long integers."""
     lo, hi = 0, 0
@@ -246,11 +271,11 @@ def token_distance(reference: Column, produced: Column) -> Column:
 
 
 def bbox(values: Column) -> Column:
-    """Ordered, non-negative box of four numbers; null stays null, another length is an error."""
+    """Ordered, non-negative box of four numbers; null for null and for other lengths (see ``normalize.errors``)."""
     lo = lambda a, b: F.greatest(F.least(values[a], values[b]), F.lit(0.0))
     hi = lambda a, b: F.greatest(F.greatest(values[a], values[b]), F.lit(0.0))
     box = F.struct(lo(0, 2).alias("x0"), lo(1, 3).alias("y0"), hi(0, 2).alias("x1"), hi(1, 3).alias("y1"))
-    return F.when(values.isNull(), F.lit(None)).when(F.size(values) == 4, box).otherwise(F.raise_error(F.lit("a box has four values")))
+    return F.when(F.size(values) == 4, box)
 
 
 def polygon_box(points: Column) -> Column:

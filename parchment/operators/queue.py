@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as v
+from .schemas import RETRYABLE, error_record
 from .staging import staged
-from .schemas import RETRYABLE
 
 #: Allowed moves (fixed values).
 DOCUMENT_MOVES = {
@@ -143,14 +143,20 @@ def after_failure(rows: DataFrame, now: Column, max_attempts: int = v.MAX_ATTEMP
 def run_leased(jobs: DataFrame, now: Column, max_attempts: int = v.MAX_ATTEMPTS, backoff: int = v.BACKOFF_SECONDS) -> DataFrame:
     """Leased jobs with the ``error_code`` of their run (null: it succeeded) after that run; a failure is a row like others.
 
-    Adds ``job_walk`` and ``document_walk``, the statuses passed through in order, to what ``after_failure`` gives.
+    Adds ``job_walk`` and ``document_walk``, the statuses passed through in order, to what ``after_failure`` gives. A run that
+    fails before parsing (``before_parsing``, if there is such a column: the original or the strategy could not be read) never
+    gets there. ``job_error`` is the structured error, with ``error_message`` if there is such a column; the document keeps code
+    and message in ``document_error_code`` and ``document_error_message``, and a run that succeeds clears both.
     """
+    early = _own_or(jobs, "before_parsing", F.lit(False))
     failed = after_failure(jobs.where("error_code is not null"), now, max_attempts, backoff)
+    message = _own_or(jobs, "error_message", F.lit(""))
+    failed = failed.withColumns({"job_error": error_record(F.col("error_code"), message, retryable=_own_or(jobs, "retryable", F.col("error_code").isin(*RETRYABLE))), "document_error_code": F.col("error_code"), "document_error_message": message})
     again = F.col("status") == "QUEUED"
     failed = failed.withColumns(
         {
             "job_walk": F.when(again, F.array(*map(F.lit, ("RUNNING", "FAILED_RETRYABLE", "QUEUED")))).otherwise(F.array(*map(F.lit, ("RUNNING", "FAILED_TERMINAL")))),
-            "document_walk": F.array(F.lit("INSPECTING"), F.lit("PARSING"), F.col("document_status")),
+            "document_walk": F.when(early, F.array(F.lit("INSPECTING"), F.col("document_status"))).otherwise(F.array(F.lit("INSPECTING"), F.lit("PARSING"), F.col("document_status"))),
         }
     )
     done = jobs.where("error_code is null").withColumns(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -1136,3 +1137,58 @@ def private_paths(spark, read):
     path = F.concat(F.lit("/"), F.array_join(F.concat(down, F.array_repeat(F.lit(".."), (k % 5).cast("int")), F.array(F.lit("."), F.lit("repo"), F.lit("a.pdf"))), "/"))
     given = F.when(k % 7 == 0, F.substring(path, 2, 1 << 20)).otherwise(path)
     return read("pages").select("page_id", files.resolved(path).alias("resolved"), files.private_path_error(given, "/x/../repo/").alias("problem"))
+
+
+_DECOMPOSED = {c: unicodedata.normalize("NFD", c) for c in "äöüÄÖÜéèêëàâçñáíóúîïôûùœ" if unicodedata.normalize("NFD", c) != c}
+
+
+@query(
+    f"""WITH n AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[ \\t\\x{{A0}}\\x{{2000}}-\\x{{200A}}]+', ' ', 'g'), '(?m)^ | $', '', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^{_WS}+|{_WS}+$', '', 'g') AS x FROM documents)
+    SELECT doc_id, md5({_key("text")}) AS folded, md5(nfc_normalize(x)) AS composed FROM n"""
+)
+def unicode_keys(spark, read):
+    """Whole texts with letters that only full folding takes back (long s, ligatures, sharp s), and decomposed texts composed again."""
+    text = F.col("text")
+    other = reduce(lambda x, pair: F.replace(x, F.lit(pair[0]), F.lit(pair[1])), (("ffi", "ﬃ"), ("fi", "ﬁ"), ("fl", "ﬂ"), ("ss", "ẞ"), ("s", "ſ")), text)
+    apart = reduce(lambda x, pair: F.replace(x, F.lit(pair[0]), F.lit(pair[1])), _DECOMPOSED.items(), text)
+    return read("documents").select("doc_id", F.md5(t.compare_key(other)).alias("folded"), F.md5(t.normalize_text(apart)).alias("composed"))
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, i AS p, i % 7 = 0 AS turned FROM (SELECT doc_id, generate_subscripts(a, 1) AS i, unnest(a) AS l FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents))),
+    s AS (SELECT * FROM l WHERE p <= {v.MAX_PAGES}),
+    g AS (SELECT doc_id, count(*) AS seen, sum((p % 3 > 0)::INT)::BIGINT AS images, list(p ORDER BY p) FILTER (turned) AS rotated, list(p ORDER BY p) FILTER (p % 5 = 0) AS odd FROM s GROUP BY doc_id),
+    n AS (SELECT doc_id, max(p) AS pages FROM l GROUP BY doc_id)
+    SELECT doc_id::VARCHAR AS document_id, pages AS page_count, seen AS inspected_page_count, images AS image_count, coalesce(len(odd), 0)::BIGINT AS n_non_nfc, coalesce(len(rotated), 0)::BIGINT AS n_rotated,
+      concat_ws('; ', CASE WHEN seen < pages THEN 'routing sampled the first ' || seen || ' of ' || pages || ' pages' END, CASE WHEN len(rotated) > 0 THEN 'rotated pages detected: [' || array_to_string(rotated, ', ') || ']' END, CASE WHEN len(odd) > 0 THEN 'text layer is not NFC-normalized on pages [' || array_to_string(odd, ', ') || ']' END) AS warnings FROM g JOIN n USING (doc_id)"""
+)
+def inspection_report(spark, read):
+    """Lines of whole documents as pages under the inspection budget; every fifth is not composed, every seventh turned."""
+    pages = _line_pages(read).drop("image_area_ratio")
+    p = F.col("page_number")
+    pages = pages.withColumns({"text": F.when(p % 5 == 0, F.concat("text", F.lit("é"))).otherwise(F.col("text")), "rotation": F.when(p % 7 == 0, 90).otherwise(0), "width": F.lit(10.0), "height": F.lit(10.0), "images": F.when(p % 3 > 0, F.array((p % 3) * 30.0)).otherwise(F.array().cast("array<double>"))})
+    rows = routing.inspect(pages, v.MAX_PAGES, v.MAX_PAGE_CHARS)
+    return rows.select("document_id", "page_count", "inspected_page_count", "image_count", F.size("non_nfc_pages").cast("long").alias("n_non_nfc"), F.size("rotated_pages").cast("long").alias("n_rotated"), F.array_join("inspection_warnings", "; ").alias("warnings"))
+
+
+@query(
+    """WITH b AS (SELECT l_orderkey AS k, l_linenumber - 1 AS p, row_number() OVER (PARTITION BY l_orderkey, l_linenumber) AS d, l_partkey % 50 = 0 AS odd FROM lineitem)
+    SELECT k::VARCHAR AS document_id, 'normalization_failure' AS code, count(*) || ' box(es) without four numbers, the first in block ' || min(p) || ' of page 1' AS message FROM b WHERE odd GROUP BY k"""
+)
+def box_failures(spark, read):
+    """Orders as documents whose lines have boxes, some of three numbers or with a gap."""
+    odd = F.when(F.col("l_partkey") % 100 == 0, F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0))).when(F.col("l_partkey") % 50 == 0, F.array(F.lit(1.0), F.lit(None).cast("double"), F.lit(3.0), F.lit(4.0)))
+    good = F.array(F.lit(0.0), F.lit(0.0), F.col("l_quantity"), F.col("l_quantity"))
+    blocks = read("lineitem").select(F.col("l_orderkey").cast("string").alias("document_id"), F.lit(1).alias("page_number"), (F.col("l_linenumber") - 1).alias("position"), F.coalesce(odd, good).alias("bbox"))
+    return normalize.errors(blocks).select("document_id", "error.code", "error.message")
+
+
+@query(
+    f"""WITH {_JOBS_SQL}, {_RUNS_SQL} SELECT id, 'INSPECTING,' || CASE WHEN code IS NULL THEN 'PARSING,NORMALIZING,STRUCTURING,READY_FOR_REVIEW' ELSE CASE WHEN length(id::VARCHAR) % 2 = 0 THEN '' ELSE 'PARSING,' END || CASE WHEN again THEN 'QUEUED_FOR_PARSE' WHEN code IN ('encrypted_pdf', 'invalid_pdf') THEN 'UNSUPPORTED' ELSE 'PARSE_FAILED' END END AS document_walk,
+    code AS error_code, CASE WHEN code IS NOT NULL THEN code || ' of ' || id END AS error_message, code AS job_error FROM y"""
+)
+def kept_errors(spark, read):
+    """Runs of leased jobs, half of the failing ones before parsing: the document's way, and the error that job and document keep."""
+    rows = _runs(read).withColumns({"before_parsing": F.length("id") % 2 == 0, "error_message": F.concat("error_code", F.lit(" of "), "id")})
+    done = queue.run_leased(rows, F.col("created_at"))
+    return done.select("id", F.array_join("document_walk", ",").alias("document_walk"), F.col("document_error_code").alias("error_code"), F.col("document_error_message").alias("error_message"), F.col("job_error.code").alias("job_error"))

@@ -1,5 +1,7 @@
 """Structure, fields, normalization, routing, validation on small documents with known results."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from parchment.operators import fields, metrics, normalize, queue, routing, schemas, score, store, structure, validate
@@ -150,3 +152,31 @@ def test_providers(spark):
     assert got["marker"][0].bbox == [5.0, 10.0, 15.0, 20.0] and got["marker"][0].text == "h"
     assert got["docling"][0].bbox == [1.0, 100.0, 3.0, 110.0] and got["docling"][0].order_hint == 7 and got["docling"][1].cells == [["x"]]
     assert got["ppstructure"][0].bbox == [1.0, 2.0, 3.0, 4.0] and got["ppstructure"][0].width == 100
+
+
+def test_inspection(spark):
+    """Budgets, image areas, marks and pages that are not composed."""
+    rows = [("a", 1, "é" * 70, 0, 10.0, 10.0, [50.0, 10.0]), ("a", 2, "e\u0301" + "x" * 70, 90, 10.0, 10.0, [200.0]), ("a", 3, None, 0, 0.0, 0.0, None), ("b", 1, "x" * 80, 0, 10.0, 10.0, [])]
+    pages = spark.createDataFrame(rows, "document_id string, page_number int, text string, rotation int, width double, height double, images array<double>")
+    got = {r.document_id: r for r in routing.inspect(pages, max_pages=2, max_images=1).collect()}
+    a, b = got["a"], got["b"]
+    assert (a.page_count, a.inspected_page_count, a.pages_with_diacritics, a.image_count, a.rotated_pages, a.non_nfc_pages, a.route) == (3, 2, 2, 2, [2], [2], "born_digital")
+    assert a.inspection_warnings == ["routing sampled the first 2 of 3 pages", "rotated pages detected: [2]", "text layer is not NFC-normalized on pages [2]"] and b.inspection_warnings == []
+    assert routing.inspect(pages.limit(0)).count() == 0
+
+
+def test_bad_boxes_fail_their_document_only(spark):
+    rows = [("a", 1, 0, [1.0, 2.0]), ("a", 2, 1, [1.0, 2.0, 3.0]), ("b", 1, 0, [0.0, 0.0, 1.0, 1.0]), ("c", 1, 0, None), ("d", 1, 3, [0.0, None, 1.0, 1.0])]
+    blocks = spark.createDataFrame(rows, "document_id string, page_number int, position int, bbox array<double>")
+    got = {r.document_id: r.error for r in normalize.errors(blocks).collect()}
+    assert set(got) == {"a", "d"} and got["a"].message == "2 box(es) without four numbers, the first in block 0 of page 1" and got["a"].code == "normalization_failure" and not got["a"].retryable
+
+
+def test_failures_before_parsing_and_kept_errors(spark):
+    at = dt.datetime(2024, 1, 1)
+    rows = [("1", 0, "provider_failure", "lost", True), ("2", 2, "provider_failure", "again", False), ("3", 0, "unsupported_input", "no file", True), ("4", 0, None, None, False)]
+    jobs = spark.createDataFrame(rows, "id string, attempt int, error_code string, error_message string, before_parsing boolean").withColumns({"leased_by": F.lit("w"), "lease_expires_at": F.lit(at), "available_at": F.lit(None).cast("timestamp")})
+    got = {r.id: r for r in queue.run_leased(jobs, F.lit(at)).collect()}
+    assert [got[i].document_walk for i in "1234"] == [["INSPECTING", "QUEUED_FOR_PARSE"], ["INSPECTING", "PARSING", "PARSE_FAILED"], ["INSPECTING", "PARSE_FAILED"], ["INSPECTING", "PARSING", "NORMALIZING", "STRUCTURING", "READY_FOR_REVIEW"]]
+    assert [(got[i].job_error and (got[i].job_error.code, got[i].job_error.message, got[i].job_error.retryable)) for i in "1234"] == [("provider_failure", "lost", True), ("provider_failure", "again", True), ("unsupported_input", "no file", False), None]
+    assert [(got[i].document_error_code, got[i].document_error_message) for i in "34"] == [("unsupported_input", "no file"), (None, None)]

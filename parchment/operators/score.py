@@ -117,9 +117,3 @@ def per_document_report(runs: DataFrame, metrics: DataFrame) -> DataFrame:
     for c in ("duration_ms", "seconds_per_page", "peak_rss_mb"):
         made[c] = F.when(F.col(c).isNotNull(), made[c]).otherwise("")
     return rows.select(*((made[c] if c in made else text(F.col(c))).alias(c) for c in REPORT_COLUMNS))
-
-
-def summary_lines(scores: DataFrame) -> DataFrame:
-    """Rows of the summary table in order: scored parsers first, best first."""
-    line = F.format_string("| %s | %s | %.2f | %s |", "parser", F.coalesce(F.format_string("%.3f", "weighted_score"), F.lit("n/a")), "coverage", F.array_join("gate_failures", ", "))
-    return scores.orderBy(F.col("weighted_score").desc_nulls_last(), "parser").select(line.alias("line"))

@@ -13,8 +13,9 @@ from ..functions import text as t
 from ..functions import vocabulary as v
 from ..operators import fields as fields_
 from ..operators import canonical, ingest, metrics, normalize, queue, routing, runs, score, store, structure, validate
+from ..operators.schemas import error_record
 from ..operators.staging import staged, staging_path
-from ..sources import files, providers
+from ..sources import files, providers, report
 from . import notices
 
 _QUERIES: dict = {}
@@ -79,7 +80,8 @@ def _line_pages(read) -> DataFrame:
 
 
 def _routes(read, *keep: str) -> DataFrame:
-    return routing.routes(routing.page_signals(_line_pages(read)), *keep)
+    docs = read("documents").select(F.col("doc_id").cast("string").alias("document_id"), *keep, F.split("text", "\n", -1).alias("lines"))
+    return routing.routes_in_rows(docs, "lines")
 
 
 @query(f"WITH {_LINES_SQL} SELECT lang, route, count(*) AS n FROM routed GROUP BY lang, route")
@@ -1192,3 +1194,56 @@ def kept_errors(spark, read):
     rows = _runs(read).withColumns({"before_parsing": F.length("id") % 2 == 0, "error_message": F.concat("error_code", F.lit(" of "), "id")})
     done = queue.run_leased(rows, F.col("created_at"))
     return done.select("id", F.array_join("document_walk", ",").alias("document_walk"), F.col("document_error_code").alias("error_code"), F.col("document_error_message").alias("error_message"), F.col("job_error.code").alias("job_error"))
+
+
+def _reported(spark, read) -> tuple[dict[str, DataFrame], str]:
+    """The report of suppliers as parsers, written to a new place."""
+    metrics_, runs_ = _measured(read)
+    code = F.when(~F.col("parsed"), F.when(F.length("document_id") % 2 == 0, "parse_timeout").otherwise("invalid_pdf"))
+    key = F.substring_index("document_id", "-", 1).cast("long")
+    runs_ = runs_.withColumns(
+        {
+            "status": F.when(F.col("parsed"), "ok").otherwise("failed"), "error": error_record(code, F.concat(code, F.lit(" | "), "document_id"), F.col("parser")), "error_code": code, "route_expected": F.when(key % 3 == 0, "scanned").otherwise("born_digital"), "route_actual": F.when(key % 4 != 0, F.when(key % 5 == 0, "scanned").otherwise("born_digital")),
+            "run_seq": F.col("parser"), "labelled": key % 2 == 0, "page_count": F.lit(1), "duration_ms": F.col("seconds_per_page") * 1000, "peak_rss_mb": F.lit(None).cast("double"),
+        }
+    )
+    root = staging_path(spark, "report")
+    tables = report.bundle(staged(runs_, "runs"), staged(metrics_, "metrics"), {"run_id": "r1", "manifest": "lineitem"})
+    report.write(tables, root, "r1")
+    return tables, root
+
+
+@query(
+    """WITH m AS (SELECT 's' || l_suppkey AS parser, CASE WHEN l_returnflag = 'R' THEN 'scanned' ELSE 'born_digital' END AS route_expected, unnest(['reading_order_accuracy', 'provenance_completeness', 'word_accuracy', 'critical_field_accuracy']) AS name,
+      unnest([1 - l_discount * 4, CASE WHEN l_suppkey % 2 = 0 THEN 1.0 ELSE 1 - l_tax END, CASE WHEN l_returnflag <> 'N' THEN l_quantity / 50 END, CASE WHEN l_suppkey % 3 <> 0 THEN 1 - l_tax END]) AS value FROM lineitem)
+    SELECT CASE grouping(parser, route_expected, name) WHEN 7 THEN 'all' WHEN 3 THEN 'parser' WHEN 6 THEN 'metric' WHEN 2 THEN 'parser_metric' WHEN 1 THEN 'parser_route' END AS level, parser, route_expected, name, round(avg(value), 6) AS mean, count(*) AS n, count(value) AS n_available
+    FROM m GROUP BY GROUPING SETS ((), (parser), (name), (parser, name), (parser, route_expected))"""
+)
+def report_levels(spark, read):
+    """All levels of a report, read back from its file."""
+    _, root = _reported(spark, read)
+    rows = report.read(spark, root, "r1", "levels", "level string, parser string, route_expected string, name string, mean double, n long, n_available long")
+    return rows.withColumn("mean", F.round("mean", 6))
+
+
+@query(
+    """WITH d AS (SELECT l_orderkey AS k, l_orderkey || '-' || l_linenumber AS doc, 's' || l_suppkey AS p, l_orderkey % 10 <> 0 AS ok FROM lineitem), c AS (SELECT count(DISTINCT (CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END, CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END)) AS n FROM d WHERE k % 4 <> 0),
+    s AS (SELECT count(DISTINCT p) AS n, count(DISTINCT p) FILTER (substr(p, 2)::INT % 3 = 0 OR p IN (SELECT 's' || l_suppkey FROM lineitem GROUP BY l_suppkey HAVING count(*) FILTER (l_returnflag <> 'N') = 0 OR count(*) FILTER (l_returnflag = 'R') = 0 OR count(*) FILTER (l_orderkey % 10 <> 0) = 0)) AS part FROM d)
+    SELECT 'runs' AS artefact, count(*) AS n, true AS same FROM d UNION ALL SELECT 'per_document', count(*), true FROM d UNION ALL SELECT 'failures', count(*) FILTER (NOT ok), true FROM d UNION ALL SELECT 'confusion', n, true FROM c UNION ALL SELECT 'scores', n, true FROM s
+    UNION ALL SELECT 'summary', (SELECT 3 + 3 + 3 + 3 + 3 + 1 + 1 + 2 * s.n + s.part + c.n FROM s, c) + count(*) FILTER (NOT ok) + (SELECT (count(DISTINCT doc) < 30)::INT FROM d WHERE k % 2 = 0), true FROM d"""
+)
+def report_files(spark, read):
+    """Every artefact of a report: its rows in the file, and whether they are those of the table behind it."""
+    tables, root = _reported(spark, read)
+    out = []
+    for name, rows in tables.items():
+        if name == "levels":
+            continue  # sums of doubles; report_levels compares them
+        form = report.ARTEFACTS[name]
+        own = report.json_lines(rows) if form == "json" else rows.select(F.array_join(F.array(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in (["line"] if form == "text" else rows.columns))), "\x1f").alias("value"))
+        back = report.read(spark, root, "r1", name, rows.schema)
+        back = report.json_lines(back) if form == "json" else back.select(F.array_join(F.array(*(F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in back.columns)), "\x1f").alias("value"))
+        digest = lambda x: x.agg(F.count("*").alias("n"), F.sum(F.xxhash64("value").cast("decimal(38,0)")).alias("h"))
+        both = digest(back).crossJoin(digest(own).select(F.col("n").alias("m"), F.col("h").alias("g")))  # one row each
+        out.append(both.select(F.lit(name).alias("artefact"), "n", ((F.col("n") == F.col("m")) & F.col("h").eqNullSafe(F.col("g"))).alias("same")))
+    return reduce(DataFrame.unionByName, out)

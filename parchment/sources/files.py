@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -71,7 +73,15 @@ def private_path_error(path: Column, root: str) -> Column:
 
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(TRUTH).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    """One JSON document per file: ``path`` and the columns of ``TRUTH``, all null where the file is no truth.
+
+    Files that do not parse, have other types, unknown keys or no document id are none.
+    """
+    known = F.array(*(F.lit(c.split()[0]) for c in re.split(r", (?=[a-z_]+ )", TRUTH)))
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.from_json("value", f"{TRUTH}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("t"), F.json_object_keys("value").alias("keys"))
+    good = F.col("t._bad").isNull() & (F.coalesce(F.col("t.document_id"), F.lit("")) != "") & (F.size(F.array_except("keys", known)) == 0)
+    truth = F.when(good, F.col("t").dropFields("_bad"))
+    return rows.select("path", truth.alias("t")).select("path", "t.*")
 
 
 def audit_manifest(manifest: DataFrame, files: DataFrame, truth: DataFrame | None = None, root: str = "/") -> DataFrame:
@@ -100,11 +110,3 @@ def read_originals(spark: SparkSession, path: str, limit: int = MAX_UPLOAD_BYTES
     """Files up to ``limit`` bytes; larger ones are left unread (the size filter reaches the file listing)."""
     rows = spark.read.format("binaryFile").load(path).where(F.col("length") <= limit)
     return rows.select("path", F.col("length").alias("byte_size"), F.decode(F.substring("content", 1, 5), "ISO-8859-1").alias("head"), F.sha2("content", 256).alias("checksum_sha256"))
-
-
-def write_report(rows: DataFrame, path: str) -> None:
-    rows.write.option("header", True).mode("overwrite").csv(path)
-
-
-def write_json(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").json(path)

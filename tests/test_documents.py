@@ -154,6 +154,17 @@ def test_providers(spark):
     assert got["ppstructure"][0].bbox == [1.0, 2.0, 3.0, 4.0] and got["ppstructure"][0].width == 100
 
 
+def test_routes_in_rows_are_those_of_pages(spark):
+    texts = [["x" * 80, "y" * 90], ["x" * 80, "", None], ["\u4e00" * 80, "\u4e00" * 70, "a"], [" a "], ["x" * 60, "b", "\u4e00" * 60]]
+    documents = spark.createDataFrame([(str(i), p, i) for i, p in enumerate(texts)], "document_id string, lines array<string>, pages int")
+    exploded = documents.select("document_id", F.posexplode("lines").alias("i", "text")).select("document_id", (F.col("i") + 1).alias("page_number"), "text", F.lit(0.0).alias("image_area_ratio"), F.lit(0).alias("rotation"))
+    names = ["document_id", "pages", "text_ratio", "garbled_ratio", "sparse_ratio", "mean_chars", "route", "route_confidence", "route_warnings", "text_quality_score", "rotated_pages"]
+    one, other = ({r.document_id: r for r in rows.select(names).collect()} for rows in (routing.routes_in_rows(documents, "lines"), routing.routes(routing.page_signals(exploded))))
+    assert one == other
+    none = routing.routes_in_rows(documents.withColumn("lines", F.lit(None).cast("array<string>")).limit(1), "lines").first()
+    assert (none.pages, none.route, none.route_confidence) == (0, "unsupported", 1.0)
+
+
 def test_inspection(spark):
     """Budgets, image areas, marks and pages that are not composed."""
     rows = [("a", 1, "é" * 70, 0, 10.0, 10.0, [50.0, 10.0]), ("a", 2, "e\u0301" + "x" * 70, 90, 10.0, 10.0, [200.0]), ("a", 3, None, 0, 0.0, 0.0, None), ("b", 1, "x" * 80, 0, 10.0, 10.0, [])]

@@ -69,6 +69,15 @@ def test_manifest_audit(spark):
     assert [r.r for r in paths.select(files.resolved(F.col("p")).alias("r")).collect()] == ["/a/b/d", "/", "/x", None]
 
 
+def test_truth_files(spark, tmp_path):
+    truth = {"document_id": "a", "page_count": 2, "headings": [{"level": 1, "text": "x"}], "transcript": {"1": "t"}}
+    for name, text in {"good": json.dumps(truth), "key": json.dumps(truth | {"odd": 1}), "type": json.dumps(truth | {"page_count": "two"}), "cut": '{"document_id"', "none": "{}"}.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    got = {r.path.rsplit("/", 1)[1]: r for r in files.read_truth(spark, str(tmp_path)).collect()}
+    assert {n: r.document_id for n, r in got.items()} == {"good.json": "a", "key.json": None, "type.json": None, "cut.json": None, "none.json": None}
+    assert got["good.json"].page_count == 2 and got["good.json"].headings[0].text == "x" and got["good.json"].transcript == {"1": "t"}
+
+
 def test_line_numbers_over_splits(spark, tmp_path):
     """A file in many splits, another in one; numbers start anew in each."""
     lines = [f"{i} " + "x" * (i % 50) for i in range(2000)]

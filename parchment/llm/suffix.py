@@ -46,6 +46,9 @@ GRAM = 24
 CHUNK, PIECE, RANGE = 8 << 20, 1 << 20, 12 << 20
 #: Windows in a block; longer runs (of periodic text) are cut.
 CUT = 256
+#: Buckets of the table of chunks at most (Spark refuses more than 100,000). A task takes the chunks of a bucket one by one,
+#: in order, so larger buckets cost time, not memory.
+MAX_BUCKETS = 50_000
 #: A hash is dealt out by whole windows if one chunk has more than VARIANTS blocks of it, or all chunks together have
 #: more than HOT with more than VARIANTS different checksums of a byte.
 HOT, VARIANTS = 256, 64
@@ -556,5 +559,5 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     chunks, ranges = max(1, size // CHUNK), min(max(1, size // RANGE), 1 << 31)
     number = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(chunks))
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), number.alias("chunk"))
-    texts = bucketed(texts, "chunk", max(1, -(-chunks // 2)), "chunks")
+    texts = bucketed(texts, "chunk", min(max(1, -(-chunks // 2)), MAX_BUCKETS), "chunks")
     return _cut(texts, _removals(_blocks(texts, _shared(_messages(texts, ranges)), ranges)))

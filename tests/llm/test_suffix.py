@@ -61,3 +61,18 @@ def test_rows_without_id_and_repeated_rows(spark):
     n = len(text)
     assert got == [(False, 3, n, 0), (False, 3, n, 0), (False, 7, n, n), (False, 7, n + 6, n), (True, 0, n, 0)]
     assert suffix.remove_repeats(docs.withColumn("text", F.lit(None).cast("string"))).where("n_removed > 0").count() == 0
+
+
+def test_fewer_buckets_than_chunks(spark, monkeypatch):
+    """Several chunks in a bucket, in the same result; Spark's own limit is set below what two chunks a bucket would need."""
+    rng = random.Random(57)
+    texts = [*EDGES, *(words(rng, rng.randint(5, 60)) for _ in range(60))]
+    texts += [texts[-1], texts[-2] + " " + texts[-3], None]
+    for name, value in (("CHUNK", 500), ("RANGE", 4000), ("MAX_BUCKETS", 3)):
+        monkeypatch.setattr(suffix, name, value)
+    before = spark.conf.get("spark.sql.sources.bucketing.maxBuckets")
+    spark.conf.set("spark.sql.sources.bucketing.maxBuckets", "4")
+    try:
+        assert removed(documents(spark, texts)) == brute_removal(texts)
+    finally:
+        spark.conf.set("spark.sql.sources.bucketing.maxBuckets", before)

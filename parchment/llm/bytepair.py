@@ -106,6 +106,8 @@ class Codec:
         size = self.library.get_vocab_size()
         self.bytes_of = [bytes(back[c] for c in self.library.id_to_token(i)) for i in range(size)]
         self.lengths = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.table = np.frombuffer(b"".join(self.bytes_of), dtype=np.uint8)  # the byte table: all tokens, one after another
 
     def _learn(self, matches: set[str]) -> None:
         """Makes these matches known: from the table before, or by the library, which takes them as words of one text."""
@@ -151,11 +153,18 @@ class Codec:
         point = np.cumsum((data & 0xC0) != 0x80)  # of each byte, from 1
         return point[ends - self.lengths[ids]] - 1, point[ends - 1]
 
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of lists of ids that end at ``ends``, one list after another, and where each list's bytes end."""
+        if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) < len(self.lengths):
+            raise ValueError(f"no token has id {int(ids.max() if ids.max() >= len(self.lengths) else ids.min())}")
+        sizes = self.lengths[ids]
+        to = np.concatenate(([0], np.cumsum(sizes)))
+        data = self.table[np.repeat(self.starts[ids] - to[:-1], sizes) + np.arange(to[-1])]
+        return data, to[ends]
+
     def decode(self, ids) -> bytes:
-        """The bytes of a list of ids."""
-        if len(ids) and int(max(ids)) >= len(self.bytes_of):
-            raise ValueError(f"no token has id {int(max(ids))}")
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        """The bytes of one list of ids."""
+        return self.decode_all(np.asarray(ids, dtype=np.int64), np.array([len(ids)]))[0].tobytes()
 
 
 _LOADED: dict[tuple[str, str], Codec] = {}
@@ -230,13 +239,14 @@ def decode(rows: DataFrame, ids: str = "ids", vocabulary: str = VOCABULARY, spel
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
         for batch in batches:
-            counts = [range(4 * n) for n in np.asarray(pa.compute.fill_null(pa.compute.list_value_length(batch.column(ids)), 0)).tolist()]
-            for at, to in text_chunks(counts):
+            counts = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(batch.column(ids)), 0))
+            for at, to in text_chunks([range(4 * n) for n in counts.tolist()]):
                 part = batch.slice(at, to - at)
-                out = [codec.decode(x) if x is not None else b"" for x in part.column(ids).to_pylist()]
-                columns = {"decoded": pa.array(out, pa.binary())}
+                data, ends = codec.decode_all(np.asarray(part.column(ids).flatten()), np.cumsum(counts[at:to]))
+                offsets = np.concatenate(([0], ends)).astype(np.int32)
+                columns = {"decoded": pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer(offsets), pa.py_buffer(data)])}
                 if spelled:
-                    columns["decoded_text"] = pa.array([b.decode(errors="replace") for b in out], pa.string())
+                    columns["decoded_text"] = pa.array([b.decode(errors="replace") for b in columns["decoded"].to_pylist()], pa.string())
                 yield _put(part, schema, columns)
 
     return rows.mapInArrow(run, schema)

@@ -16,6 +16,7 @@ from ..operators import canonical, ingest, metrics, normalize, queue, routing, r
 from ..operators.schemas import error_record
 from ..operators.staging import staged, staging_path
 from ..sources import files, providers, report
+from ..streaming import jobs
 from . import notices
 
 _QUERIES: dict = {}
@@ -1247,3 +1248,35 @@ def report_files(spark, read):
         both = digest(back).crossJoin(digest(own).select(F.col("n").alias("m"), F.col("h").alias("g")))  # one row each
         out.append(both.select(F.lit(name).alias("artefact"), "n", ((F.col("n") == F.col("m")) & F.col("h").eqNullSafe(F.col("g"))).alias("same")))
     return reduce(DataFrame.unionByName, out)
+
+
+# ---- streams, run over all that is there ------------------------------------------------------------------------------------
+
+
+def _event_stream(spark, read) -> DataFrame:
+    events = read("events")
+    path = events.inputFiles()[0].rsplit("/events.parquet", 1)[0] + "/event[s].parquet"  # a stream takes folders and patterns, no single file
+    return spark.readStream.schema(events.schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query(
+    """WITH e AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS w, event_type FROM events), m AS (SELECT max(ts) AS last FROM events)
+    SELECT strftime(w, '%Y-%m-%d %H') AS window_start, event_type, count(*) AS n FROM e, m WHERE w + INTERVAL 1 HOUR <= last - INTERVAL 1 HOUR GROUP BY w, event_type"""
+)
+def stream_windows(spark, read):
+    """Events of each closed hour as a stream with a watermark of an hour."""
+    rows = jobs.finished(jobs.event_counts(_event_stream(spark, read), "ts", "event_type"), staging_path(spark, "windows"))
+    return rows.select(F.date_format("window_start", "yyyy-MM-dd HH").alias("window_start"), "event_type", "n")
+
+
+@query(
+    """WITH e AS (SELECT user_id::VARCHAR AS j, epoch_us(ts) / 1000000.0 AS t, CASE event_type WHEN 'view' THEN 'LEASED' WHEN 'click' THEN 'RUNNING' WHEN 'purchase' THEN 'SUCCEEDED' WHEN 'error' THEN 'FAILED_TERMINAL' ELSE 'QUEUED' END AS status FROM events),
+    o AS (SELECT *, lead(t) OVER (PARTITION BY j ORDER BY t, status) AS next, CASE WHEN status IN ('LEASED', 'RUNNING') THEN t + 300 END AS due, max(t) OVER () AS last FROM e)
+    SELECT j AS job_id, status, round(t, 3) AS changed_at FROM o UNION ALL SELECT j, 'QUEUED', round(due, 3) FROM o WHERE due <= next OR (next IS NULL AND due < last)"""
+)
+def stream_leases(spark, read):
+    """Events as changes of jobs: every change, and the leases that event time let expire, by timers where a job falls silent."""
+    status = F.when(F.col("event_type") == "view", "LEASED").when(F.col("event_type") == "click", "RUNNING").when(F.col("event_type") == "purchase", "SUCCEEDED").when(F.col("event_type") == "error", "FAILED_TERMINAL").otherwise("QUEUED")
+    stream = _event_stream(spark, read).select(F.col("user_id").cast("string").alias("job_id"), status.alias("status"), (F.unix_micros("ts") / 1000000.0).alias("at"))
+    rows = jobs.finished(jobs.lease_states(stream), staging_path(spark, "leases"))
+    return rows.select("job_id", "status", F.round("changed_at", 3).alias("changed_at"))

@@ -68,6 +68,15 @@ def drain(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoin
     return writer.trigger(availableNow=True).start() if once else writer.trigger(processingTime="2 seconds").start()
 
 
+def finished(stream: DataFrame, path: str) -> DataFrame:
+    """What an append-only stream gives for all that is there now, as a table under ``path``.
+
+    Output and progress stand in one folder, so a run that is cut off goes on where it was.
+    """
+    stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start(f"{path}/rows").awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
 def fold_corrections(path: str) -> Callable[[DataFrame, int], None]:
     """A batch handler that appends events once per batch id; read them back with ``current_corrections``."""
 

@@ -9,6 +9,8 @@ whole item, and is reported where enough of the item's tokens agree.
 A benchmark of at most ``SMALL_TOKENS`` tokens (checked) is broadcast as such a table, and texts are read once. A larger
 one is joined: both sides become rows of hash and place, texts only where a bitmap of fixed size says that a hash may be
 an item's; hits become diagonals, texts give the tokens along them, and these meet the item's tokens for the verdict.
+Copies of a text are compared once there and get its result each; item positions under one hash are dealt out ``HOT`` at
+a time, and the diagonals of one text ``DIAGONALS`` at a time, so neither is held by one task.
 
 Null and empty texts or items hold no tokens and match nothing. Items of fewer than ``MIN_TOKENS`` tokens are not
 reported, not even verbatim: short phrases would take clean texts with them. Repeated rows, and different texts under one
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import flatten, mix, powers, prefix_hashes, slice_hashes, small, stage, text_chunks, word_slices
@@ -38,6 +40,8 @@ STRETCH = 13
 SMALL_TOKENS = 2_000_000
 #: Hits that are held at once, and bits of the bitmap of an item table that is not small.
 PAIRS, BITS = 1_000_000, 1 << 27
+#: Item positions under one hash that one task joins, and diagonals of a text that are compared at once.
+HOT, DIAGONALS = 1000, 10_000
 
 _SEPARATORS = np.ones(256, dtype=bool)
 _SEPARATORS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -188,7 +192,7 @@ def _broadcast_overlaps(texts: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def _joined_overlaps(texts: DataFrame, items: DataFrame) -> DataFrame:
-    """The same by joins of hashes, for a benchmark of any size. Texts that are equal, with their key, are one row here."""
+    """The same by joins of hashes, for a benchmark of any size."""
     rows = texts.withColumn("row", F.xxhash64("id", "text"))
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,9 +233,16 @@ def _joined_overlaps(texts: DataFrame, items: DataFrame) -> DataFrame:
                 text = np.searchsorted(first, hit, "right") - 1
                 yield pa.RecordBatch.from_arrays([pa.array(keys[hit].view(np.int64)), pa.array(row[text]), pa.array(hit - first[text])], ["hash", "row", "at"])
 
-    hits = rows.mapInArrow(text_seeds, "hash long, row long, at long").join(item_seeds, "hash")
+    per_hash = item_seeds.groupBy("hash").count().where(F.col("count") > HOT)
+    hot = small(stage(per_hash.select("hash", F.ceil(F.col("count") / HOT).cast("long").alias("parts")), "hot-seeds"))
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    dealt = item_seeds.join(hot, "hash", "left").withColumn("deal", F.pmod(F.xxhash64("item", "place"), parts)).drop("parts")
+    once = rows.mapInArrow(text_seeds, "hash long, row long, at long").distinct()  # copies of a text give the same rows
+    hits = once.join(hot, "hash", "left").withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).join(dealt, ["hash", "deal"])
     diagonals = hits.select("row", "item", "size", (F.col("at") - F.col("place")).alias("base")).distinct()
-    wanted = diagonals.groupBy("row").agg(F.collect_list(F.struct("item", "size", "base")).alias("wanted"))
+    numbered = diagonals.withColumn("slice", F.floor((F.row_number().over(Window.partitionBy("row").orderBy("item", "base")) - 1) / DIAGONALS))
+    wanted = stage(numbered.groupBy("row", "slice").agg(F.collect_list(F.struct("item", "size", "base")).alias("wanted")).drop("slice"), "diagonals")
+    met = rows.join(wanted.select("row").distinct(), "row", "left_semi").groupBy("row").agg(F.first("id").alias("id"), F.first("text").alias("text"))
 
     def along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, own_texts in _batches(batches):
@@ -243,7 +254,7 @@ def _joined_overlaps(texts: DataFrame, items: DataFrame) -> DataFrame:
                     out.append((key, row, w["item"], lo - w["base"], own[lo:hi].tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], k) for c, k in enumerate([pa.int64()] * 4 + [pa.binary()])], ["id", "row", "item", "skip", "slice"])
 
-    slices = rows.join(wanted, "row").mapInArrow(along, "id long, row long, item long, skip long, slice binary")
+    slices = met.join(wanted, "row").mapInArrow(along, "id long, row long, item long, skip long, slice binary")
     pairs = slices.join(items.select("item", F.col("id").alias("item_id"), "tokens"), "item")
 
     def verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,8 +267,8 @@ def _joined_overlaps(texts: DataFrame, items: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(7)], ["row", "item", *_NAMES])
 
     best = F.max(F.struct("equal_tokens", "longest_stretch")).alias("best")
-    found = pairs.mapInArrow(verdicts, "row long, item long, " + FOUND)
-    return found.groupBy("row", "item", "id", "item_id", "item_tokens").agg(best).select("id", "item_id", "item_tokens", "best.equal_tokens", "best.longest_stretch")
+    found = pairs.mapInArrow(verdicts, "row long, item long, " + FOUND).groupBy("row", "item", "item_id", "item_tokens").agg(best)
+    return rows.select("row", "id").join(found, "row").select("id", "item_id", "item_tokens", "best.equal_tokens", "best.longest_stretch")
 
 
 def remove_contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:

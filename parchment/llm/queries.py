@@ -14,6 +14,23 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: All diagonals of all texts and items by a join of equal tokens; a stretch is the farthest pair of places on a diagonal
+#: between which at least four of five tokens are equal.
+OVERLAP_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS t FROM documents WHERE text IS NOT NULL),
+b AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all(lower(text), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS t FROM benchmark WHERE text IS NOT NULL),
+i AS (SELECT q, len(t) AS size, unnest(t) AS w, generate_subscripts(t, 1) AS k FROM b WHERE len(t) >= {decontaminate.MIN_TOKENS}),
+o AS (SELECT r, unnest(t) AS w, generate_subscripts(t, 1) AS k FROM d),
+g AS (SELECT r, q, o.k - i.k AS base, count(*) AS equal FROM o JOIN i USING (w) GROUP BY r, q, base, size HAVING 5 * count(*) >= 4 * least(size, {decontaminate.STRETCH})),
+p AS (SELECT r, q, base, equal, d.t AS a, b.t AS c, unnest(range(greatest(1, 1 - base), least(len(b.t), len(d.t) - base) + 1)) AS k FROM g JOIN d USING (r) JOIN b USING (q)),
+s AS (SELECT r, q, base, equal, k, 5 * sum((a[base + k] = c[k])::INT) OVER (PARTITION BY r, q, base ORDER BY k) - 4 * (k - greatest(1, 1 - base) + 1) AS score FROM p
+  UNION ALL SELECT r, q, base, equal, greatest(0, -base), 0 FROM g),
+l AS (SELECT r, q, base, any_value(x.equal) AS equal, max(y.k - x.k) AS stretch FROM s x JOIN s y USING (r, q, base) WHERE y.k >= x.k AND y.score >= x.score GROUP BY r, q, base),
+f AS (SELECT r, q, max({{'e': equal, 's': stretch}}) AS best FROM l JOIN b USING (q) WHERE 5 * equal >= 4 * len(t) OR stretch >= {decontaminate.STRETCH} GROUP BY r, q)
+SELECT doc_id, item_id, len(b.t)::BIGINT AS item_tokens, best.e::BIGINT AS equal_tokens, best.s::BIGINT AS longest_stretch FROM f JOIN d USING (r) JOIN b USING (q)
+"""
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality_metrics(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
@@ -171,4 +188,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard_join": JACCARD_SQL, "op5_suffix_array_dedup": REPEATS_SQL, "op2_quality_rules": QUALITY_SQL, "op12_ranked_search": SEARCH_SQL, "op13_prefix_trie": TRIE_SQL}
+    return {"op1_decontamination": OVERLAP_SQL, "op3_ngram_jaccard_join": JACCARD_SQL, "op5_suffix_array_dedup": REPEATS_SQL, "op2_quality_rules": QUALITY_SQL, "op12_ranked_search": SEARCH_SQL, "op13_prefix_trie": TRIE_SQL}

@@ -182,6 +182,24 @@ def test_decontamination_rows_and_periods(spark):
     assert [tuple(r) for r in decontaminate.remove_contaminated(docs, bench).collect()] == [(1, "clean text")]
 
 
+def test_decontamination_paths_agree_on_repeats(spark, monkeypatch):
+    """Copies of a text, equal items and words that every text holds: both paths give the same rows, as often."""
+    rng = random.Random(21)
+    common = "the of and in to a is it"
+    items = [f"{common} {words(rng, n)}" for n in (4, 9, 30)] + [common] * 6
+    texts = [f"{words(rng, 5)} {common} {words(rng, 30)}" for _ in range(8)] + [items[2]] * 3 + [f"{x} tail" for x in items[:2]]
+    docs = documents(spark, texts).union(documents(spark, texts[:2])).union(documents(spark, [None, ""]))
+    bench = spark.createDataFrame([(i % 7, t) for i, t in enumerate(items)], "item_id long, text string")
+    broadcast = sorted(tuple(r) for r in decontaminate.find_overlaps(docs, bench).collect())
+    monkeypatch.setattr(decontaminate, "SMALL_TOKENS", 10)
+    monkeypatch.setattr(decontaminate, "BITS", 1 << 12)
+    monkeypatch.setattr(decontaminate, "HOT", 2)
+    monkeypatch.setattr(decontaminate, "DIAGONALS", 3)
+    joined = sorted(tuple(r) for r in decontaminate.find_overlaps(docs, bench).collect())
+    expected = sorted((d, i % 7, *found) for d, t in [*enumerate(texts), *enumerate(texts[:2])] for i, x in enumerate(items) if (found := brute_overlaps(t, x)))
+    assert joined == broadcast == expected and len(expected) > len(set(expected)) > 20
+
+
 # ---- 4 ----
 
 

@@ -2,8 +2,8 @@
 
 A document's tokens (closed by an end token) are cut into full sequences and a rest. Only the histogram of the
 rests' lengths, at most ``capacity`` numbers, reaches the driver. A linear program over cutting patterns is solved
-there by column generation: a knapsack dynamic program prices new patterns against the duals. Patterns are rounded
-down, and what is left is packed by first fit decreasing. Pieces are ranked within their length by a count per salt,
+there by column generation: a knapsack dynamic program prices new patterns against smoothed duals, many to a pass.
+Patterns are rounded down, and what is left is packed by first fit decreasing. Pieces are ranked within their length by a count per salt,
 with a salt for each ``RANKED`` pieces, so no task holds all pieces of a length; ranks are mapped to sequences by a
 small table of ranges.
 
@@ -33,6 +33,8 @@ RANKED = 50_000
 #: Column generation ends when Farley's bound shows that at most this share of sequences could still be saved, or no
 #: whole one.
 GAP = 0.0005
+#: How far prices are drawn from the duals to those of the best bound.
+PULL = 0.95
 PIECES = "key long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -86,28 +88,44 @@ SCHEMA = pa.schema([(c.split()[0], pa.int64()) for c in PIECES.split(", ")])
 # ---- the linear program, on the driver ------------------------------------------------------
 
 
-def knapsack(prices: np.ndarray, capacity: int) -> tuple[float, dict[int, int]]:
-    """The dearest multiset of lengths (``prices[i]`` is that of length ``i``; 0 is unused) that fits the capacity."""
-    best, taken = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
-    lengths = np.flatnonzero(prices > 1e-12)
-    values = prices[lengths]
+def knapsack(lengths: np.ndarray, values: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each room up to ``capacity``: the highest value of a multiset of lengths (ascending) that fits, which length is
+    put in last, and at which room that is."""
+    best = np.zeros(capacity + 1)
+    taken, at = np.zeros(capacity + 1, dtype=np.int64), np.zeros(capacity + 1, dtype=np.int64)
+    useful = values > 1e-12
+    lengths, values = lengths[useful], values[useful]
+    ends = np.searchsorted(lengths, np.arange(capacity + 1), "right")
     for c in range(1, capacity + 1):
-        n = np.searchsorted(lengths, c, "right")
-        best[c] = best[c - 1]
+        best[c], at[c] = best[c - 1], at[c - 1]
+        n = ends[c]
         if n:
             value = best[c - lengths[:n]] + values[:n]
-            k = int(value.argmax())
+            k = value.argmax()
             if value[k] > best[c] + 1e-12:
-                best[c], taken[c] = value[k], lengths[k]
-    pattern: Counter = Counter()
-    c = capacity
-    while c > 0:
-        if taken[c]:
+                best[c], taken[c], at[c] = value[k], lengths[k], c
+    return best, taken, at
+
+
+def priced_patterns(lengths: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, list[dict[int, int]]]:
+    """The highest value of a pattern, and patterns from the dearest down that between them hold each length but once:
+    each is the best one around a length that no pattern before it holds."""
+    best, taken, at = knapsack(lengths, values, capacity)
+    around = values + best[capacity - lengths]
+    patterns: list[dict[int, int]] = []
+    met: set[int] = set()
+    for i in np.argsort(-around, kind="stable"):
+        first = int(lengths[i])
+        if values[i] <= 0 or first in met:
+            continue
+        pattern = Counter([first])
+        c = int(at[capacity - first])
+        while c:
             pattern[int(taken[c])] += 1
-            c -= int(taken[c])
-        else:
-            c -= 1
-    return float(best[capacity]), dict(pattern)
+            c = int(at[c - taken[c]])
+        met.update(pattern)
+        patterns.append(dict(pattern))
+    return float(best[capacity]), patterns
 
 
 def first_fit(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -185,19 +203,28 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, gap: float = GAP) ->
         use = np.maximum(use - step * ratio[out], 0)
         use[out] = ratio[out]
         duals = duals + (1 - step.sum()) * pivot
-        inverse[...] -= np.outer(step, pivot)
+        inverse[...] -= np.multiply.outer(step, pivot)
         inverse[out] = pivot
         basis[out] = pattern
         return True
 
-    prices = np.zeros(capacity + 1)
+    # Prices lie between the duals and those that gave the best bound so far (at first the lengths themselves), which keeps
+    # them from swinging; they move to the duals where they find nothing to enter.
+    every = np.array(lengths)
+    centre, pull = every / capacity, PULL
     bound = least  # no solution is below the volume
     while use.sum() > bound * (1 + gap) and np.ceil(use.sum() - 1e-6) > np.ceil(bound - 1e-6):
-        prices[lengths] = np.maximum(duals, 0)
-        value, pattern = knapsack(prices, capacity)
-        bound = max(bound, float(prices[lengths] @ demand) / max(value, 1.0))  # Farley
-        if value <= 1 + 1e-9 or not enter(pattern):
+        prices = np.maximum(pull * centre + (1 - pull) * duals, 0)
+        value, patterns = priced_patterns(every, prices, capacity)
+        if (found := float(prices @ demand) / max(value, 1.0)) > bound:  # Farley
+            bound, centre = found, prices / max(value, 1.0)
+        entered = 0
+        for pattern in patterns:
+            if sum(duals[row[k]] * n for k, n in pattern.items()) > 1 + 1e-9:
+                entered += enter(pattern)
+        if not entered and not pull:
             break
+        pull = PULL if entered else pull / 2 if pull > 0.1 else 0.0
     plan: list[tuple[dict[int, int], int]] = []
     left = dict(counts)
     for k in np.argsort(-use):

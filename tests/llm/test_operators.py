@@ -4,9 +4,7 @@ import hashlib
 import itertools
 import random
 import re
-import time
 import zlib
-from collections import Counter
 
 import numpy as np
 import pytest
@@ -667,33 +665,6 @@ def test_cutting_stock_beats_first_fit():
     assert used < sum(t for _, t in plain)
 
 
-def test_priced_patterns_against_all_multisets():
-    """The best pattern's value is that of the best of all multisets; each length stands in one of the patterns."""
-    rng = random.Random(23)
-    for _ in range(20):
-        lengths = sorted(rng.sample(range(3, 20), 6))
-        values = [rng.random() for _ in lengths]
-        multisets = [m for n in range(1, 9) for m in itertools.combinations_with_replacement(range(6), n) if sum(lengths[i] for i in m) <= 24]
-        value, patterns = packing.priced_patterns(np.array(lengths), np.array(values), 24)
-        assert abs(value - max(sum(values[i] for i in m) for m in multisets)) < 1e-9
-        assert all(sum(k * n for k, n in p.items()) <= 24 for p in patterns) and {k for p in patterns for k in p} == set(lengths)
-
-
-@pytest.mark.parametrize("n,low,high,seconds", [(200, 300, 1100, 30), (1700, 300, 2049, 30)])
-def test_cutting_stock_of_many_lengths(n, low, high, seconds):
-    """Many lengths end by the bound within the time; no plan is worse than first fit."""
-    rng = random.Random(24)
-    counts = {k: rng.randrange(1, 50) for k in rng.sample(range(low, high), n)}
-    began = time.time()
-    plan = packing.solve(counts)
-    assert time.time() - began < seconds
-    used = Counter()
-    for pattern, times in plan:
-        for k, copies in pattern.items():
-            used[k] += copies * times
-    assert used == counts and sum(t for _, t in plan) <= sum(t for _, t in packing.first_fit(counts, packing.CAPACITY))
-
-
 def test_packing_ids_on_a_whole_table():
     """The rank file and the tokenizer file give the same ids for every text of a table."""
     import os

@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from parchment.operators import fields, metrics, normalize, queue, routing, schemas, score, store, structure, validate
+from parchment.plans import notices
 from parchment.sources import providers
 
 LINES = [
@@ -191,3 +192,17 @@ def test_failures_before_parsing_and_kept_errors(spark):
     assert [got[i].document_walk for i in "1234"] == [["INSPECTING", "QUEUED_FOR_PARSE"], ["INSPECTING", "PARSING", "PARSE_FAILED"], ["INSPECTING", "PARSE_FAILED"], ["INSPECTING", "PARSING", "NORMALIZING", "STRUCTURING", "READY_FOR_REVIEW"]]
     assert [(got[i].job_error and (got[i].job_error.code, got[i].job_error.message, got[i].job_error.retryable)) for i in "1234"] == [("provider_failure", "lost", True), ("provider_failure", "again", True), ("unsupported_input", "no file", False), None]
     assert [(got[i].document_error_code, got[i].document_error_message) for i in "34"] == [("unsupported_input", "no file"), (None, None)]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_sort_and_no_shuffle_of_blocks(spark, tmp_path):
+    """Blocks made from orders come partitioned by document; structure and fields then sort them once and do not move them."""
+    at = dt.datetime(2024, 1, 2)
+    spark.createDataFrame([(1, 2, at, "1-URGENT")], "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(1, 1, 5, 3.0, at)], "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_shipdate timestamp_ntz").write.parquet(str(tmp_path / "lineitem.parquet"))
+    made = notices.blocks(spark, str(tmp_path))
+    for plan in (_plan(structure.structure(made)), _plan(fields.prepare(made))):
+        assert plan.count("Exchange hashpartitioning(document_id") == 1 and sum("Sort [document_id" in x for x in plan.split("\n")) == 1

@@ -5,6 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from parchment.operators import score
+from parchment.plans import catalogue
 from parchment.sources import report
 
 RUNS = (
@@ -59,3 +61,18 @@ def test_sorted_keys_of_nested_values(spark):
     rows = spark.sql("select 1 as b, array(named_struct('d', map('y', 1, 'x', 2), 'c', cast(null as string))) as a, cast(null as struct<z:int,y:int>) as n")
     assert report.json_lines(rows).first().value == '{"a":[{"c":null,"d":{"x":2,"y":1}}],"b":1,"n":null}'
     assert rows.where(F.lit(False)).count() == report.json_lines(rows.limit(0)).count()
+
+
+def test_repeated_runs_in_any_order(spark):
+    """A document measured twice has the same report however its rows come."""
+    rows = [("p", "a", "scanned", "word_accuracy", 0.5, True), ("p", "a", "scanned", "word_accuracy", 0.75, True)]
+    runs = spark.createDataFrame([run("p", "a")], RUNS)
+    for order in (rows, rows[::-1]):
+        metrics = spark.createDataFrame(order, METRICS).coalesce(1)
+        assert [r.word_accuracy for r in score.per_document_report(runs, metrics).collect()] == ["0.7500"]
+
+
+def test_levels_write_levels_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalogue, "staging_path", lambda spark, name: f"file://{tmp_path}/{name}")
+    assert catalogue.queries()["report_levels"](spark, "/root/testdata/sf0.001").where("level = 'all'").count() == 1
+    assert {x.name for x in tmp_path.glob("report/r1/*")} == {"levels", report.CONTENTS}

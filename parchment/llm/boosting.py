@@ -1,4 +1,4 @@
-"""Gradient-boosted trees: fitted by Spark ML on a bounded sample, scored as plain column expressions."""
+"""Gradient-boosted trees: fitted by Spark ML, scored as plain column expressions."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def fit(rows: DataFrame, features: list[str], label: str, trees: int = 12, depth: int = 3, weight: str | None = None) -> list[tuple[float, tuple]]:
+def fit(rows: DataFrame, features: list[str], label: str, trees: int = 12, depth: int = 3, weight: str | None = None, bins: int = 32) -> list[tuple[float, tuple]]:
     """Trees as ``(weight, node)``; a node is ``(value,)`` or ``(feature index, threshold, left, right)``.
 
     With one class only, or no rows, the model is a constant (one leaf).
@@ -17,7 +17,7 @@ def fit(rows: DataFrame, features: list[str], label: str, trees: int = 12, depth
     if len(seen) < 2:
         return [(1.0, (1.0 if seen.get(1.0) else -1.0,))]
     data = VectorAssembler(inputCols=features, outputCol="_features").transform(rows.select(*features, F.col(label).cast("double").alias("_label"), *([weight] if weight else [])))
-    gbt = GBTClassifier(featuresCol="_features", labelCol="_label", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7, maxBins=32, cacheNodeIds=False)
+    gbt = GBTClassifier(featuresCol="_features", labelCol="_label", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7, maxBins=bins, cacheNodeIds=False)
     if weight:
         gbt = gbt.setWeightCol(weight)
     model = gbt.fit(data)

@@ -11,8 +11,8 @@ No labels of personal data come with a corpus, so the trees are fitted on plante
 or only look like it (``planted_bank``: made by rule, with known answers) are set into texts of the corpus, whose own
 candidates are cut out first. The answer comes from the making, not from the features. Strings are made in forms, and a
 third of the forms is held out: thresholds are set on, and figures come from, strings of forms that the trees had not seen;
-the trees that are used are then fitted on all forms. At most ``MAX_TRAIN`` texts are used, and of each only the surroundings
-of the places where strings are set.
+the trees that are used are then fitted on all forms. Every text takes part; of each only the surroundings of the places
+where strings are set are looked at. What is fitted and counted are the distinct rows of features with their numbers.
 
 Offsets are code points, end exclusive. Null and empty texts have no spans. Repeated rows and ties make no difference;
 an empty table gives an empty result. Extra columns stay, but for ``base`` and ``spans``, which are replaced.
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import bounded_sample, let, stage
+from .common import let, stage
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns of the base spans. The second form of each finds the same matches without scanning a run of
@@ -61,12 +61,15 @@ CUES = {
 }
 CONTEXT = 24
 FEATURES = ("kind_no", "length", "digits", "digit_share", "letters", "separators", "distinct", "cue", "quoted", "after_equals", "luhn", "mod97", "starts_plus", "has_dot")
-MAX_TRAIN = 20_000
 PRECISION = 0.95
+#: Bins of a feature; Spark takes split places from all rows, if they are at most the square of this.
+BINS = 256
 #: Planted strings, and how many of them are set into each text at least.
 BANK, PLANTED = 4_000, 2
 #: Characters before and after the place of a planted string.
 AROUND = 200
+#: Tasks that look for candidates around planted strings, at least.
+PLANT_TASKS = 32
 #: Tasks of a fit: some thousands of rows of numbers.
 FIT_TASKS = 4
 #: Of the forms of each kind, every third is held out.
@@ -272,6 +275,8 @@ def planted_rows(documents: DataFrame, text: str = "text") -> DataFrame:
     place = F.when(blank > 0, cut + blank).otherwise(F.length("text"))
     near = F.substring(F.col("text"), F.greatest(place - AROUND + 1, F.lit(1)), F.least(place, F.lit(AROUND)))
     rows = own.withColumn("bank", number).select("bank", near.alias("head"), F.substring(F.col("text"), place + 1, F.lit(AROUND)).alias("rest"))
+    # Dealt out anew, as a table may stand in few row groups.
+    rows = rows.repartition(max(PLANT_TASKS, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     for pattern, _ in CANDIDATES.values():
         rows = rows.withColumns({c: F.regexp_replace(c, pattern, " ") for c in ("head", "rest")})
     rows = rows.join(F.broadcast(bank), "bank")  # BANK rows
@@ -282,24 +287,26 @@ def planted_rows(documents: DataFrame, text: str = "text") -> DataFrame:
     return found.select("kind", "label", "unseen", "half", *FEATURES)
 
 
-def train(documents: DataFrame, text: str = "text", max_train: int = MAX_TRAIN, precision: float = PRECISION) -> tuple[list, dict[str, float]]:
+def train(documents: DataFrame, text: str = "text", precision: float = PRECISION) -> tuple[list, dict[str, float]]:
     """Trees, and for each kind the least score at which candidates of held-out forms reach the wanted precision."""
-    trees, limits, _ = train_and_measure(documents, text, max_train, precision)
+    trees, limits, _ = train_and_measure(documents, text, precision)
     return trees, limits
 
 
-def train_and_measure(documents: DataFrame, text: str = "text", max_train: int = MAX_TRAIN, precision: float = PRECISION) -> tuple[list, dict[str, float], dict[str, tuple[float, float, int]]]:
+def train_and_measure(documents: DataFrame, text: str = "text", precision: float = PRECISION) -> tuple[list, dict[str, float], dict[str, tuple[float, float, int]]]:
     """Besides, for each kind the precision, recall and number of candidates of held-out forms.
 
     Trees that have not seen these forms score them: half of the strings set the thresholds, the other half gives the figures.
     The trees that are returned know all forms.
     """
-    rows = stage(planted_rows(bounded_sample(documents.select(text), max_train), text), "planted").coalesce(FIT_TASKS).persist()
+    # Strings and words before them come from the bank, so distinct rows are few however many texts there are.
+    planted = planted_rows(documents.select(text), text).groupBy("kind", "label", "unseen", "half", *FEATURES).agg(F.count("*").alias("weight"))
+    rows = stage(planted, "planted").coalesce(FIT_TASKS).persist()
     try:
-        trees = boosting.fit(rows, list(FEATURES), "label", trees=20, depth=4)
-        judge = boosting.fit(rows.where("not unseen"), list(FEATURES), "label", trees=20, depth=4)
-        scored = rows.where("unseen").select("kind", "half", "label", F.ceil(boosting.probability(judge, [F.col(c) for c in FEATURES]) * 100).alias("level"))
-        table = scored.groupBy("kind", "half", "level").agg(F.sum("label").alias("good"), F.count("*").alias("n")).collect()  # at most 202 rows a kind
+        trees = boosting.fit(rows, list(FEATURES), "label", trees=20, depth=4, weight="weight", bins=BINS)
+        judge = boosting.fit(rows.where("not unseen"), list(FEATURES), "label", trees=20, depth=4, weight="weight", bins=BINS)
+        scored = rows.where("unseen").select("kind", "half", "label", "weight", F.ceil(boosting.probability(judge, [F.col(c) for c in FEATURES]) * 100).alias("level"))
+        table = scored.groupBy("kind", "half", "level").agg(F.sum(F.col("label") * F.col("weight")).alias("good"), F.sum("weight").alias("n")).collect()  # at most 202 rows a kind
     finally:
         rows.unpersist()
     limits, figures = {}, {}

@@ -695,3 +695,18 @@ def test_chat_closing_and_large_ids(spark):
     assert {r.conv_id: r.n_turns for r in chat.digest(pieces).collect()} == {2**53: 2, 2**53 + 1: 2, None: 1}
     glued = pieces.where("conv_id is null").unionByName(pieces.where("conv_id is null"))
     assert chat.digest(glued.coalesce(1)).collect()[0].n_turns == 2
+
+
+def test_every_text_counts_in_training(spark, monkeypatch):
+    """Training takes rows with weights that add up to the strings found in all texts, however many there are."""
+    rows = spark.range(21_000).selectExpr("concat('some plain words here ', id) AS text")
+    seen = {}
+
+    def fit(rows, features, label, **options):
+        seen.setdefault("weights", rows.agg(F.sum(options["weight"])).first()[0])
+        seen.setdefault("rows", rows.count())
+        return [(1.0, (1.0,))]
+
+    monkeypatch.setattr(pii.boosting, "fit", fit)
+    pii.train(rows)
+    assert seen["weights"] > 40_500 and seen["rows"] < 20_000

@@ -206,3 +206,12 @@ def test_one_sort_and_no_shuffle_of_blocks(spark, tmp_path):
     made = notices.blocks(spark, str(tmp_path))
     for plan in (_plan(structure.structure(made)), _plan(fields.prepare(made))):
         assert plan.count("Exchange hashpartitioning(document_id") == 1 and sum("Sort [document_id" in x for x in plan.split("\n")) == 1
+
+
+def test_dangling_references_are_grouped_without_a_join(spark):
+    rows = spark.createDataFrame([("d", "a", "b"), ("d", "x", "a"), ("d", "x", None), ("e", "b", "c"), (None, "n", "n"), ("d", None, "q")], "document_id string, ref string, key string")
+    other = rows.select("document_id", "key")
+    for targets in (rows, other):
+        out = validate.dangling(rows, "ref", targets, "key", "r")
+        assert sorted(map(tuple, out.collect()), key=str) == sorted([("r", "d", "x"), ("r", "d", "x"), ("r", "e", "b"), ("r", None, "n")], key=str)
+        assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()

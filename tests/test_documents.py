@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from parchment.functions.text import has_text
 from parchment.operators import fields, metrics, normalize, queue, routing, schemas, score, store, structure, validate
 from parchment.plans import notices
 from parchment.sources import providers
@@ -215,3 +216,17 @@ def test_dangling_references_are_grouped_without_a_join(spark):
         out = validate.dangling(rows, "ref", targets, "key", "r")
         assert sorted(map(tuple, out.collect()), key=str) == sorted([("r", "d", "x"), ("r", "d", "x"), ("r", "e", "b"), ("r", None, "n")], key=str)
         assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_table_cells_of_both_sides_are_counted_in_one_grouping(spark):
+    cells = "array<array<string>>"
+    truth = spark.createDataFrame([("a", [(1, [["x", "X"], ["y", None]])]), ("b", [(1, [])]), ("c", [(1, [["q"]])])], f"document_id string, tables array<struct<page_number:int,cells:{cells}>>")
+    own = spark.createDataFrame([("a", 1, "t", 2, 2, [["x", "x"], ["z", None]]), ("a", 1, "u", 1, 1, [["y"]]), ("b", 1, "t", 1, 1, [["x"]]), ("c", 2, "t", 1, 1, [["q"]])], f"document_id string, page_number int, table_id string, n_rows int, n_cols int, cells {cells}")
+    out = metrics.table_structure(own, truth)
+    assert {r.document_id: r.value for r in out.collect()} == {"a": 0.5, "b": 0.0, "c": 0.0}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+
+
+def test_has_text_ends_at_the_first_character(spark):
+    rows = spark.createDataFrame([(0, " \x1c"), (1, " a"), (2, ""), (3, None)], "i int, x string")
+    assert [r.y for r in rows.select("i", has_text(F.col("x")).alias("y")).orderBy("i").collect()] == [False, True, False, None]

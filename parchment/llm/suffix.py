@@ -19,8 +19,8 @@ A suffix array over all texts at once would not fit a task, so the strings are d
 3. A chunk sends the bytes of its blocks with shared hashes, packed likewise, each distinct block once with its places. A hash whose
    blocks are too many and too different (``HOT``, ``VARIANTS``) is split further: its windows are sent one by one under
    the hash of the whole window, so that no task holds all surroundings of a common phrase.
-4. Suffix arrays over the blocks of a hash tell each window's smallest owner; what is to be removed goes back to the
-   chunks, which cut their texts.
+4. Suffix arrays over the blocks of a hash, without windows that equal no other there, tell each window's smallest owner;
+   what is to be removed goes back to the chunks, which cut their texts.
 
 A null text is empty. A row without doc_id loses nothing and takes nothing. Rows with the same doc_id do not remove
 each other's bytes; repeated rows get equal results. A long text is hashed in overlapping pieces of ``PIECE`` bytes.
@@ -185,8 +185,36 @@ def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
 def least_owners(flat: np.ndarray, lengths: np.ndarray, sets: np.ndarray, owners: np.ndarray) -> np.ndarray:
     """For each window of each part, one after another, the smallest owner of any part of its set with an equal window.
 
-    ``flat`` holds the bytes of all parts; parts of a set stand together.
+    ``flat`` holds the bytes of all parts; parts of a set stand together. Windows whose hash is the only one of its kind in
+    the set equal no other; only the others, as runs of neighbours, are put in order.
     """
+    windows = np.maximum(lengths - LENGTH + 1, 0)
+    part = np.repeat(np.arange(len(lengths)), windows)
+    starts = _spread(np.cumsum(lengths) - lengths, windows)
+    several = _several(slice_hashes(prefix_hashes(flat), starts, starts + LENGTH), np.cumsum(np.diff(sets, prepend=sets[:1]) != 0)[part])
+    found = owners[part].astype(np.int64)
+    if several.any():
+        change = np.ones(len(part), dtype=bool)
+        change[1:] = (several[1:] != several[:-1]) | (part[1:] != part[:-1])
+        lead = np.flatnonzero(change)
+        size = np.diff(np.append(lead, len(part)))
+        lead, size = lead[several[lead]], size[several[lead]] + LENGTH - 1
+        found[several] = _least_owners(flat[_spread(starts[lead], size)], size, sets[part[lead]], owners[part[lead]])
+    return found
+
+
+def _several(hashes: np.ndarray, sets: np.ndarray) -> np.ndarray:
+    """Which hashes occur again in their set; some others may be among them."""
+    keys = hashes ^ mix(sets.astype(np.uint64))
+    order = np.argsort(keys)
+    same = np.diff(keys[order]) == 0
+    out = np.zeros(len(keys), dtype=bool)
+    out[order[1:][same]] = out[order[:-1][same]] = True
+    return out
+
+
+def _least_owners(flat: np.ndarray, lengths: np.ndarray, sets: np.ndarray, owners: np.ndarray) -> np.ndarray:
+    """The same for windows most of which are shared: a suffix array per set."""
     ends = np.cumsum(lengths + 1)
     part_of = np.repeat(np.arange(len(lengths)), lengths + 1)
     data = np.ones(len(part_of), dtype=np.int16)  # 1 closes a part

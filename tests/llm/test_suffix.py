@@ -30,6 +30,22 @@ def test_least_owners():
     assert got.tolist() == [min(n for j, q, n in flat if j == k and w in q) for k, w in windows]
 
 
+def test_only_repeated_windows_are_sorted(monkeypatch):
+    """Long parts that share little: the suffix arrays see what is shared, and the owners are those of all windows."""
+    rng = random.Random(56)
+    sorted_, symbols = suffix.suffix_arrays, []
+    monkeypatch.setattr(suffix, "suffix_arrays", lambda data, starts: (symbols.append(len(data)), sorted_(data, starts))[1])
+    for shared in (0, 49, 50, 70):
+        letters = lambda n: bytes(rng.choice(b"abcdefgh") for _ in range(n))
+        phrase = letters(shared)
+        flat = [(k, letters(rng.randint(0, 300)) + phrase + letters(rng.randint(50, 300)), rng.randint(0, 9)) for k in range(3) for _ in range(4)] + [(3, b"short", 1), (3, letters(60), 2)]
+        symbols.clear()
+        got = suffix.least_owners(np.frombuffer(b"".join(p for _, p, _ in flat), np.uint8), *(np.array(x) for x in ([len(p) for _, p, _ in flat], [k for k, _, _ in flat], [n for _, _, n in flat])))
+        windows = [(k, p[i : i + suffix.LENGTH]) for k, p, _ in flat for i in range(len(p) - suffix.LENGTH + 1)]
+        assert got.tolist() == [min(n for j, q, n in flat if j == k and w in q) for k, w in windows]
+        assert sum(symbols) <= (12 * 80 if shared else 0)  # letters beside the phrase may agree by chance
+
+
 def removed(docs):
     return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.remove_repeats(docs).collect()}
 

@@ -76,3 +76,43 @@ def test_levels_write_levels_only(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(catalogue, "staging_path", lambda spark, name: f"file://{tmp_path}/{name}")
     assert catalogue.queries()["report_levels"](spark, "/root/testdata/sf0.001").where("level = 'all'").count() == 1
     assert {x.name for x in tmp_path.glob("report/r1/*")} == {"levels", report.CONTENTS}
+
+
+def test_report_files_whole_and_small(spark, tmp_path, monkeypatch):
+    """Files are compressed, and what is made from the table is not written besides."""
+    monkeypatch.setattr(catalogue, "staging_path", lambda spark, name: f"file://{tmp_path}/{name}")
+    staged = []
+    monkeypatch.setattr(catalogue, "staged", lambda rows, name: staged.append(name) or rows)
+    got = {r.artefact: (r.n, r.same) for r in catalogue.queries()["report_files"](spark, "/root/testdata/sf0.001").collect()}
+    assert all(same for _, same in got.values()) and not staged
+    parts = [x for name in report.ARTEFACTS for x in (tmp_path / "report/r1" / name).glob("part-*")]
+    assert {x.parent.name for x in parts} == set(report.ARTEFACTS) and all(x.suffix == ".gz" for x in parts)
+
+
+def test_changed_file_is_seen(spark, tables, tmp_path):
+    runs, metrics = tables
+    made = report.bundle(runs, metrics, {})
+    told = report.write(made, str(tmp_path), "r")
+    for name, (n, h) in told.items():
+        rows = made[name].select("line") if name == "summary" else made[name]
+        assert report.digest(report.read(spark, str(tmp_path), "r", name, rows.schema), name).first() == (n, h)
+    report.json_lines(made["failures"].withColumn("parser", F.lit("z"))).write.mode("overwrite").text(f"{tmp_path}/r/failures")
+    assert report.digest(report.read(spark, str(tmp_path), "r", "failures", made["failures"].schema), "failures").first() != told["failures"]
+
+
+def test_per_document_without_a_join(spark):
+    """Repeated runs stay, runs without a key have no values, rows come sorted after one exchange."""
+    rows = [("p", "b", "scanned", "word_accuracy", 0.5, True), ("p", "a", "scanned", "word_accuracy", 0.25, True), ("p", "a", "scanned", "word_accuracy", 1.0, False), (None, "a", "scanned", "word_accuracy", 0.75, True), ("p", "lost", "scanned", "word_accuracy", 0.75, True)]
+    runs = spark.createDataFrame([run("p", "b"), run("p", "a"), run("p", "a", ("bad", None, False, "p", None)), run(None, "a"), run("", "a")], RUNS)
+    made = score.per_document_report(runs, spark.createDataFrame(rows, METRICS)).orderBy("parser", "document_id")
+    assert [(r.parser, r.document_id, r.word_accuracy) for r in made.collect()] == [("", "a", ""), ("", "a", ""), ("p", "a", "0.2500"), ("p", "a", "0.2500"), ("p", "b", "0.5000")]
+    plan = made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
+
+
+def test_routes_and_evidence_in_one_grouping(spark):
+    runs = spark.createDataFrame([("a", 1, "x", "y", None), ("a", 0, "x", "z", True), ("b", 0, "x", None, False), ("b", 1, "x", "y", False), (None, 0, "x", "z", True)], "document_id string, run_seq int, route_expected string, route_actual string, labelled boolean")
+    firsts = score.first_routes(runs)
+    assert score.confusion(firsts).collect() == [("x", "z", 2)] == score.route_confusion(runs.drop("labelled")).collect()
+    assert score.evidence_of(firsts).first() == (2, 1, False) == score.evidence(runs).first()
+    assert score.evidence_of(firsts.limit(0)).first() == (0, 0, False)

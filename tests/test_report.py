@@ -79,12 +79,12 @@ def test_levels_write_levels_only(spark, tmp_path, monkeypatch):
 
 
 def test_report_files_whole_and_small(spark, tmp_path, monkeypatch):
-    """Files are compressed, and what is made from the table is not written besides."""
+    """Every artefact is compared, levels too; files are compressed, and what is made from the table is not written besides."""
     monkeypatch.setattr(catalogue, "staging_path", lambda spark, name: f"file://{tmp_path}/{name}")
     staged = []
     monkeypatch.setattr(catalogue, "staged", lambda rows, name: staged.append(name) or rows)
     got = {r.artefact: (r.n, r.same) for r in catalogue.queries()["report_files"](spark, "/root/testdata/sf0.001").collect()}
-    assert all(same for _, same in got.values()) and not staged
+    assert set(got) == set(report.ARTEFACTS) and all(same for _, same in got.values()) and got["levels"][0] > 1 and not staged
     parts = [x for name in report.ARTEFACTS for x in (tmp_path / "report/r1" / name).glob("part-*")]
     assert {x.parent.name for x in parts} == set(report.ARTEFACTS) and all(x.suffix == ".gz" for x in parts)
 

@@ -230,3 +230,18 @@ def test_table_cells_of_both_sides_are_counted_in_one_grouping(spark):
 def test_has_text_ends_at_the_first_character(spark):
     rows = spark.createDataFrame([(0, " \x1c"), (1, " a"), (2, ""), (3, None)], "i int, x string")
     assert [r.y for r in rows.select("i", has_text(F.col("x")).alias("y")).orderBy("i").collect()] == [False, True, False, None]
+
+
+def test_fields_are_taken_in_one_grouping(spark):
+    """Nothing is written or joined between the lines of a document and its fields, and blocks move once."""
+    plan = _plan(fields.extract(blocks(spark)))
+    assert "FileScan" not in plan and "Join" not in plan and plan.count("Exchange ") == 1
+
+
+def test_other_numbers_and_dates_lower_the_confidence(spark):
+    lines = [(1, "paragraph", "Số: 1/QĐ"), (1, "paragraph", "Số: 2/QĐ"), (2, "paragraph", "Số: 1/QĐ"), (1, "paragraph", "Huế, ngày 1 tháng 2 năm 2020"), (1, "paragraph", "Huế, ngày 3 tháng 2 năm 2020 và 1/2/2020"), (2, "paragraph", "theo 4/5/2020")]
+    got = {r.name: r for r in fields.extract(blocks(spark, lines)).collect()}
+    assert (got["document_number"].normalized_value, got["document_number"].confidence, got["document_number"].source_block_ids) == ("1/QĐ", 0.6, ["b0"])
+    assert (got["issue_date"].normalized_value, got["issue_date"].confidence, got["issue_date"].raw_value) == ("2020-02-01", 0.6, "ngày 1 tháng 2 năm 2020")
+    same = [(1, "paragraph", "Huế, ngày 1 tháng 2 năm 2020"), (1, "paragraph", "Huế, ngày 1 tháng 2 năm 2020")]
+    assert fields.extract(blocks(spark, same)).first().confidence > 0.75

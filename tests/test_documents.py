@@ -245,3 +245,19 @@ def test_other_numbers_and_dates_lower_the_confidence(spark):
     assert (got["issue_date"].normalized_value, got["issue_date"].confidence, got["issue_date"].raw_value) == ("2020-02-01", 0.6, "ngày 1 tháng 2 năm 2020")
     same = [(1, "paragraph", "Huế, ngày 1 tháng 2 năm 2020"), (1, "paragraph", "Huế, ngày 1 tháng 2 năm 2020")]
     assert fields.extract(blocks(spark, same)).first().confidence > 0.75
+
+
+def test_walk_over_batches(spark):
+    """Tables, open levels and ids go on over the batches of the fold, and end with the document."""
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    lines = [(1, "paragraph", "Điều 1. X"), (1, "paragraph", "1. Một"), (1, "paragraph", "A | B | C"), (1, "paragraph", "1 | 2 | 3"), (1, "paragraph", "x | y | z"), (2, "paragraph", "p | q | r"), (2, "paragraph", "1. Một"), (2, "paragraph", "TM. AN"), (2, "paragraph", "2. Hai")]
+    two = blocks(spark, lines).unionByName(blocks(spark, lines[2:4], "e"))
+    got = []
+    for size in (1, 2, 3, 1000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        found = structure.structure(two).select("document_id", "block_id", "rule", "table_id", "row_index", "node_id", "above").orderBy("document_id", "block_id").collect()
+        got.append(found)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert all(x == got[0] for x in got)
+    assert [r.row_index for r in got[0]] == [None, None, 0, 1, 2, None, None, None, None, 0, 1] and {r.table_id for r in got[0]} == {None, "t_admin_1_0001"}
+    assert [r.node_id for r in got[0]][:2] == ["h_article_1", "h_clause_1_1"] and got[0][6].node_id == "h_clause_1_1_1" and got[0][8].rule == "ordered" and got[0][2].above == "h_clause_1_1"

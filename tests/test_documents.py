@@ -261,3 +261,15 @@ def test_walk_over_batches(spark):
     assert all(x == got[0] for x in got)
     assert [r.row_index for r in got[0]] == [None, None, 0, 1, 2, None, None, None, None, 0, 1] and {r.table_id for r in got[0]} == {None, "t_admin_1_0001"}
     assert [r.node_id for r in got[0]][:2] == ["h_article_1", "h_clause_1_1"] and got[0][6].node_id == "h_clause_1_1_1" and got[0][8].rule == "ordered" and got[0][2].above == "h_clause_1_1"
+
+
+def test_ids_of_documents_are_not_broadcast(spark):
+    """Documents are merged with their results, though their ids would fit a broadcast by the size of the file."""
+    from parchment.operators import ingest
+
+    made = blocks(spark)
+    pages = made.select("document_id", "page_number").distinct().select("*", F.lit("x" * 80).alias("text"), F.lit(0.0).alias("image_area_ratio"), F.lit(0).alias("rotation"))
+    known = spark.createDataFrame([("d",), ("gone",)], "document_id string")
+    out = ingest.run(known, pages, made, {"decided": False, "allow_baseline_when_undecided": True, "routes": {}})
+    assert {r.document_id: (r.n_fields, r.error_code, r.requires_user_review, r.critical_field_warnings) for r in out.collect()} == {"d": (7, None, True, []), "gone": (None, "invalid_pdf", None, None)}
+    assert "BroadcastHashJoin [document_id" not in _plan(out) and "SortMergeJoin [document_id" in _plan(out)
